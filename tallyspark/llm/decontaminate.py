@@ -33,6 +33,11 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     return items.select("item", n.alias("n"), F.explode(F.transform(starts, lambda i: F.array_join(F.slice(F.col("words"), i, n), " "))).alias("gram")).distinct()
 
 
+def spoken(n: int):
+    """A position's window as (start, n, gram)."""
+    return lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), F.array_join(F.slice(F.col("words"), i, F.lit(n)), " ").alias("gram"))
+
+
 def scan(rows: DataFrame, hashes: dict[int, list[int]]) -> DataFrame:
     """row, kept, n_words and hits: (start, n, gram) of the windows whose hash is in the set, or of all windows of a length that has no set."""
     ways = []
@@ -41,7 +46,7 @@ def scan(rows: DataFrame, hashes: dict[int, list[int]]) -> DataFrame:
         if hashes[n]:
             known = f"xxhash64(slice(words, i, {n})) in ({', '.join(f'{h}L' if h != -(2**63) else 'cast(-9223372036854775808 as bigint)' for h in hashes[n])})"
             starts = F.when(F.size("words") >= n, F.expr(f"filter(sequence(1, size(words) - {n - 1}), i -> {known})")).otherwise(F.array().cast("array<int>"))
-        ways.append(F.transform(starts, lambda i, n=n: F.struct(i.alias("start"), F.lit(n).alias("n"), F.array_join(F.slice(F.col("words"), i, F.lit(n)), " ").alias("gram"))))
+        ways.append(F.transform(starts, spoken(n)))
     none = F.array().cast("array<struct<start:int,n:int,gram:string>>")
     return rows.select("row", "kept", F.size("words").cast("long").alias("n_words"), (F.concat(*ways) if len(ways) > 1 else ways[0] if ways else none).alias("hits"))
 
