@@ -43,6 +43,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def slices(batches: Iterator, rows: int = 250) -> Iterator:
+    """Arrow arrays in runs of at most ``rows``, so that what is made of one run is gone before the next."""
+    for batch in batches:
+        for a in range(0, len(batch), rows):
+            yield batch.slice(a, rows)
+
+
 def blocks(texts: Iterable[str | None], limit: int = BLOCK_BYTES) -> Iterator[list[bytes]]:
     """Texts as UTF-8, in runs of about ``limit`` bytes; a longer text is a run of its own."""
     run: list[bytes] = []

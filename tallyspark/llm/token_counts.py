@@ -18,10 +18,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, slices
 
 #: Distinct pre-tokens that are broadcast (a bound, whatever the corpus), and those a task holds before it passes them on.
-HEAD, HELD = 150_000, 200_000
+HEAD, HELD = 60_000, 60_000
 #: The pre-tokenisation of byte-level BPE vocabularies of this family, as published with them (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters outside these old blocks may have been given a class after the library's Unicode tables; each is looked up once.
@@ -115,10 +115,10 @@ def count_tokens(documents: DataFrame, path: str, *, id_col: str = "doc_id", tex
     @F.arrow_udf(kind)
     def summed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         splitter, known = Splitter(path), sent.value
-        for batch in batches:
+        for batch in slices(batches):
             out = []
-            for text in batch:
-                text = text.as_py() or ""
+            for text in batch.to_pylist():
+                text = text or ""
                 tokens, n = splitter.split(text)
                 rest: Counter = Counter()
                 for token, times in Counter(tokens).items():
