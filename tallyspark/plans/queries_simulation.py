@@ -1,4 +1,114 @@
-"""Queries."""
+"""Queries on the simulated rest of the season."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import simulate
+from . import arena
+from .queries_forecast import PREDICTED, played, predicted
+from .queries_ratings import ensure_cut
+from .queries_records import POINTS
+from .registry import registry
+
+QUERIES, ORACLE_SQL, query = registry()
+WITH = f"with recursive {arena.ARENA_SQL}"
+R = lambda x, n: f"round({x} + 1e-9, {n}) + 0.0"
+#: Simulations of the checked queries, the weeks that are simulated, and the least branch at that number.
+SIMS, WEEKS, LEAST = 60, (27, 28), 8
+
+UNIFORM = lambda *k: f"(('0x' || substr(md5(concat_ws('|', {', '.join(f'cast({x} as varchar)' for x in k)})), 1, 8))::bigint / 4294967296.0)"
+DRAWS = f"""{PREDICTED}, open as (select game_id, home, away, p from shown where wk in {WEEKS}), draws as (select s as sim, game_id, home, away, {UNIFORM('game_id', 's', simulate.SEED)} < p as home_won from open, range({SIMS}) r(s))"""
+SIM = f"""{DRAWS}, val as (select team, cast({POINTS} as double) as value from roster),
+beat as (select case when hs > aw then home else away end as team, case when hs > aw then away else home end as opp from played where hs <> aw),
+fixed as (select team, sum(value) as f1, count(*) as fw from (select beat.team, v.value from beat join val v on v.team = beat.opp) group by team),
+ng as (select team, count(*) as games from (select unnest([home, away]) as team from played union all select unnest([home, away]) from open) group by team),
+won as (select sim, case when home_won then home else away end as team, case when home_won then away else home end as opp from draws),
+new as (select sim, won.team, sum(v.value) as n1, count(*) as nw from won join val v on v.team = won.opp group by sim, won.team),
+lev as (select s as sim, roster.team, region, in_league, coalesce(games, 0) as games, coalesce(f1, 0) + coalesce(n1, 0) as l1, coalesce(fw, 0) + coalesce(nw, 0) as wins from roster cross join range({SIMS}) r(s) left join fixed on fixed.team = roster.team left join ng on ng.team = roster.team left join new on new.team = roster.team and new.sim = s),
+l2 as (select sim, team, sum(l1) as l2 from (select won.sim, won.team, l1 from won join lev on lev.sim = won.sim and lev.team = won.opp union all select lev.sim, beat.team, l1 from beat join lev on lev.team = beat.opp) group by sim, team),
+simulated as (select lev.sim, lev.team, region, (l1 + coalesce(l2, 0)) / greatest(games, 1) as points, wins from lev left join l2 on l2.sim = lev.sim and l2.team = lev.team where in_league and region is not null),
+seeded as (select *, row_number() over (partition by sim, region order by points desc, {UNIFORM('team', 'sim', simulate.SEED + 1)}, team) as seed from simulated)"""
+COND = f"""{SIM}, reg as (select team, region from seeded where sim = 0), touch as (select game_id, region from open join reg on reg.team = home union select game_id, region from open join reg on reg.team = away),
+br as (select game_id, count_if(home_won) as n_home, count_if(not home_won) as n_away from draws group by game_id having count_if(home_won) >= {LEAST} and count_if(not home_won) >= {LEAST}),
+q as (select s.team, d.game_id, count_if(home_won) as qh, count_if(not home_won) as qa from seeded s join draws d on d.sim = s.sim join touch t on t.game_id = d.game_id and t.region = s.region where seed <= 12 group by s.team, d.game_id),
+cond as (select reg.team, reg.region, t.game_id, n_home, coalesce(qh, 0) / n_home as p_home, coalesce(qa, 0) / n_away as p_away, o.home, o.away from reg join touch t on t.region = reg.region join br on br.game_id = t.game_id join open o on o.game_id = t.game_id left join q on q.team = reg.team and q.game_id = t.game_id)"""
+
+
+def open_games(spark, sf):
+    return predicted(spark, sf).filter(F.col("wk").isin(*WEEKS)).select("game_id", "home", "away", "p")
+
+
+def seeded(spark, sf):
+    ensure_cut(spark)
+    # the sample is read many times: by the seeds, by both branches of every game
+    drawn = simulate.draws(open_games(spark, sf), SIMS).checkpoint()
+    return simulate.seeds(simulate.simulate(arena.dense_roster(spark, sf), played(spark, sf), drawn, SIMS)), drawn
+
+
+@query(f"{WITH}, {DRAWS} select game_id, count_if(home_won) as home_wins from draws group by game_id")
+def mc_draws(spark, sf):
+    return simulate.draws(open_games(spark, sf), SIMS).groupBy("game_id").agg(F.count_if("home_won").alias("home_wins"))
+
+
+@query(f"{WITH}, {SIM} select team, {R('avg(points)', 3)} as points, {R('min(points)', 3)} as low, {R('max(points)', 3)} as high, cast(sum(wins) as bigint) as wins from simulated group by team")
+def mc_points(spark, sf):
+    s, _ = seeded(spark, sf)
+    r = lambda c: arena.safe_round(c, 3)
+    return s.groupBy("team").agg(r(F.avg("points")).alias("points"), r(F.min("points")).alias("low"), r(F.max("points")).alias("high"), F.sum("wins").cast("long").alias("wins"))
+
+
+@query(f"{WITH}, {SIM} select sim, region, team, seed from seeded where seed <= 3")
+def mc_seeds(spark, sf):
+    return seeded(spark, sf)[0].filter("seed <= 3").select("sim", "region", "team", "seed")
+
+
+@query(f"{WITH}, {SIM} select team, {R('avg(cast(seed <= 12 as double))', 3)} as playoff, {R('avg(cast(seed <= 4 as double))', 3)} as bye, {R('avg(cast(seed = 1 as double))', 3)} as top, {R('avg(seed)', 2)} as mean_seed, cast(floor(median(seed)) as bigint) as median_seed, {R('avg(points)', 3)} as mean_points, {R('avg(wins)', 2)} as mean_wins from seeded group by team")
+def mc_summary(spark, sf):
+    return simulate.summary(seeded(spark, sf)[0])
+
+
+@query(f"{WITH}, {SIM}, c as (select team, wins, count(*) / {SIMS}.0::double as share from seeded group by team, wins), e as (select *, min(case when share > 0.0005 then wins end) over (partition by team) as lo, max(case when share > 0.0005 then wins end) over (partition by team) as hi from c) select team, wins, {R('share', 3)} as share from e where wins between lo and hi")
+def win_dist(spark, sf):
+    return simulate.win_distribution(seeded(spark, sf)[0], SIMS)
+
+
+def conditional(spark, sf):
+    s, drawn = seeded(spark, sf)
+    return simulate.conditionals(s.checkpoint(), drawn, least=LEAST)
+
+
+@query(f"{WITH}, {COND}, own as (select team, game_id, case when team = home then p_home else p_away end as w, case when team = home then p_away else p_home end as l from cond where team = home or team = away) select team, game_id, {R('w', 3)} as if_win, {R('l', 3)} as if_lose, {R('w - l', 3)} as swing from own")
+def own_swings(spark, sf):
+    return simulate.own_swings(conditional(spark, sf), open_games(spark, sf))
+
+
+@query(f"{WITH}, {COND}, o as (select *, round(p_home - p_away, 9) as s from cond where team <> home and team <> away), k as (select *, row_number() over (partition by team order by abs(s) desc, game_id) as rank from o where abs(s) >= 0.005) select team, rank, game_id, case when s > 0 then 'home' else 'away' end as rooting, {R('abs(s)', 3)} as swing from k where rank <= 3")
+def scoreboard_watch(spark, sf):
+    return simulate.scoreboard_watch(conditional(spark, sf), open_games(spark, sf))
+
+
+@query(f"{WITH}, {SIM}, r as (select sim, region, count(*) as n, count_if(seed <= 12) as places, count_if(seed <= 4) as byes, count_if(seed = 1) as tops from seeded group by sim, region) select region, {R('avg(places)', 2)} as places, {R('avg(byes)', 2)} as byes, {R('avg(tops)', 2)} as tops, min(least(12, n)) as owed from r group by region")
+def conservation(spark, sf):
+    """Each region's odds add up to its places."""
+    per = seeded(spark, sf)[0].groupBy("sim", "region").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("seed") <= 12).alias("places"), F.count_if(F.col("seed") <= 4).alias("byes"), F.count_if(F.col("seed") == 1).alias("tops"))
+    r = lambda c: arena.safe_round(F.avg(c), 2)
+    return per.groupBy("region").agg(r("places").alias("places"), r("byes").alias("byes"), r("tops").alias("tops"), F.min(F.least(F.lit(12), F.col("n"))).alias("owed"))
+
+
+@query(f"{WITH}, {COND}, q2 as (select team, avg(cast(seed <= 12 as double)) as overall from seeded group by team) select count(*) as pairs, count_if(abs(p_home * n_home / {SIMS} + p_away * (1 - n_home / {SIMS}) - overall) > 0.02) as broken, count_if(overall < least(p_home, p_away) - 0.02 or overall > greatest(p_home, p_away) + 0.02) as outside from cond join q2 using (team)")
+def total_probability(spark, sf):
+    """Odds lie between, and average to, the odds given either result."""
+    s, drawn = seeded(spark, sf)
+    s = s.checkpoint()
+    overall = s.groupBy("team").agg(F.avg((F.col("seed") <= 12).cast("double")).alias("overall"))
+    share = F.col("n_home") / F.lit(float(SIMS))
+    back = F.col("p_home") * share + F.col("p_away") * (1 - share)
+    return simulate.conditionals(s, drawn, least=LEAST).join(overall, "team").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.abs(back - F.col("overall")) > 0.02).alias("broken"), F.count_if((F.col("overall") < F.least("p_home", "p_away") - 0.02) | (F.col("overall") > F.greatest("p_home", "p_away") + 0.02)).alias("outside"))
+
+
+@query(f"{WITH} select case when count(*) = 0 then 'nothing to simulate' else 'simulated' end as marker, count(*) as open_games from fixtures where wk <= {arena.LAST_REGULAR_WEEK}")
+def sim_skip(spark, sf):
+    """A marker is published even where nothing remains to be simulated."""
+    left = arena.fixtures(arena.dense_games(spark, sf)).filter(F.col("wk") <= arena.LAST_REGULAR_WEEK).agg(F.count(F.lit(1)).alias("open_games"))
+    return left.select(F.when(F.col("open_games") == 0, "nothing to simulate").otherwise("simulated").alias("marker"), "open_games")
