@@ -1,4 +1,194 @@
-"""Queries."""
+"""Queries on walk-forward forecasts, the grid, calibration and the history log."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import history, tuning
+from . import arena
+from .queries_forecast import predicted
+from .queries_ratings import CURVE, ensure_cut
+from .registry import registry
+
+QUERIES, ORACLE_SQL, query = registry()
+WITH = f"with recursive {arena.ARENA_SQL}"
+R = lambda x, n: f"round({x} + 1e-9, {n}) + 0.0"
+HOLDOUTS, SEASONS = [8, 14, 20, 26], (1999, 2000)
+#: The checked grid: scales by prior weights.
+GRID = [(i, s, p) for i, (s, p) in enumerate((s, p) for s in (7.0, 9.0, 12.0) for p in (0.25, 0.5, 1.0))]
+VALUES = ", ".join(f"({i}, {s}::double, {p}::double)" for i, s, p in GRID)
+
+
+def walk_sql(configs: str) -> str:
+    """The walk-forward forecasts as table wf: all fits at once, keyed by configuration, season and fold."""
+    return f"""cfg(config, scale, prior_games) as (values {configs}), pool as (select * from games where season in {SEASONS}),
+tr as (select f.fold, pool.* from pool, (values {', '.join(f'({h})' for h in HOLDOUTS)}) f(fold) where pool.wk < f.fold),
+tg as (select config, season * 100 + fold as sf, home, away, neutral, 1 / (1 + exp(-greatest(-49, least(49, hs - aw)) / scale)) as y, scale, prior_games from tr, cfg),
+gi as (select distinct config, sf, prior_games, unnest([home, away]) as team from tg),
+wt(k, config, sf, team, th, pg) as (select 0, config, sf, team, cast(0.0 as double), prior_games from gi union all select distinct 0, config, sf, -1, cast(0.0 as double), prior_games from gi
+  union all select k + 1, config, sf, team, case when team = -1 then th else th - avg(th) filter (where team <> -1) over (partition by config, sf) end, pg from (
+    select k, config, sf, team, pg, th - 0.7 * (gr + pen * th) / (he + greatest(pen, 1e-12)) as th from (
+      select any_value(t.k) as k, t.config, t.sf, t.team, any_value(t.pg) as pg, any_value(t.th) as th, any_value(case when t.team = -1 then 0.0 else 0.25 * t.pg end) as pen, coalesce(sum(s.gr), 0) as gr, coalesce(sum(s.he), 0) as he
+      from wt t left join (select e.config, e.sf, e.team, sum(e.sg * (e.p - e.y)) as gr, sum(e.p * (1 - e.p)) as he from (
+          select z.config, z.sf, unnest([z.home, z.away, case when z.neutral then -2 else -1 end]) as team, unnest([1, -1, 1]) as sg, z.p, z.y from (
+            select g.config, g.sf, g.home, g.away, g.neutral, 1 / (1 + exp(-(a.th - b.th + case when g.neutral then 0 else f.th end))) as p, g.y
+            from tg g join wt a on a.config = g.config and a.sf = g.sf and a.team = g.home join wt b on b.config = g.config and b.sf = g.sf and b.team = g.away join wt f on f.config = g.config and f.sf = g.sf and f.team = -1) z) e
+          group by e.config, e.sf, e.team) s on s.config = t.config and s.sf = t.sf and s.team = t.team
+      where t.k < 60 group by t.config, t.sf, t.team) u) w),
+wr as (select t.config, t.sf, t.team, t.th * cfg.scale as rating from wt t join cfg using (config) where k = 60),
+nb as (select season * 100 + fold as sf, team, count(*) as n from (select season, fold, unnest([home, away]) as team from tr) group by season, fold, team),
+wm as (select a.config, g.season, g.wk, g.game_id, g.home, g.away, least(nh.n, na.n) as behind, a.rating - b.rating + case when g.neutral then 0 else f.rating end as margin, g.hs - g.aw as actual
+  from pool g join wr a on a.sf = g.season * 100 + g.wk and a.team = g.home join wr b on b.config = a.config and b.sf = a.sf and b.team = g.away join wr f on f.config = a.config and f.sf = a.sf and f.team = -1 join nb nh on nh.sf = a.sf and nh.team = g.home join nb na on na.sf = a.sf and na.team = g.away where g.wk in {tuple(HOLDOUTS)}),
+wf as (select *, 1 / (1 + exp(-margin / ({CURVE('behind')}))) as p from wm),
+ws as (select *, case when actual = 0 then -(ln(q) + ln(1 - q)) / 2 when actual > 0 then -ln(q) else -ln(1 - q) end as loss, case when actual <> 0 then cast((margin > 0) = (actual > 0) as int) end as rt, abs(margin - actual) as error from (select *, greatest(1e-6, least(1 - 1e-6, p)) as q from wf) z)"""
+
+
+ONE, ALL = walk_sql("(0, 9.0::double, 0.5::double)"), walk_sql(VALUES)
+
+
+def pool(spark, sf):
+    return arena.dense_games(spark, sf).filter(F.col("season").isin(*SEASONS))
+
+
+def forecasts(spark, sf):
+    return tuning.walk_forward(pool(spark, sf), HOLDOUTS)
+
+
+def grid(spark):
+    return spark.createDataFrame(GRID, "config int, scale double, prior_games double")
+
+
+def scored(spark, sf):
+    """Every configuration's losses, once: the choices below read them several times."""
+    ensure_cut(spark)
+    return tuning.losses(tuning.walk_forward(pool(spark, sf), HOLDOUTS, grid(spark))).checkpoint()
+
+
+@query(f"{WITH}, {ONE} select season, wk, game_id, behind, {R('margin', 2)} as margin, {R('p', 3)} as p from wf")
+def walk_forward(spark, sf):
+    return forecasts(spark, sf).select("season", "wk", "game_id", "behind", arena.safe_round(F.col("margin"), 2).alias("margin"), arena.safe_round(F.col("p"), 3).alias("p"))
+
+
+@query(f"{WITH}, {ONE} select season, game_id, actual > 0 as won, behind, wk, {R('margin', 2)} as margin from wf where actual <> 0")
+def collect_predictions(spark, sf):
+    return forecasts(spark, sf).filter("actual <> 0").select("season", "game_id", (F.col("actual") > 0).alias("won"), "behind", "wk", arena.safe_round(F.col("margin"), 2).alias("margin"))
+
+
+EVAL = f"count(*) as games, {R('sum(loss) / count(*)', 4)} as logloss, {R('sqrt(greatest(0.0, (sum(loss * loss) - sum(loss) * sum(loss) / count(*)) / greatest(count(*) - 1, 1)) / count(*))', 4)} as se, {R('avg(rt)', 4)} as accuracy, {R('avg(error)', 2)} as mae"
+
+
+@query(f"{WITH}, {ONE} select season, wk, {EVAL} from ws group by season, wk")
+def evaluate(spark, sf):
+    return tuning.evaluate(tuning.losses(forecasts(spark, sf)), ["season", "wk"])
+
+
+@query(f"{WITH}, {ALL} select config, {EVAL} from ws group by config")
+def grid_search(spark, sf):
+    return tuning.evaluate(scored(spark, sf), ["config"])
+
+
+@query(f"{WITH}, {ALL}, e as (select config, round(avg(loss), 9) as m from ws group by config) select config, {R('m', 4)} as logloss from e order by m, config limit 5")
+def leaderboard(spark, sf):
+    means = scored(spark, sf).groupBy("config").agg(F.round(F.avg("loss"), 9).alias("m"))
+    return means.orderBy("m", "config").limit(5).select("config", arena.safe_round(F.col("m"), 4).alias("logloss"))
+
+
+TIED = f"{ALL}, mean as (select config, round(avg(loss), 9) as m from ws group by config), best as (select config from mean order by m, config limit 1), base as (select season, game_id, loss as base from ws where config in (select config from best)), d as (select ws.config, loss - base as d from ws join base using (season, game_id)), td as (select config, avg(d) as gap, coalesce(stddev_samp(d), 0.0) / sqrt(count(*)) as se from d group by config)"
+
+
+@query(f"{WITH}, {TIED} select config, {R('gap', 3)} as gap, {R('se', 3)} as se, gap <= se + 1e-12 as tied from td")
+def tied_with_best(spark, sf):
+    r = lambda c: arena.safe_round(F.col(c), 3).alias(c)
+    return tuning.tied_with_best(scored(spark, sf)).select("config", r("gap"), r("se"), "tied")
+
+
+CHOSEN = f"{TIED}, chosen as (select td.config, cfg.scale, cfg.prior_games from td join cfg using (config) where gap <= se + 1e-12 order by round(abs(cfg.scale - 9.0) / 5.0 + abs(cfg.prior_games - 0.5) / 0.75, 9), td.config limit 1)"
+RANGES = {"scale": 5.0, "prior_games": 0.75}
+
+
+@query(f"{WITH}, {CHOSEN} select config, scale, prior_games from chosen")
+def select_config(spark, sf):
+    return tuning.select_config(tuning.tied_with_best(scored(spark, sf)), grid(spark), RANGES)
+
+
+@query(f"{WITH}, {CHOSEN} select 'scale' as name, scale as value, scale in (7.0, 12.0) as on_edge from chosen union all select 'prior_games', prior_games, prior_games in (0.25, 1.0) from chosen")
+def grid_edges(spark, sf):
+    return tuning.grid_edges(tuning.select_config(tuning.tied_with_best(scored(spark, sf)), grid(spark), RANGES), grid(spark), ["scale", "prior_games"])
+
+
+@query(f"{WITH}, {ALL} select season, arg_min(config, (m, config)) as config from (select season, config, round(avg(loss), 9) as m from ws group by season, config) group by season")
+def stability(spark, sf):
+    return tuning.stability(scored(spark, sf))
+
+
+@query(f"{WITH}, {ONE}, s as (select wk, sum(margin * actual) / sum(margin * margin) as slope from wf group by wk) select wk, count(*) as games, {R('any_value(slope)', 4)} as slope, {R('avg(abs(margin - actual))', 2)} as mae_raw, {R('avg(abs(margin * slope - actual))', 2)} as mae_fit, {R('avg(margin * slope - actual)', 3)} as bias from wf join s using (wk) group by wk")
+def margin_scale(spark, sf):
+    return tuning.margin_scale(forecasts(spark, sf), ["wk"])
+
+
+CURVES = [(float(a), float(b)) for a in (9, 16, 25, 36, 64, 144, 400) for b in (0, 40, 80, 160, 320)]
+CURVE_SQL = f"curves(a, b) as (values {', '.join(f'({a}::double, {b}::double)' for a, b in CURVES)}), cl as (select season, a, b, count(*) as games, avg(case when actual > 0 then -ln(q) else -ln(1 - q) end) as loss from (select *, greatest(1e-6, least(1 - 1e-6, 1 / (1 + exp(-margin / greatest(3.0, least(20.0, sqrt(a + b / behind))))))) as q from wf, curves where actual <> 0 and behind >= 1) z group by season, a, b)"
+
+
+@query(f"{WITH}, {ONE}, {CURVE_SQL}, al as (select a, b, sum(games) as games, sum(loss * games) / sum(games) as loss from cl group by a, b) select a, b, cast(games as bigint) as games, {R('loss', 4)} as loss from al order by round(loss, 9), a, b limit 1")
+def fit_prob_scale(spark, sf):
+    best = tuning.fit_prob_scale(forecasts(spark, sf), spark.createDataFrame(CURVES, "a double, b double"), [])
+    return best.select("a", "b", "games", arena.safe_round(F.col("loss"), 4).alias("loss"))
+
+
+@query(f"{WITH}, {ONE}, {CURVE_SQL}, o as (select *, (sum(loss * games) over (partition by a, b) - loss * games) / (sum(games) over (partition by a, b) - games) as rest from cl), k as (select *, row_number() over (partition by season order by round(rest, 9), a, b) as k from o) select season, a, b, games, {R('loss', 4)} as loss from k where k = 1")
+def crossval(spark, sf):
+    best = tuning.cross_validate(forecasts(spark, sf), spark.createDataFrame(CURVES, "a double, b double"))
+    return best.select("season", "a", "b", "games", arena.safe_round(F.col("loss"), 4).alias("loss"))
+
+
+# --- the history log ---------------------------------------------------------------------------------------------
+def logged(spark, sf):
+    return forecasts(spark, sf).select(F.when(F.col("wk") <= 14, "backtest").otherwise("live").alias("kind"), "season", "wk", "game_id", "home", "away", arena.safe_round(F.col("margin"), 1).alias("margin"), arena.safe_round(F.col("p"), 3).alias("p"))
+
+
+LOG = f"{ONE}, lg as (select case when wk <= 14 then 'backtest' else 'live' end as kind, season, wk, game_id, home, away, {R('margin', 1)} as margin, {R('p', 3)} as p from wf)"
+#: A pair may meet twice in a week; every forecast is then graded against each of these results, as the join on names does.
+GRADED = f"{LOG}, gd as (select lg.*, hs - aw as actual, greatest(1e-6, least(1 - 1e-6, p)) as q from lg join pool g using (season, wk, home, away) where hs <> aw), gs as (select *, cast((margin > 0) = (actual > 0) as int) as rt, case when actual > 0 then -ln(q) else -ln(1 - q) end as loss, abs(margin - actual) as error, power(q - cast(actual > 0 as int), 2) as square from gd)"
+
+
+@query(f"{WITH}, {GRADED}, s as (select kind, season, count(*) as games, {R('avg(rt)', 4)} as accuracy, {R('avg(loss)', 4)} as logloss, {R('avg(square)', 4)} as brier, {R('avg(error)', 2)} as margin_error from gs group by kind, season) select * from s union all select kind, null, cast(sum(games) as bigint), {R('sum(accuracy * games) / sum(games)', 4)}, {R('sum(logloss * games) / sum(games)', 4)}, {R('sum(brier * games) / sum(games)', 4)}, {R('sum(margin_error * games) / sum(games)', 2)} from s group by kind")
+def history_score(spark, sf):
+    return history.score(history.graded(logged(spark, sf), pool(spark, sf)).drop("game_id"))
+
+
+@query(f"{WITH}, {GRADED}, c as (select kind, least(1.0::double, {R('case when p >= 0.5 then p else 1 - p end', 1)}) as predicted, case when p >= 0.5 then actual > 0 else actual <= 0 end as fw from gs) select kind, predicted, {R('avg(cast(fw as int))', 4)} as actual, count(*) as n from c group by kind, predicted having count(*) >= 20")
+def calibration(spark, sf):
+    return history.calibration(history.graded(logged(spark, sf), pool(spark, sf)))
+
+
+@query(f"with {arena.ARENA_SQL} select 2000 as season, 26 as through, 'live' as kind, count(*) as n, min(wk) as first_wk, max(wk) as last_wk from fixtures where wk = 27 and home in (select unnest([home, away]) from played) and away in (select unnest([home, away]) from played)")
+def snapshot(spark, sf):
+    snap = history.snapshot(predicted(spark, sf), arena.SEASON, arena.PLAYED_TO)
+    wk = F.transform("pred", lambda p: p["wk"])
+    return snap.select("season", "through", "kind", F.size("pred").cast("long").alias("n"), F.array_min(wk).alias("first_wk"), F.array_max(wk).alias("last_wk"))
+
+
+@query("select * from (values (2000, 1, 'live', 'kept', 2), (2000, 2, 'live', 'replaced', 1), (2000, 3, 'backtest', 'appended', 1), (2000, 4, 'live', 'kept', 1), (2000, 5, 'live', 'untouched', 1)) t(season, through, kind, action, n)")
+def history_record(spark, sf):
+    """A small log: a snapshot with a played game stays, an unplayed one is revised by a live one but not by a replay."""
+    kind = "season int, through int, kind string, pred array<struct<wk:int,home:bigint,away:bigint,margin:double,p:double>>"
+    log = spark.createDataFrame([(2000, 1, "live", [(2, 1, 2, 3.0, 0.6), (2, 3, 4, 1.0, 0.5)]), (2000, 2, "live", [(3, 1, 3, 3.0, 0.6), (3, 2, 4, 2.0, 0.6)]), (2000, 4, "live", [(5, 1, 4, 0.0, 0.5)]), (2000, 5, "live", [(6, 1, 4, 0.0, 0.5)])], kind)
+    new = spark.createDataFrame([(2000, 1, "live", [(2, 1, 2, 9.0, 0.9)]), (2000, 2, "live", [(3, 1, 3, 7.0, 0.8)]), (2000, 3, "backtest", [(4, 1, 2, 1.0, 0.5)]), (2000, 4, "backtest", [(5, 1, 4, 8.0, 0.9)])], kind)
+    played = spark.createDataFrame([(2000, 2, 1, 2)], "season int, wk int, home bigint, away bigint")
+    return history.record(log, new, played).select("season", "through", "kind", "action", F.size("pred").alias("n"))
+
+
+@query("select * from (values ('a', 2000, 1, 10), ('a', 2000, 2, 20), ('b', 2000, 1, 40)) t(source, season, wk, picks)", name="rival_append")
+@query("select * from (values ('a', 2000, 1, 10), ('a', 2000, 2, 20), ('b', 2000, 1, 40)) t(source, season, wk, picks)")
+def append_if_new(spark, sf):
+    """The first writer of a (source, season, week) wins."""
+    kind = "source string, season int, wk int, picks int"
+    return history.append_if_new(spark.createDataFrame([("a", 2000, 1, 10), ("a", 2000, 2, 20)], kind), spark.createDataFrame([("a", 2000, 2, 99), ("b", 2000, 1, 40)], kind), ["source", "season", "wk"])
+
+
+@query(f"with {arena.ARENA_SQL}, pts as (select distinct wk, unnest([home, away]) as team from played where wk <= 3) select team, string_agg(cast(wk as varchar), ',' order by wk) as weeks, count(*) as points from pts where team % 2 = 0 group by team having count(*) >= 2")
+def trends(spark, sf):
+    games = arena.played(arena.dense_games(spark, sf)).filter("wk <= 3")
+    log = games.select(F.col("wk").alias("through"), F.explode(F.array("home", "away")).alias("team")).distinct().groupBy("through").agg(F.collect_list(F.struct("team", F.lit(0.0).alias("rating"))).alias("teams"))
+    return history.trends(log, arena.dense_roster(spark, sf).filter("team % 2 = 0"))
