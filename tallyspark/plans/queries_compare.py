@@ -1,4 +1,165 @@
-"""Queries."""
+"""Queries on paired comparison, and the checks."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import checks, compare, records as rec, tuning
+from . import arena
+from .arena import ARENA_SQL
+from .queries_forecast import PREDICTED, played, predicted
+from .queries_ratings import FIT, season_fit
+from .queries_records import SIDES
+from .queries_tuning import LOG, HOLDOUTS, forecasts, logged, pool
+from .registry import registry
+
+QUERIES, ORACLE_SQL, query = registry()
+WITH = f"with recursive {ARENA_SQL}"
+R = lambda x, n: f"round({x} + 1e-9, {n}) + 0.0"
+
+#: The rival: the difference of mean margins to date, as a probability at a flat scale of 12.
+RIVAL = """tm as (select season, fold, team, avg(m) as mean from (select season, fold, home as team, hs - aw as m from tr union all select season, fold, away, aw - hs from tr) group by season, fold, team),
+rv as (select g.season, g.wk, g.home, g.away, round(a.mean - b.mean + 1e-9, 1) + 0.0 as their_margin from pool g join tm a on a.season = g.season and a.fold = g.wk and a.team = g.home join tm b on b.season = g.season and b.fold = g.wk and b.team = g.away),
+rq as (select *, greatest(0.01, least(0.99, round(1 / (1 + exp(-their_margin / 12.0)) + 1e-9, 3) + 0.0)) as their_p from rv)"""
+SHARED = f"""{LOG}, {RIVAL}, la as (select distinct season, wk, home, away, arg_max(margin, game_id) over (partition by season, wk, home, away) as margin, arg_max(p, game_id) over (partition by season, wk, home, away) as p from lg where kind = 'live'),
+ac as (select season, wk, home, away, hs - aw as actual from pool where hs <> aw),
+sh0 as (select la.*, their_margin, their_p, actual from la join (select distinct * from rq) r using (season, wk, home, away) join ac using (season, wk, home, away)),
+sh as (select *, (margin > 0) = (actual > 0) as ok, (their_margin > 0) = (actual > 0) as tok, case when actual > 0 then -ln(greatest(1e-6, least(1 - 1e-6, p))) else -ln(1 - greatest(1e-6, least(1 - 1e-6, p))) end as ol, case when actual > 0 then -ln(their_p) else -ln(1 - their_p) end as tl from sh0)"""
+
+
+def shared(spark, sf):
+    games = pool(spark, sf)
+    train = tuning.training_rows(games, HOLDOUTS, least=0)
+    mean = rec.appearances(games).join(train.select("game_id", "season", "fold").distinct(), ["game_id", "season"]).groupBy("season", F.col("fold").alias("wk"), "team").agg(F.avg(F.col("pf") - F.col("pa")).alias("mean"))
+    side = lambda c, m: mean.select("season", "wk", F.col("team").alias(c), F.col("mean").alias(m))
+    margin = arena.safe_round(F.col("mh") - F.col("ma"), 1)
+    theirs = games.join(side("home", "mh"), ["season", "wk", "home"]).join(side("away", "ma"), ["season", "wk", "away"]).select("season", "wk", "home", "away", margin.alias("margin"), F.greatest(F.lit(0.01), F.least(F.lit(0.99), arena.safe_round(1 / (1 + F.exp(-margin / 12.0)), 3))).alias("p")).distinct()
+    return compare.shared_games(logged(spark, sf).withColumnRenamed("game_id", "through"), theirs, games)
+
+
+@query(f"{WITH}, {SHARED} select season, wk, home, away, margin, their_margin, p, their_p, actual, ok as ours_ok, tok as theirs_ok from sh")
+def shared_games(spark, sf):
+    return shared(spark, sf).select("season", "wk", "home", "away", "margin", "their_margin", "p", "their_p", "actual", "ours_ok", "theirs_ok")
+
+
+@query(f"{WITH}, {SHARED} select count(*) as n, count_if(ok and tok) as both_right, count_if(ok and not tok) as we_only, count_if(not ok and tok) as they_only, count_if(not ok and not tok) as both_wrong, {R('avg(cast(ok as double))', 4)} as our_accuracy, {R('avg(cast(tok as double))', 4)} as their_accuracy, {R('avg(ol)', 4)} as our_loss, {R('avg(tl)', 4)} as their_loss, {R('avg(abs(margin - actual))', 2)} as our_error, {R('avg(abs(their_margin - actual))', 2)} as their_error from sh")
+def agreement(spark, sf):
+    return compare.agreement(shared(spark, sf))
+
+
+GAP = f"{SHARED}, gp as (select count(*) as n, count_if(ok and not tok) as b, count_if(not ok and tok) as c, avg(ol - tl) as loss_gap, stddev_samp(ol - tl) / sqrt(count(*)) as loss_se from sh)"
+
+
+@query(f"{WITH}, {GAP} select n, b, c, {R('(b - c) / n', 4)} as gap, {R('sqrt(b + c) / n', 4)} as gap_se, {R('loss_gap', 4)} as loss_gap, {R('loss_se', 4)} as loss_se from gp")
+def paired_gap(spark, sf):
+    r = lambda c: arena.safe_round(F.col(c), 4).alias(c)
+    return compare.paired_gap(shared(spark, sf)).select("n", "b", "c", r("gap"), r("gap_se"), r("loss_gap"), r("loss_se"))
+
+
+@query(f"""select b, c, case when b + c = 0 then 1.0 else {R('least(1.0, 2 * s)', 6)} end as p from (
+select b, c, (select sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2.0))) from range(0, 101) r(i) where i between greatest(b, c) and b + c) as s from range(0, 51) x(b), range(0, 51) y(c))""")
+def mcnemar(spark, sf):
+    """The exact test for every pair of up to 50 discordant games."""
+    pairs = spark.range(0, 51).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(50).cast("bigint"))).alias("c"))
+    return pairs.select("b", "c", arena.safe_round(compare.binomial_p(F.col("b"), F.col("c")), 6).alias("p"))
+
+
+@query("select p, case when p > 0.10 then 'indistinguishable' when p > 0.01 then 'leaning' else 'clear' end as by_p, case when n < 30 or z < 1.64 then 'indistinguishable' when z < 2.58 then 'leaning' else 'clear' end as by_z, n, z from (select i / 200.0::double as p, i / 50.0::double as z, cast(10 + i as int) as n from range(0, 201) r(i))")
+def verdict(spark, sf):
+    rows = spark.range(0, 201).select((F.col("id") / 200.0).alias("p"), (F.col("id") / 50.0).alias("z"), (F.col("id") + 10).cast("int").alias("n"))
+    return rows.select("p", compare.verdict_p(F.col("p")).alias("by_p"), compare.verdict_z(F.col("z"), F.lit(1.0), F.col("n")).alias("by_z"), "n", "z")
+
+
+# --- checks ------------------------------------------------------------------------------------------------------
+DATED = "rs as (select g.*, cast(o_orderdate as date) as date from games g join orders o on o.o_orderkey = g.game_id // 100), rp as (select * from rs where season = 2000)"
+TODAY = "date '2000-08-15'"
+
+
+def dated(spark, sf):
+    orders = arena.read(spark, sf, "orders").select(F.col("o_orderkey"), F.to_date("o_orderdate").alias("date"))
+    games = arena.dense_games(spark, sf).filter("season = 2000").withColumn("o_orderkey", F.floor(F.col("game_id") / 100))
+    return games.join(orders, "o_orderkey").drop("o_orderkey")
+
+
+@query(f"with {ARENA_SQL}, {DATED} select game_id, wk from rp where wk > 26 and date < {TODAY}")
+def overdue(spark, sf):
+    return checks.overdue(dated(spark, sf).filter("wk > 26"), F.expr(TODAY)).select("game_id", "wk")
+
+
+@query(f"with {ARENA_SQL}, {DATED}, o as (select wk, count(*) as overdue from rp where wk > 26 and game_id % 3 = 0 and date < {TODAY} group by wk), c as (select wk, count(*) as captured from rp where game_id % 3 <> 0 group by wk) select wk, overdue, coalesce(captured, 0) as captured, overdue >= 20 and overdue > 0.5 * (overdue + coalesce(captured, 0)) as fails from o left join c using (wk)")
+def week_coverage(spark, sf):
+    games = dated(spark, sf)
+    return checks.week_coverage(games.filter("wk > 26 and game_id % 3 = 0"), games.filter("game_id % 3 <> 0"), F.expr(TODAY))
+
+
+@query(f"with {ARENA_SQL}, {DATED} select wk, min(date) as first, max(date) as last from rp group by wk")
+def week_spans(spark, sf):
+    return checks.week_spans(dated(spark, sf))
+
+
+@query(f"with {ARENA_SQL}, {DATED}, s as (select wk, min(date) as first, max(date) as last from (select case when game_id % 97 = 0 then wk + 1 else wk end as wk, date from rp) group by wk) select a.wk from s a join s b on b.wk = a.wk + 1 where a.last >= b.first")
+def weeks_overlap(spark, sf):
+    """With every 97th game filed under the week after its own."""
+    late = dated(spark, sf).withColumn("wk", F.when(F.col("game_id") % 97 == 0, F.col("wk") + 1).otherwise(F.col("wk")))
+    return checks.weeks_out_of_order(checks.week_spans(late))
+
+
+@query(f"with {ARENA_SQL}, b as (select season, wk, unnest([home, away]) as team from played union all select season, wk, unnest([home, away]) from fixtures) select season, wk, team, count(*) as n from b group by season, wk, team having count(*) > 1")
+def double_booked(spark, sf):
+    games = arena.dense_games(spark, sf)
+    return checks.double_booked(arena.played(games), arena.fixtures(games))
+
+
+@query(f"with {ARENA_SQL}, b as (select unnest([home, away]) as team from played union all select unnest([home, away]) from fixtures) select team, count(*) as n, count(*) > 16 as too_many from b group by team")
+def season_length(spark, sf):
+    games = arena.dense_games(spark, sf)
+    return checks.season_length(arena.played(games), arena.fixtures(games))
+
+
+@query(f"with {ARENA_SQL} select team from roster where in_league and team not in (select unnest([home, away]) from played where wk <= 1)")
+def no_games(spark, sf):
+    return checks.no_games(arena.dense_roster(spark, sf), played(spark, sf).filter("wk <= 1"))
+
+
+@query(f"with {ARENA_SQL}, {SIDES} select count(*) as broken from (select team, season from sides group by team, season having count_if(pf > pa) + count_if(pf < pa) + count_if(pf = pa) <> count(*))")
+def record_check(spark, sf):
+    return checks.record_sums(rec.records(arena.dense_games(spark, sf))).agg(F.count(F.lit(1)).alias("broken"))
+
+
+@query(f"{WITH}, {FIT} select count(*) as teams, count_if(isnan(rating)) as not_finite, count_if(abs(rating) > 80) as out_of_reach, abs(avg(rating)) < 0.5 as centred from fit where team <> -1")
+def rating_sanity(spark, sf):
+    return checks.rating_sanity(season_fit(spark, sf))
+
+
+@query(f"{WITH}, {FIT} select count(*) as n, count(*) as last, count(*) as ranks, cast(0 as bigint) as out_of_order from fit join roster using (team) where in_league")
+def rank_check(spark, sf):
+    games = played(spark, sf)
+    return checks.rank_gaps(rec.ranks(season_fit(spark, sf), arena.dense_roster(spark, sf), rec.records(games)))
+
+
+@query(f"{WITH}, {PREDICTED} select count(*) as n, count_if(p <= 0 or p >= 1) as certain, count_if(p > 0.5 and shown < 0 or p < 0.5 and shown > 0) as signs, count_if(abs((h - a) - shown) > 1.1) as drifts, count_if(h in (1, 2, 4, 5, 11) or a in (1, 2, 4, 5, 11)) as implausible from shown join scored on id = game_id")
+def schedule_checks(spark, sf):
+    return checks.forecast_rows(predicted(spark, sf))
+
+
+@query(f"{WITH}, {PREDICTED}, z as (select abs(1 / (1 + exp(-(shown / 1.4708) / greatest(3.0, least(20.0, sqrt(19.6807 + 82.7213 / greatest(behind, 1)))))) - p) as d from shown) select {R('max(d)', 3)} as worst, count_if(d > 0.01) as swapped from z")
+def scale_swap(spark, sf):
+    return checks.scale_swap(predicted(spark, sf), 1.4708).select(arena.safe_round(F.col("worst"), 3).alias("worst"), "swapped")
+
+
+@query("select true as half_at_zero, true as symmetric, true as rising, true as capped")
+def squash_invariants(spark, sf):
+    return checks.squash_invariants(spark, 9.0, 49.0)
+
+
+@query(f"with {ARENA_SQL} select count(distinct team) as teams, (select count(*) from played) as games, count(distinct team) > 600 as enough_teams, (select count(*) from played) > 200 as enough_games from (select unnest([home, away]) as team from played)")
+def coverage(spark, sf):
+    games = played(spark, sf)
+    rows = games.select("game_id", F.explode(F.array("home", "away")).alias("team")).agg(F.count_distinct("team").alias("teams"), F.count_distinct("game_id").alias("games"))
+    return rows.select("teams", "games", (F.col("teams") > 600).alias("enough_teams"), (F.col("games") > 200).alias("enough_games"))
+
+
+@query(f"with {ARENA_SQL}, {SIDES}, db as (select season, wk, unnest([home, away]) as team from played) select 'FAIL' as severity, 'double-booked' as rule, count(*) as n from (select team from db group by season, wk, team having count(*) > 1) union all select 'WARN', 'no games', count(*) from roster where in_league and team not in (select unnest([home, away]) from played) union all select 'FAIL', 'record', cast(0 as bigint)")
+def check_report(spark, sf):
+    games = played(spark, sf)
+    return checks.report([("FAIL", "double-booked", checks.double_booked(games)), ("WARN", "no games", checks.no_games(arena.dense_roster(spark, sf), games)), ("FAIL", "record", checks.record_sums(rec.records(games)))])
