@@ -1,4 +1,150 @@
-"""Queries."""
+"""Queries on text extraction: literal pages in the formats that are read, and the pages and documents tables."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import extract as x
+from . import arena
+from .registry import registry
+
+QUERIES, ORACLE_SQL, query = registry()
+
+#: Small pages in the site's formats: games and fixtures, a cancelled record before a game, tags, nested names, placeholders.
+PAGES = [
+    (1, "Scores 2025-08-22 7pm Trimble (Glouster) at River (Hannibal) cancel 2025-08-22 7pm Tri-Village (New Madison) 48 at Preble Shawnee (Camden) 14 2025-08-22 Triway (Wooster) 7 vs Highland (Medina) 21"),
+    (2, "2025-08-28 6:30pm Deer Park (Cincinnati) *** at Shroder (Cincinnati) *** 2025-08-28 7pm Flint Beecher () [MI] *** at Petersburg Summerfield (Petersburg) [MI] *** 2025-08-28 noon St Xavier (Louisville) (Louisville) [ky] *** vs Elder (Cincinnati) ***"),
+    (3, "2025-09-05 7pm Adena (Frankfort) 20 at Landmark Eagles (club) (Cincinnati) 6 2025-09-05 7pm Adena (Frankfort) 20 at Landmark Eagles (club) (Cincinnati) 6 2025-09-05 7pm Ada (Ada) 7 at Ada (Ada) 9 2025-09-05 7pm Perry (Lima) 170 at Elida (Elida) 3 2025-09-05 open date for all"),
+]
+GAMES = [(1, "Tri-Village (New Madison)", "", 48, "Preble Shawnee (Camden)", "", 14, False), (1, "Triway (Wooster)", "", 7, "Highland (Medina)", "", 21, True), (3, "Adena (Frankfort)", "", 20, "Landmark Eagles (club) (Cincinnati)", "", 6, False)]
+FIXTURES = [("Deer Park (Cincinnati)", "", "Shroder (Cincinnati)", "", "6:30pm", False), ("Flint Beecher", "MI", "Petersburg Summerfield (Petersburg)", "MI", "7pm", False), ("St Xavier (Louisville)", "KY", "Elder (Cincinnati)", "", "noon", True)]
+
+
+def values(rows: list[tuple], names: str) -> str:
+    def cell(v) -> str:
+        if v is None:
+            return "null"
+        if isinstance(v, bool):
+            return str(v).lower()
+        if isinstance(v, float):
+            return f"{v!r}::double"
+        return str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+
+    return f"select * from (values {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) t({names})"
+
+
+def parsed(spark):
+    return x.parse_records(x.page_records(spark.createDataFrame(PAGES, "page int, flat string")).drop("flat"))
+
+
+@query(values(GAMES, "page, away, away_state, ascore, home, home_state, hscore, neutral"))
+def scrape_week(spark, sf):
+    return x.week_games(parsed(spark), ["page"]).select("page", "away", "away_state", "ascore", "home", "home_state", "hscore", "neutral")
+
+
+@query(values(FIXTURES, "away, away_state, home, home_state, time, neutral"))
+def scrape_schedule(spark, sf):
+    return x.week_fixtures(parsed(spark), ["page"]).select("away", "away_state", "home", "home_state", "time", "neutral")
+
+
+@query(values([(1, "called off", 1), (1, "game", 2), (2, "fixture", 3), (3, "game", 4), (3, "unrecognised", 1)], "page, kind, n"))
+def parse_records(spark, sf):
+    return parsed(spark).groupBy("page", "kind").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
+@query(values([("<DATE> w", 1)], "shape, n"))
+def probe_shapes(spark, sf):
+    return x.probe(parsed(spark)).select("shape", F.col("n").cast("int").alias("n"))
+
+
+@query(values([(1, 1), (3, 0), (2, 0)], "page, called_off"))
+def residual_count(spark, sf):
+    return parsed(spark).groupBy("page").agg(F.count_if(F.col("kind") == "called off").cast("int").alias("called_off"))
+
+
+NAMES = [("St Xavier (Louisville) (Louisville) [ky]", "St Xavier (Louisville)", "KY"), ("Flint Beecher () [MI]", "Flint Beecher", "MI"), ("  Oak  Glen (New Cumberland) [WV] ", "Oak Glen (New Cumberland)", "WV"), ("Plain -", "Plain", "")]
+
+
+@query(values(NAMES, "raw, name, state"))
+def team_name_norm(spark, sf):
+    name, state = x.team_name(F.col("raw"))
+    return spark.createDataFrame([(n[0],) for n in NAMES], "raw string").select("raw", name.alias("name"), state.alias("state"))
+
+
+PLAUSIBLE = [("A", False), ("Ada (Ada)", True), ("12 34", False), ("Click here", False), ("a b c d e f g h i j k l m", False), ("TBA", True)]
+
+
+@query(values([(n, p, n == "TBA") for n, p in PLAUSIBLE], "name, plausible, placeholder"))
+def plausible_team(spark, sf):
+    return spark.createDataFrame([(n,) for n, _ in PLAUSIBLE], "name string").select("name", x.plausible(F.col("name")).alias("plausible"), x.placeholder(F.col("name")).alias("placeholder"))
+
+
+STRIP = r"trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<head\b[^>]*>.*?</head\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g'))".replace('\\"', '"')
+
+
+@query(f"select page_id, md5({STRIP}) as digest, length({STRIP}) as n from pages")
+def flat_text(spark, sf):
+    flat = x.flat_text(F.col("html"))
+    return arena.read(spark, sf, "pages").select("page_id", F.md5(flat).alias("digest"), F.length(flat).cast("bigint").alias("n"))
+
+
+@query()
+def page_lines(spark, sf):
+    return arena.read(spark, sf, "pages").select("page_id", x.page_lines(F.col("html")).alias("lines"))
+
+
+@query(values([("<table><tr><th>Rank</th><th>School</th></tr><tr><td>1</td><td>A &amp; B</td></tr></table>", "Rank,School;1,A & B")], "html, cells"))
+def page_rows(spark, sf):
+    html = "<table><tr><th>Rank</th><th>School</th></tr><tr><td>1</td><td>A &amp; B</td></tr></table>"
+    rows = x.page_rows(F.col("html"))
+    return spark.createDataFrame([(html,)], "html string").select("html", F.array_join(F.transform(rows, lambda r: F.array_join(r, ",")), ";").alias("cells"))
+
+
+SHAPE = r"replace(replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\d{4}-\d{2}-\d{2}', chr(1), 'g'), '(?:\d{1,2}(?::\d{2})?\s*[apAP]\.?[mM]\.?|\d{1,2}:\d{2}|[Nn]oon|TBA|TBD)', chr(2), 'g'), '\d+', '#', 'g'), '[A-Za-z]+', 'w', 'g'), '(?:w ?)+', 'w ', 'g'), '\s+', ' ', 'g')), chr(1), '<DATE>'), chr(2), '<TIME>')"
+
+
+@query(f"select md5({SHAPE}) as shape, count(*) as n from (select substr(text, 1, 200) as t from documents) group by 1")
+def record_shape(spark, sf):
+    """Formats of the openings of all documents, as one would look for record formats on unknown pages."""
+    return arena.read(spark, sf, "documents").select(x.shape(F.substring("text", 1, 200)).alias("s")).groupBy(F.md5("s").alias("shape")).agg(F.count(F.lit(1)).alias("n"))
+
+
+RANKS = "Rank 1t 1-0 268 Brunswick Brunswick 6.5000 8 1-0-1 764 Massillon Jackson 5.5000 12 0-10 99 Cuyahoga Falls Cuyahoga Valley Christian Academy 0.2500"
+PAIRS = [("Jackson", "Massillon"), ("Cuyahoga Valley Christian Academy", "Cuyahoga Falls")]
+
+
+@query(values([("1t", 1, 0, 0, "268", "Brunswick", "Brunswick", 6.5), ("8", 1, 0, 1, "764", "Jackson", "Massillon", 5.5), ("12", 0, 10, 0, "99", "Cuyahoga Valley Christian Academy", "Cuyahoga Falls", 0.25)], "rank, w, l, t, school_id, school, city, average"))
+def roster_flat(spark, sf):
+    rows = x.ranking_rows(spark.createDataFrame([(RANKS,)], "flat string"))
+    return x.split_city_school(rows, spark.createDataFrame(PAIRS, "school string, city string")).select("rank", "w", "l", "t", "school_id", "school", "city", "average")
+
+
+PICKS = "Picks for week #2 Updated Sun Thursday Deer Park (1-0) by 24 (89%) at Shroder (0-1) Dunbar (1-0) by 47 (99%) at Dayton Stivers (0-1) #45 Perkins (1-0) by 49 (99%) at Scott (0-1) Friday Ada (1-0) by 27 (91%) at Arcadia (1-0) Africentric Early Coll. (0-1) by 8 (66%) vs Buckeye Valley (0-1)"
+NEXT = [("Shroder (Cincinnati)", "Deer Park (Cincinnati)"), ("Stivers (Dayton)", "Dunbar (Dayton)"), ("Scott (Toledo)", "Perkins (Sandusky)"), ("Arcadia (Arcadia)", "Ada (Ada)"), ("Africentric Early College (Columbus)", "Buckeye Valley (Delaware)")]
+
+
+@query(values([(2, "Deer Park", "Shroder", False, 24, 0.89), (2, "Dunbar", "Dayton Stivers", False, 47, 0.99), (2, "Perkins", "Scott", False, 49, 0.99), (2, "Ada", "Arcadia", False, 27, 0.91), (2, "Africentric Early Coll", "Buckeye Valley", True, 8, 0.66)], "wk, fav, dog, fav_home, margin, fav_p"))
+def parse_picks(spark, sf):
+    return x.parse_picks(spark.createDataFrame([(PICKS,)], "flat string")).drop("pick")
+
+
+@query(values([("Shroder (Cincinnati)", "Deer Park (Cincinnati)", -24, 0.11), ("Stivers (Dayton)", "Dunbar (Dayton)", -47, 0.01), ("Scott (Toledo)", "Perkins (Sandusky)", -49, 0.01), ("Arcadia (Arcadia)", "Ada (Ada)", -27, 0.09), ("Africentric Early College (Columbus)", "Buckeye Valley (Delaware)", 8, 0.66)], "home, away, home_margin, home_p"))
+def match_picks(spark, sf):
+    picks = x.parse_picks(spark.createDataFrame([(PICKS,)], "flat string"))
+    return x.match_picks(picks, spark.createDataFrame([(2, h, a) for h, a in NEXT], "wk int, home string, away string")).select("home", "away", "home_margin", "home_p")
+
+
+AGREE = [("Cuyahoga Val. Christian", "Cuyahoga Valley Christian Academy", True), ("Notre Dame-Cath. Latin", "Notre Dame-Cathedral Latin", True), ("Adams", "Ada", False), ("", "Ada", False), ("St Xavier East", "St Xavier", False)]
+
+
+@query(values(AGREE, "a, b, agree"))
+def tokens_agree(spark, sf):
+    return spark.createDataFrame([r[:2] for r in AGREE], "a string, b string").select("a", "b", x.tokens_agree(F.col("a"), F.col("b")).alias("agree"))
+
+
+@query("select * from (values (1, false), (2, false), (3, true)) t(wk, stop)")
+def week_stop(spark, sf):
+    """Reading ends at the first week whose page has neither games nor fixtures."""
+    seen = spark.createDataFrame([(1, 4), (2, 2), (3, 0), (4, 5)], "wk int, found int")
+    end = seen.filter("found = 0").agg(F.min("wk").alias("end"))
+    return seen.join(F.broadcast(end)).filter("wk <= coalesce(end, wk)").select("wk", (F.col("wk") == F.col("end")).alias("stop"))

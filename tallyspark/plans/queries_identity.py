@@ -1,4 +1,88 @@
-"""Queries."""
+"""Queries on identity: the dense arena under shared names."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import identity as ident
+from . import arena
+from .arena import SPARSE_SQL
+from .queries_extract import values
+from .registry import registry
+
+QUERIES, ORACLE_SQL, query = registry()
+R = lambda c, n: f"round({c} + 1e-9, {n}) + 0.0"
+
+#: Names of the sparse arena: two in three are one customer's own, the others are shared by two or three.
+NAME = "'N' || cast(case when k % 3 = 0 then k % 600 else k end as varchar)"
+NAMED = f"""{SPARSE_SQL}, rosters as (select {NAME.replace('k', 'c_custkey')} as name, cast(c_custkey as varchar) as school_id, case when c_nationkey <> 24 then (['I','II','III','IV','V','VI','VII'])[c_nationkey % 7 + 1] end as division, cast(n_regionkey + 1 as int) as region from customer join nation on c_nationkey = n_nationkey where c_custkey % 11 <> 0),
+ng as (select season, wk, game_id, {NAME.replace('k', 'home')} as home, {NAME.replace('k', 'away')} as away from sparse where season = 2000),
+ap as (select season, wk, game_id, 0 as seq, home as name, away as opp from ng union all select season, wk, game_id, 1, away, home from ng),
+mo as (select name, max(k) as most from (select name, season, wk, count(*) as k from ap group by name, season, wk) group by name), sl as (select name, count(*) as slots, min(division) as division, min(region) as region from rosters group by name),
+cl0 as (select coalesce(mo.name, sl.name) as name, coalesce(slots, 0) as slots, coalesce(most, 0) as most, division, region from mo full outer join sl on sl.name = mo.name),
+cl as (select *, case when slots = 0 and most <= 1 then 'outside' when slots = 0 then 'outside, several' when most <= 1 and slots = 1 then 'one' when most <= 1 then 'ambiguous' else 'deferred' end as class from cl0),
+rg as (select cl.name, r.region from cl join rosters r using (name) where class = 'one' and r.region is not null),
+co0 as (select a.region as ra, b.region as rb, count(*) as n from ng join rg a on a.name = home join rg b on b.name = away group by a.region, b.region),
+co as (select ra, rb, cast(sum(n) as bigint) as n from (select * from co0 union all select rb, ra, n from co0) group by ra, rb)"""
+
+
+def name_of(c):
+    return F.concat(F.lit("N"), F.when(c % 3 == 0, c % 600).otherwise(c).cast("string"))
+
+
+def tables(spark, sf):
+    games = arena.sparse_games(spark, sf).filter("season = 2000").select("season", "wk", "game_id", name_of(F.col("home")).alias("home"), name_of(F.col("away")).alias("away"))
+    roster = arena.sparse_roster(spark, sf).filter("team % 11 <> 0").withColumn("name", name_of(F.col("team")))
+    apps = ident.named_appearances(games)
+    return games, roster, apps, ident.classes(apps, roster)
+
+
+@query(values([("  X (Y)  ", " nj ", "X (Y) [NJ]"), ("Ada", "", "Ada"), ("Ada", None, "Ada")], "name, state, identity"))
+def team_identity(spark, sf):
+    return spark.createDataFrame([("  X (Y)  ", " nj "), ("Ada", ""), ("Ada", None)], "name string, state string").select("name", "state", ident.team_identity(F.col("name"), F.col("state")).alias("identity"))
+
+
+@query(f"with {NAMED} select name, slots, most, greatest(most, slots, 1) as n, class, case class when 'outside' then 'OOS::' || name when 'one' then name || '|' || coalesce(division, 'None') || '-' || region when 'ambiguous' then name || '|?' end as id from cl")
+def resolve_class(spark, sf):
+    return tables(spark, sf)[3]
+
+
+@query(f"with {NAMED} select season, game_id, seq, name, row_number() over (partition by name order by game_id, seq) - 1 as nth, least(row_number() over (partition by name, season, wk order by game_id, seq) - 1, greatest(most, slots, 1) - 1) as entity from ap join cl using (name)")
+def spread(spark, sf):
+    _, _, apps, settled = tables(spark, sf)
+    return apps.join(settled.select("name", "n"), "name").select("season", "game_id", "seq", "name", F.col("nth").cast("long").alias("nth"), ident.spread(F.col("place"), F.col("n")).cast("long").alias("entity"))
+
+
+@query(f"with {NAMED} select ra, rb, n from co")
+def region_cooc(spark, sf):
+    games, roster, _, settled = tables(spark, sf)
+    return ident.region_counts(games, ident.settled_regions(settled, roster))
+
+
+@query(f"with {NAMED}, t as (select ra, sum(n) as total from co group by ra) select t.ra, cast(r as int) as rb, {R('ln((coalesce(n, 0) + 0.5) / (total + 0.5 * 28))', 5)} as log_p from t cross join range(1, 29) x(r) left join co on co.ra = t.ra and co.rb = r")
+def region_logp(spark, sf):
+    games, roster, _, settled = tables(spark, sf)
+    return ident.region_log_p(ident.region_counts(games, ident.settled_regions(settled, roster))).select("ra", "rb", arena.safe_round(F.col("log_p"), 5).alias("log_p"))
+
+
+def assigned(spark, sf):
+    games, roster, apps, settled = tables(spark, sf)
+    return ident.assign(apps, settled, roster, ident.region_log_p(ident.region_counts(games, ident.settled_regions(settled, roster))))
+
+
+@query()
+def assign_perm(spark, sf):
+    return assigned(spark, sf).select("name", "season", "wk", F.concat_ws(",", F.col("order").cast("array<string>")).alias("order"), arena.safe_round(F.col("gap"), 5).alias("gap"))
+
+
+@query()
+def resolve_games(spark, sf):
+    games, _, apps, settled = tables(spark, sf)
+    return ident.resolve_games(games, apps, settled, assigned(spark, sf))
+
+
+@query(f"with {NAMED} select count(*) as games from ng")
+def resolved_count(spark, sf):
+    """Resolving loses no game and makes none."""
+    games, _, apps, settled = tables(spark, sf)
+    return ident.resolve_games(games, apps, settled, assigned(spark, sf)).agg(F.count(F.lit(1)).alias("games"))

@@ -1,4 +1,83 @@
-"""Queries."""
+"""Queries on readers and writers, over small files written to a shared folder of the session."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..sources import files
+from . import arena
+from .arena import ARENA_SQL
+from .queries_extract import values
+from .queries_ratings import ensure_cut
+from .registry import registry
+
+QUERIES, ORACLE_SQL, query = registry()
+
+
+def written(spark, name: str, lines: list[str]) -> str:
+    ensure_cut(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{abs(hash(tuple(lines)))}"
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return path
+
+
+@query(values([(1, "Ada [PA]", 14, "Elida", 7, False), (2, "Perry", 0, "Ada", 21, True)], "wk, away, aw, home, hs, neutral"))
+def scan_csv_games(spark, sf):
+    path = written(spark, "games", ["week,date,away,away_score,home,home_score,neutral,away_state", "1,2025-08-22,Ada,14,Elida,7,0, pa", "2,2025-08-29,Perry,0,Ada,21,1,", "x,2025-08-29,Perry,0,Ada,21,1,", "3,2025-08-29,Perry,,Ada,21,1,"])
+    return files.read_games(spark, path).drop("date")
+
+
+@query(values([(1, "Ada", 14, "Elida", 7, False)], "wk, away, aw, home, hs, neutral"))
+def scan_psv(spark, sf):
+    return files.read_pipe_games(spark, written(spark, "pipe", ["Ada|14|Elida|7", "Perry||Lima|7", "a|b|c", ""]))
+
+
+@query(values([(5, "7pm", "Ada", "Elida", False)], "wk, time, away, home, neutral"))
+def scan_schedule(spark, sf):
+    path = written(spark, "fixtures", ["week,date,time,away,home,neutral", "5,2025-09-19,7pm,Ada,Elida,0", "?,2025-09-19,,Ada,Elida,0"])
+    return files.read_fixtures(spark, path).unionByName(files.read_fixtures(spark, path + "-not-there")).select("wk", "time", "away", "home", "neutral")
+
+
+@query(values([("Ada (Ada)", "V", 17, 1, 0, 2, 6.5)], "name, division, region, w, l, t, points"))
+def scan_csv_roster(spark, sf):
+    path = written(spark, "roster", ["name,school,city,school_id,division,region,record,harbin", "Ada (Ada),Ada,Ada,12,V,17,1-0-2,6.5000"])
+    return files.read_roster(spark, path).select("name", "division", "region", "w", "l", "t", "points")
+
+
+@query(values([(2025, 1, "live", "a", "b", 2, 3.5, 0.6), (2025, 1, "live", "c", "d", 2, -1.0, 0.45), (2025, 2, "backtest", "a", "c", 3, 0.0, 0.5)], "season, through, kind, home, away, wk, margin, p"))
+def scan_history(spark, sf):
+    path = written(spark, "log", ['{"season":2025,"throughWeek":1,"pred":[["a","b",2,3.5,0.6],["c","d",2,-1.0,0.45,20,21]]}', '{"season":2025,"thr', "", '{"season":2025,"throughWeek":2,"kind":"backtest","pred":[["a","c",3,0.0,0.5]]}'])
+    return files.forecasts(files.read_log(spark, path))
+
+
+@query(f"with {ARENA_SQL} select count(*) as games, cast(sum(hs) as bigint) as points from played")
+def sink_roundtrip(spark, sf):
+    ensure_cut(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/sink-games"
+    files.write_guarded(arena.played(arena.dense_games(spark, sf)), path, before=0)
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("games"), F.sum(F.col("hs").cast("long")).alias("points"))
+
+
+GUARDS = [(0, 10, "games", "no games"), (79, 100, "games", "far fewer games than before"), (80, 100, "games", None), (5, 40, "games", None), (0, 51, "fixtures", "all fixtures gone"), (0, 50, "fixtures", None)]
+
+
+@query(values(GUARDS, "n, before, kind, refused"))
+def write_guard(spark, sf):
+    return spark.createDataFrame([(n, b, k, files.guard(n, b, k)) for n, b, k, _ in GUARDS], "n int, before int, kind string, refused string")
+
+
+@query(values([("data/games_2025.csv", 2025), ("x/schedule_1999_2.csv", 1999), ("games.csv", None)], "file, season"))
+def season_of_file(spark, sf):
+    return spark.createDataFrame([("data/games_2025.csv",), ("x/schedule_1999_2.csv",), ("games.csv",)], "file string").select("file", files.season_of(F.col("file")).alias("season"))
+
+
+@query(values([(500, True), (502, True), (404, False), (None, True)], "status, again"))
+def retry_policy(spark, sf):
+    return spark.createDataFrame([(s, files.retries(s)) for s in (500, 502, 404, None)], "status int, again boolean")
+
+
+@query(f"with {ARENA_SQL} select game_id from fixtures where game_id % 5 <> 0")
+def fixtures_unplayed(spark, sf):
+    """Fixtures that also stand among the results are dropped."""
+    fixtures = arena.fixtures(arena.dense_games(spark, sf))
+    return fixtures.join(fixtures.filter("game_id % 5 = 0").select("game_id"), "game_id", "left_anti").select("game_id")
