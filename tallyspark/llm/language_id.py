@@ -30,7 +30,7 @@ WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 e
 
 def gram_counts(raws: list[bytes], buckets: int = BUCKETS) -> np.ndarray:
     """Counts of hashed 2- and 3-grams: a float32 row for each text. Runs of other bytes count as one edge."""
-    texts = [b" " + b" ".join(r.translate(WORD_BYTES).split()) + b" " for r in raws]
+    texts = [b" " + b" ".join(words) + b" " if (words := r.translate(WORD_BYTES).split()) else b"" for r in raws]
     out = np.zeros((len(texts), buckets), np.float32)
     flat = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint32)
     if len(flat) < 3:
@@ -43,7 +43,6 @@ def gram_counts(raws: list[bytes], buckets: int = BUCKETS) -> np.ndarray:
         mixed = (grams * np.uint32(2654435761) + np.uint32(n * 40503)) >> np.uint32(16)
         at = rows[: len(grams)][same] * buckets + (mixed[same] % np.uint32(buckets))
         out += np.bincount(at, minlength=out.size).reshape(out.shape).astype(np.float32)
-    out[:, :] = out
     return out
 
 
