@@ -20,11 +20,11 @@ from .common import held_out
 
 BITS = 20
 #: Labelled rows the model learns from at most (the bound of the fitting sample), and passes over them.
-SAMPLE, EPOCHS = 10_000, 3
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.5, 1.0
+SAMPLE, EPOCHS = 10_000, 5
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.1
 THRESHOLD = 0.3
-#: A longer word also counts as its first STEM bytes, so that its endings share what they teach.
-STEM = 4
+#: A longer word also counts as its first bytes, so that its endings share what they teach.
+STEMS = (4, 6)
 #: Words hashed at a time, so that a very long text needs no more memory.
 WORDS = 200_000
 #: Bytes that part words: ASCII other than letters and digits; A-Z become a-z.
@@ -38,7 +38,7 @@ def features(text: str | None, bits: int = BITS) -> Iterator[np.ndarray]:
     for a in range(0, len(words), WORDS):
         run = words[max(0, a - 2) : a + WORDS]
         w = np.fromiter(map(crc32, run), np.uint64)
-        stem = np.fromiter(map(crc32, [x[:STEM] for x in run if len(x) > STEM]), np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        stem = np.fromiter((crc32(x[:n]) + n for n in STEMS for x in run if len(x) > n), np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         one, odd = (w + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
         two = (one[:-1] * np.uint64(31) + w[1:] + np.uint64(7)) * odd
         gap = (one[:-2] * np.uint64(37) + w[2:] + np.uint64(11)) * odd
