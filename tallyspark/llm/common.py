@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 from pathlib import PurePosixPath
 
@@ -43,6 +44,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As cut(), for wide rows: a Parquet table in the same folder takes a fraction of the room."""
+    can_cut(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def slices(batches: Iterator, rows: int = 250) -> Iterator:
     """Arrow arrays in runs of at most ``rows``, so that what is made of one run is gone before the next."""
     for batch in batches:

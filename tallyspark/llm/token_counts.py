@@ -12,16 +12,17 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import slices, written
 
 #: Distinct pre-tokens that are broadcast (a bound, whatever the corpus), and those a task holds before it passes them on.
-HEAD, HELD = 60_000, 60_000
+HEAD, HELD = 150_000, 100_000
 #: The pre-tokenisation of byte-level BPE vocabularies of this family, as published with them (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters outside these old blocks may have been given a class after the library's Unicode tables; each is looked up once.
@@ -30,18 +31,29 @@ RARE = regex.compile(r"[^\x00-\u024F\u0370-\u0377\u0391-\u03CE\u0400-\u04FF\u201
 LONG = 200
 
 
+def added_tokens(path: str) -> list[str]:
+    """The added tokens of a vocabulary file, longest first."""
+    from tokenizers import Tokenizer
+
+    return sorted((t.content for t in Tokenizer.from_file(path).get_added_tokens_decoder().values()), key=len, reverse=True)
+
+
 class Splitter:
     """Splits texts as the library does: at the added tokens first, then by the pattern."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.find = regex.compile(PATTERN).findall
-        added = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
+    def __init__(self, path: str, added: list[str] | None = None):
+        self.path, self.find = path, regex.compile(PATTERN).findall
+        added = added_tokens(path) if added is None else added
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
         self.agree: dict[str, bool] = {}
 
+    @cached_property
+    def library(self):
+        """Loaded where a worker first needs it; most that split texts never do."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def agrees(self, char: str) -> bool:
         """Whether the pattern puts this character in the same class as the library."""
         if (known := self.agree.get(char)) is None:
@@ -68,8 +80,10 @@ class Splitter:
 def pre_token_counts(documents: DataFrame, path: str, text_col: str) -> DataFrame:
     """(token, n): how often each pre-token of up to LONG characters stands in all texts."""
 
+    added = added_tokens(path)
+
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, held = Splitter(path), Counter()
+        splitter, held = Splitter(path, added), Counter()
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["token", "n"])
@@ -91,8 +105,8 @@ def counted(tokens: DataFrame, path: str) -> DataFrame:
 
     @F.arrow_udf("int")
     def pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        splitter = Splitter(path)
-        for batch in batches:
+        splitter = Splitter(path, [])
+        for batch in slices(batches, 1000):
             yield pa.array(splitter.count(batch.to_pylist()), pa.int32())
 
     return tokens.withColumn("pieces", pieces("token"))
@@ -105,16 +119,17 @@ def count_tokens(documents: DataFrame, path: str, *, id_col: str = "doc_id", tex
     repeated ids stay as rows of their own; other columns are not read.
     """
     spark = documents.sparkSession
-    table = cut(counted(pre_token_counts(documents, path, text_col), path))
-    top = table.orderBy(F.desc("n"), "token").limit(head).select("token", "pieces").collect()
-    sent = spark.sparkContext.broadcast(dict(map(tuple, top)))
+    table = written(counted(pre_token_counts(documents, path, text_col), path))
+    top = table.orderBy(F.desc("n"), "token").limit(head).select("token", "pieces").toArrow()
+    sent = spark.sparkContext.broadcast((top["token"].combine_chunks(), top["pieces"].combine_chunks(), added_tokens(path)))
 
     kind = "struct<n_bytes:bigint,known:bigint,tokens:array<string>,times:array<int>>"
     arrow = pa.struct([("n_bytes", pa.int64()), ("known", pa.int64()), ("tokens", pa.list_(pa.string())), ("times", pa.list_(pa.int32()))])
 
     @F.arrow_udf(kind)
     def summed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        splitter, known = Splitter(path), sent.value
+        tokens, pieces, added = sent.value
+        splitter, known = Splitter(path, added), dict(zip(tokens.to_pylist(), pieces.to_pylist()))
         for batch in slices(batches):
             out = []
             for text in batch.to_pylist():
@@ -122,8 +137,8 @@ def count_tokens(documents: DataFrame, path: str, *, id_col: str = "doc_id", tex
                 tokens, n = splitter.split(text)
                 rest: Counter = Counter()
                 for token, times in Counter(tokens).items():
-                    if (pieces := known.get(token)) is not None:
-                        n += pieces * times
+                    if (count := known.get(token)) is not None:
+                        n += count * times
                     elif len(token) > LONG:
                         n += splitter.count([token])[0] * times
                     else:
@@ -132,7 +147,7 @@ def count_tokens(documents: DataFrame, path: str, *, id_col: str = "doc_id", tex
             columns = list(zip(*out)) or [()] * 4
             yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], fields=list(arrow))
 
-    seen = cut(documents.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), summed(F.col(text_col)).alias("s")).select("id", "row", "s.*"))
+    seen = written(documents.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), summed(F.col(text_col)).alias("s")).select("id", "row", "s.*"))
     rest = (
         seen.select("row", F.explode(F.arrays_zip("tokens", "times")).alias("t"))
         .select("row", "t.tokens", "t.times")
