@@ -10,6 +10,7 @@ kept.
 
 from __future__ import annotations
 
+import os
 from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import slices, written
 
 #: Distinct pre-tokens that are broadcast (a bound, whatever the corpus), and those a task holds before it passes them on.
-HEAD, HELD = 150_000, 100_000
+HEAD, HELD = 150_000, 50_000
 #: The pre-tokenisation of byte-level BPE vocabularies of this family, as published with them (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters outside these old blocks may have been given a class after the library's Unicode tables; each is looked up once.
@@ -52,6 +53,8 @@ class Splitter:
         """Loaded where a worker first needs it; most that split texts never do."""
         from tokenizers import Tokenizer
 
+        # Spark has a task for each core already; the library's own threads would each keep memory
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         return Tokenizer.from_file(self.path)
 
     def agrees(self, char: str) -> bool:
