@@ -6,6 +6,8 @@ own and no pattern can run from one record into the next.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -180,3 +182,59 @@ def match_picks(picks: DataFrame, fixtures: DataFrame) -> DataFrame:
     rows = picks.join(found, ["wk", "pick"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     one = F.col("n") == 1
     return rows.withColumns({"home": F.when(one, F.col("home")), "away": F.when(one, F.col("away")), "home_margin": F.when(one, F.when(F.col("fav_home"), F.col("margin")).otherwise(-F.col("margin"))), "home_p": F.when(one, F.round(F.when(F.col("fav_home"), F.col("fav_p")).otherwise(1 - F.col("fav_p")), 3))})
+
+
+# Single-line results, what may stand in front of one, and the headings of ranking tables.
+LINE_NAME = r"[A-Za-z][A-Za-z0-9'&.\-/ ]*?(?:\([^)]*\))?"
+LEAD = rf"(?i)^\s*(?:{DATE}\s+)?(?:(?:Mon|Tues?|Wed(?:nes)?|Thur?s?|Fri|Sat(?:ur)?|Sun)(?:day)?\.?,?\s+)?(?:(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)[a-z]*\.?\s+\d{{1,2}}(?:,?\s*\d{{4}})?\s+)?(?:\d{{1,2}}[/-]\d{{1,2}}(?:[/-]\d{{2,4}})?\s+)?(?:{TIME}\s+)?"
+LINES = (
+    (rf"(?i)^\s*(?:\d+\.?\s+)?({LINE_NAME})\s+(\d{{1,3}})\s+(at|vs\.?|@)\s+({LINE_NAME})\s+(\d{{1,3}})(?!\d)", (1, 2, 3, 4, 5)),
+    (rf"(?i)^\s*(?:\d+\.?\s+)?({LINE_NAME})\s+(at|vs\.?|@)\s+({LINE_NAME})\s+(\d{{1,3}})\s+(\d{{1,3}})(?!\d)", (1, 4, 2, 3, 5)),
+    (rf"^\s*(?:\d+\.?\s+)?({LINE_NAME})\s+(\d{{1,3}})\s+({LINE_NAME})\s+(\d{{1,3}})(?!\d)", (1, 2, None, 3, 4)),
+)
+HEADINGS = {"record": ("rated w-l", "rated wl", "w-l", "record"), "sid": ("id #", "id#", "id"), "city": ("mailing city", "city"), "school": ("school", "team"), "average": ("current average", "average", "harbin")}
+
+
+def line_game(line: Column, most: int = 120) -> Column:
+    """(away, ascore, home, hscore, neutral) of one line: the first form that gives plausible, different names and scores; else null."""
+    found = []
+    for pattern, (away, ascore, sep, home, hscore) in LINES:
+        get = partial(F.regexp_extract, line, pattern)
+        a, h = clean_name(get(away)), clean_name(get(home))
+        x, y = get(ascore).try_cast("int"), get(hscore).try_cast("int")
+        neutral = F.lower(get(sep)).startswith("vs") if sep else F.lit(False)
+        good = line.rlike(pattern) & plausible(a) & plausible(h) & (F.lower(a) != F.lower(h)) & (x <= most) & (y <= most)
+        found.append(F.when(good, F.struct(a.alias("away"), x.alias("ascore"), h.alias("home"), y.alias("hscore"), neutral.alias("neutral"))))
+    return F.coalesce(*found)
+
+
+def match_line(line: Column) -> Column:
+    """line_game of the line, or of the line without its date and time where that only shortens the first name."""
+    raw, bare = line_game(line), line_game(F.regexp_replace(line, LEAD, ""))
+    shorter = F.lower(raw["away"]).endswith(F.lower(bare["away"])) & (F.length(bare["away"]) < F.length(raw["away"]))
+    return F.when(raw.isNull() | F.coalesce(shorter, F.lit(False)), F.coalesce(bare, raw)).otherwise(raw)
+
+
+def table_rows(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """pages with (school, city, school_id, w, l, t, average) from ranking tables: columns by their headings, rows that do not fit left out."""
+    keep = [c for c in pages.columns if c != html_col]
+    rows = pages.select(*keep, F.posexplode(page_rows(F.col(html_col))).alias("pos", "cells"))
+    heads = F.transform("cells", lambda c: F.rtrim(F.lower(F.trim(c)), F.lit(":")))
+    place = lambda names: F.array_min(F.filter(F.transform(heads, lambda h, i: F.when(h.isin(*names), i)), lambda i: i.isNotNull()))
+    at = rows.select(*keep, "pos", *[place(names).alias(f"at_{k}") for k, names in HEADINGS.items()]).filter("at_record is not null and at_school is not null and at_average is not null")
+    first = at.groupBy(*keep).agg(F.min_by(F.struct("pos", *[f"at_{k}" for k in HEADINGS]), "pos").alias("h")).select(*keep, F.col("h.pos").alias("head"), *[f"h.at_{k}" for k in HEADINGS])
+    cell = lambda k: F.coalesce(F.trim(F.try_element_at("cells", F.col(f"at_{k}") + 1)), F.lit(""))
+    record = r"^(\d{1,2})-(\d{1,2})(?:-(\d{1,2}))?$"
+    part = lambda i: F.coalesce(F.regexp_extract(cell("record"), record, i).try_cast("int"), F.lit(0))
+    out = rows.join(first, keep).filter((F.col("pos") > F.col("head")) & cell("record").rlike(record) & plausible(cell("school")))
+    out = out.select(*keep, clean_name(cell("school")).alias("school"), clean_name(cell("city")).alias("city"), cell("sid").alias("school_id"), part(1).alias("w"), part(2).alias("l"), part(3).alias("t"), cell("average").try_cast("double").alias("average"))
+    return out.filter("average is not null and w <= 16 and l <= 16")
+
+
+def ranking(pages: DataFrame, pairs: DataFrame, html_col: str = "html") -> DataFrame:
+    """pages with (tier, school, city, w, l, t, average): from the table where the page has one, else from its flat text."""
+    keep = [c for c in pages.columns if c != html_col]
+    columns = [*keep, "tier", "school", "city", "school_id", "w", "l", "t", "average"]
+    by_table = table_rows(pages, html_col).withColumn("tier", F.lit("table"))
+    flat = ranking_rows(pages.join(by_table.select(*keep).distinct(), keep, "left_anti").select(*keep, flat_text(F.col(html_col)).alias("flat")))
+    return by_table.select(*columns).unionByName(split_city_school(flat, pairs).withColumn("tier", F.lit("flat")).select(*columns))

@@ -39,3 +39,15 @@ def compose(roster: DataFrame, effects: DataFrame, devs: DataFrame, weight: floa
 def stand_in(ratings: DataFrame, roster: DataFrame) -> DataFrame:
     """One row: the median rating of rated league teams, for opponents that nobody rates."""
     return ratings.join(roster.filter("in_league").select("team"), "team").agg(safe_round(F.median("rating"), 2).alias("rating"), F.count(F.lit(1)).alias("teams"))
+
+
+def starting_points(ratings: DataFrame, roster: DataFrame, carry: float = CARRY, weight: float = DIVISION_WEIGHT, clip: float = CLIP) -> DataFrame:
+    """(team, prior) of league teams, centred: this season's division effect, and last season's distance above it, carried and clipped."""
+    effects = division_effects(ratings, roster)
+    league = roster.filter("in_league").select("team", "division").join(effects, "division", "left").join(ratings.select("team", "rating"), "team", "left")
+    mean = ratings.join(roster.filter("in_league").select("team"), "team").agg(F.avg("rating").alias("mean"))
+    base = F.coalesce("effect", F.lit(0.0))
+    dev = F.coalesce(F.greatest(F.lit(-clip), F.least(F.lit(clip), (F.col("rating") - F.col("mean") - base) * carry)), F.lit(0.0))
+    # greatest and least skip nulls, so an unrated team is asked for first
+    rows = league.join(F.broadcast(mean)).select("team", (base * weight + F.when(F.col("rating").isNotNull(), dev).otherwise(0.0)).alias("prior"))
+    return rows.join(F.broadcast(rows.agg(F.avg("prior").alias("centre")))).select("team", (F.col("prior") - F.col("centre")).alias("prior"))

@@ -148,3 +148,37 @@ def week_stop(spark, sf):
     seen = spark.createDataFrame([(1, 4), (2, 2), (3, 0), (4, 5)], "wk int, found int")
     end = seen.filter("found = 0").agg(F.min("wk").alias("end"))
     return seen.join(F.broadcast(end)).filter("wk <= coalesce(end, wk)").select("wk", (F.col("wk") == F.col("end")).alias("stop"))
+
+
+LINES = [("Antwerp 14 at Montpelier 21", "Antwerp", 14, "Montpelier", 21, False), ("2026-08-20 7pm Antwerp (Antwerp) 14 vs Montpelier (Montpelier) 21", "Antwerp (Antwerp)", 14, "Montpelier (Montpelier)", 21, True), ("Antwerp at Montpelier 14 21", "Antwerp", 14, "Montpelier", 21, False), ("Antwerp 14 Montpelier 21", "Antwerp", 14, "Montpelier", 21, False), ("Fri Antwerp 14 at Montpelier 21", "Antwerp", 14, "Montpelier", 21, False), ("Same 14 at same 21", "Same", 14, "at same", 21, False), ("no game here", None, None, None, None, None)]
+
+
+@query(values(LINES, "line, away, ascore, home, hscore, neutral"))
+def match_line(spark, sf):
+    return spark.createDataFrame([(r[0],) for r in LINES], "line string").select("line", x.match_line(F.col("line")).alias("m")).select("line", "m.*")
+
+
+TABLE = "<table><tr><td>Week 3</td></tr><tr><th>Current Rank</th><th>Rated W-L</th><th>ID #</th><th>Mailing City</th><th>School:</th><th>Current Average</th></tr><tr><td>1t</td><td>1-0</td><td>268</td><td>Brunswick</td><td>Brunswick</td><td>6.5000</td></tr><tr><td>8</td><td>1-0-2</td><td>764</td><td>Massillon</td><td>Jackson</td><td>5.5</td></tr><tr><td>9</td><td>17-0</td><td>1</td><td>X</td><td>Too Many</td><td>5.5</td></tr><tr><td>9</td><td>bye</td></tr></table>"
+RANKED = [(1, "table", "Brunswick", "Brunswick", "268", 1, 0, 0, 6.5), (1, "table", "Jackson", "Massillon", "764", 1, 0, 2, 5.5), (2, "flat", "Brunswick", "Brunswick", "268", 1, 0, 0, 6.5), (2, "flat", "Jackson", "Massillon", "764", 1, 0, 1, 5.5), (2, "flat", "Cuyahoga Valley Christian Academy", "Cuyahoga Falls", "99", 0, 10, 0, 0.25)]
+
+
+@query(values([r[:1] + r[2:] for r in RANKED if r[1] == "table"], "page, school, city, school_id, w, l, t, average"))
+def roster_table(spark, sf):
+    return x.table_rows(spark.createDataFrame([(1, TABLE)], "page int, html string"))
+
+
+@query(values(RANKED, "page, tier, school, city, school_id, w, l, t, average"))
+def roster_text(spark, sf):
+    """A page with a table, and one whose ranking is text only."""
+    return x.ranking(spark.createDataFrame([(1, TABLE), (2, f"<p>{RANKS}</p>")], "page int, html string"), spark.createDataFrame(PAIRS, "school string, city string"))
+
+
+@query(values([("River (Hannibal)", "Trimble (Glouster)")], "home, away"))
+def parse_called_off(spark, sf):
+    return parsed(spark).filter("kind = 'called off'").select("home", "away")
+
+
+@query("select page_id, count(*) as rows_found from pages where false group by page_id")
+def page_tables(spark, sf):
+    """Ranking tables on the pages of the corpus: there are none."""
+    return x.table_rows(arena.read(spark, sf, "pages").select("page_id", "html")).groupBy("page_id").agg(F.count(F.lit(1)).alias("rows_found"))

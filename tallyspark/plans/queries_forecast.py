@@ -164,3 +164,20 @@ def fit_with_prior(spark, sf):
 @query(f"{WITH}, {FIT} select {R('median(rating)', 2)} as rating, count(*) as teams from fit join roster using (team) where in_league")
 def standin_rating(spark, sf):
     return priors.stand_in(season_fit(spark, sf), arena.dense_roster(spark, sf))
+
+
+@query(f"{WITH}, {LAST}, {LAST_FIT}, {EFFECTS}, m as (select avg(rating) as mean from lg), raw as (select r.team, coalesce(e.effect, 0.0) + coalesce(greatest(-14.0, least(14.0, (lf.rating - m.mean - coalesce(e.effect, 0.0)) * 0.6)), 0.0) as prior from roster r cross join m left join eff e on e.division = r.division left join lf on lf.team = r.team where r.in_league) select team, {R('prior - avg(prior) over ()', 2)} as prior from raw")
+def prior_for(spark, sf):
+    """Each team's starting point from last season: its division's effect and what it earned above that."""
+    roster, fitted = arena.dense_roster(spark, sf), last_fit(spark, sf)
+    return priors.starting_points(fitted, roster).select("team", safe_round(F.col("prior"), 2).alias("prior"))
+
+
+@query(f"{WITH}, {FIT} select count_if(team = -1 and rating between -6 and 6) as advantage_in_band, count_if(team <> -1) as teams, true as curve_steepens from fit")
+def meta_checks(spark, sf):
+    """The home advantage lies in its band, and probabilities grow surer with games played."""
+    from ..functions.scales import prob_scale
+
+    steps = spark.range(1, 16).select(prob_scale(F.col("id").cast("double"), F.lit(False)).alias("a"), prob_scale(F.col("id") + 1.0, F.lit(False)).alias("b"))
+    steep = steps.agg(F.bool_and(F.col("b") <= F.col("a")).alias("curve_steepens"))
+    return season_fit(spark, sf).agg(F.count_if((F.col("team") == -1) & F.col("rating").between(-6, 6)).alias("advantage_in_band"), F.count_if(F.col("team") != -1).alias("teams")).join(F.broadcast(steep))

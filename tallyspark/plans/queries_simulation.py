@@ -112,3 +112,11 @@ def sim_skip(spark, sf):
     """A marker is published even where nothing remains to be simulated."""
     left = arena.fixtures(arena.dense_games(spark, sf)).filter(F.col("wk") <= arena.LAST_REGULAR_WEEK).agg(F.count(F.lit(1)).alias("open_games"))
     return left.select(F.when(F.col("open_games") == 0, "nothing to simulate").otherwise("simulated").alias("marker"), "open_games")
+
+
+@query(f"{WITH}, {COND}, own as (select team, game_id, case when team = home then p_home - p_away else p_away - p_home end as s from cond where team = home or team = away) select team, count(*) as games, string_agg(cast(game_id as varchar), ',' order by wk, game_id) as by_week from own join (select game_id, wk from shown) using (game_id) group by team")
+def what_if(spark, sf):
+    """Each team's own open games that are worth telling, by week."""
+    weeks = predicted(spark, sf).select("game_id", "wk")
+    rows = simulate.own_swings(conditional(spark, sf), open_games(spark, sf)).join(weeks, "game_id")
+    return rows.groupBy("team").agg(F.count(F.lit(1)).alias("games"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("wk", "game_id"))), lambda g: g["game_id"].cast("string")), ",").alias("by_week"))

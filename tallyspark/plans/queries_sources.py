@@ -81,3 +81,10 @@ def fixtures_unplayed(spark, sf):
     """Fixtures that also stand among the results are dropped."""
     fixtures = arena.fixtures(arena.dense_games(spark, sf))
     return fixtures.join(fixtures.filter("game_id % 5 = 0").select("game_id"), "game_id", "left_anti").select("game_id")
+
+
+@query(values([("a", 2026, 2, "Ada (Ada)", "Elida (Elida)", -24, 0.11), ("a", 2026, 3, "Perry (Lima)", "Ada (Ada)", 7, 0.7)], "source, season, wk, home, away, home_margin, home_p"))
+def scan_rivals(spark, sf):
+    path = written(spark, "rivals", ['{"source":"a","season":2026,"week":2,"picks":[{"home":"Ada (Ada)","away":"Elida (Elida)","homeMargin":-24,"homeProb":0.11}]}', '{"source":"a","sea', '{"source":"a","season":2026,"week":3,"picks":[{"home":"Perry (Lima)","away":"Ada (Ada)","homeMargin":7,"homeProb":0.7}]}'])
+    log = files.read_log(spark, path, files.RIVALS).select("source", "season", F.col("week").alias("wk"), F.explode("picks").alias("p"))
+    return log.select("source", "season", "wk", "p.home", "p.away", F.col("p.homeMargin").alias("home_margin"), F.col("p.homeProb").alias("home_p"))

@@ -192,3 +192,23 @@ def trends(spark, sf):
     games = arena.played(arena.dense_games(spark, sf)).filter("wk <= 3")
     log = games.select(F.col("wk").alias("through"), F.explode(F.array("home", "away")).alias("team")).distinct().groupBy("through").agg(F.collect_list(F.struct("team", F.lit(0.0).alias("rating"))).alias("teams"))
     return history.trends(log, arena.dense_roster(spark, sf).filter("team % 2 = 0"))
+
+
+@query(f"{WITH}, {ALL} select config, season, {R('sqrt(greatest(0.0, (sum(loss * loss) - sum(loss) * sum(loss) / count(*)) / (count(*) - 1)) / count(*))', 4)} as se from ws group by config, season")
+def marginal_se(spark, sf):
+    return tuning.evaluate(scored(spark, sf), ["config", "season"]).select("config", "season", "se")
+
+
+@query("select cast(i as int) as i, w as won, round(-ln(case when w then greatest(1e-6, least(1 - 1e-6, i / 50.0)) else 1 - greatest(1e-6, least(1 - 1e-6, i / 50.0)) end) + 1e-9, 5) + 0.0 as loss from range(0, 51) t(i), (values (true), (false)) u(w)")
+def logloss(spark, sf):
+    from ..functions.scales import log_loss
+
+    rows = spark.range(0, 51).select(F.col("id").cast("int").alias("i"), F.explode(F.array(F.lit(True), F.lit(False))).alias("won"))
+    return rows.select("i", "won", arena.safe_round(log_loss(F.col("i") / 50.0, F.col("won")), 5).alias("loss"))
+
+
+@query(f"{WITH}, {GRADED}, k as (select kind, count(*) as games, avg(rt) as acc, count_if(p < 0 or p > 1) as bad from gs group by kind) select kind, games, bad, acc >= 0.4 as floor_held from k")
+def scorecard_check(spark, sf):
+    """The scorecard's games and probabilities hold together, and accuracy is over a floor."""
+    rows = history.graded(logged(spark, sf), pool(spark, sf))
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("games"), F.count_if((F.col("p") < 0) | (F.col("p") > 1)).alias("bad"), (F.avg("right") >= 0.4).alias("floor_held"))

@@ -11,6 +11,8 @@ ROSTER = "name string, school string, city string, school_id string, division st
 FIXTURES = "week string, date string, time string, away string, home string, neutral string, away_state string, home_state string"
 SNAPSHOT = "season int, throughWeek int, kind string, generatedAt string, keys array<string>, teams array<array<double>>, pred array<array<string>>"
 
+RIVALS = "source string, season int, week int, capturedAt string, picks array<struct<home:string,away:string,homeMargin:int,homeProb:double>>"
+
 
 def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV with a header, columns by name; those that the file lacks are empty strings."""
