@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, written
 
-#: Distinct pre-tokens that are broadcast (a bound, whatever the corpus), and those a task holds before it passes them on.
+#: Distinct pre-tokens that are broadcast at most (a bound, whatever the corpus), and those a task holds before it passes them on.
 HEAD, HELD = 150_000, 50_000
 #: The pre-tokenisation of byte-level BPE vocabularies of this family, as published with them (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -115,6 +115,21 @@ def counted(tokens: DataFrame, path: str) -> DataFrame:
     return tokens.withColumn("pieces", pieces("token"))
 
 
+def most_frequent(table: DataFrame, head: int) -> DataFrame:
+    """The rows of the highest frequency classes that hold at most ``head`` rows together: no sort, and never more than ``head``.
+
+    A class is a thirty-second of a doubling, so there are about 2,000 at most.
+    """
+    level = F.floor(F.log2(F.col("n").cast("double")) * 32)
+    room, least = head, None
+    for r in table.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["level"]
+    return table.filter(level >= least) if least is not None else table.limit(0)
+
+
 def count_tokens(documents: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
     """(id, n_bytes, n_tokens): one row for each document, counts as the library at ``path`` gives them.
 
@@ -123,7 +138,7 @@ def count_tokens(documents: DataFrame, path: str, *, id_col: str = "doc_id", tex
     """
     spark = documents.sparkSession
     table = written(counted(pre_token_counts(documents, path, text_col), path))
-    top = table.orderBy(F.desc("n"), "token").limit(head).select("token", "pieces").toArrow()
+    top = most_frequent(table, head).select("token", "pieces").toArrow()
     sent = spark.sparkContext.broadcast((top["token"].combine_chunks(), top["pieces"].combine_chunks(), added_tokens(path)))
 
     kind = "struct<n_bytes:bigint,known:bigint,tokens:array<string>,times:array<int>>"
