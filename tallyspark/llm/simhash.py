@@ -16,7 +16,7 @@ broadcast of all trees would grow with the corpus.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -204,14 +204,20 @@ def keep_one_of_each(documents: DataFrame, *, id_col: str = "doc_id", text_col:
     Where that id stands in several rows of the table, the row with the
     smallest fingerprint, then the smallest row as JSON, stays.
     """
-    found = near_duplicates(documents, id_col=id_col, text_col=text_col, shingle=shingle, radius=radius).withColumnRenamed(id_col, "id")
+    found = near_duplicates(documents, id_col=id_col, text_col=text_col, shingle=shingle, radius=radius)
+    return one_of_each(documents, found, lambda text: fingerprints(text, shingle), id_col=id_col, text_col=text_col)
+
+
+def one_of_each(documents: DataFrame, found: DataFrame, print_of: Callable[[Column], Column], *, id_col: str, text_col: str) -> DataFrame:
+    """The rows that keep_one_of_each() keeps, by found (id, fp, root, component_id) and the function that makes fp."""
+    found = found.withColumnRenamed(id_col, "id")
     picked = cut(found.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("id", "fp")).alias("p")).select("root", "p.id", "p.fp"))
     repeated = cut(found.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or id is null").select(F.col("id").alias("again")))
     rows = documents.select(F.col(id_col).alias("id"), F.struct(*documents.columns).alias("row"))
     alone = rows.join(picked.join(repeated, F.col("id").eqNullSafe(F.col("again")), "left_anti").select("id"), "id", "left_semi").select("row")
     if repeated.isEmpty():
         return alone.select("row.*")
-    unsure = rows.join(repeated, F.col("id").eqNullSafe(F.col("again")), "left_semi").withColumn("fp", fingerprints(F.col("row")[text_col], shingle))
+    unsure = rows.join(repeated, F.col("id").eqNullSafe(F.col("again")), "left_semi").withColumn("fp", print_of(F.col("row")[text_col]))
     named = picked.select("root", F.col("id").alias("picked_id"), F.col("fp").alias("picked_fp"))
     of_root = unsure.join(named, F.col("id").eqNullSafe(F.col("picked_id")) & (F.col("fp") == F.col("picked_fp")))
     return alone.unionByName(of_root.groupBy("root").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")).select("row.*")
