@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import permutations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 REGIONS, ALPHA, CONFIDENT = 28, 0.5, 1.0
-#: Entities of one name that may be told apart in a week; their orders grow as the factorial.
-MOST = 6
+#: Costs are whole numbers of 1 / UNIT, so that sums are exact; orders within TIE of these are level.
+UNIT, TIE = 10**12, 500
 
 
 def team_identity(name: Column, state: Column) -> Column:
@@ -62,11 +61,75 @@ def region_log_p(counts: DataFrame) -> DataFrame:
     return every.join(counts, ["ra", "rb"], "left").select("ra", "rb", F.ln((F.coalesce("n", F.lit(0)) + ALPHA) / (F.col("total") + ALPHA * REGIONS)).alias("log_p"))
 
 
+def matched(cost: list[list[int]]) -> tuple[int, list[int], list[int], list[int]]:
+    """(sum, column of each row, row prices, column prices): the cheapest distinct columns for the rows, of which there are no more than columns (Hungarian method)."""
+    m, n = len(cost), len(cost[0]) if cost else 0
+    u, v, owner = [0] * (m + 1), [0] * (n + 1), [0] * (n + 1)
+    for i in range(1, m + 1):
+        owner[0], at = i, 0
+        low, back, seen = [None] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        while owner[at]:
+            seen[at] = True
+            row, step, to = owner[at], None, 0
+            for j in range(1, n + 1):
+                if not seen[j]:
+                    left = cost[row - 1][j - 1] - u[row] - v[j]
+                    if low[j] is None or left < low[j]:
+                        low[j], back[j] = left, at
+                    if step is None or low[j] < step:
+                        step, to = low[j], j
+            for j in range(n + 1):
+                if seen[j]:
+                    u[owner[j]] += step
+                    v[j] -= step
+                elif low[j] is not None:
+                    low[j] -= step
+            at = to
+        while at:
+            owner[at] = owner[back[at]]
+            at = back[at]
+    order = [0] * m
+    for j in range(1, n + 1):
+        if owner[j]:
+            order[owner[j] - 1] = j - 1
+    return sum(cost[i][j] for i, j in enumerate(order)), order, u[1:], v[1:]
+
+
+def best_order(score: dict[tuple[int, int], float], rows: int, n: int) -> tuple[list[int], float | None]:
+    """The order of highest score, of level ones the first; and how far the next best lies behind, null if there is no other."""
+    cost = [[round(-score.get((p, s), 0.0) * UNIT) for s in range(n)] for p in range(rows)]
+    least, order, u, v = matched(cost)
+    spent = 0
+    for p in range(rows):
+        for s in range(order[p]):
+            if s in order[:p] or cost[p][s] - u[p] - v[s] > TIE:
+                continue
+            free = [c for c in range(n) if c != s and c not in order[:p]]
+            rest = matched([[cost[q][c] for c in free] for q in range(p + 1, rows)])
+            if spent + cost[p][s] + rest[0] <= least + TIE:
+                order[p:] = [s, *(free[c] for c in rest[1])]
+                break
+        spent += cost[p][order[p]]
+    if n < 2:
+        return order, None
+    # another order leaves at least one chosen cell, so each is forbidden in turn
+    never = 1 + 2 * sum(max(map(abs, row)) for row in cost)
+    others = []
+    for p in range(rows):
+        kept = cost[p][order[p]]
+        cost[p][order[p]] = never
+        total, other, *_ = matched(cost)
+        if other[p] != order[p]:
+            others.append(total)
+        cost[p][order[p]] = kept
+    return order, (min(others) - spent) / UNIT
+
+
 def assign(apps: DataFrame, settled: DataFrame, roster: DataFrame, log_p: DataFrame) -> DataFrame:
     """(name, season, wk, order, gap): for each week of a deferred name, which entity each appearance is, and how far the next best order lies behind.
 
-    A group is one name's games in one week; the orders of its few entities
-    are tried in full.  More than MOST entities fail loudly.
+    A group is one name's games in one week; its best order is a linear
+    assignment, exact for any number of entities.
     """
     slots = roster.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("school_id", "region"))), lambda s: s["region"]).alias("slot_regions"))
     regions = settled_regions(settled, roster).select(F.col("name").alias("opp"), F.col("region").alias("opp_region"))
@@ -79,12 +142,9 @@ def assign(apps: DataFrame, settled: DataFrame, roster: DataFrame, log_p: DataFr
         for counts, tables in batches:
             out = []
             for n, table in zip(counts.to_pylist(), tables.to_pylist()):
-                if n > MOST:
-                    raise ValueError(f"{n} entities of one name; at most {MOST} can be told apart")
                 score = {(c["place"], c["slot"]): c["log_p"] for c in table}
-                apps = 1 + max(p for p, _ in score)
-                tried = sorted(((-sum(score.get((p, s), 0.0) for p, s in enumerate(order)), order) for order in permutations(range(n), min(n, apps))), key=lambda t: (round(t[0], 9), t[1]))
-                out.append({"order": list(tried[0][1]), "gap": tried[1][0] - tried[0][0] if len(tried) > 1 else None})
+                order, gap = best_order(score, min(n, 1 + max(p for p, _ in score)), n)
+                out.append({"order": order, "gap": gap})
             yield pa.array(out, pa.struct([("order", pa.list_(pa.int32())), ("gap", pa.float64())]))
 
     return grouped.select("name", "season", "wk", best("n", "cells").alias("b")).select("name", "season", "wk", "b.order", "b.gap")
