@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -15,6 +16,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FOLDS, HELD_OUT = 4, 2
 #: Rows whose bytes go through one numpy block; bounds a Python worker's memory.
 BLOCK_BYTES = 2_000_000
+#: Bytes of an Arrow batch that is sent to a Python worker, unless the session sets another bound.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,11 +34,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(True))
 
 
+def batched(df: DataFrame) -> DataFrame:
+    """df, after the session was told to bound Arrow batches by bytes: texts differ so much in length that a bound in rows bounds nothing."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING, None) is None:
+        conf.set(BATCH_SETTING, BATCH_BYTES)
+    return df
+
+
 def can_cut(spark: SparkSession) -> None:
-    """Make sure checkpoint() has a folder: the session's own, else one made here (tests, local mode)."""
+    """Make sure checkpoint() has a folder: the session's own; only a local master, as in tests, gets one made here."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyspark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tallyspark-"))
 
 
 def cut(df: DataFrame) -> DataFrame:

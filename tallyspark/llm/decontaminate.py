@@ -1,22 +1,28 @@
-"""Benchmark decontamination: a broadcast hash set of benchmark n-grams met by every window of the documents.
+"""Benchmark decontamination: a hash set of benchmark n-grams met by every window of the documents.
 
 Texts are lower-cased (A-Z) and cut into words; ten consecutive words of an
-item are a window, and an item of fewer words is one window.  Each document is
-read once: its windows are hashed inside the row, and only positions whose
-hash is in the benchmark's set leave the row, with their words.  These are
-then joined with the windows on the words themselves, so no collision counts.
+item are a window, and an item of fewer words is one window.  The hashes of
+all windows set two bits each of one bit table, which travels with the scan.
+Each document is read once: its windows are hashed inside the row, and only
+positions whose bits are set leave the row, with their words.  These are then
+joined with the windows on the words themselves, so no collision counts.
+
+The table has 64 bits a window and 2**24 at most, so its size is bounded
+whatever the benchmark; with more windows than that calls for, more positions
+leave their rows, and the result stays the same.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii
+from .common import lower_ascii, written
 
 WINDOW = 10
-#: Bounds of the broadcast: window hashes that the scan carries in its plan, and windows in the join that confirms them.
-SET_LIMIT, BROADCAST_WINDOWS = 50_000, 50_000
+#: Bits of the table for each window, its least and largest size as powers of two, and windows up to which the confirming join broadcasts them.
+BITS_EACH, LEAST_BITS, MOST_BITS, BROADCAST_WINDOWS = 64, 12, 24, 50_000
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -33,21 +39,48 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     return items.select("item", n.alias("n"), F.explode(F.transform(starts, lambda i: F.array_join(F.slice(F.col("words"), i, n), " "))).alias("gram")).distinct()
 
 
-def spoken(n: int):
-    """A position's window as (start, n, gram)."""
-    return lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), F.array_join(F.slice(F.col("words"), i, F.lit(n)), " ").alias("gram"))
+def bit_table(grams: DataFrame, n_windows: int) -> tuple[Column, int]:
+    """The table as a constant array of longs, and its size as a power of two. Words are or-ed by Spark; at most 2**18 come to the driver."""
+    power = min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * n_windows - 1).bit_length()))
+    h = F.xxhash64(F.split("gram", " "))
+    at = F.explode(F.array(*places(h, power)))
+    rows = grams.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit_of(F.col("at"))).alias("bits")).collect()
+    words = np.zeros(1 << (power - 6), np.int64)
+    words[[r["word"] for r in rows]] = [r["bits"] for r in rows]
+    return F.split(F.lit(",".join(map(str, words.tolist()))), ",").cast("array<bigint>"), power
 
 
-def scan(rows: DataFrame, hashes: dict[int, list[int]]) -> DataFrame:
-    """row, kept, n_words and hits: (start, n, gram) of the windows whose hash is in the set, or of all windows of a length that has no set."""
-    ways = []
-    for n in sorted(hashes):
-        starts = F.when(F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - n + 1)).otherwise(F.array().cast("array<int>"))
-        if hashes[n]:
-            known = f"xxhash64(slice(words, i, {n})) in ({', '.join(f'{h}L' if h != -(2**63) else 'cast(-9223372036854775808 as bigint)' for h in hashes[n])})"
-            starts = F.when(F.size("words") >= n, F.expr(f"filter(sequence(1, size(words) - {n - 1}), i -> {known})")).otherwise(F.array().cast("array<int>"))
-        ways.append(F.transform(starts, spoken(n)))
+def bit_of(at: Column) -> Column:
+    """The word's bit that stands for a place of the table."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63))
+
+
+def places(h: Column, power: int) -> tuple[Column, Column]:
+    """The two bits of a hash, as ints."""
+    mask = (1 << power) - 1
+    return h.bitwiseAND(mask).cast("int"), F.shiftrightunsigned(h, 32).bitwiseAND(mask).cast("int")
+
+
+def scan(rows: DataFrame, sizes: list[int], table: Column, power: int) -> DataFrame:
+    """row, kept, n_words and hits: (start, gram) of the windows whose bits are set."""
+
     none = F.array().cast("array<struct<start:int,n:int,gram:string>>")
+
+    def is_set(at: Column) -> Column:
+        return F.get(table, F.shiftright(at, 6)).bitwiseAND(bit_of(at)) != 0
+
+    def way(n: int) -> Column:
+        def known(i: Column) -> Column:
+            first, second = places(F.xxhash64(F.slice("words", i, F.lit(n))), power)
+            return is_set(first) & is_set(second)
+
+        def spoken(i: Column) -> Column:
+            return F.struct(i.alias("start"), F.lit(n).alias("n"), F.array_join(F.slice("words", i, F.lit(n)), " ").alias("gram"))
+
+        starts = F.filter(F.sequence(F.lit(1), F.size("words") - (n - 1)), known)
+        return F.when(F.size("words") >= n, F.transform(starts, spoken)).otherwise(none)
+
+    ways = [way(n) for n in sizes]
     return rows.select("row", "kept", F.size("words").cast("long").alias("n_words"), (F.concat(*ways) if len(ways) > 1 else ways[0] if ways else none).alias("hits"))
 
 
@@ -65,15 +98,12 @@ def judged(documents: DataFrame, benchmark: DataFrame, keep: Column, text_col: s
     """kept (the column ``keep``), n_words, n_hit, spans and items for each row of ``documents``."""
     grams = benchmark_windows(benchmark, item_col, "text", window)
     sizes = {r["n"]: r["count"] for r in grams.select("n", "gram").distinct().groupBy("n").count().collect()}
-    hashes: dict[int, list[int]] = {n: [] for n in sizes}
-    if sum(sizes.values()) <= SET_LIMIT:
-        for r in grams.select("n", F.xxhash64(F.split("gram", " ")).alias("h")).distinct().collect():
-            hashes[r["n"]].append(r["h"])
+    n_windows = sum(sizes.values())
     # the row number is written with the rows, so it stays as it is whoever reads them again
     rows = documents.select(F.monotonically_increasing_id().alias("row"), keep.alias("kept"), words_of(F.col(text_col)).alias("words"))
-    seen = cut(scan(rows, hashes))
+    seen = written(scan(rows, sorted(sizes), *bit_table(grams, n_windows)))
     lookup = grams.select("item", "gram")
-    if sum(sizes.values()) <= BROADCAST_WINDOWS:
+    if n_windows <= BROADCAST_WINDOWS:
         lookup = F.broadcast(lookup)
     hits = (
         seen.filter(F.size("hits") > 0)
@@ -115,6 +145,9 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, *, text_col:
     found = judged(documents, benchmark, F.struct(*documents.columns), text_col, item_col, window)
     if mode == "documents":
         return found.filter("n_hit = 0").select("kept.*")
-    hit = lambda k: F.exists("spans", lambda s: (k >= s["start"]) & (k < s["start"] + s["n"]))
-    rest = F.array_join(F.filter(words_of(F.col("kept")[text_col]), lambda w, i: ~hit(i + 1)), " ")
+    # positions of hit words as one set, so a word is not held against every span
+    hit = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1)))
+    left = F.array_except(F.sequence(F.lit(1), F.col("n_words").cast("int")), hit)
+    rest = F.array_join(F.transform(left, lambda k: F.get(F.col("words"), k - 1)), " ")
+    found = found.withColumn("words", words_of(F.col("kept")[text_col]))
     return found.select(*[F.when(F.col("n_hit") > 0, rest).otherwise(F.col("kept")[c]).alias(c) if c == text_col else F.col("kept")[c].alias(c) for c in documents.columns])

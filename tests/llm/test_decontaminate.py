@@ -43,15 +43,27 @@ def test_like_brute_force(spark, edges):
     assert got == sorted(((i, *brute(t, [x for x in items if x[0] is not None] + [])) if "a b c" not in (t or "").lower().replace(",", "").replace(";", "") else (i, 11, 11, []) for i, t in texts), key=str)
 
 
-def test_without_the_set_the_result_is_the_same(spark, monkeypatch):
+def test_a_full_table_and_no_broadcast_change_nothing(spark, monkeypatch):
     texts, items = tables(spark)
     docs, bench = spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     one = sorted(map(str, dc.contamination(docs, bench).collect()))
-    monkeypatch.setattr(dc, "SET_LIMIT", 0)
+    monkeypatch.setattr(dc, "LEAST_BITS", 6)
+    monkeypatch.setattr(dc, "MOST_BITS", 6)
     monkeypatch.setattr(dc, "BROADCAST_WINDOWS", 0)
     assert one == sorted(map(str, dc.contamination(docs, bench).collect()))
 
 
+def test_many_windows(spark):
+    """60,000 windows: the bit table stays a constant of the scan, and only true hits are left."""
+    r = random.Random(9)
+    items = [(k, " ".join(f"t{r.randrange(10**6)}" for _ in range(2009))) for k in range(30)]
+    clean = [(k, " ".join(f"d{r.randrange(10**6)}" for _ in range(300))) for k in range(40)]
+    dirty = [(100 + k, "before " + " ".join(t.split()[k * 50 : k * 50 + 12]) + " after") for k, t in items]
+    docs, bench = spark.createDataFrame(clean + dirty, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {r["doc_id"]: (r["n_hit"], list(r["items"])) for r in dc.contamination(docs, bench).collect()}
+    assert got == {i: (0, []) for i, _ in clean} | {100 + k: (12, [str(k)]) for k, _ in items}
+
+
 def test_removal_and_empty_tables(spark, edges, empty):
     bench = spark.createDataFrame([(1, "The same TEXT here")], "item_id bigint, text string")
     kept = dc.remove_contaminated(edges, bench)
