@@ -17,6 +17,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from random import Random
 from zlib import crc32
 
 import numpy as np
@@ -24,57 +25,117 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import batched
+
 #: Rows of the tag and word tables, their width, LSTM cells each way, measures of a block.
-TAGS, WORDS, WIDTH, CELLS, MEASURES = 512, 1024, 8, 12, 5
+TAGS, WORDS, WIDTH, CELLS, MEASURES = 4096, 4096, 8, 16, 7
 #: Made pages the labeller learns from, passes over them, pages in a step.
-PAGES, EPOCHS, STEP = 480, 10, 24
+PAGES, EPOCHS, STEP = 1800, 14, 40
+#: The largest step, and how fast tables shrink: most words of made pages are invented, so only those that keep teaching stay.
+RATE, FADE = 0.02, {"words": 0.2}
 #: Tags around whose borders a block ends, tags whose content is no text, and tags that never have content.
 BREAKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
-SILENT = "script|style|template|noframes|svg|math|object|canvas"
+SILENT = "script|style|template|noframes"
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: A p ends where one of these begins; a li, option, tr, td, th, dt or dd ends where the next of its kind begins.
 ENDS_P = BREAKS - {"body", "head", "html", "title", "caption", "option", "optgroup"}
 ITEMS = {"li": ("li",), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
 HOLDS = {"li": ("ul", "ol", "menu"), "option": ("select",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table"), "dt": ("dl",), "dd": ("dl",)}
-TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<(?P<silent>{SILENT})\b[^>]*>.*?(?:</(?P=silent)\s*>|$)|<[!?][^>]*(?:>|$)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|$)", re.S | re.I)
+#: Embedded drawings and players: their content is no text, but one without an end does not swallow the page.
+EMBEDDED = {name: re.compile(rf"<(/?){name}\b[^>]*>", re.I) for name in ("svg", "math", "object", "canvas")}
+TOKEN = re.compile(
+    rf"<!--.*?(?:-->|$)|<(?P<silent>{SILENT})\b[^>]*>.*?(?:</(?P=silent)\s*>|$)|<[!?][^>]*(?:>|$)"
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|$)",
+    re.S | re.I,
+)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: Distinct rows of the tag table that a path holds at most; a path's further names no longer count.
+PATH_ROWS = 64
+
+
+class Node:
+    """An open element: its name, the one it stands in, how deep it is, and the rows of the tag table of its whole path."""
+
+    __slots__ = ("name", "up", "depth", "rows", "headed")
+
+    def __init__(self, name: str, up: Node | None, marks: tuple[str, ...] = ()):
+        self.name, self.up, self.depth = name, up, up.depth + 1 if up else 1
+        self.headed = name == "head" or bool(up and up.headed)
+        known = up.rows if up else ()
+        new = [r for r in element_rows(name, up.name if up else "", marks) if r not in known]
+        # a path shares the rows of the one above where it adds none, and never holds more than PATH_ROWS
+        self.rows = (*known, *new)[:PATH_ROWS] if new and len(known) < PATH_ROWS else known
+
+
+@lru_cache(4096)
+def element_rows(name: str, above: str, marks: tuple[str, ...]) -> tuple[int, ...]:
+    """Rows of the tag table for an element: its name, its name under the one above, its classes and ids, and their parts."""
+    names = {name, f"{above}/{name}", *marks} | {f".{w}" for p in marks for w in re.split(r"[-_\d]+", p[1:]) if w}
+    return tuple(crc32(n.encode("utf-8", "replace")) % TAGS for n in sorted(names))
 
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    node: Node | None
     text: str
     linked: int
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        """Names of the open elements, outermost first."""
+        names, at = [], self.node
+        while at:
+            names.append(at.name)
+            at = at.up
+        return tuple(reversed(names))
+
 
 def leaf_blocks(page: str | None) -> list[Block]:
-    """The page's runs of text in order, character references decoded, white space made one space; empty ones are left out."""
+    """The page's runs of text in order, character references decoded, white space made one space; empty ones are left out.
+
+    Open elements are a stack; for each name the places where it is open are
+    kept, so no tag searches the stack, however deep a broken page nests.
+    """
     page = page or ""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Node] = []
+    open_at: dict[str, list[int]] = {}
+    breaks_at: list[int] = []
     out: list[Block] = []
     parts: list[str] = []
-    path: tuple[str, ...] = ()
-    linked = links = at = 0
+    node: Node | None = None
+    linked = at = 0
+    ends: dict[str, re.Match | None] = {}
 
     def close() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(Block(path, text, linked))
+            out.append(Block(node, text, linked))
         parts.clear()
         linked = 0
 
+    def last(*names: str) -> int:
+        return max((open_at[n][-1] for n in names if open_at.get(n)), default=-1)
+
     def leave(k: int) -> None:
-        nonlocal links
-        links -= sum(n == "a" for n, _ in stack[k:])
+        for n in reversed(stack[k:]):
+            open_at[n.name].pop()
+        while breaks_at and breaks_at[-1] >= k:
+            breaks_at.pop()
         del stack[k:]
 
-    for m in TOKEN.finditer(page):
+    def behind(name: str, here: int) -> int:
+        """Where an embedded element that opens before ``here`` ends; here itself if it has no end of its own."""
+        while (tag := ends.get(name, False)) is not None and (tag is False or tag.start() < here):
+            ends[name] = EMBEDDED[name].search(page, here)
+        return tag.end() if tag and tag[1] else here
+
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             if not parts:
-                path = stack[-1][1] if stack else ()
+                node = stack[-1] if stack else None
             parts.append(page[at : m.start()])
-            linked += (m.start() - at) * bool(links)
+            linked += (m.start() - at) * bool(open_at.get("a"))
         at = m.end()
         if not m["name"]:
             continue
@@ -84,55 +145,49 @@ def leaf_blocks(page: str | None) -> list[Block]:
             close()
         elif name == "br":
             parts.append(" ")
+        inmost = breaks_at[-1] if breaks_at else -1
         if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    leave(k)
-                    break
-                # a closing inline tag does not reach out of the block that it stands in
-                if not breaks and stack[k][0] in BREAKS:
-                    break
+            # a closing inline tag does not reach out of the block that it stands in
+            if (k := last(name)) >= 0 and (breaks or k > inmost):
+                leave(k)
             continue
         if name in VOID:
             continue
-        if name in ITEMS:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in HOLDS[name]:
-                    break
-                if stack[k][0] in ITEMS[name]:
-                    leave(k)
-                    break
-        if name in ENDS_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    leave(k)
-                    break
-                if stack[k][0] in BREAKS:
-                    break
-        marks = tuple(f".{w}" for g in NAMED.findall(m["rest"]) for w in "".join(g).lower().split()) if "=" in m["rest"] else ()
-        stack.append((name, (*(stack[-1][1] if stack else ()), name, *marks)))
-        links += name == "a"
+        if name in EMBEDDED:
+            at = at if m["rest"].endswith("/") else behind(name, at)
+            continue
+        if name in ITEMS and (k := last(*ITEMS[name])) > last(*HOLDS[name]):
+            leave(k)
+            inmost = breaks_at[-1] if breaks_at else -1
+        if name in ENDS_P and inmost >= 0 and stack[inmost].name == "p":
+            leave(inmost)
+        marks = tuple(f".{w}" for g in NAMED.findall(m["rest"]) for w in "".join(g).lower().split()[:8]) if "=" in m["rest"] else ()
+        if breaks:
+            breaks_at.append(len(stack))
+        open_at.setdefault(name, []).append(len(stack))
+        stack.append(Node(name, stack[-1] if stack else None, marks))
     if at < len(page):
         if not parts:
-            path = stack[-1][1] if stack else ()
+            node = stack[-1] if stack else None
         parts.append(page[at:])
     close()
     return out
 
 
-@lru_cache(4096)
-def path_rows(path: tuple[str, ...]) -> tuple[int, ...]:
-    """Rows of the tag table: each name on the path, the last two together, and parts of classes and ids."""
-    names = {*path, "/".join(path[-2:])} | {f".{w}" for p in path if p[0] == "." for w in re.split(r"[-_\d]+", p[1:]) if w}
-    return tuple(crc32(n.encode()) % TAGS for n in sorted(names)) or (0,)
-
-
-def reading(block: Block) -> tuple[tuple[int, ...], list[int], tuple[float, ...]]:
-    words = block.text.split()
-    n = len(block.text)
-    stops = block.text.count(".") + block.text.count(",") + block.text.count("!") + block.text.count("?")
-    measures = (np.log1p(n) / 8, np.log1p(len(words)) / 6, min(1.0, block.linked / n), min(1.0, 8 * stops / n), len(block.path) / 12)
-    return path_rows(block.path), [crc32(w.lower().encode("utf-8", "replace")) % WORDS for w in words], measures
+def readings(page: list[Block]) -> list[tuple[tuple[int, ...], list[int], tuple[float, ...]]]:
+    """Of each block: rows of the tag table, rows of the word table, and measures of the block, its page and what it stands in."""
+    longest, whole, held = max((len(b.text) for b in page), default=1), sum(len(b.text) for b in page), {}
+    for b in page:
+        around = id(b.node.up) if b.node else 0
+        held[around] = held.get(around, 0) + len(b.text)
+    out = []
+    for b in page:
+        words, n = b.text.split(), len(b.text)
+        stops = b.text.count(".") + b.text.count(",") + b.text.count("!") + b.text.count("?")
+        share = held[id(b.node.up) if b.node else 0] / whole
+        measures = (np.log1p(n) / 8, np.log1p(len(words)) / 6, min(1.0, b.linked / n), min(1.0, 8 * stops / n), min(b.node.depth if b.node else 0, 24) / 12, n / longest, share)
+        out.append((b.node.rows if b.node else (0,), [crc32(w.lower().encode("utf-8", "replace")) % WORDS for w in words], measures))
+    return out
 
 
 class Batch:
@@ -141,7 +196,7 @@ class Batch:
     def __init__(self, pages: list[list[Block]]):
         self.sizes = np.array([len(p) for p in pages])
         self.shape = (int(self.sizes.max(initial=0)), len(pages))
-        read = [reading(b) for p in pages for b in p]
+        read = [r for p in pages for r in readings(p)]
         self.at = np.concatenate([np.arange(s) * len(pages) + k for k, s in enumerate(self.sizes)]) if len(read) else np.zeros(0, int)
         self.tags, self.tag_of, self.tag_n = self.flat([r[0] for r in read])
         self.words, self.word_of, self.word_n = self.flat([r[1] for r in read])
@@ -227,12 +282,12 @@ class Labeller:
 
 
 def train(pages: int = PAGES, epochs: int = EPOCHS, seed: int = 11) -> Labeller:
-    """Adam on the blocks of made pages; the same weights at every call."""
+    """Adam on the blocks of made pages, in steps that shrink along a cosine; the same weights at every call."""
     made = [(leaf_blocks(page), inside) for page, inside in made_pages(pages, seed)]
     made = [(blocks, np.array([i in inside for i in range(len(blocks))], np.float32)) for blocks, inside in ((b, places(b, w)) for b, w in made)]
     rng, size = np.random.default_rng(seed), 2 * WIDTH + MEASURES
     normal = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-    w = {"tags": normal(TAGS, WIDTH) * 8, "words": normal(WORDS, WIDTH) * 4, "v": normal(2 * CELLS + size), "c": np.zeros(1, np.float32)}
+    w = {"tags": normal(TAGS, WIDTH), "words": normal(WORDS, WIDTH), "v": normal(2 * CELLS + size), "c": np.zeros(1, np.float32)}
     for d in "ab":
         w |= {f"w{d}": normal(size, 4 * CELLS), f"u{d}": normal(CELLS, 4 * CELLS), f"b{d}": np.zeros(4 * CELLS, np.float32)}
         w[f"b{d}"][CELLS : 2 * CELLS] = 1
@@ -241,7 +296,8 @@ def train(pages: int = PAGES, epochs: int = EPOCHS, seed: int = 11) -> Labeller:
     made.sort(key=lambda m: len(m[0]))
     steps = [made[i : i + STEP] for i in range(0, len(made), STEP)]
     batches = [(Batch([m[0] for m in s]), s) for s in steps]
-    for _ in range(epochs):
+    for epoch in range(epochs):
+        rate = RATE * (1 + np.cos(np.pi * epoch / epochs)) / 2 + RATE / 50
         for k in rng.permutation(len(steps)):
             batch, part = batches[k]
             y = np.zeros(batch.shape, np.float32)
@@ -255,13 +311,13 @@ def train(pages: int = PAGES, epochs: int = EPOCHS, seed: int = 11) -> Labeller:
             grads["wb"], grads["ub"], grads["bb"], dxb = back(dboth[::-1, :, CELLS : 2 * CELLS], x[::-1], tape_b, w["wb"], w["ub"])
             dx = (dxa + dxb[::-1] + dboth[:, :, 2 * CELLS :]).reshape(-1, size)[batch.at]
             for name, values, of, n, a in (("tags", batch.tags, batch.tag_of, batch.tag_n, 0), ("words", batch.words, batch.word_of, batch.word_n, WIDTH)):
-                grads[name] = np.zeros_like(w[name])
-                np.add.at(grads[name], values, (dx[:, a : a + WIDTH] / n[:, None])[of])
+                each = dx[:, a : a + WIDTH] / n[:, None]
+                grads[name] = np.stack([np.bincount(values, each[of, j], len(w[name])) for j in range(WIDTH)], 1)
             t += 1
             for name, g in grads.items():
                 first[name] = 0.9 * first[name] + 0.1 * g
                 second[name] = 0.99 * second[name] + 0.01 * g * g
-                w[name] = (w[name] - 0.01 * (first[name] / (1 - 0.9**t)) / (np.sqrt(second[name] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
+                w[name] = (w[name] * (1 - rate * FADE.get(name, 0)) - rate * (first[name] / (1 - 0.9**t)) / (np.sqrt(second[name] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
     return model
 
 
@@ -274,101 +330,177 @@ def places(blocks: list[Block], marked: list[str]) -> set[int]:
     """Positions of the article's blocks: their texts in order."""
     found, k = set(), 0
     for i, block in enumerate(blocks):
-        if k < len(marked) and block.text == marked[k] and "head" not in block.path:
+        if k < len(marked) and block.text == marked[k] and not (block.node and block.node.headed):
             found.add(i)
             k += 1
     return found
 
 
+#: What menus, notices, adverts, footers and comments say about themselves; none of it is of the tables.
+SAID = {
+    "nav": "home about contact menu news products help login search next previous categories archive".split(),
+    "header": "welcome login search menu skip content sign subscribe".split(),
+    "footer": "copyright © rights reserved terms privacy policy imprint contact powered".split(),
+    "side": "related posts popular read more tags share follow recent archive".split(),
+    "ad": "advertisement sponsored buy offer sale shop discount deal free trial order".split(),
+    "notice": "cookies cookie consent accept site subscribe newsletter dismiss privacy".split(),
+    "form": "name email password send submit search message required".split(),
+    "comments": "comments reply says posted commented report likes thread".split(),
+}
+#: How each part may be named where the page names its parts.
+NAMED_PARTS = {
+    "nav": ["nav", "nav", "div class='menu'", "div id='nav'", "ul class='navigation'", "nav class='breadcrumb'", "menu"],
+    "header": ["header", "header class='site-header'", "div class='header'", "div id='masthead'", "div class='banner'"],
+    "footer": ["footer", "footer", "footer class='site-footer'", "div class='footer'", "div id='footer'"],
+    "side": ["aside", "aside class='sidebar'", "div class='sidebar'", "div id='sidebar'", "div class='related'", "section class='related-posts'", "div class='widget'", "div class='share social'"],
+    "ad": ["div class='ad'", "div class='ad'", "div class='advert'", "div class='ads banner'", "aside class='ad'", "div id='ad-top'", "div class='sponsored promo'", "section class='advertisement'"],
+    "notice": ["div class='notice'", "div class='cookie-notice'", "div id='cookie-banner'", "div class='alert'", "div role='alert'", "section class='notice'", "div class='newsletter subscribe'", "div class='popup modal'"],
+    "form": ["form", "form class='search'", "form id='login'", "form action='/s'"],
+    "comments": ["section class='comments'", "div id='comments'", "div class='comments'", "ol class='comment-list'", "div class='responses reader-comments'", "section id='disqus'"],
+    "main": ["article", "article", "article", "main", "div class='content'", "div id='main'", "section class='post'", "div class='entry-content article-body'", "main><article"],
+}
+
+
 def made_pages(count: int, seed: int) -> Iterator[tuple[str, list[str]]]:
-    """Pages with their article's blocks: invented words in many layouts, so that places and names teach, not words."""
-    rng = np.random.default_rng(seed)
-    syllables = "an be co da er fi gu ha in jo ka le mo na or pe qui ra se ti um ve wo za ción que eau ung sch heit the tion".split()
-    pick = lambda xs: xs[int(rng.integers(len(xs)))]
-    chance = lambda p: rng.random() < p
+    """Pages with their article's blocks: invented words, and layouts from plainly named parts to nameless ones, rows of a table, and a bare body.
+
+    A nameless part is told by its links, its length, its place and what it
+    says, so these teach as well as names do.
+    """
+    rng = Random(seed)
+    syllables = "an be co da er fi gu ha in jo ka le mo na or pe qui ra se ti um ve wo za ar ción que eau ung sch heit the tion".split()
+    pick, chance = rng.choice, lambda p: rng.random() < p
 
     def word() -> str:
-        w = "".join(pick(syllables) for _ in range(int(rng.integers(1, 4))))
-        return w.upper() + "!!" if style == 1 else w + pick(["###", "$$$", "%%%", "***"]) if style == 2 else w
+        w = "".join(pick(syllables) for _ in range(rng.randrange(1, 4)))
+        return w.upper() + "!!" if style == 1 else w + pick(["###", "$$$", "%%%", "***", "&amp;&amp;&amp;"]) if style == 2 else w
 
     def words(a: int, b: int) -> str:
-        text = [word() for _ in range(int(rng.integers(a, b)))]
+        text = [word() for _ in range(rng.randrange(a, b))]
         text[0] = text[0][:1].upper() + text[0][1:]
         return " ".join(w + "," * chance(0.06) for w in text) + pick([".", ".", "!", ""])
 
     def para() -> str:
-        return " ".join(words(4, 16) for _ in range(int(rng.integers(1, 6)))) if chance(0.8) else words(1, 5)
-
-    def links(n: int) -> str:
-        item = pick(["<li><a href='/{0}'>{0}</a></li>", "<li><a href=\"/x\">{0}</a>", "<a href='/{0}'>{0}</a> | "])
-        inner = "".join(item.format(words(1, 4)) for _ in range(n))
-        return f"<ul>{inner}</ul>" if "<li>" in item else inner
+        if chance(0.03):
+            return " ".join([word().capitalize() + pick([".", " |"])] * rng.randrange(1, 30))
+        if chance(0.03):
+            return " | ".join(words(1, 3) for _ in range(rng.randrange(1, 25)))
+        return " ".join(words(4, 16) for _ in range(rng.randrange(1, 6))) if chance(0.75) else words(1, 5)
+
+    def saying(kind: str, a: int, b: int) -> str:
+        """Words of which some are the part's own, more of them where nothing else names it."""
+        own = 0.3 if naming == "named" else 0.7
+        text = [pick(SAID[kind]) if chance(own) else word() for _ in range(rng.randrange(a, b))]
+        if naming != "named":
+            text[0] = pick(SAID[kind])
+        return (" ".join(text)).capitalize() + pick([".", "", "!"])
+
+    def links(kind: str, n: int) -> str:
+        item = pick(["<li><a href='/{0}'>{0}</a></li>", "<li><a href=\"/x\">{0}</a>", "<a href='/{0}'>{0}</a> | ", "<p><a href='/{0}'>{0}</a></p>", "<div><a href='#'>{0}</a></div>"])
+        inner = "".join(item.format(saying(kind, 1, 4) if chance(0.4) else words(1, 4)) for _ in range(n))
+        return f"{pick(['<ul>', '<ul>', '<ol>'])}{inner}</ul>" if "<li>" in item else inner
+
+    def wrap(kind: str) -> str:
+        """An opening tag without its brackets: named for what it holds, or by a code, or not at all."""
+        if naming == "named":
+            return pick(NAMED_PARTS[kind])
+        tag = pick(["div", "div", "div", "section"]) if kind != "form" or naming == "none" else "form"
+        return f"{tag} {pick(['class', 'class', 'id'])}='{pick('bcdkmqrtvxz')}{rng.randrange(100)}'" if chance(0.6) else tag
 
     def other(kind: str) -> str:
-        n = int(rng.integers(2, 9))
-        few = "".join(f"<p>{para()}</p>" for _ in range(int(rng.integers(1, 3)))) if chance(0.4) else words(3, 14)
+        n, own = rng.randrange(2, 9), naming != "named"
+        few = "".join(f"<p>{saying(kind, 3, 22) if own or chance(0.5) else para()}</p>" for _ in range(rng.randrange(1, 3))) if chance(0.4) else saying(kind, 3, 14) if own else words(3, 14)
         if kind == "nav":
-            name, body = pick(["nav", "nav", "div class='menu'", "div id='nav'", "ul class='navigation'", "nav class='breadcrumb'", "menu"]), links(n)
+            body = links(kind, n)
         elif kind == "header":
-            name, body = pick(["header", "header class='site-header'", "div class='header'", "div id='masthead'", "div class='banner'"]), f"<h1>{words(1, 5)}</h1>" * chance(0.4) + few + links(3) * chance(0.3)
+            body = f"<h1>{words(1, 5)}</h1>" * (not own and chance(0.3)) + few + links(kind, 3) * (own or chance(0.3))
         elif kind == "footer":
-            name, body = pick(["footer", "footer", "footer class='site-footer'", "div class='footer'", "div id='footer'"]), pick(["&copy; ", "&copy; host.example.com &middot; ", ""]) + few + links(3) * chance(0.3)
+            body = pick(["&copy; ", "&copy; host.example &middot; ", f"&copy; {rng.randrange(1990, 2030)} ", "" if naming == "named" else f"Copyright {rng.randrange(1990, 2030)} - "]) + few + links(kind, 3) * chance(0.3)
         elif kind == "side":
-            name, body = pick(["aside", "aside class='sidebar'", "div class='sidebar'", "div id='sidebar'", "div class='related'", "section class='related-posts'", "div class='widget'", "div class='share social'"]), f"<h3>{words(1, 4)}</h3>" * chance(0.6) + (links(n) if chance(0.5) else few)
-        elif kind == "ad":
-            name, body = pick(["div class='ad'", "div class='ad'", "div class='advert'", "div class='ads banner'", "aside class='ad'", "div id='ad-top'", "div class='sponsored promo'", "section class='advertisement'"]), few
+            body = f"<h3>{saying(kind, 1, 4)}</h3>" * chance(0.6) + (links(kind, n) if own or chance(0.5) else few)
         elif kind == "notice":
-            name, body = pick(["div class='notice'", "div class='cookie-notice'", "div id='cookie-banner'", "div class='alert'", "div role='alert'", "section class='notice'", "div class='newsletter subscribe'", "div class='popup modal'"]), few + "<button>OK</button>" * chance(0.5)
+            body = few + "<button>OK</button>" * chance(0.5)
         elif kind == "form":
-            name, body = pick(["form", "form class='search'", "form id='login'", "form action='/s'"]), f"<label>{words(1, 4)}</label><input name='q'><p>{words(1, 6)}</p><select><option>{words(1, 3)}<option>{words(1, 3)}</select><button>{words(1, 3)}</button>"
+            body = f"<label>{saying(kind, 1, 4)}</label><input name='q'><p>{saying(kind, 1, 6)}</p><select><option>{words(1, 3)}<option>{words(1, 3)}</select><button>{saying(kind, 1, 3)}</button>"
+        elif kind == "comments":
+            shape = pick(["<div class='comment'><p>{}</p></div>", "<p class='comment'>{}</p>", "<article class='comment'><p>{}</p></article>", "<li class='comment'>{}</li>", "<p>{}</p>"] if not own else ["<div>{}</div>", "<p>{}</p>", "<li>{}</li>"])
+            said = lambda: f"{words(1, 3)} {pick(['says', 'commented', 'posted', 'reply'])}: {para()}" if own else para()
+            body = f"<h2>{saying(kind, 1, 4)}</h2>" * (own or chance(0.7)) + "".join(shape.format(said()) for _ in range(rng.randrange(1, 6)))
         else:
-            name = pick(["section class='comments'", "div id='comments'", "div class='comments'", "ol class='comment-list'", "div class='responses reader-comments'", "section id='disqus'"])
-            inner = "".join(pick(["<div class='comment'><p>{}</p></div>", "<p class='comment'>{}</p>", "<article class='comment'><p>{}</p></article>", "<li class='comment'>{}</li>", "<p>{}</p>"]).format(para()) for _ in range(int(rng.integers(1, 6))))
-            body = f"<h2>{words(1, 4)}</h2>" * chance(0.7) + inner
+            body = few
+        if layout == "table" and naming != "named" and chance(0.4):
+            return body  # the cell itself holds it
+        name = wrap(kind)
         return f"<{name}>{body}</{name.split()[0]}>"
 
     for _ in range(count):
-        style, marked, main = int(rng.choice([0, 0, 0, 1, 2])), [], []
+        style, naming, marked, main = rng.choice([0, 0, 0, 1, 2]), pick(["named", "named", "named", "coded", "none"]), [], []
+        layout = pick(["wrapped", "wrapped", "table", "bare"]) if naming != "named" else pick(["wrapped", "wrapped", "wrapped", "wrapped", "table", "bare"])
         title = words(2, 9)
 
         def add(markup: str, text: str) -> None:
             main.append(markup)
-            marked.append(" ".join(text.split()))
+            marked.append(" ".join(html.unescape(text).split()))
 
         if chance(0.85):
-            add(f"<h1>{title}</h1>", title)
-        for _ in range(int(rng.integers(1, 14))):
+            level = pick(["h1", "h1", "h2"])
+            add(f"<{level}>{title}</{level}>", title)
+        for _ in range(rng.randrange(1, pick([3, 6, 14]))):
             text, kind = para(), rng.random()
-            if kind < 0.5:
+            if kind < 0.44:
                 add(f"<p>{text}</p>", text)
-            elif kind < 0.62:
+            elif kind < 0.56:
                 more = words(2, 9)
                 add(f"<p><b>{text}<br>", text)
                 add(f"<p>{more}</p>", more)
-            elif kind < 0.7:
+            elif kind < 0.62:
                 add(f"<p>{text}", text)
-            elif kind < 0.77:
-                add(f"<h2>{text}</h2>", text)
-            elif kind < 0.83:
-                items = [words(1, 9) for _ in range(int(rng.integers(1, 5)))]
-                main.append("<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul>")
-                marked += items
-            elif kind < 0.88:
+            elif kind < 0.69:
+                level = pick(["h2", "h2", "h3"])
+                add(f"<{level}>{words(1, 8) if chance(0.7) else text}</{level}>", "")
+                marked[-1] = " ".join(html.unescape(re.sub("<[^>]*>", "", main[-1])).split())
+            elif kind < 0.75:
+                items, tag = [words(1, 9) for _ in range(rng.randrange(1, 5))], pick(["ul", "ol"])
+                main.append(f"<{tag}>" + "".join(f"<li>{i}</li>" for i in items) + f"</{tag}>")
+                marked += [" ".join(html.unescape(i).split()) for i in items]
+            elif kind < 0.79:
                 add(f"<blockquote>{text}</blockquote>", text)
-            elif kind < 0.93:
+            elif kind < 0.83:
+                add(f"<pre>{text}</pre>", text)
+            elif kind < 0.86:
+                term, told = words(1, 3), words(2, 12)
+                add(f"<dl><dt>{term}</dt>", term)
+                add(f"<dd>{told}</dd></dl>", told)
+            elif kind < 0.89:
+                add(f"<figure><img src='x.png'><figcaption>{text}</figcaption></figure>", text)
+            elif kind < 0.92:
+                add(f"<div>{text}</div>", text)
+            elif kind < 0.94:
                 add(f"<p><a href='/x'>{text}</a> {title} <em>{text}</em></p>", f"{text} {title} {text}")
             elif kind < 0.96:
                 add(f"<table><tr><td>{text}</table>", text)
-            else:
+            elif naming == "named":
                 main.append(other(pick(["ad", "side", "form", "notice"])))
+        if chance(0.25):
+            last = words(1, pick([2, 3]))
+            add(f"<p>{last}</p>", last)
         tail = other("comments") if chance(0.3) else ""
-        place = pick(["article", "article", "article", "main", "div class='content'", "div id='main'", "section class='post'", "div class='entry-content article-body'", "main><article"])
+        place = wrap("main") if naming != "named" else pick(NAMED_PARTS["main"])
+        if naming == "none" and chance(0.3):
+            place = pick(["main", "article", "section"])
         closing = "".join(f"</{t.split()[0]}>" for t in reversed(place.split("><")))
         inside = chance(0.3)
         before = [other(k) for k in ("header", "nav", "notice", "ad", "side", "form") if chance(0.42)]
         after = [other(k) for k in ("ad", "side", "nav", "form", "notice") if chance(0.25)] + ([other("footer")] if chance(0.9) else [])
         rng.shuffle(before)
-        body = "".join(before) + f"<{place}>" + "".join(main) + tail * inside + closing * chance(0.95) + tail * (not inside) + "".join(after)
+        content = "".join(main) + tail * inside
+        if layout == "wrapped":
+            body = "".join(before) + f"<{place}>" + content + closing * chance(0.95) + tail * (not inside) + "".join(after)
+        elif layout == "table":
+            cell = pick(["</td><td>", "</td></tr><tr><td>"])
+            body = "<table><tr><td>" + cell.join([*before, content, tail * (not inside), *after]) + "</td></tr></table>"
+        else:
+            body = "".join(before) + content + tail * (not inside) + "".join(after)
         yield f"<!DOCTYPE html><html lang='en'><head><meta charset='utf-8'><title>{title}</title><style>p{{margin:0}}</style><script>var t=\"</p>\";</script></head><body>{body}" + "</body></html>" * chance(0.9), marked
 
 
@@ -378,7 +510,7 @@ def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
     Null and empty pages, and pages without a block that counts, have an empty
     text.  Repeated rows stay, null ids and urls too; other columns are not read.
     """
-    sent = pages.sparkSession.sparkContext.broadcast(labeller())
+    sent = batched(pages).sparkSession.sparkContext.broadcast(labeller())
 
     @F.arrow_udf("string")
     def extracted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
