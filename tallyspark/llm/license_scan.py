@@ -9,98 +9,22 @@ other's priority is higher, or equal with a longer interval.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import batched, slices
+from .license_rules import rules
+
 #: Bytes of words: digits, a-z and all that is not ASCII; A-Z become a-z, the rest parts words.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 #: Phrases whose places are the base (phrase, label).
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: Licences as (label, name pattern); words are lower-case and joined by one space.
-NAMES = (
-    ("mit", r"mit"),
-    ("apache-1.1", r"apache(?: software)?(?: license)?(?: version)?(?: v)? ?1 1"),
-    ("apache-2", r"apache(?: software)?(?: license)?(?: version)?(?: v)? ?2(?: 0)?"),
-    ("bsd-2-clause", r"(?:simplified |free)?bsd(?: 2 clause| two clause| simplified)"),
-    ("bsd-3-clause", r"(?:new |modified |revised )?bsd(?: 3 clause| three clause| new)"),
-    ("bsd", r"bsd(?: style)?"),
-    ("gpl-2", r"(?:gnu )?(?:gpl|general public license)(?: version)?(?: v)? ?v?2(?: 0)?"),
-    ("gpl-3", r"(?:gnu )?(?:gpl|general public license)(?: version)?(?: v)? ?v?3(?: 0)?"),
-    ("gpl", r"(?:gnu )?(?:gpl|general public license)"),
-    ("lgpl-2.1", r"(?:gnu )?(?:lgpl|lesser general public license)(?: version)?(?: v)? ?v?2 1"),
-    ("lgpl-3", r"(?:gnu )?(?:lgpl|lesser general public license)(?: version)?(?: v)? ?v?3(?: 0)?"),
-    ("agpl-3", r"(?:gnu )?(?:agpl|affero general public license)(?: version)?(?: v)? ?v?3(?: 0)?"),
-    ("mpl-1.1", r"(?:mozilla public license|mpl)(?: version)?(?: v)? ?1 1"),
-    ("mpl-2", r"(?:mozilla public license|mpl)(?: version)?(?: v)? ?2(?: 0)?"),
-    ("epl-1", r"(?:eclipse public license|epl)(?: version)?(?: v)? ?1(?: 0)?"),
-    ("epl-2", r"(?:eclipse public license|epl)(?: version)?(?: v)? ?2(?: 0)?"),
-    ("cddl-1", r"(?:common development and distribution license|cddl)(?: version)?(?: 1 0)?"),
-    ("isc", r"isc"),
-    ("zlib", r"zlib(?: libpng)?"),
-    ("unlicense", r"unlicense"),
-    ("wtfpl", r"wtfpl"),
-    ("artistic-2", r"artistic(?: license)?(?: version)?(?: 2 0)"),
-    ("boost-1", r"boost(?: software)?(?: license)?(?: version)?(?: 1 0)?"),
-    ("postgresql", r"postgresql"),
-    ("python-2", r"(?:python software foundation|psf)(?: license)?(?: version)?(?: 2)?"),
-    ("ofl-1.1", r"(?:sil )?open font(?: license)?(?: version)?(?: 1 1)?"),
-    ("cc0-1", r"(?:cc0|cc zero)(?: 1 0)?(?: universal)?"),
-    ("cc-by", r"(?:cc by|creative commons attribution)(?: [1-4] [05])?(?: international)?"),
-    ("cc-by-sa", r"(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] [05])?(?: international)?"),
-    ("cc-by-nd", r"(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s(?: works)?)(?: [1-4] [05])?(?: international)?"),
-    ("cc-by-nc", r"(?:cc by nc|creative commons attribution non ?commercial)(?: [1-4] [05])?(?: international)?"),
-    ("cc-by-nc-sa", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] [05])?(?: international)?"),
-    ("cc-by-nc-nd", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s(?: works)?)(?: [1-4] [05])?(?: international)?"),
-)
-#: How a licence is spoken of: (pattern with its place, keyword, priority, confidence).
-FORMS = (
-    (r"spdx license identifier {}", "spdx", 90, 1.0),
-    (r"(?:is |are )?(?:released|licensed|distributed|published|available|provided) (?:under|subject to) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{}(?: licen[cs]e)?", "under", 80, 0.95),
-    (r"(?:released|licensed|distributed) subject to (?:the )?(?:terms of )?(?:the )?{}(?: licen[cs]e)?", "subject to", 79, 0.95),
-    (r"under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{} licen[cs]e", "under", 70, 0.9),
-    (r"the {} licen[cs]e", "licen", 60, 0.8),
-    (r"{} licen[cs]e(?:d)?", "licen", 50, 0.7),
-    (r"licen[cs]e {}", "licen", 45, 0.6),
-    (r"copying {}", "copying", 40, 0.5),
-)
-#: Texts that stand for a licence without its name: (label, pattern, keyword, priority, confidence).
-TEXTS = (
-    ("mit", r"permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby", 100, 1.0),
-    ("isc", r"permission to use copy modify and or distribute this software for any purpose", "permission to use", 100, 1.0),
-    ("bsd", r"redistribution and use in source and binary forms with or without modification", "redistribution and use", 100, 0.95),
-    ("zlib", r"altered source versions must be plainly marked as such", "altered source", 100, 1.0),
-    ("unlicense", r"this is free and unencumbered software released into the public domain", "unencumbered", 100, 1.0),
-    ("public-domain", r"(?:placed|released|dedicated) (?:in|in ?to) the public domain", "public domain", 60, 0.8),
-    ("all-rights-reserved", r"all rights reserved", "all rights reserved", 30, 0.5),
-    ("apache-2", r"apache license version 2", "apache license", 75, 0.9),
-    ("mit", r"under the mit license", "mit license", 75, 0.9),
-    ("cc-by-nc", r"cc by nc", "cc by nc", 35, 0.6),
-)
-
-
-@dataclass(frozen=True)
-class Rule:
-    label: str
-    pattern: re.Pattern
-    keyword: str
-    priority: int
-    confidence: float
-
-
-@lru_cache(1)
-def rules() -> tuple[Rule, ...]:
-    """Every form for every name, then the texts: in all a few hundred rules, in order."""
-    made = [Rule(label, re.compile(rf"(?<![^ ]){form.format(name)}(?![^ ])"), word, priority, sure) for form, word, priority, sure in FORMS for label, name in NAMES]
-    return tuple(made + [Rule(label, re.compile(rf"(?<![^ ]){p}(?![^ ])"), keyword, priority, sure) for label, p, keyword, priority, sure in TEXTS])
-
 
 class Scanner:
     def __init__(self, base: tuple = BASE):
@@ -112,30 +36,35 @@ class Scanner:
         for keyword, which in by.items():
             self.keywords.add_word(keyword, which)
         self.keywords.make_automaton()
-        # A text that has none of these can meet no rule and no base phrase.
-        self.gate = tuple(k.encode() for k in {*by, *(phrase for phrase, _ in base)})
 
     def scan(self, text: str | None) -> tuple[int, list[dict], list[dict]]:
         """How many words; base places (label, start); detections (label, start, end, rule, confidence), by start. Words count from 0, ends stand behind the last word."""
         words = (text or "").encode("utf-8", "replace").translate(WORD_BYTES).split()
         line = b" ".join(words)
-        if not any(k in line for k in self.gate):
-            return len(words), [], []
-        spoken = line.decode()
+        # a character a byte: patterns and keywords are ASCII, and words are parted by spaces alone
+        spoken = line.decode("latin-1")
+        ends = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
         places = []
         for phrase, label in self.base:
             at = spoken.find(phrase)
             while at >= 0:
                 if (at == 0 or spoken[at - 1] == " ") and spoken[at + len(phrase) : at + len(phrase) + 1] in ("", " "):
-                    places.append({"label": label, "start": spoken.count(" ", 0, at)})
+                    places.append((at, label))
                 at = spoken.find(phrase, at + 1)
+        met = {i for _, which in self.keywords.iter(spoken) for i in which}
+        if not met and not places:
+            return len(words), [], []
         found = []
-        for i in sorted({i for _, which in self.keywords.iter(spoken) for i in which}):
+        for i in sorted(met):
             rule = self.rules[i]
             found += [(rule.priority, m.end() - m.start(), -i, m.start(), m.end()) for m in rule.pattern.finditer(spoken)]
-        return len(words), sorted(places, key=lambda p: (p["start"], p["label"])), [
-            {"label": self.rules[-i].label, "start": spoken.count(" ", 0, a), "end": spoken.count(" ", 0, b) + 1, "rule": -i, "confidence": self.rules[-i].confidence} for _, _, i, a, b in sorted(resolved(found), key=lambda d: (d[3], d[2]))
-        ]
+        # words are numbered once: a character's word is the number of spaces in front of it
+        word = lambda at: np.searchsorted(ends, at).tolist()
+        places = [{"label": label, "start": k} for k, (_, label) in zip(word([at for at, _ in places]), places)]
+        left = sorted(resolved(found), key=lambda d: (d[3], d[2]))
+        spans = zip(word([d[3] for d in left]), word([d[4] for d in left]), left)
+        detections = [{"label": self.rules[-d[2]].label, "start": a, "end": b + 1, "rule": -d[2], "confidence": self.rules[-d[2]].confidence} for a, b, d in spans]
+        return len(words), sorted(places, key=lambda p: (p["start"], p["label"])), detections
 
 
 def resolved(found: list[tuple]) -> list[tuple]:
@@ -166,9 +95,9 @@ def scan_licenses(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
     @F.arrow_udf("struct<n_words:bigint,base:array<struct<label:string,start:bigint>>,detections:array<struct<label:string,start:bigint,end:bigint,rule:int,confidence:double>>>")
     def scanned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scanner = Scanner(base)
-        for batch in batches:
+        for batch in slices(batches):
             n, places, found = zip(*[scanner.scan(t.as_py()) for t in batch]) if len(batch) else ((), (), ())
             yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(places, pa.list_(place)), pa.array(found, pa.list_(spot))], ["n_words", "base", "detections"])
 
     score = F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("detections", lambda d: d["confidence"])), F.lit(0.0)))
-    return documents.select(F.col(id_col).alias(id_col), scanned(F.col(text_col)).alias("s")).select(id_col, "s.*").withColumn("score", score)
+    return batched(documents).select(F.col(id_col).alias(id_col), scanned(F.col(text_col)).alias("s")).select(id_col, "s.*").withColumn("score", score)
