@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import batched
+
 #: Bytes of a sample, samples per second, samples per chunk of the file, and the distance of sync samples.
 SAMPLE, TIMESCALE, CHUNK, KEY = 64, 25, 64, 16
 #: Boxes that hold boxes.
@@ -74,6 +76,9 @@ def mux(payload: bytes, codec: bytes = b"raw ") -> bytes:
 
 def walk(data: bytes, start: int, end: int, path: str = "") -> Iterator[tuple[str, int, int]]:
     """(path, start, end) of the body of each box, parents before children; a box that overruns its parent ends the walk there."""
+    # boxes nest a few levels deep; a broken file that claims more ends the walk
+    if path.count("/") > 12:
+        return
     while start + 8 <= end:
         size, kind = struct.unpack_from(">I4s", data, start)
         head = 8
@@ -93,45 +98,82 @@ def walk(data: bytes, start: int, end: int, path: str = "") -> Iterator[tuple[st
 EMPTY = {"brand": None, "codec": None, "timescale": 0, "duration": 0, "samples": 0, "keyframes": [], "payload": None}
 
 
-def probe(data: bytes | None) -> dict:
-    """What a file's first track says; EMPTY for null and for bytes without a whole sample table."""
-    if not data:
-        return EMPTY
+def inner(data: bytes, start: int, end: int, *names: str) -> tuple[int, int] | None:
+    """The body of the first box at a path below a body."""
+    for name in names:
+        found = next(((a, b) for path, a, b in walk(data, start, end) if path == f"/{name}"), None)
+        if found is None:
+            return None
+        start, end = found
+    return start, end
+
+
+def numbers(data: bytes, kind: str, count: int, at: int, end: int) -> np.ndarray:
+    """``count`` numbers of a table that lies in the box body up to ``end``; a table that claims more than its box holds is broken."""
+    if count * np.dtype(kind).itemsize > end - at:
+        raise ValueError("the table is longer than its box")
+    return np.frombuffer(data, kind, count, at).astype(np.int64)
+
+
+def probe_track(data: bytes, start: int, end: int) -> dict | None:
+    """codec, timescale, duration, samples, keyframes and payload of the track in a body; None without a whole sample table."""
+    mdhd, stbl = inner(data, start, end, "mdia", "mdhd"), inner(data, start, end, "mdia", "minf", "stbl")
+    if mdhd is None or stbl is None:
+        return None
     at: dict[str, tuple[int, int]] = {}
-    for path, a, b in walk(data, 0, len(data)):
-        at.setdefault(path, (a, b))
-    table = "/moov/trak/mdia/minf/stbl/"
-    wide = table + "co64" in at
-    if any(k not in at for k in ("/ftyp", "/moov/trak/mdia/mdhd", table + "stsd", table + "stsc", table + "stsz", table + ("co64" if wide else "stco"))):
-        return EMPTY
+    for path, a, b in walk(data, *stbl):
+        at.setdefault(path[1:], (a, b))
+    wide = "co64" in at
+    if any(k not in at for k in ("stsd", "stsc", "stsz", "co64" if wide else "stco")):
+        return None
     try:
-        a = at["/moov/trak/mdia/mdhd"][0]
+        a = mdhd[0]
         timescale, duration = struct.unpack_from(">IQ", data, a + 20) if data[a] == 1 else struct.unpack_from(">II", data, a + 12)
-        codec = data[at[table + "stsd"][0] + 12 : at[table + "stsd"][0] + 16].decode("latin-1")
-        a = at[table + "stsz"][0]
+        codec = data[at["stsd"][0] + 12 : at["stsd"][0] + 16].decode("latin-1")
+        a, b = at["stsz"]
         size, n = struct.unpack_from(">II", data, a + 4)
-        sizes = np.full(n, size, np.int64) if size else np.frombuffer(data, ">u4", n, a + 12).astype(np.int64)
-        a = at[table + ("co64" if wide else "stco")][0]
-        chunks = np.frombuffer(data, ">u8" if wide else ">u4", struct.unpack_from(">I", data, a + 4)[0], a + 8).astype(np.int64)
-        a = at[table + "stsc"][0]
-        runs = np.frombuffer(data, ">u4", 3 * struct.unpack_from(">I", data, a + 4)[0], a + 8).astype(np.int64).reshape(-1, 3)
-        per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1)))
-        chunk_of = np.repeat(np.arange(len(chunks)), per)[:n]
+        # samples of one size need no table, so their number is bounded by the bytes of the file instead
+        if size and n * size > len(data):
+            return None
+        sizes = np.full(n, size, np.int64) if size else numbers(data, ">u4", n, a + 12, b)
+        a, b = at["co64" if wide else "stco"]
+        chunks = numbers(data, ">u8" if wide else ">u4", struct.unpack_from(">I", data, a + 4)[0], a + 8, b)
+        a, b = at["stsc"]
+        runs = numbers(data, ">u4", 3 * struct.unpack_from(">I", data, a + 4)[0], a + 8, b).reshape(-1, 3)
+        times = np.diff(np.append(runs[:, 0], len(chunks) + 1))
+        if (times < 0).any() or (n and (runs[:, 1] * times).sum() < n):
+            return None
+        # a run of chunks holds no more samples than there are, so nothing longer than the sample table is made
+        first = np.minimum(np.append(0, np.cumsum(np.repeat(np.minimum(runs[:, 1], n), times)))[: len(chunks)], n)
+        ends = np.append(first[1:], n)
+        chunk_of = np.repeat(np.arange(len(chunks)), ends - first)
         before = np.cumsum(sizes) - sizes
-        first = np.searchsorted(chunk_of, np.arange(len(chunks)))
         starts = chunks[chunk_of] + before - before[first[chunk_of]] if n else np.zeros(0, np.int64)
-        if table + "stss" in at:
-            a = at[table + "stss"][0]
-            keys = np.frombuffer(data, ">u4", struct.unpack_from(">I", data, a + 4)[0], a + 8).astype(np.int64) - 1
+        if n and ((starts < 0).any() or (starts + sizes > len(data)).any()):
+            return None
+        if "stss" in at:
+            a, b = at["stss"]
+            keys = numbers(data, ">u4", struct.unpack_from(">I", data, a + 4)[0], a + 8, b) - 1
         else:
             keys = np.arange(n)
-        ends = np.append(first[1:], n)
         payload = b"".join(data[starts[f] : starts[e - 1] + sizes[e - 1]] for f, e in zip(first, ends) if e > f)
-        brand = data[at["/ftyp"][0] : at["/ftyp"][0] + 4].decode("latin-1")
-        frames = [{"start": int(starts[k]), "end": int(starts[k] + sizes[k])} for k in keys]
+        frames = [{"start": int(starts[k]), "end": int(starts[k] + sizes[k])} for k in keys if 0 <= k < n]
     except (struct.error, ValueError, IndexError):
+        return None
+    return {"codec": codec, "timescale": timescale, "duration": duration, "samples": int(n), "keyframes": frames, "payload": payload}
+
+
+def probe(data: bytes | None) -> dict:
+    """What a file's first whole track says; EMPTY for null and for bytes without one. Each track is read by its own boxes alone."""
+    if not data:
+        return EMPTY
+    ftyp, moov = inner(data, 0, len(data), "ftyp"), inner(data, 0, len(data), "moov")
+    if ftyp is None or moov is None:
         return EMPTY
-    return {"brand": brand, "codec": codec, "timescale": timescale, "duration": duration, "samples": int(n), "keyframes": frames, "payload": payload}
+    for path, a, b in walk(data, *moov):
+        if path == "/trak" and (track := probe_track(data, a, b)):
+            return {"brand": data[ftyp[0] : ftyp[0] + 4].decode("latin-1"), **track}
+    return EMPTY
 
 
 def store_media(rows: DataFrame, payload_col: str = "payload", out: str = "media") -> DataFrame:
@@ -142,7 +184,7 @@ def store_media(rows: DataFrame, payload_col: str = "payload", out: str = "media
         for batch in batches:
             yield pa.array([mux(pad(x.as_py() or b"")) for x in batch], pa.binary())
 
-    return rows.withColumn(out, muxed(F.col(payload_col)))
+    return batched(rows).withColumn(out, muxed(F.col(payload_col)))
 
 
 def describe_media(rows: DataFrame, media_col: str = "media", out: str = "info") -> DataFrame:
@@ -158,4 +200,4 @@ def describe_media(rows: DataFrame, media_col: str = "media", out: str = "info")
         for batch in batches:
             yield pa.array([probe(x.as_py()) for x in batch], arrow)
 
-    return rows.withColumn(out, probed(F.col(media_col)))
+    return batched(rows).withColumn(out, probed(F.col(media_col)))
