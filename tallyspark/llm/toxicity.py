@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import batched, held_out, written
 
 BITS = 20
-#: Labelled rows the model learns from at most (the bound of the fitting sample), and passes over them.
-SAMPLE, EPOCHS = 10_000, 5
+#: The bound of the fitting sample: about SAMPLE labelled rows, and FEATURES features (four bytes each) in all of them. Passes over them.
+SAMPLE, FEATURES, EPOCHS = 10_000, 12_000_000, 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.1
 THRESHOLD = 0.3
 #: A longer word also counts as its first bytes, so that its endings share what they teach.
@@ -86,9 +86,10 @@ def ftrl(rows: list[np.ndarray], labels: list[int], epochs: int = EPOCHS, bits:
 
 
 def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Weights:
-    """Learn from labelled rows outside the held-out fold, about ``sample`` of them and twice that at most.
+    """Learn from labelled rows outside the held-out fold, about ``sample`` of them and twice that at most, each a whole text.
 
-    Null labels teach nothing; a repeated id teaches with its largest label.
+    Where their features are more than FEATURES, a smaller share of the rows
+    is drawn, so what comes to the driver is bounded in bytes.  Null labels teach nothing; a repeated id teaches with its largest label.
     Without labelled rows every score is that of the prior (under 0.01).
     """
     marks = labels.filter(~held_out(F.col(id_col))).filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
@@ -101,9 +102,13 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
         for batch in batches:
             yield pa.array([np.unique(np.concatenate([*features(t.as_py()), np.zeros(0, np.int32)])).tobytes() for t in batch], pa.binary())
 
-    rows = texts.select("id", "y", hashed("text").alias("f")).collect()
-    rows.sort(key=lambda r: (r["id"], r["f"]))
-    return ftrl([np.frombuffer(r["f"], np.int32) for r in rows], [int(r["y"] > 0) for r in rows])
+    drawn_rows = written(batched(texts).select("id", "y", hashed("text").alias("f")))
+    held = drawn_rows.agg(F.coalesce(F.sum(F.length("f") / 4), F.lit(0.0))).first()[0]
+    if held > FEATURES:
+        drawn_rows = drawn_rows.filter(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(1_000_000)) < FEATURES / held * 1_000_000)
+    found = drawn_rows.orderBy("id", "f").toArrow()
+    rows = [np.frombuffer(f.as_buffer(), np.int32) for f in found["f"]]
+    return ftrl(rows, [int(y > 0) for y in found["y"].to_pylist()])
 
 
 def scorer(model: Weights, spark):
@@ -130,7 +135,7 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, *, id_col: str = "do
     as held out.  Repeated rows stay; other columns are not read.
     """
     model = model or fit(documents, labels, id_col=id_col, text_col=text_col, label_col=label_col)
-    found = documents.select(F.col(id_col).alias(id_col), held_out(F.col(id_col)).alias("held_out"), scorer(model, documents.sparkSession)(F.col(text_col)).alias("score"))
+    found = batched(documents).select(F.col(id_col).alias(id_col), held_out(F.col(id_col)).alias("held_out"), scorer(model, documents.sparkSession)(F.col(text_col)).alias("score"))
     return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -138,4 +143,4 @@ def keep_clean(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id
     """The rows that score under the threshold, all columns."""
     model = fit(documents, labels, id_col=id_col, text_col=text_col, label_col=label_col)
     row = F.struct(*documents.columns).alias("row")
-    return documents.select(row, scorer(model, documents.sparkSession)(F.col(text_col)).alias("score")).filter(F.col("score") < threshold).select("row.*")
+    return batched(documents).select(row, scorer(model, documents.sparkSession)(F.col(text_col)).alias("score")).filter(F.col("score") < threshold).select("row.*")
