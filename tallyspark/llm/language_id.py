@@ -10,20 +10,20 @@ all training texts of its length reach.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, held_out
+from .common import batched, blocks, held_out, slices, written
 
 #: Hashed n-gram buckets, centroids per language, and rows a language may teach with (the bound of the fitting sample).
 BUCKETS, CLUSTERS, SAMPLE = 4096, 4, 400
 #: A text is rejected below SLACK times the LOW quantile of its length class.
 LOW, SLACK = 0.005, 0.5
-MAX_LANGUAGES = 500
 #: Bytes that part words: ASCII other than letters; A-Z become a-z, other bytes stay.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
@@ -57,7 +57,7 @@ def length_class(counts: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Centroids:
-    """At most MAX_LANGUAGES x CLUSTERS rows of BUCKETS floats."""
+    """CLUSTERS rows of BUCKETS floats a language: 64 KB each, so all languages of the world are under 500 MB, and four are 256 KB."""
 
     langs: list[str]
     of: np.ndarray
@@ -86,33 +86,64 @@ def clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def fit(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, k: int = CLUSTERS) -> Centroids | None:
-    """Learn from rows outside the held-out fold with a language and a letter in the text; about ``sample`` rows of a language, twice that at most. None without such rows."""
+    """Learn from rows outside the held-out fold with a language and a letter in the text; about ``sample`` rows of a language, twice that at most. None without such rows.
+
+    Each language is clustered in a task of its own; only centroids, document
+    frequencies by partition, and a cosine for each sampled row come to the driver.
+    """
     known = documents.filter(~held_out(F.col(id_col))).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not sizes:
         return None
-    shares = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample / n))])
+    shares = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, sample / n))])
     drawn = known.filter(F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) < shares[F.col("lang")] * 1_000_000).limit(2 * sample * len(sizes))
 
     @F.arrow_udf("binary")
     def counts_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in slices(batches, 64):
             yield pa.array([np.minimum(row, 65535).astype(np.uint16).tobytes() for run in blocks(batch.to_pylist()) for row in gram_counts(run)], pa.binary())
 
-    rows = drawn.select("lang", counts_of("text").alias("counts"), F.xxhash64("id", "text").alias("h")).collect()
-    rows.sort(key=lambda r: (r["lang"], r["h"]))
-    counts = np.stack([np.frombuffer(r["counts"], np.uint16) for r in rows]).astype(np.float32)
-    idf = np.log((1 + len(rows)) / (1 + (counts > 0).sum(0))).astype(np.float32) + np.float32(1)
-    x, langs = vectors(counts, idf), sorted(sizes)
-    lang_of = np.array([langs.index(r["lang"]) for r in rows])
-    parts = [clusters(x[lang_of == i], k) for i in range(len(langs)) if (lang_of == i).any()]
-    of = np.concatenate([np.full(len(p), i) for i, p in zip([i for i in range(len(langs)) if (lang_of == i).any()], parts)])
-    matrix = np.vstack(parts).astype(np.float32)
-    best, long = (x @ matrix.T).max(1), length_class(counts)
+    rows = written(batched(drawn).select("lang", counts_of("text").alias("counts"), F.xxhash64("id", "text").alias("h")))
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, df = 0, np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            x = matrix_of(batch.column(0))
+            n, df = n + len(x), df + (x > 0).sum(0)
+        yield pa.RecordBatch.from_pydict({"n": [n], "df": [df.tobytes()]})
+
+    parts = batched(rows.select("counts").coalesce(16)).mapInArrow(frequencies, "n bigint, df binary").collect()
+    n, df = sum(r["n"] for r in parts), sum((np.frombuffer(r["df"], np.int64) for r in parts), np.zeros(BUCKETS, np.int64))
+    if not n:
+        return None
+    idf = np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(1)
+
+    def clustered(key: tuple, table: pa.Table) -> pa.Table:
+        order = pa.compute.sort_indices(table["h"])
+        found = clusters(vectors(matrix_of(table["counts"].combine_chunks().take(order)), idf), k)
+        return pa.table({"lang": pa.array([key[0].as_py()] * len(found)), "k": pa.array(range(len(found)), pa.int32()), "centroid": pa.array([c.astype(np.float32).tobytes() for c in found], pa.binary())})
+
+    found = sorted(rows.groupBy("lang").applyInArrow(clustered, "lang string, k int, centroid binary").collect(), key=lambda r: (r["lang"], r["k"]))
+    langs = sorted({r["lang"] for r in found})
+    matrix = np.stack([np.frombuffer(r["centroid"], np.float32) for r in found])
+    model = Centroids(langs, np.array([langs.index(r["lang"]) for r in found]), matrix, idf, np.zeros(16))
+    sent = documents.sparkSession.sparkContext.broadcast(model)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = matrix_of(batch.column(0))
+            yield pa.RecordBatch.from_pydict({"long": length_class(x).astype(np.int32), "cosine": sent.value.predict(x)[1].astype(np.float64)})
+
+    near = batched(rows.select("counts")).mapInArrow(nearest, "long int, cosine double").toArrow()
+    long, best = near["long"].to_numpy(), near["cosine"].to_numpy()
     low = [np.quantile(best[long <= c], LOW) if (long <= c).any() else 0.0 for c in range(16)]
-    return Centroids(langs, of, matrix, idf, SLACK * np.minimum.accumulate(np.array(low)[::-1])[::-1])
+    return replace(model, least=SLACK * np.minimum.accumulate(np.array(low)[::-1])[::-1])
+
+
+def matrix_of(counts: pa.Array) -> np.ndarray:
+    """Rows of counts from their bytes."""
+    rows = [np.frombuffer(c.as_buffer(), np.uint16) for c in counts]
+    return np.stack(rows).astype(np.float32) if rows else np.zeros((0, BUCKETS), np.float32)
 
 
 def predictor(model: Centroids | None, spark):
@@ -152,7 +183,7 @@ def identify_languages(documents: DataFrame, *, id_col: str = "doc_id", text_col
     A null id counts as held out.  Repeated rows stay; other columns are not read.
     """
     model = model or fit(documents, id_col=id_col, text_col=text_col, lang_col=lang_col)
-    found = documents.select(F.col(id_col).alias(id_col), held_out(F.col(id_col)).alias("held_out"), predictor(model, documents.sparkSession)(F.col(text_col)).alias("p"))
+    found = batched(documents).select(F.col(id_col).alias(id_col), held_out(F.col(id_col)).alias("held_out"), predictor(model, documents.sparkSession)(F.col(text_col)).alias("p"))
     return found.select(id_col, "held_out", "p.lang_pred", "p.score", "p.near")
 
 
@@ -160,4 +191,4 @@ def keep_known_languages(documents: DataFrame, *, id_col: str = "doc_id", text_c
     """The rows whose text is near a centroid, all columns."""
     model = fit(documents, id_col=id_col, text_col=text_col, lang_col=lang_col)
     row = F.struct(*documents.columns).alias("row")
-    return documents.select(row, predictor(model, documents.sparkSession)(F.col(text_col)).alias("p")).filter("p.near").select("row.*")
+    return batched(documents).select(row, predictor(model, documents.sparkSession)(F.col(text_col)).alias("p")).filter("p.near").select("row.*")
