@@ -32,7 +32,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentencepiece_digests(documents: DataFrame) -> DataFrame:
     path = tokenizer("piece_bpe_32k.model")
-    coded = sentencepiece_codec.decode_ids(sentencepiece_codec.encode_texts(documents, path), path)
+    coded = sentencepiece_codec.encode_texts(documents, path, decoded=True)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

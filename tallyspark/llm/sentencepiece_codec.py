@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import batched, slices
+
 MARK = "▁"
 #: Chunks in a task's table, and characters from which a chunk is not kept.
 TABLE, LONG = 300_000, 64
@@ -65,22 +67,27 @@ class Codec:
         return self.model.decode(ids.tolist())
 
 
-def encoder(path: str):
-    """A column function: text -> ids; null is empty."""
+def id_lists(found: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
 
-    @F.arrow_udf("array<int>")
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = Codec(path)
-        for batch in batches:
-            yield pa.chunked_array([id_lists(codec, batch.slice(a, TOGETHER)) for a in range(0, len(batch), TOGETHER)], pa.list_(pa.int32())).combine_chunks() if len(batch) else pa.array([], pa.list_(pa.int32()))
 
-    return encode
+def coder(path: str, decoded: bool):
+    """A column function: text -> (ids, decoded); null is empty. Both come from one worker, so a task keeps one table and one model."""
 
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codec = Codec(path)
+        for batch in batches:
+            ids, texts = [], []
+            for part in slices([batch], TOGETHER):
+                found = codec.encode([t or "" for t in part.to_pylist()])
+                ids.append(id_lists(found))
+                texts.append(pa.array([codec.decode(x) for x in found] if decoded else [None] * len(found), pa.string()))
+            columns = [pa.chunked_array(x, kind).combine_chunks() for x, kind in ((ids, pa.list_(pa.int32())), (texts, pa.string()))]
+            yield pa.StructArray.from_arrays(columns, ["ids", "decoded"])
 
-def id_lists(codec: Codec, texts: pa.Array) -> pa.Array:
-    found = codec.encode([t or "" for t in texts.to_pylist()])
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
+    return code
 
 
 def decoder(path: str):
@@ -96,15 +103,17 @@ def decoder(path: str):
     return decode
 
 
-def encode_texts(documents: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids): one row for each document, without begin or end ids.
+def encode_texts(documents: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(id, ids) or, with ``decoded``, (id, ids, decoded): one row for each document, without begin or end ids.
 
-    Null and empty texts have no ids.  Repeated rows stay, null ids too; other
-    columns are not read.
+    decoded is what the library makes of the ids again.  Null and empty texts
+    have no ids and decode to an empty text.  Repeated rows stay, null ids
+    too; other columns are not read; an empty table gives no rows.
     """
-    return documents.select(F.col(id_col).alias(id_col), encoder(path)(F.col(text_col)).alias("ids"))
+    coded = batched(documents).select(F.col(id_col).alias(id_col), coder(path, decoded)(F.col(text_col)).alias("c"))
+    return coded.select(id_col, "c.ids", *["c.decoded"] * decoded)
 
 
 def decode_ids(encoded: DataFrame, path: str, *, ids_col: str = "ids") -> DataFrame:
     """``encoded`` with a column ``decoded`` (replaced if it is there); no ids give an empty text, null gives null."""
-    return encoded.withColumn("decoded", decoder(path)(F.col(ids_col)))
+    return batched(encoded).withColumn("decoded", decoder(path)(F.col(ids_col)))
