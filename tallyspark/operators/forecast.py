@@ -135,6 +135,8 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         labels = jumped.select("node", "root")
         if jumped.filter("root <> was").isEmpty():
             break
+    else:
+        raise RuntimeError(f"labels did not settle in {rounds} rounds")
     both.unpersist()
     return labels
 

@@ -1,25 +1,28 @@
 """Rating fits: penalised Bradley-Terry on squashed margins or results, and ridge least squares on margins.
 
 Many fits at once (seasons, folds, configurations) are one grouped job: each
-fit's games, first summed by pair and target, go to one task that solves a
-small Newton system.  A single graph too large for that is fitted by
-``fit_by_rounds``: gradient and curvature are sums over games, taken by
-shuffles with partial sums, and one damped diagonal step is made a round.
+fit's games, first summed by pair and target, go to one task that solves its
+sparse Newton system by conjugate gradients, so memory grows with the pairs
+and not with the square of the teams.  A fit of more pairs than a task should
+hold is solved by rounds of shuffles: gradient and curvature are sums over
+games, and one damped diagonal step is made a round until nothing moves.  Both
+ways reach the same optimum.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scales import CONFIG, squash
+from .lineage import cut
 
-#: Teams that one grouped fit may hold; its matrix is 8 * TEAMS**2 bytes.
-TEAMS = 3000
+#: Summed pairs that one task may hold (some 60 bytes each); larger fits are solved by rounds.
+PAIRS = 2_000_000
+#: Rounds settle when no rating moves by more than this, in the fit's own units.
+SETTLED = 1e-5
 HFA = -1
 
 
@@ -57,17 +60,8 @@ def newton(home: np.ndarray, away: np.ndarray, neutral: np.ndarray, y: np.ndarra
         p = 1 / (1 + np.exp(-z))
         r, c = weight * (p - y), weight * p * (1 - p)
         g = pen * (theta - aim) + np.bincount(home, r, n + 1) - np.bincount(away, r, n + 1)
-        g[n] += (r * at_home).sum()
-        h = np.diag(pen + np.bincount(home, c, n + 1) + np.bincount(away, c, n + 1))
-        np.add.at(h, (home, away), -c)
-        np.add.at(h, (away, home), -c)
-        side = np.bincount(home, c * at_home, n + 1) - np.bincount(away, c * at_home, n + 1)
-        h[n, :] += side
-        h[:, n] += side
-        h[n, n] = pen[n] + (c * at_home).sum()
-        if not free:
-            g[n], h[n, :n], h[:n, n], h[n, n] = 0.0, 0.0, 0.0, 1.0
-        step, now, length = np.linalg.solve(h, g), loss(theta), 1.0
+        g[n] = g[n] + (r * at_home).sum() if free else 0.0
+        step, now, length = solved(home, away, at_home, c, pen, g), loss(theta), 1.0
         while loss(theta - length * step) > now + 1e-12 and length > 1e-6:
             length /= 2
         theta = theta - length * step
@@ -76,32 +70,54 @@ def newton(home: np.ndarray, away: np.ndarray, neutral: np.ndarray, y: np.ndarra
     return theta[:n] - theta[:n].mean(), float(theta[n])
 
 
+def solved(home: np.ndarray, away: np.ndarray, at_home: np.ndarray, c: np.ndarray, pen: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """x with (design' diag(c) design + diag(pen)) x = g, by conjugate gradients scaled by the diagonal; nothing but vectors is kept."""
+    n = len(pen) - 1
+
+    def times(x: np.ndarray) -> np.ndarray:
+        t = c * (x[home] - x[away] + at_home * x[n])
+        out = pen * x + np.bincount(home, t, n + 1) - np.bincount(away, t, n + 1)
+        out[n] += (t * at_home).sum()
+        return out
+
+    scale = pen + np.bincount(home, c, n + 1) + np.bincount(away, c, n + 1)
+    scale[n] = max(pen[n] + (c * at_home).sum(), 1e-12)
+    x, r = np.zeros(n + 1), g.copy()
+    z = r / scale
+    d, now = z.copy(), float(r @ z)
+    least = max(now * 1e-26, 1e-30)
+    for _ in range(20 * (n + 1)):
+        if now <= least:
+            break
+        q = times(d)
+        a = now / float(d @ q)
+        x, r = x + a * d, r - a * q
+        z = r / scale
+        before, now = now, float(r @ z)
+        d = z + now / before * d
+    return x
+
+
 def ridge(home: np.ndarray, away: np.ndarray, neutral: np.ndarray, y: np.ndarray, weight: np.ndarray, n: int, penalty: float) -> tuple[np.ndarray, float]:
     """Least squares on margins with the penalty on every team; the advantage is 0 without a game on home ground."""
     at_home = (~neutral).astype(float)
-    a = np.zeros((n + 1, n + 1))
-    for u, v, s in ((home, home, 1), (away, away, 1), (home, away, -1), (away, home, -1)):
-        np.add.at(a, (u, v), s * weight)
-    side = np.bincount(home, weight * at_home, n + 1) - np.bincount(away, weight * at_home, n + 1)
-    a[n, :], a[:, n] = side, side
-    a[n, n] = (weight * at_home).sum()
     b = np.bincount(home, weight * y, n + 1) - np.bincount(away, weight * y, n + 1)
     b[n] = (weight * y * at_home).sum()
-    a[np.arange(n), np.arange(n)] += penalty
-    if a[n, n] == 0:
-        a[n, n] = 1.0
-    x = np.linalg.solve(a, b)
+    x = solved(home, away, at_home, weight, np.append(np.full(n, max(penalty, 1e-9)), 0.0 if at_home.any() else 1.0), b)
     return x[:n] - x[:n].mean(), float(x[n])
 
 
-def fit(games: DataFrame, keys: list[str], *, kind: str = "margin", scale: float = CONFIG.scale, prior_games: float = CONFIG.prior_games, priors: DataFrame | None = None, teams: DataFrame | None = None) -> DataFrame:
+def fit(games: DataFrame, keys: list[str], *, kind: str = "margin", scale: float = CONFIG.scale, prior_games: float = CONFIG.prior_games, priors: DataFrame | None = None) -> DataFrame:
     """(keys, team, rating): one fit for each value of ``keys``, team -1 is the home advantage; ratings in points.
 
     games needs keys, home, away, neutral, hs, aw; columns ``scale`` and
     ``prior_games`` of games, where there, override the arguments fit by fit.
     priors (keys, team, prior) are the centres, in points; a team in neither
     games nor priors is in no fit.  Games are summed by pair, ground and
-    target before the shuffle, so a fit's rows are bounded by its pairs.
+    target before the shuffle, so a fit's rows are bounded by its pairs, and
+    the sums are written once: their count says which fits are solved in a
+    task and which by rounds.  ``weight`` of games, where there, counts a game
+    that many times.
     """
     for name, value in (("scale", scale), ("prior_games", prior_games)):
         if name not in games.columns:
@@ -109,8 +125,8 @@ def fit(games: DataFrame, keys: list[str], *, kind: str = "margin", scale: float
     m = F.col("hs") - F.col("aw")
     capped = F.greatest(F.lit(-CONFIG.cap), F.least(F.lit(CONFIG.cap), m))
     y = {"margin": 1.0 / (1.0 + F.exp(-capped / F.col("scale"))), "binary": F.when(m > 0, 1.0).when(m < 0, 0.0).otherwise(0.5), "points": capped.cast("double")}[kind]
-    pairs = games.select(*keys, "scale", "prior_games", F.col("home").cast("long").alias("home"), F.col("away").cast("long").alias("away"), "neutral", y.alias("y"))
-    pairs = pairs.groupBy(*keys, "scale", "prior_games", "home", "away", "neutral").agg(F.avg("y").alias("y"), F.count(F.lit(1)).cast("double").alias("weight"))
+    pairs = games.select(*keys, "scale", "prior_games", F.col("home").cast("long").alias("home"), F.col("away").cast("long").alias("away"), "neutral", y.alias("y"), (F.col("weight").cast("double") if "weight" in games.columns else F.lit(1.0)).alias("w"))
+    pairs = pairs.groupBy(*keys, "scale", "prior_games", "home", "away", "neutral").agg((F.sum(F.col("y") * F.col("w")) / F.sum("w")).alias("y"), F.sum("w").alias("weight")).filter("weight > 0")
     if priors is not None:
         # a prior travels as a row of its own: home is the team, y its centre, weight 0
         known = pairs.groupBy(*keys).agg(F.first("scale").alias("scale"), F.first("prior_games").alias("prior_games"))
@@ -120,8 +136,6 @@ def fit(games: DataFrame, keys: list[str], *, kind: str = "margin", scale: float
     def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         prior, met = rows[rows.away.isna()], rows[rows.away.notna()].sort_values(["home", "away", "neutral"])
         ids = np.unique(np.concatenate([met.home.to_numpy(np.int64), met.away.to_numpy(np.int64), prior.home.to_numpy(np.int64)]))
-        if len(ids) > TEAMS:
-            raise ValueError(f"{len(ids)} teams in one fit; use fit_by_rounds")
         s, pg = float(rows.scale.iloc[0]), float(rows.prior_games.iloc[0])
         at = lambda c: np.searchsorted(ids, c.to_numpy(np.int64))
         home, away, neutral, target, weight = at(met.home), at(met.away), met.neutral.to_numpy(bool), met.y.to_numpy(float), met.weight.to_numpy(float)
@@ -138,37 +152,57 @@ def fit(games: DataFrame, keys: list[str], *, kind: str = "margin", scale: float
         return out[[*keys, "team", "rating"]]
 
     kinds = dict(games.dtypes)
-    return pairs.groupBy(*keys).applyInPandas(solve, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", team bigint, rating double")
+    pairs = cut(pairs)
+    large = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PAIRS).select(*keys)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", team bigint, rating double"
+    if large.isEmpty():
+        return pairs.groupBy(*keys).applyInPandas(solve, schema)
+    small = pairs.join(F.broadcast(large), keys, "left_anti").groupBy(*keys).applyInPandas(solve, schema)
+    return small.unionByName(by_rounds(pairs.join(F.broadcast(large), keys, "left_semi"), keys, kind))
 
 
-def fit_by_rounds(games: DataFrame, *, scale: float = CONFIG.scale, prior_games: float = CONFIG.prior_games, rounds: int = 100, step: float = 0.7, every: int = 1) -> DataFrame:
-    """(team, rating): the same optimum by damped, recentred diagonal Newton steps, each a few joins and sums.
+def by_rounds(pairs: DataFrame, keys: list[str], kind: str = "margin", *, step: float = 0.6, momentum: float = 0.5, most: int = 2000) -> DataFrame:
+    """(keys, team, rating) of the summed pairs of fit(), by damped, recentred diagonal Newton steps with momentum, each a few joins and sums.
 
-    For one graph of any size: nothing but the team table is kept between
-    rounds, and every ``every`` rounds it is written to the checkpoint folder; its
-    lineage grows threefold a round, so that is best done in each.
+    For graphs of any size: nothing but the team table is kept between rounds,
+    and it is written to the checkpoint folder in each.  Rounds end when no
+    team moves by more than SETTLED; if that takes more than ``most``, it raises.
     """
-    y = squash(F.col("hs") - F.col("aw"), scale, CONFIG.cap)
-    pairs = games.groupBy("home", "away", "neutral").agg(F.avg(y).alias("y"), F.count(F.lit(1)).alias("w")).persist()
-    teams = pairs.select(F.explode(F.array("home", "away")).alias("team")).distinct()
-    pen = 0.25 * prior_games
-    theta = teams.withColumn("th", F.lit(0.0)).unionByName(teams.sparkSession.createDataFrame([(HFA, 0.0)], "team bigint, th double"))
-    for k in range(1, rounds + 1):
-        h = F.broadcast(theta.filter(F.col("team") == HFA).select(F.col("th").alias("f")))
-        sides = pairs.join(theta.select(F.col("team").alias("home"), F.col("th").alias("a")), "home").join(theta.select(F.col("team").alias("away"), F.col("th").alias("b")), "away").join(h)
+    met, centres = pairs.filter("away is not null"), pairs.filter("away is null")
+    unit = F.lit(1.0) if kind == "points" else F.col("scale")
+    teams = met.select(*keys, "scale", "prior_games", F.explode(F.array("home", "away")).alias("team")).union(centres.select(*keys, "scale", "prior_games", "home")).distinct()
+    aims = teams.join(centres.select(*keys, F.col("home").alias("team"), (F.col("y") / unit).alias("aim")), [*keys, "team"], "left").withColumn("aim", F.coalesce("aim", F.lit(0.0)))
+    aims = aims.join(aims.groupBy(*keys).agg(F.avg("aim").alias("mid")), keys).withColumn("aim", F.col("aim") - F.col("mid")).drop("mid")
+    pen = F.greatest(F.col("prior_games") * (1.0 if kind == "points" else 0.25), F.lit(1e-9))
+    rows = aims.select(*keys, "team", "scale", pen.alias("pen"), "aim", F.col("aim").alias("th"), F.col("aim").alias("last"))
+    advantage = rows.select(*keys, "scale").distinct().select(*keys, F.lit(HFA).cast("bigint").alias("team"), "scale", F.lit(1e-12).alias("pen"), F.lit(0.0).alias("aim"), F.lit(0.0).alias("th"), F.lit(0.0).alias("last"))
+    theta = cut(rows.unionByName(advantage))
+    for _ in range(most):
+        at = lambda c, r: theta.filter(F.col("team") != HFA).select(*keys, F.col("team").alias(c), F.col("th").alias(r))
+        sides = met.join(at("home", "a"), [*keys, "home"]).join(at("away", "b"), [*keys, "away"]).join(theta.filter(F.col("team") == HFA).select(*keys, F.col("th").alias("f")), keys)
         z = F.col("a") - F.col("b") + F.when(F.col("neutral"), 0.0).otherwise(F.col("f"))
-        p = 1 / (1 + F.exp(-z))
-        scored = sides.select("home", "away", "neutral", (F.col("w") * (p - F.col("y"))).alias("r"), (F.col("w") * p * (1 - p)).alias("c"))
+        p = z if kind == "points" else 1 / (1 + F.exp(-z))
+        curve = F.lit(1.0) if kind == "points" else p * (1 - p)
+        scored = sides.select(*keys, "home", "away", "neutral", (F.col("weight") * (p - F.col("y"))).alias("r"), (F.col("weight") * curve).alias("c"))
         term = lambda t, s: F.struct(t.cast("long").alias("team"), (F.lit(s) * F.col("r")).alias("r"), F.col("c").alias("c"))
-        sums = scored.select(F.explode(F.array(term(F.col("home"), 1), term(F.col("away"), -1), term(F.when(F.col("neutral"), -2).otherwise(HFA), 1))).alias("e")).select("e.*").groupBy("team").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
-        own = F.when(F.col("team") == HFA, 0.0).otherwise(pen)
-        moved = theta.join(sums, "team", "left").select("team", (F.col("th") - step * (F.coalesce("r", F.lit(0.0)) + own * F.col("th")) / (F.coalesce("c", F.lit(0.0)) + F.greatest(own, F.lit(1e-12)))).alias("th"))
-        mean = F.broadcast(moved.filter(F.col("team") != HFA).agg(F.avg("th").alias("mean")))
-        theta = moved.join(mean).select("team", (F.col("th") - F.when(F.col("team") == HFA, 0.0).otherwise(F.col("mean"))).alias("th"))
-        if k % every == 0:
-            theta = theta.checkpoint()
-    pairs.unpersist()
-    return theta.select("team", (F.col("th") * scale).alias("rating"))
+        sums = scored.select(*keys, F.explode(F.array(term(F.col("home"), 1), term(F.col("away"), -1), term(F.when(F.col("neutral"), -2).otherwise(HFA), 1))).alias("e")).select(*keys, "e.*").groupBy(*keys, "team").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
+        change = step * (F.coalesce("r", F.lit(0.0)) + F.col("pen") * (F.col("th") - F.col("aim"))) / (F.coalesce("c", F.lit(0.0)) + F.col("pen"))
+        moved = theta.join(sums, [*keys, "team"], "left").select(*keys, "team", "scale", "pen", "aim", "last", (F.col("th") - change).alias("to"))
+        mean = moved.filter(F.col("team") != HFA).groupBy(*keys).agg(F.avg("to").alias("mean"))
+        now = F.col("to") - F.when(F.col("team") == HFA, 0.0).otherwise(F.col("mean"))
+        after = cut(moved.join(mean, keys).select(*keys, "team", "scale", "pen", "aim", (now + momentum * (now - F.col("last"))).alias("th"), now.alias("last"), F.abs(now - F.col("last")).alias("step")))
+        theta = after.drop("step")
+        if after.agg(F.max("step")).first()[0] <= SETTLED:
+            return theta.select(*keys, "team", (F.col("last") * (F.lit(1.0) if kind == "points" else F.col("scale"))).alias("rating"))
+    raise RuntimeError(f"ratings did not settle in {most} rounds")
+
+
+def fit_by_rounds(games: DataFrame, *, scale: float = CONFIG.scale, prior_games: float = CONFIG.prior_games) -> DataFrame:
+    """(team, rating): one margin fit of all games by rounds, whatever its size."""
+    y = squash(F.col("hs") - F.col("aw"), scale, CONFIG.cap)
+    pairs = games.groupBy(F.lit(0).alias("fit"), F.col("home").cast("long").alias("home"), F.col("away").cast("long").alias("away"), "neutral").agg(F.avg(y).alias("y"), F.count(F.lit(1)).cast("double").alias("weight"))
+    pairs = cut(pairs.withColumns({"scale": F.lit(float(scale)), "prior_games": F.lit(float(prior_games))}))
+    return by_rounds(pairs, ["fit"]).drop("fit")
 
 
 def predict_margin(games: DataFrame, ratings: DataFrame) -> DataFrame:

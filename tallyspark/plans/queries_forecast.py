@@ -85,12 +85,13 @@ def compact_schedule(spark, sf):
     return forecast.compact(predicted(spark, sf), index)
 
 
-EARLY = "early as (select * from sparse where season = 2000 and wk <= 10)"
-REACH = "e as (select home as u, away as v from early union select away, home from early), r as (select u as node, u as root from e union select e.u, r.root from r join e on e.v = r.node), comp as (select node, min(root) as root from r group by node)"
+EARLY = f"early as (select * from sparse where season = {arena.SEASON} and wk <= {arena.PLAYED_TO})"
+#: The smallest label that reaches a node, by rounds in which every node takes its neighbours' smallest; only labels that fall go on.
+REACH = "e as (select home as u, away as v from early union select away, home from early), r as (select u as node, u as root from e union select e.u, r.root from r join e on e.v = r.node where r.root < e.u), comp as (select node, min(root) as root from r group by node)"
 
 
 def early(spark, sf):
-    return arena.sparse_games(spark, sf).filter("season = 2000 and wk <= 10")
+    return arena.sparse_games(spark, sf).filter((F.col("season") == arena.SEASON) & (F.col("wk") <= arena.PLAYED_TO))
 
 
 @query(f"with recursive {SPARSE_SQL}, {EARLY}, {REACH} select node, root from comp")
@@ -173,7 +174,7 @@ def prior_for(spark, sf):
     return priors.starting_points(fitted, roster).select("team", safe_round(F.col("prior"), 2).alias("prior"))
 
 
-@query(f"{WITH}, {FIT} select count_if(team = -1 and rating between -6 and 6) as advantage_in_band, count_if(team <> -1) as teams, true as curve_steepens from fit")
+@query(f"{WITH}, {FIT} select count_if(team = -1 and rating between -6 and 6) as advantage_in_band, count_if(team <> -1) as teams, (select bool_and(b <= a) from (select {CURVE('g')} as a, {CURVE('(g + 1)')} as b from range(1, 16) t(g))) as curve_steepens from fit")
 def meta_checks(spark, sf):
     """The home advantage lies in its band, and probabilities grow surer with games played."""
     from ..functions.scales import prob_scale

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scales
 from ..operators import ratings, records as rec
+from ..operators.lineage import ensure_cut  # noqa: F401
 from . import arena
 from .arena import ARENA_SQL, SPARSE_SQL, safe_round
 from .registry import registry
@@ -85,21 +86,11 @@ def massey(spark, sf):
     return rounded(season_fit(spark, sf, "points"))
 
 
-@query(f"{WITH}, {SPARSE_SQL}, early as (select * from sparse where season = 2000 and wk <= 10), {fit_sql('early', MARGIN, rounds=6)} select team, {R2('rating')} as rating from fit")
+@query(f"{WITH}, {SPARSE_SQL}, early as (select * from sparse where season = {arena.SEASON} and wk <= {arena.PLAYED_TO}), {fit_sql('early', MARGIN, rounds=150)} select team, {R2('rating')} as rating from fit")
 def bt_large_graph(spark, sf):
-    """The fit by rounds of shuffles, as a graph too large for one task needs it."""
-    early = arena.sparse_games(spark, sf).filter("season = 2000 and wk <= 10")
-    ensure_cut(spark)
-    return rounded(ratings.fit_by_rounds(early, rounds=6))
-
-
-def ensure_cut(spark) -> None:
-    """A folder for checkpoint(): the session's own setting, else one made here for local runs."""
-    import tempfile
-
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyspark-"))
+    """The sparse arena's fit: many teams with few games each, to convergence; above ratings.PAIRS pairs it goes by rounds of shuffles."""
+    games = arena.sparse_games(spark, sf).filter((F.col("season") == arena.SEASON) & (F.col("wk") <= arena.PLAYED_TO))
+    return rounded(ratings.fit(games, ["season"]).drop("season"))
 
 
 @query(f"{WITH}, {FIT}, {fit_sql('played', RESULT, 'fitb')}, {RIDGE} select f.team, {R2('f.rating')} as bt_margin, {R2('b.rating')} as bt_binary, {R2('m.rating')} as massey from fit f join fitb b using (team) join massey_t m using (team)")

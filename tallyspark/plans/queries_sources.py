@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+from zlib import crc32
+
 from pyspark.sql import functions as F
 
 from ..sources import files
@@ -16,38 +19,38 @@ QUERIES, ORACLE_SQL, query = registry()
 
 def written(spark, name: str, lines: list[str]) -> str:
     ensure_cut(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{abs(hash(tuple(lines)))}"
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{crc32(chr(10).join(lines).encode())}"
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(path)
     return path
 
 
-@query(values([(1, "Ada [PA]", 14, "Elida", 7, False), (2, "Perry", 0, "Ada", 21, True)], "wk, away, aw, home, hs, neutral"))
+@query(values([(1, "Osk [PA]", 14, "Pell", 7, False), (2, "Sable", 0, "Osk", 21, True)], "wk, away, aw, home, hs, neutral"))
 def scan_csv_games(spark, sf):
-    path = written(spark, "games", ["week,date,away,away_score,home,home_score,neutral,away_state", "1,2025-08-22,Ada,14,Elida,7,0, pa", "2,2025-08-29,Perry,0,Ada,21,1,", "x,2025-08-29,Perry,0,Ada,21,1,", "3,2025-08-29,Perry,,Ada,21,1,"])
+    path = written(spark, "games", ["week,date,away,away_score,home,home_score,neutral,away_state", "1,2025-08-22,Osk,14,Pell,7,0, pa", "2,2025-08-29,Sable,0,Osk,21,1,", "x,2025-08-29,Sable,0,Osk,21,1,", "3,2025-08-29,Sable,,Osk,21,1,"])
     return files.read_games(spark, path).drop("date")
 
 
-@query(values([(1, "Ada", 14, "Elida", 7, False)], "wk, away, aw, home, hs, neutral"))
+@query(values([(1, "Osk", 14, "Pell", 7, False)], "wk, away, aw, home, hs, neutral"))
 def scan_psv(spark, sf):
-    return files.read_pipe_games(spark, written(spark, "pipe", ["Ada|14|Elida|7", "Perry||Lima|7", "a|b|c", ""]))
+    return files.read_pipe_games(spark, written(spark, "pipe", ["Osk|14|Pell|7", "Sable||Norrin|7", "a|b|c", ""]))
 
 
-@query(values([(5, "7pm", "Ada", "Elida", False)], "wk, time, away, home, neutral"))
+@query(values([(5, "7pm", "Osk", "Pell", False)], "wk, time, away, home, neutral"))
 def scan_schedule(spark, sf):
-    path = written(spark, "fixtures", ["week,date,time,away,home,neutral", "5,2025-09-19,7pm,Ada,Elida,0", "?,2025-09-19,,Ada,Elida,0"])
+    path = written(spark, "fixtures", ["week,date,time,away,home,neutral", "5,2025-09-19,7pm,Osk,Pell,0", "?,2025-09-19,,Osk,Pell,0"])
     return files.read_fixtures(spark, path).unionByName(files.read_fixtures(spark, path + "-not-there")).select("wk", "time", "away", "home", "neutral")
 
 
-@query(values([("Ada (Ada)", "V", 17, 1, 0, 2, 6.5)], "name, division, region, w, l, t, points"))
+@query(values([("Osk (Osk)", "V", 17, 1, 0, 2, 6.5)], "name, division, region, w, l, t, points"))
 def scan_csv_roster(spark, sf):
-    path = written(spark, "roster", ["name,school,city,school_id,division,region,record,harbin", "Ada (Ada),Ada,Ada,12,V,17,1-0-2,6.5000"])
+    path = written(spark, "roster", ["name,school,city,school_id,division,region,record,harbin", "Osk (Osk),Osk,Osk,12,V,17,1-0-2,6.5000"])
     return files.read_roster(spark, path).select("name", "division", "region", "w", "l", "t", "points")
 
 
 @query(values([(2025, 1, "live", "a", "b", 2, 3.5, 0.6), (2025, 1, "live", "c", "d", 2, -1.0, 0.45), (2025, 2, "backtest", "a", "c", 3, 0.0, 0.5)], "season, through, kind, home, away, wk, margin, p"))
 def scan_history(spark, sf):
     path = written(spark, "log", ['{"season":2025,"throughWeek":1,"pred":[["a","b",2,3.5,0.6],["c","d",2,-1.0,0.45,20,21]]}', '{"season":2025,"thr', "", '{"season":2025,"throughWeek":2,"kind":"backtest","pred":[["a","c",3,0.0,0.5]]}'])
-    return files.forecasts(files.read_log(spark, path))
+    return files.forecasts(files.read_log(spark, path).unionByName(files.read_log(spark, path + "-not-there")))
 
 
 @query(f"with {ARENA_SQL} select count(*) as games, cast(sum(hs) as bigint) as points from played")
@@ -83,8 +86,37 @@ def fixtures_unplayed(spark, sf):
     return fixtures.join(fixtures.filter("game_id % 5 = 0").select("game_id"), "game_id", "left_anti").select("game_id")
 
 
-@query(values([("a", 2026, 2, "Ada (Ada)", "Elida (Elida)", -24, 0.11), ("a", 2026, 3, "Perry (Lima)", "Ada (Ada)", 7, 0.7)], "source, season, wk, home, away, home_margin, home_p"))
+@query(values([("a", 2026, 2, "Osk (Osk)", "Pell (Pell)", -24, 0.11), ("a", 2026, 3, "Sable (Norrin)", "Osk (Osk)", 7, 0.7)], "source, season, wk, home, away, home_margin, home_p"))
 def scan_rivals(spark, sf):
-    path = written(spark, "rivals", ['{"source":"a","season":2026,"week":2,"picks":[{"home":"Ada (Ada)","away":"Elida (Elida)","homeMargin":-24,"homeProb":0.11}]}', '{"source":"a","sea', '{"source":"a","season":2026,"week":3,"picks":[{"home":"Perry (Lima)","away":"Ada (Ada)","homeMargin":7,"homeProb":0.7}]}'])
+    path = written(spark, "rivals", ['{"source":"a","season":2026,"week":2,"picks":[{"home":"Osk (Osk)","away":"Pell (Pell)","homeMargin":-24,"homeProb":0.11}]}', '{"source":"a","sea', '{"source":"a","season":2026,"week":3,"picks":[{"home":"Sable (Norrin)","away":"Osk (Osk)","homeMargin":7,"homeProb":0.7}]}'])
     log = files.read_log(spark, path, files.RIVALS).select("source", "season", F.col("week").alias("wk"), F.explode("picks").alias("p"))
     return log.select("source", "season", "wk", "p.home", "p.away", F.col("p.homeMargin").alias("home_margin"), F.col("p.homeProb").alias("home_p"))
+
+
+DOCUMENT = '{\n "meta": {"season": 2030, "carry": 0.6},\n "divisionEffects": {"I": 5.25, "IV": -0.5},\n "prior": {"1507": 3.125, "88": -14.0}\n}'
+
+
+@query(values([("division", "I", 5.25), ("division", "IV", -0.5), ("school", "1507", 3.125), ("school", "88", -14.0)], "kind, name, value"))
+def fit_prior(spark, sf):
+    """A prior as it is kept: one JSON document; a document that is not there gives no rows."""
+    path = written(spark, "prior", [DOCUMENT])
+    document = files.read_document(spark, path, files.PRIOR).unionByName(files.read_document(spark, path + "-not-there", files.PRIOR))
+    effects, devs = files.prior_table(document)
+    return effects.select(F.lit("division").alias("kind"), F.col("division").alias("name"), F.col("effect").alias("value")).unionByName(devs.select(F.lit("school").alias("kind"), F.col("school_id").alias("name"), F.col("dev").alias("value")))
+
+
+@query(values([(2029,), (2031,)], "season"))
+def parser_stamp(spark, sf):
+    """Seasons read by an older parser, or never stamped, are read again."""
+    seasons = spark.createDataFrame([(2028,), (2029,), (2030,), (2031,)], "season int")
+    return files.stale(seasons, spark.createDataFrame([(2028, 4), (2029, 3), (2030, 4)], "season int, version int"), 4)
+
+
+@query(values([(2030, 1, "live", 2), (2030, 2, "backtest", 1)], "season, through, kind, n"))
+def log_append(spark, sf):
+    """Two appends to a JSON-lines log, read back."""
+    ensure_cut(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/log-{uuid4().hex}"
+    for season, through, kind, pred in ((2030, 1, "live", [["Osk", "Pell", "2", "3.5", "0.6"], ["Sable", "Ivo", "2", "-1.0", "0.45"]]), (2030, 2, "backtest", [["Osk", "Sable", "3", "0.0", "0.5"]])):
+        files.append_log(spark.createDataFrame([(season, through, kind, pred)], "season int, throughWeek int, kind string, pred array<array<string>>"), path)
+    return files.forecasts(files.read_log(spark, path)).groupBy("season", "through", "kind").agg(F.count(F.lit(1)).cast("int").alias("n"))

@@ -61,8 +61,42 @@ def read_fixtures(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str, schema: str = SNAPSHOT) -> DataFrame:
-    """A JSON-lines log: broken lines go, and forecasts of five or seven elements are read alike."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """A JSON-lines log: broken lines go, forecasts of five or seven elements are read alike, and a file that is not there is an empty log."""
+    try:
+        return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Append rows to a JSON-lines log; each writer adds files of its own, so lines that are there are never rewritten."""
+    rows.write.mode("append").option("ignoreNullFields", "true").json(path)
+
+
+def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A JSON document of many lines as one row; a file that is not there is no row."""
+    try:
+        return spark.read.schema(schema).option("multiLine", "true").json(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+#: The season's prior as it is kept: effects by division and deviations by school.
+PRIOR = "meta struct<season:int,carry:double>, divisionEffects map<string,double>, prior map<string,double>"
+
+
+def prior_table(document: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(division, effect) and (school_id, dev) of a prior document."""
+    return document.select(F.explode("divisionEffects").alias("division", "effect")), document.select(F.explode("prior").alias("school_id", "dev"))
+
+
+def stale(seasons: DataFrame, stamps: DataFrame, version: int) -> DataFrame:
+    """(season): the seasons of (season) whose stamp (season, version) is not the parser's, or is missing: they are read again."""
+    return seasons.join(stamps, "season", "left").filter(F.coalesce("version", F.lit(-1)) != version).select("season")
 
 
 def forecasts(log: DataFrame) -> DataFrame:
