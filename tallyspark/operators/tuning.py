@@ -1,6 +1,7 @@
 """Walk-forward evaluation, the grid of configurations, and the choice among them.
 
-A fold holds out one week and trains on the weeks before it.  Folds are
+A fold holds out one week and trains on the weeks before it, from what the
+season before says of every team.  Folds are
 exploded onto the games of their season (an equi-join on season after a small
 explode, not a range join), and every (configuration, fold) is one group of
 one grouped fit.
@@ -11,41 +12,84 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scales import CONFIG, Config, log_loss, win_probability
+from ..functions.scales import CONFIG, Config, log_loss, logistic, win_probability
 from ..plans.arena import safe_round
-from .ratings import fit, predict_margin
+from .lineage import cut
+from .priors import CARRY, CLIP, DIVISION_WEIGHT, LEAST_TEAMS
+from .ratings import HFA, fit
 from .records import appearances
 
-LEAST_TRAIN = 50
+#: Training games under which the prior itself is the forecast, the home advantage where no season came before, and games that make a team's last season count.
+LEAST_TRAIN, FIRST_ADVANTAGE, LEAST_LAST = 50, 1.5, 4
+KNOBS = ("scale", "prior_games", "carry", "division_weight")
 
 
-def training_rows(games: DataFrame, holdouts: list[int], least: int = LEAST_TRAIN) -> DataFrame:
-    """games once for each fold that may learn from them: (fold, ...), folds of too few games left out."""
-    later = F.filter(F.array(*map(F.lit, holdouts)), lambda f: f > F.col("wk"))
-    rows = games.withColumn("fold", F.explode(later))
-    enough = rows.groupBy("season", "fold").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("season", "fold")
-    return rows.join(F.broadcast(enough), ["season", "fold"])
+def folds_of(games: DataFrame, holdouts: list[int]) -> DataFrame:
+    """games once for each fold that may learn from them: (fold, ...)."""
+    return games.withColumn("fold", F.explode(F.filter(F.array(*map(F.lit, holdouts)), lambda f: f > F.col("wk"))))
 
 
-def walk_forward(games: DataFrame, holdouts: list[int], configs: DataFrame | None = None, cfg: Config = CONFIG) -> DataFrame:
-    """(config, season, wk, game_id, home, away, behind, margin, p, actual): forecasts of every held-out game by every configuration.
+def last_seasons(games: DataFrame, roster: DataFrame, configs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Starting points (config, season, team, prior) and advantages (config, season, hfa) that the season before each season of ``games`` gives.
 
-    configs has config, scale and prior_games; one default configuration if
-    not given.  behind is how many games the thinner side had played.
+    The season before is fitted once for each scale and prior weight.  A league
+    team of four games or more carries its distance from the mean and from its
+    division's effect, clipped; every team starts at its division's effect
+    times the weight plus that, about the mean of all teams.
     """
-    spark = games.sparkSession
-    configs = configs if configs is not None else spark.createDataFrame([(0, cfg.scale, cfg.prior_games)], "config int, scale double, prior_games double")
-    train = training_rows(games, holdouts)
-    ratings = fit(train.join(F.broadcast(configs)), ["config", "season", "fold"])
-    test = games.filter(F.col("wk").isin(*holdouts)).withColumn("fold", F.col("wk"))
-    behind = appearances(train).join(train.select("game_id", "season", "fold").distinct(), ["game_id", "season"]).groupBy("season", "fold", "team").agg(F.count_distinct("game_id").alias("n"))
-    hfa = ratings.filter("team = -1").select("config", "season", "fold", F.col("rating").alias("hfa"))
+    fits = configs.select("scale", "prior_games").distinct()
+    before = games.withColumn("season", F.col("season") + 1)
+    rated = fit(before.join(F.broadcast(fits.withColumn("fit", F.xxhash64("scale", "prior_games")))), ["fit", "season"])
+    known = configs.withColumn("fit", F.xxhash64("scale", "prior_games"))
+    often = appearances(before).join(before.select("game_id", F.col("season")).distinct(), ["game_id", "season"]).groupBy("season", "team").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_LAST).select("season", "team")
+    league = rated.join(roster.filter("in_league").select("team", "division"), "team").join(often, ["season", "team"])
+    means = league.groupBy("fit", "season").agg(F.avg("rating").alias("mean"))
+    steps = league.filter("division is not null").groupBy("fit", "season", "division").agg(F.avg("rating").alias("level"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_TEAMS)
+    effects = steps.join(steps.groupBy("fit", "season").agg(F.avg("level").alias("mid")), ["fit", "season"]).select("fit", "season", "division", (F.col("level") - F.col("mid")).alias("effect"))
+    base = means.join(roster.select("team", "division", "in_league")).join(effects, ["fit", "season", "division"], "left").join(league.select("fit", "season", "team", "rating"), ["fit", "season", "team"], "left").withColumn("effect", F.coalesce("effect", F.lit(0.0)))
+    own = F.when(F.col("rating").isNotNull(), F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), (F.col("rating") - F.col("mean") - F.col("effect")) * F.col("carry")))).otherwise(0.0)
+    raw = base.join(F.broadcast(known), "fit").select("config", "season", "team", F.when(F.col("in_league"), F.col("effect") * F.col("division_weight") + own).otherwise(0.0).alias("raw"))
+    middle = raw.groupBy("config", "season").agg(F.avg("raw").alias("mid"))
+    priors = raw.join(F.broadcast(middle), ["config", "season"]).select("config", "season", "team", (F.col("raw") - F.col("mid")).alias("prior"))
+    return priors, rated.filter(F.col("team") == HFA).join(F.broadcast(known), "fit").select("config", "season", F.col("rating").alias("hfa"))
+
+
+def walk_forward(games: DataFrame, holdouts: list[int], roster: DataFrame, configs: DataFrame | None = None, seasons: tuple[int, ...] | None = None, cfg: Config = CONFIG) -> DataFrame:
+    """(config, season, wk, game_id, home, away, behind, margin, p, shown_p, actual): forecasts of every held-out game by every configuration.
+
+    configs has config and the four KNOBS; the defaults make one if not given.
+    Every team of the roster is in every fit, pulled towards what last season
+    says of it, so no held-out game is left out.  A fold of fewer than
+    LEAST_TRAIN games is forecast by the prior and last season's advantage.
+    p is on the configuration's own scale, shown_p on the published curve;
+    behind is how many games the thinner side had played.
+    """
+    # read by the season before, the folds, the tests and the counts
+    spark, games = games.sparkSession, cut(games)
+    configs = configs if configs is not None else spark.createDataFrame([(0, cfg.scale, cfg.prior_games, CARRY, DIVISION_WEIGHT)], "config int, scale double, prior_games double, carry double, division_weight double")
+    pool = games.filter(F.col("season").isin(*seasons)) if seasons else games
+    found, advantage = last_seasons(games, roster, configs)
+    every = pool.select("season").distinct().join(roster.select("team")).join(F.broadcast(configs.select("config")))
+    priors = every.join(found, ["config", "season", "team"], "left").withColumn("prior", F.coalesce("prior", F.lit(0.0)))
+    train = folds_of(pool, holdouts)
+    test = pool.filter(F.col("wk").isin(*holdouts)).withColumn("fold", F.col("wk"))
+    sizes = test.select("season", "fold").distinct().join(train.groupBy("season", "fold").agg(F.count(F.lit(1)).alias("n")), ["season", "fold"], "left").select("season", "fold", (F.coalesce("n", F.lit(0)) >= LEAST_TRAIN).alias("enough"))
+    sizes = cut(sizes)
+    enough, few = sizes.filter("enough").select("season", "fold"), sizes.filter("not enough").select("season", "fold")
+    fitted = fit(train.join(F.broadcast(enough), ["season", "fold"]).join(F.broadcast(configs.select("config", "scale", "prior_games"))), ["config", "season", "fold"], priors=priors.join(F.broadcast(enough), "season"))
+    plain = priors.join(F.broadcast(few), "season").select("config", "season", "fold", "team", F.col("prior").alias("rating"))
+    first = few.join(F.broadcast(configs.select("config"))).join(advantage, ["config", "season"], "left").select("config", "season", "fold", F.lit(HFA).cast("bigint").alias("team"), F.coalesce("hfa", F.lit(FIRST_ADVANTAGE)).alias("rating"))
+    ratings = fitted.unionByName(plain).unionByName(first)
+    behind = train.select("season", "fold", F.explode(F.array("home", "away")).alias("team")).groupBy("season", "fold", "team").agg(F.count(F.lit(1)).alias("n"))
+    hfa = ratings.filter(F.col("team") == HFA).select("config", "season", "fold", F.col("rating").alias("hfa"))
     side = lambda c, r: ratings.select("config", "season", "fold", F.col("team").alias(c), F.col("rating").alias(r))
     n = lambda c, r: behind.select("season", "fold", F.col("team").alias(c), F.col("n").alias(r))
-    rows = test.join(side("home", "rh"), ["season", "fold", "home"]).join(side("away", "ra"), ["config", "season", "fold", "away"]).join(hfa, ["config", "season", "fold"]).join(n("home", "nh"), ["season", "fold", "home"]).join(n("away", "na"), ["season", "fold", "away"])
+    rows = test.join(n("home", "nh"), ["season", "fold", "home"], "left").join(n("away", "na"), ["season", "fold", "away"], "left")
+    rows = rows.join(side("home", "rh"), ["season", "fold", "home"]).join(side("away", "ra"), ["config", "season", "fold", "away"]).join(hfa, ["config", "season", "fold"]).join(F.broadcast(configs.select("config", "scale")), "config")
     margin = F.col("rh") - F.col("ra") + F.when(F.col("neutral"), 0.0).otherwise(F.col("hfa"))
-    least = F.least("nh", "na")
-    return rows.select("config", "season", "wk", "game_id", "home", "away", least.alias("behind"), margin.alias("margin"), win_probability(margin, least.cast("double"), F.lit(False), cfg).alias("p"), (F.col("hs") - F.col("aw")).alias("actual"))
+    least = F.least(F.coalesce("nh", F.lit(0)), F.coalesce("na", F.lit(0)))
+    shown = win_probability(margin, least.cast("double"), F.lit(False), cfg)
+    return rows.select("config", "season", "wk", "game_id", "home", "away", least.alias("behind"), margin.alias("margin"), logistic(margin / F.col("scale")).alias("p"), shown.alias("shown_p"), (F.col("hs") - F.col("aw")).alias("actual"))
 
 
 def losses(forecasts: DataFrame) -> DataFrame:
@@ -75,7 +119,8 @@ def tied_with_best(scored: DataFrame) -> DataFrame:
 
 def select_config(tied: DataFrame, configs: DataFrame, ranges: dict[str, float], cfg: Config = CONFIG) -> DataFrame:
     """One row: of the tied configurations, the one nearest the defaults, each distance in units of its range."""
-    away = sum((F.abs(F.col(c) - getattr(cfg, c)) / width for c, width in ranges.items()), F.lit(0.0))
+    usual = {"carry": CARRY, "division_weight": DIVISION_WEIGHT}
+    away = sum((F.abs(F.col(c) - usual.get(c, getattr(cfg, c, 0.0))) / width for c, width in ranges.items()), F.lit(0.0))
     rows = tied.filter("tied").join(configs, "config").withColumn("away", F.round(away, 9))
     return rows.agg(F.min_by(F.struct("config", *ranges), F.struct("away", "config")).alias("b")).select("b.*")
 

@@ -29,7 +29,7 @@ sh as (select *, (margin > 0) = (actual > 0) as ok, (their_margin > 0) = (actual
 
 def shared(spark, sf):
     games = pool(spark, sf)
-    train = tuning.training_rows(games, HOLDOUTS, least=0)
+    train = tuning.folds_of(games, HOLDOUTS)
     mean = rec.appearances(games).join(train.select("game_id", "season", "fold").distinct(), ["game_id", "season"]).groupBy("season", F.col("fold").alias("wk"), "team").agg(F.avg(F.col("pf") - F.col("pa")).alias("mean"))
     side = lambda c, m: mean.select("season", "wk", F.col("team").alias(c), F.col("mean").alias(m))
     margin = arena.safe_round(F.col("mh") - F.col("ma"), 1)

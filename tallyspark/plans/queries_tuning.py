@@ -2,48 +2,78 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import functions as F
 
 from ..operators import history, tuning
+from ..operators.lineage import cut
 from . import arena
 from .queries_forecast import predicted
-from .queries_ratings import CURVE, ensure_cut
+from .queries_ratings import CURVE, FIT, fit_sql
 from .registry import registry
 
 QUERIES, ORACLE_SQL, query = registry()
 WITH = f"with recursive {arena.ARENA_SQL}"
 R = lambda x, n: f"round({x} + 1e-9, {n}) + 0.0"
 HOLDOUTS, SEASONS = [8, 14, 20, 26], (1999, 2000)
-#: The checked grid: scales by prior weights.
-GRID = [(i, s, p) for i, (s, p) in enumerate((s, p) for s in (7.0, 9.0, 12.0) for p in (0.25, 0.5, 1.0))]
-VALUES = ", ".join(f"({i}, {s}::double, {p}::double)" for i, s, p in GRID)
+#: A short grid over the four knobs, checked in SQL; FULL is the whole product, for the same calls.
+GRID = [(i, *c) for i, c in enumerate(product((7.0, 9.0, 12.0), (0.5, 1.0), (0.4, 0.6), (0.0, 1.0)))]
+FULL = [(i, *c) for i, c in enumerate(product((5.0, 6.0, 7.0, 8.0, 9.0, 10.0), (0.05, 0.1, 0.25, 0.5, 0.75, 1.5), (0.5, 0.6, 0.7, 0.8, 0.9, 1.0), (0.0, 0.5, 1.0, 1.5, 2.0, 2.5)))]
+CONFIGS = "config int, scale double, prior_games double, carry double, division_weight double"
+VALUES = ", ".join(f"({i}, {', '.join(f'{v}::double' for v in c)})" for i, *c in GRID)
+
+
+def newton_sql(name: str, games: str, start: str, rounds: int) -> str:
+    """Damped, recentred rounds over (g, team, th) for every group g of games (g, home, away, neutral, y); start has g, team, th, pen and cen, team -1 the advantage."""
+    return f"""{name}(k, g, team, th, pen, cen) as (select 0, g, team, th, pen, cen from {start}
+  union all select k + 1, g, team, case when team = -1 then th else th - avg(th) filter (where team <> -1) over (partition by g) end, pen, cen from (
+    select k, g, team, pen, cen, th - 0.7 * (gr + pen * (th - cen)) / (he + greatest(pen, 1e-12)) as th from (
+      select any_value(t.k) as k, t.g, t.team, any_value(t.th) as th, any_value(t.pen) as pen, any_value(t.cen) as cen, coalesce(sum(s.gr), 0) as gr, coalesce(sum(s.he), 0) as he
+      from {name} t left join (select e.g, e.team, sum(e.sg * (e.p - e.y)) as gr, sum(e.p * (1 - e.p)) as he from (
+          select z.g, unnest([z.home, z.away, case when z.neutral then -2 else -1 end]) as team, unnest([1, -1, 1]) as sg, z.p, z.y from (
+            select q.g, q.home, q.away, q.neutral, 1 / (1 + exp(-(a.th - b.th + case when q.neutral then 0 else f.th end))) as p, q.y
+            from {games} q join {name} a on a.g = q.g and a.team = q.home join {name} b on b.g = q.g and b.team = q.away join {name} f on f.g = q.g and f.team = -1) z) e
+          group by e.g, e.team) s on s.g = t.g and s.team = t.team
+      where t.k < {rounds} group by t.g, t.team) u) w)"""
 
 
 def walk_sql(configs: str) -> str:
-    """The walk-forward forecasts as table wf: all fits at once, keyed by configuration, season and fold."""
-    return f"""cfg(config, scale, prior_games) as (values {configs}), pool as (select * from games where season in {SEASONS}),
-tr as (select f.fold, pool.* from pool, (values {', '.join(f'({h})' for h in HOLDOUTS)}) f(fold) where pool.wk < f.fold),
-tg as (select config, season * 100 + fold as sf, home, away, neutral, 1 / (1 + exp(-greatest(-49, least(49, hs - aw)) / scale)) as y, scale, prior_games from tr, cfg),
-gi as (select distinct config, sf, prior_games, unnest([home, away]) as team from tg),
-wt(k, config, sf, team, th, pg) as (select 0, config, sf, team, cast(0.0 as double), prior_games from gi union all select distinct 0, config, sf, -1, cast(0.0 as double), prior_games from gi
-  union all select k + 1, config, sf, team, case when team = -1 then th else th - avg(th) filter (where team <> -1) over (partition by config, sf) end, pg from (
-    select k, config, sf, team, pg, th - 0.7 * (gr + pen * th) / (he + greatest(pen, 1e-12)) as th from (
-      select any_value(t.k) as k, t.config, t.sf, t.team, any_value(t.pg) as pg, any_value(t.th) as th, any_value(case when t.team = -1 then 0.0 else 0.25 * t.pg end) as pen, coalesce(sum(s.gr), 0) as gr, coalesce(sum(s.he), 0) as he
-      from wt t left join (select e.config, e.sf, e.team, sum(e.sg * (e.p - e.y)) as gr, sum(e.p * (1 - e.p)) as he from (
-          select z.config, z.sf, unnest([z.home, z.away, case when z.neutral then -2 else -1 end]) as team, unnest([1, -1, 1]) as sg, z.p, z.y from (
-            select g.config, g.sf, g.home, g.away, g.neutral, 1 / (1 + exp(-(a.th - b.th + case when g.neutral then 0 else f.th end))) as p, g.y
-            from tg g join wt a on a.config = g.config and a.sf = g.sf and a.team = g.home join wt b on b.config = g.config and b.sf = g.sf and b.team = g.away join wt f on f.config = g.config and f.sf = g.sf and f.team = -1) z) e
-          group by e.config, e.sf, e.team) s on s.config = t.config and s.sf = t.sf and s.team = t.team
-      where t.k < 60 group by t.config, t.sf, t.team) u) w),
-wr as (select t.config, t.sf, t.team, t.th * cfg.scale as rating from wt t join cfg using (config) where k = 60),
-nb as (select season * 100 + fold as sf, team, count(*) as n from (select season, fold, unnest([home, away]) as team from tr) group by season, fold, team),
-wm as (select a.config, g.season, g.wk, g.game_id, g.home, g.away, least(nh.n, na.n) as behind, a.rating - b.rating + case when g.neutral then 0 else f.rating end as margin, g.hs - g.aw as actual
-  from pool g join wr a on a.sf = g.season * 100 + g.wk and a.team = g.home join wr b on b.config = a.config and b.sf = a.sf and b.team = g.away join wr f on f.config = a.config and f.sf = a.sf and f.team = -1 join nb nh on nh.sf = a.sf and nh.team = g.home join nb na on na.sf = a.sf and na.team = g.away where g.wk in {tuple(HOLDOUTS)}),
-wf as (select *, 1 / (1 + exp(-margin / ({CURVE('behind')}))) as p from wm),
+    """The walk-forward forecasts as table wf: last season's fits, what they say of every team, then all folds' fits at once."""
+    y = "1 / (1 + exp(-greatest(-49, least(49, hs - aw)) / scale))"
+    return f"""cfg(config, scale, prior_games, carry, division_weight) as (values {configs}), pool as (select * from games where season in {SEASONS}),
+fits as (select distinct scale, prior_games, cast(scale * 1000 + prior_games * 100 as int) as fit from cfg),
+lg_games as (select season + 1 as season, home, away, neutral, hs, aw from games where season + 1 in {SEASONS}),
+lq as (select fit * 10000 + season as g, home, away, neutral, {y} as y from lg_games, fits),
+ls as (select distinct g, team, cast(0.0 as double) as th, 0.25 * prior_games as pen, cast(0.0 as double) as cen from (select fit * 10000 + season as g, prior_games, unnest([home, away]) as team from lg_games, fits) union all select distinct fit * 10000 + season, -1, 0.0, 0.0, 0.0 from lg_games, fits),
+{newton_sql('lt', 'lq', 'ls', 80)},
+lr as (select g // 10000 as fit, g % 10000 as season, team, th * scale as rating from lt join fits on fits.fit = lt.g // 10000 where k = 80),
+often as (select season, team from (select season, unnest([home, away]) as team from lg_games) group by season, team having count(*) >= 4),
+lgr as (select lr.fit, lr.season, lr.team, division, rating from lr join roster using (team) join often using (season, team) where in_league),
+lmean as (select fit, season, avg(rating) as mean from lgr group by fit, season),
+lstep as (select fit, season, division, avg(rating) as level from lgr where division is not null group by fit, season, division having count(*) >= 10),
+leff as (select fit, season, division, level - avg(level) over (partition by fit, season) as effect from lstep),
+lraw as (select config, lmean.season, roster.team, case when in_league then coalesce(effect, 0.0) * division_weight + case when lgr.rating is null then 0.0 else greatest(-14.0, least(14.0, (lgr.rating - mean - coalesce(effect, 0.0)) * carry)) end else 0.0 end as raw
+  from lmean cross join roster join fits on fits.fit = lmean.fit join cfg using (scale, prior_games) left join leff on leff.fit = lmean.fit and leff.season = lmean.season and leff.division = roster.division left join lgr on lgr.fit = lmean.fit and lgr.season = lmean.season and lgr.team = roster.team),
+lprior as (select config, season, team, raw - avg(raw) over (partition by config, season) as prior from lraw),
+lhfa as (select config, season, rating as hfa from lr join fits using (fit) join cfg using (scale, prior_games) where team = -1),
+fold as (select f.fold, s.season, (select count(*) from pool where pool.season = s.season and pool.wk < f.fold) as n from (values {', '.join(f'({h})' for h in HOLDOUTS)}) f(fold), (select distinct season from pool) s),
+tr as (select f.fold, pool.* from pool join fold f on f.season = pool.season and pool.wk < f.fold),
+tq as (select config * 1000000 + tr.season * 100 + tr.fold as g, home, away, neutral, {y} as y from tr join fold using (season, fold), cfg where n >= {tuning.LEAST_TRAIN}),
+start as (select config, season, fold, n, team, coalesce(prior, 0.0) / scale as th, scale, 0.25 * prior_games as pen from fold cross join roster cross join cfg left join lprior using (config, season, team)),
+ts as (select config * 1000000 + season * 100 + fold as g, team, th, pen, th as cen from start where n >= {tuning.LEAST_TRAIN} union all select config * 1000000 + season * 100 + fold, -1, 0.0, 0.0, 0.0 from fold, cfg where n >= {tuning.LEAST_TRAIN}),
+{newton_sql('wt', 'tq', 'ts', 60)},
+wr as (select config, (g % 1000000) // 100 as season, g % 100 as fold, team, th * scale as rating from wt join cfg on cfg.config = wt.g // 1000000 where k = 60
+  union all select config, season, fold, team, th * scale from start where n < {tuning.LEAST_TRAIN} union all select config, season, fold, -1, coalesce(hfa, {tuning.FIRST_ADVANTAGE}) from fold cross join cfg left join lhfa using (config, season) where n < {tuning.LEAST_TRAIN}),
+nb as (select season, fold, team, count(*) as n from (select season, fold, unnest([home, away]) as team from tr) group by season, fold, team),
+wm as (select a.config, cfg.scale, g.season, g.wk, g.game_id, g.home, g.away, least(coalesce(nh.n, 0), coalesce(na.n, 0)) as behind, a.rating - b.rating + case when g.neutral then 0 else f.rating end as margin, g.hs - g.aw as actual
+  from pool g join wr a on a.season = g.season and a.fold = g.wk and a.team = g.home join wr b on b.config = a.config and b.season = a.season and b.fold = a.fold and b.team = g.away join wr f on f.config = a.config and f.season = a.season and f.fold = a.fold and f.team = -1 join cfg on cfg.config = a.config
+  left join nb nh on nh.season = a.season and nh.fold = a.fold and nh.team = g.home left join nb na on na.season = a.season and na.fold = a.fold and na.team = g.away),
+wf as (select *, 1 / (1 + exp(-margin / scale)) as p, 1 / (1 + exp(-margin / ({CURVE('behind')}))) as shown_p from wm),
 ws as (select *, case when actual = 0 then -(ln(q) + ln(1 - q)) / 2 when actual > 0 then -ln(q) else -ln(1 - q) end as loss, case when actual <> 0 then cast((margin > 0) = (actual > 0) as int) end as rt, abs(margin - actual) as error from (select *, greatest(1e-6, least(1 - 1e-6, p)) as q from wf) z)"""
 
 
-ONE, ALL = walk_sql("(0, 9.0::double, 0.5::double)"), walk_sql(VALUES)
+ONE, ALL = walk_sql("(0, 9.0::double, 0.5::double, 0.6::double, 1.0::double)"), walk_sql(VALUES)
 
 
 def pool(spark, sf):
@@ -51,17 +81,16 @@ def pool(spark, sf):
 
 
 def forecasts(spark, sf):
-    return tuning.walk_forward(pool(spark, sf), HOLDOUTS)
+    return tuning.walk_forward(arena.dense_games(spark, sf), HOLDOUTS, arena.dense_roster(spark, sf), seasons=SEASONS)
 
 
 def grid(spark):
-    return spark.createDataFrame(GRID, "config int, scale double, prior_games double")
+    return spark.createDataFrame(GRID, CONFIGS)
 
 
 def scored(spark, sf):
     """Every configuration's losses, once: the choices below read them several times."""
-    ensure_cut(spark)
-    return tuning.losses(tuning.walk_forward(pool(spark, sf), HOLDOUTS, grid(spark))).checkpoint()
+    return cut(tuning.losses(tuning.walk_forward(arena.dense_games(spark, sf), HOLDOUTS, arena.dense_roster(spark, sf), grid(spark), SEASONS)))
 
 
 @query(f"{WITH}, {ONE} select season, wk, game_id, behind, {R('margin', 2)} as margin, {R('p', 3)} as p from wf")
@@ -87,10 +116,10 @@ def grid_search(spark, sf):
     return tuning.evaluate(scored(spark, sf), ["config"])
 
 
-@query(f"{WITH}, {ALL}, e as (select config, round(avg(loss), 9) as m from ws group by config) select config, {R('m', 4)} as logloss from e order by m, config limit 5")
+@query(f"{WITH}, {ALL}, e as (select config, round(avg(loss), 9) as m from ws group by config) select config, {R('m', 4)} as logloss from e order by m, config limit 10")
 def leaderboard(spark, sf):
     means = scored(spark, sf).groupBy("config").agg(F.round(F.avg("loss"), 9).alias("m"))
-    return means.orderBy("m", "config").limit(5).select("config", arena.safe_round(F.col("m"), 4).alias("logloss"))
+    return means.orderBy("m", "config").limit(10).select("config", arena.safe_round(F.col("m"), 4).alias("logloss"))
 
 
 TIED = f"{ALL}, mean as (select config, round(avg(loss), 9) as m from ws group by config), best as (select config from mean order by m, config limit 1), base as (select season, game_id, loss as base from ws where config in (select config from best)), d as (select ws.config, loss - base as d from ws join base using (season, game_id)), td as (select config, avg(d) as gap, coalesce(stddev_samp(d), 0.0) / sqrt(count(*)) as se from d group by config)"
@@ -102,18 +131,18 @@ def tied_with_best(spark, sf):
     return tuning.tied_with_best(scored(spark, sf)).select("config", r("gap"), r("se"), "tied")
 
 
-CHOSEN = f"{TIED}, chosen as (select td.config, cfg.scale, cfg.prior_games from td join cfg using (config) where gap <= se + 1e-12 order by round(abs(cfg.scale - 9.0) / 5.0 + abs(cfg.prior_games - 0.5) / 0.75, 9), td.config limit 1)"
-RANGES = {"scale": 5.0, "prior_games": 0.75}
+CHOSEN = f"{TIED}, chosen as (select td.config, cfg.scale, cfg.prior_games, cfg.carry, cfg.division_weight from td join cfg using (config) where gap <= se + 1e-12 order by round(abs(cfg.scale - 9.0) / 5.0 + abs(cfg.prior_games - 0.5) / 0.5 + abs(cfg.carry - 0.6) / 0.2 + abs(cfg.division_weight - 1.0) / 1.0, 9), td.config limit 1)"
+RANGES = {"scale": 5.0, "prior_games": 0.5, "carry": 0.2, "division_weight": 1.0}
 
 
-@query(f"{WITH}, {CHOSEN} select config, scale, prior_games from chosen")
+@query(f"{WITH}, {CHOSEN} select config, scale, prior_games, carry, division_weight from chosen")
 def select_config(spark, sf):
     return tuning.select_config(tuning.tied_with_best(scored(spark, sf)), grid(spark), RANGES)
 
 
-@query(f"{WITH}, {CHOSEN} select 'scale' as name, scale as value, scale in (7.0, 12.0) as on_edge from chosen union all select 'prior_games', prior_games, prior_games in (0.25, 1.0) from chosen")
+@query(f"{WITH}, {CHOSEN} select 'scale' as name, scale as value, scale in (7.0, 12.0) as on_edge from chosen union all select 'prior_games', prior_games, prior_games in (0.5, 1.0) from chosen union all select 'carry', carry, carry in (0.4, 0.6) from chosen union all select 'division_weight', division_weight, division_weight in (0.0, 1.0) from chosen")
 def grid_edges(spark, sf):
-    return tuning.grid_edges(tuning.select_config(tuning.tied_with_best(scored(spark, sf)), grid(spark), RANGES), grid(spark), ["scale", "prior_games"])
+    return tuning.grid_edges(tuning.select_config(tuning.tied_with_best(scored(spark, sf)), grid(spark), RANGES), grid(spark), list(RANGES))
 
 
 @query(f"{WITH}, {ALL} select season, arg_min(config, (m, config)) as config from (select season, config, round(avg(loss), 9) as m from ws group by season, config) group by season")
@@ -144,10 +173,10 @@ def crossval(spark, sf):
 
 # --- the history log ---------------------------------------------------------------------------------------------
 def logged(spark, sf):
-    return forecasts(spark, sf).select(F.when(F.col("wk") <= 14, "backtest").otherwise("live").alias("kind"), "season", "wk", "game_id", "home", "away", arena.safe_round(F.col("margin"), 1).alias("margin"), arena.safe_round(F.col("p"), 3).alias("p"))
+    return forecasts(spark, sf).select(F.when(F.col("wk") <= 14, "backtest").otherwise("live").alias("kind"), "season", "wk", "game_id", "home", "away", arena.safe_round(F.col("margin"), 1).alias("margin"), arena.safe_round(F.col("shown_p"), 3).alias("p"))
 
 
-LOG = f"{ONE}, lg as (select case when wk <= 14 then 'backtest' else 'live' end as kind, season, wk, game_id, home, away, {R('margin', 1)} as margin, {R('p', 3)} as p from wf)"
+LOG = f"{ONE}, lg as (select case when wk <= 14 then 'backtest' else 'live' end as kind, season, wk, game_id, home, away, {R('margin', 1)} as margin, {R('shown_p', 3)} as p from wf)"
 #: A pair may meet twice in a week; every forecast is then graded against each of these results, as the join on names does.
 GRADED = f"{LOG}, gd as (select lg.*, hs - aw as actual, greatest(1e-6, least(1 - 1e-6, p)) as q from lg join pool g using (season, wk, home, away) where hs <> aw), gs as (select *, cast((margin > 0) = (actual > 0) as int) as rt, case when actual > 0 then -ln(q) else -ln(1 - q) end as loss, abs(margin - actual) as error, power(q - cast(actual > 0 as int), 2) as square from gd)"
 
