@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import simulate
+from ..operators.lineage import cut
 from . import arena
 from .queries_forecast import PREDICTED, played, predicted
-from .queries_ratings import ensure_cut
 from .queries_records import POINTS
 from .registry import registry
 
 QUERIES, ORACLE_SQL, query = registry()
 WITH = f"with recursive {arena.ARENA_SQL}"
 R = lambda x, n: f"round({x} + 1e-9, {n}) + 0.0"
-#: Simulations of the checked queries, the weeks that are simulated, and the least branch at that number.
-SIMS, WEEKS, LEAST = 60, (27, 28), 8
+#: Simulations of all open games up to the last regular week; swings need LEAST_BRANCH of them either way.
+SIMS, LEAST = 1000, simulate.LEAST_BRANCH
 
 UNIFORM = lambda *k: f"(('0x' || substr(md5(concat_ws('|', {', '.join(f'cast({x} as varchar)' for x in k)})), 1, 8))::bigint / 4294967296.0)"
-DRAWS = f"""{PREDICTED}, open as (select game_id, home, away, p from shown where wk in {WEEKS}), draws as (select s as sim, game_id, home, away, {UNIFORM('game_id', 's', simulate.SEED)} < p as home_won from open, range({SIMS}) r(s))"""
+DRAWS = f"""{PREDICTED}, open as (select game_id, home, away, p from shown where wk <= {arena.LAST_REGULAR_WEEK}), draws as (select s as sim, game_id, home, away, {UNIFORM('game_id', 's', simulate.SEED)} < p as home_won from open, range({SIMS}) r(s))"""
 SIM = f"""{DRAWS}, val as (select team, cast({POINTS} as double) as value from roster),
 beat as (select case when hs > aw then home else away end as team, case when hs > aw then away else home end as opp from played where hs <> aw),
 fixed as (select team, sum(value) as f1, count(*) as fw from (select beat.team, v.value from beat join val v on v.team = beat.opp) group by team),
@@ -36,14 +36,17 @@ cond as (select reg.team, reg.region, t.game_id, n_home, coalesce(qh, 0) / n_hom
 
 
 def open_games(spark, sf):
-    return predicted(spark, sf).filter(F.col("wk").isin(*WEEKS)).select("game_id", "home", "away", "p")
+    return predicted(spark, sf).filter(F.col("wk") <= arena.LAST_REGULAR_WEEK).select("game_id", "home", "away", "p")
 
 
 def seeded(spark, sf):
-    ensure_cut(spark)
-    # the sample is read many times: by the seeds, by both branches of every game
-    drawn = simulate.draws(open_games(spark, sf), SIMS).checkpoint()
-    return simulate.seeds(simulate.simulate(arena.dense_roster(spark, sf), played(spark, sf), drawn, SIMS)), drawn
+    # forecasts, draws and seeds are written once: the sample is read many times
+    drawn = cut(simulate.draws(open_games(spark, sf), SIMS))
+    return cut(simulate.seeds(simulate.simulate(arena.dense_roster(spark, sf), played(spark, sf), drawn, SIMS))), drawn
+
+
+def drawn_games(drawn):
+    return drawn.filter("sim = 0").select("game_id", "home", "away")
 
 
 @query(f"{WITH}, {DRAWS} select game_id, count_if(home_won) as home_wins from draws group by game_id")
@@ -75,17 +78,17 @@ def win_dist(spark, sf):
 
 def conditional(spark, sf):
     s, drawn = seeded(spark, sf)
-    return simulate.conditionals(s.checkpoint(), drawn, least=LEAST)
+    return simulate.conditionals(s, drawn, least=LEAST), drawn_games(drawn)
 
 
 @query(f"{WITH}, {COND}, own as (select team, game_id, case when team = home then p_home else p_away end as w, case when team = home then p_away else p_home end as l from cond where team = home or team = away) select team, game_id, {R('w', 3)} as if_win, {R('l', 3)} as if_lose, {R('w - l', 3)} as swing from own")
 def own_swings(spark, sf):
-    return simulate.own_swings(conditional(spark, sf), open_games(spark, sf))
+    return simulate.own_swings(*conditional(spark, sf))
 
 
 @query(f"{WITH}, {COND}, o as (select *, round(p_home - p_away, 9) as s from cond where team <> home and team <> away), k as (select *, row_number() over (partition by team order by abs(s) desc, game_id) as rank from o where abs(s) >= 0.005) select team, rank, game_id, case when s > 0 then 'home' else 'away' end as rooting, {R('abs(s)', 3)} as swing from k where rank <= 3")
 def scoreboard_watch(spark, sf):
-    return simulate.scoreboard_watch(conditional(spark, sf), open_games(spark, sf))
+    return simulate.scoreboard_watch(*conditional(spark, sf))
 
 
 @query(f"{WITH}, {SIM}, r as (select sim, region, count(*) as n, count_if(seed <= 12) as places, count_if(seed <= 4) as byes, count_if(seed = 1) as tops from seeded group by sim, region) select region, {R('avg(places)', 2)} as places, {R('avg(byes)', 2)} as byes, {R('avg(tops)', 2)} as tops, min(least(12, n)) as owed from r group by region")
@@ -100,7 +103,6 @@ def conservation(spark, sf):
 def total_probability(spark, sf):
     """Odds lie between, and average to, the odds given either result."""
     s, drawn = seeded(spark, sf)
-    s = s.checkpoint()
     overall = s.groupBy("team").agg(F.avg((F.col("seed") <= 12).cast("double")).alias("overall"))
     share = F.col("n_home") / F.lit(float(SIMS))
     back = F.col("p_home") * share + F.col("p_away") * (1 - share)
@@ -117,6 +119,6 @@ def sim_skip(spark, sf):
 @query(f"{WITH}, {COND}, own as (select team, game_id, case when team = home then p_home - p_away else p_away - p_home end as s from cond where team = home or team = away) select team, count(*) as games, string_agg(cast(game_id as varchar), ',' order by wk, game_id) as by_week from own join (select game_id, wk from shown) using (game_id) group by team")
 def what_if(spark, sf):
     """Each team's own open games that are worth telling, by week."""
-    weeks = predicted(spark, sf).select("game_id", "wk")
-    rows = simulate.own_swings(conditional(spark, sf), open_games(spark, sf)).join(weeks, "game_id")
+    weeks = arena.fixtures(arena.dense_games(spark, sf)).select("game_id", "wk")
+    rows = simulate.own_swings(*conditional(spark, sf)).join(weeks, "game_id")
     return rows.groupBy("team").agg(F.count(F.lit(1)).alias("games"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("wk", "game_id"))), lambda g: g["game_id"].cast("string")), ",").alias("by_week"))
