@@ -79,27 +79,39 @@ def fixtures_in_league(fixtures: DataFrame, roster: DataFrame) -> DataFrame:
     return home.unionByName(away)
 
 
-def predict(fixtures: DataFrame, ratings: DataFrame, played: DataFrame, profile: DataFrame, cfg: Config = CONFIG) -> DataFrame:
-    """fixtures with raw margin, shown margin, probability of a home win, and projected scores.
+def predict(fixtures: DataFrame, ratings: DataFrame, played: DataFrame, profile: DataFrame, cfg: Config = CONFIG, stand_in: DataFrame | None = None) -> DataFrame:
+    """Every fixture, with raw margin, shown margin, probability of a home win, projected scores and a status.
 
     Probability comes from the raw margin, the shown margin is the calibrated
-    one, and the score is made from what is shown.
+    one, and the score is made from what is shown.  A side without a rating
+    takes that of stand_in (one row with ``rating``), its probability is the
+    flattest, and the status says so; without a stand-in such a fixture stays,
+    with the reason as its status and nothing forecast.
     """
-    from .ratings import predict_margin
-
+    hfa = ratings.filter(F.col("team") == -1).select(F.col("rating").alias("hfa"))
+    spare = (stand_in.select(F.col("rating").alias("spare")) if stand_in is not None else hfa.select(F.lit(None).cast("double").alias("spare")))
     n = played.select("team", "games")
     off = profile.select("team", "offense", "defense", "league_ppg")
+    league = off.agg(F.max("league_ppg").alias("league_ppg"))
+    side = lambda c, r: ratings.select(F.col("team").alias(c), F.col("rating").alias(r))
     rows = (
-        predict_margin(fixtures, ratings)
+        fixtures.join(side("home", "rh"), "home", "left")
+        .join(side("away", "ra"), "away", "left")
         .join(n.select(F.col("team").alias("home"), F.col("games").alias("gh")), "home", "left")
         .join(n.select(F.col("team").alias("away"), F.col("games").alias("ga")), "away", "left")
-        .join(off.select(F.col("team").alias("home"), F.col("offense").alias("oh"), F.col("defense").alias("dh"), "league_ppg"), "home", "left")
+        .join(off.select(F.col("team").alias("home"), F.col("offense").alias("oh"), F.col("defense").alias("dh")), "home", "left")
         .join(off.select(F.col("team").alias("away"), F.col("offense").alias("oa"), F.col("defense").alias("da")), "away", "left")
+        # three tables of one row
+        .join(F.broadcast(hfa.join(F.broadcast(spare)).join(F.broadcast(league))))
     )
+    stood = F.col("rh").isNull() | F.col("ra").isNull()
+    margin = F.coalesce("rh", "spare") - F.coalesce("ra", "spare") + F.when(F.col("neutral"), 0.0).otherwise(F.col("hfa"))
     behind = F.least(F.coalesce("gh", F.lit(0)), F.coalesce("ga", F.lit(0)))
-    shown = safe_round(F.col("margin") * cfg.margin_scale, 1)
-    rows = rows.withColumns({"behind": behind, "shown": shown, "p": safe_round(win_probability(F.col("margin"), behind.cast("double"), F.lit(False), cfg), 3), "total": expected_total(F.col("league_ppg"), F.col("oh"), F.col("oa"), F.col("dh"), F.col("da"))})
-    return rows.withColumn("score", projected_score(F.col("shown"), F.col("total"))).select(*fixtures.columns, "margin", "behind", "shown", "p", "total", "score.h", "score.a")
+    status = F.when(~stood, "rated").when(F.col("margin").isNull(), "opponent has no rating yet").otherwise("stand-in")
+    rows = rows.withColumns({"stood": stood, "margin": margin, "behind": behind})
+    rows = rows.withColumns({"shown": safe_round(F.col("margin") * cfg.margin_scale, 1), "p": safe_round(win_probability(F.col("margin"), F.col("behind").cast("double"), F.col("stood"), cfg), 3), "total": expected_total(F.col("league_ppg"), F.col("oh"), F.col("oa"), F.col("dh"), F.col("da")), "status": status})
+    score = F.when(F.col("shown").isNotNull(), projected_score(F.col("shown"), F.col("total")))
+    return rows.withColumn("score", score).select(*fixtures.columns, "margin", "behind", "shown", "p", "total", "score.h", "score.a", "status")
 
 
 def project_records(record: DataFrame, predicted: DataFrame) -> DataFrame:

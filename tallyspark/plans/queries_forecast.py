@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import forecast, priors, ratings, records as rec
+from ..operators.lineage import cut
 from . import arena
 from .arena import ARENA_SQL, SPARSE_SQL, safe_round
 from .queries_ratings import CURVE, FIT, MARGIN, ensure_cut, fit_sql, season_fit
@@ -23,10 +24,10 @@ halves as (select *, cast(round_even(greatest(0.0, (base + d + margin) / 2), 0)
 fits as (select *, round(abs((h - a) - margin), 6) as drift from halves where h not in (1,2,4,5,11) and a not in (1,2,4,5,11) and abs((h - a) - margin) <= 1.1 and (abs(margin) < 0.5 or (margin > 0 and h > a) or (margin < 0 and h < a))),
 ranked as (select *, row_number() over (partition by id order by drift, abs(d), o) as k from fits),
 scored as (select p.id, coalesce(r.h, p.h) as h, coalesce(r.a, p.a) as a from halves p left join ranked r on r.id = p.id and r.k = 1 where p.o = 0)"""
-PREDICTED = f"""{FIT}, {PROFILE}, raw as (select x.season, x.wk, x.game_id, x.home, x.away, x.neutral, a.rating - b.rating + case when x.neutral then 0 else f.rating end as margin, least(coalesce(ph.played, 0), coalesce(pa.played, 0)) as behind,
-  greatest(10.0, least(100.0, 2 * ph.league_ppg + coalesce(ph.offense, 0) + coalesce(pa.offense, 0) + coalesce(ph.defense, 0) + coalesce(pa.defense, 0))) as total
-  from fixtures x join fit a on a.team = x.home join fit b on b.team = x.away join fit f on f.team = -1 left join profile ph on ph.team = x.home left join profile pa on pa.team = x.away),
-shown as (select *, {R('margin * 1.4708', 1)} as shown, {R(f'1 / (1 + exp(-margin / ({CURVE("behind")})))', 3)} as p from raw),
+PREDICTED = f"""{FIT}, {PROFILE}, spare as (select {R('median(rating)', 2)} as spare from fit join roster using (team) where in_league), raw as (select x.season, x.wk, x.game_id, x.home, x.away, x.neutral, a.rating is null or b.rating is null as stood, coalesce(a.rating, spare) - coalesce(b.rating, spare) + case when x.neutral then 0 else f.rating end as margin, least(coalesce(ph.played, 0), coalesce(pa.played, 0)) as behind,
+  greatest(10.0, least(100.0, 2 * league_ppg.league_ppg + coalesce(ph.offense, 0) + coalesce(pa.offense, 0) + coalesce(ph.defense, 0) + coalesce(pa.defense, 0))) as total
+  from fixtures x left join fit a on a.team = x.home left join fit b on b.team = x.away join fit f on f.team = -1 cross join spare cross join ppg league_ppg left join profile ph on ph.team = x.home left join profile pa on pa.team = x.away),
+shown as (select *, {R('margin * 1.4708', 1)} as shown, {R(f'1 / (1 + exp(-margin / ({CURVE("behind", "stood")})))', 3)} as p, case when stood then 'stand-in' else 'rated' end as status from raw),
 sc as (select game_id as id, shown as margin, total from shown), {SCORE}"""
 
 
@@ -35,8 +36,9 @@ def played(spark, sf):
 
 
 def predicted(spark, sf):
-    games = played(spark, sf)
-    return forecast.predict(arena.fixtures(arena.dense_games(spark, sf)), season_fit(spark, sf), rec.records(games), forecast.scoring_profile(games))
+    games, rated = played(spark, sf), cut(season_fit(spark, sf))
+    spare = priors.stand_in(rated, arena.dense_roster(spark, sf))
+    return forecast.predict(arena.fixtures(arena.dense_games(spark, sf)), rated, rec.records(games), forecast.scoring_profile(games), stand_in=spare)
 
 
 @query(f"{WITH}, {PROFILE} select team, played, {R('offense', 3)} as offense, {R('defense', 3)} as defense, {R('league_ppg', 3)} as league_ppg from profile")
@@ -52,9 +54,9 @@ def projected_score(spark, sf):
     return grid.select((F.col("m") * 1000 + F.col("t")).alias("id"), forecast.projected_score(F.col("m") / 2.0, F.col("t").cast("double")).alias("s")).select("id", "s.h", "s.a")
 
 
-@query(f"{WITH}, {PREDICTED} select game_id, {R('margin', 2)} as margin, behind, shown, p, {R('total', 2)} as total from shown")
+@query(f"{WITH}, {PREDICTED} select game_id, {R('margin', 2)} as margin, behind, shown, p, {R('total', 2)} as total, status from shown")
 def predict_schedule(spark, sf):
-    return predicted(spark, sf).select("game_id", safe_round(F.col("margin"), 2).alias("margin"), F.col("behind").cast("long").alias("behind"), "shown", "p", safe_round(F.col("total"), 2).alias("total"))
+    return predicted(spark, sf).select("game_id", safe_round(F.col("margin"), 2).alias("margin"), F.col("behind").cast("long").alias("behind"), "shown", "p", safe_round(F.col("total"), 2).alias("total"), "status")
 
 
 @query(f"{WITH} select count(*) as kept, (select count(*) from fixtures) as all_fixtures from fixtures where home in (select team from roster where in_league) or away in (select team from roster where in_league)")
