@@ -147,7 +147,7 @@ def scale_swap(spark, sf):
     return checks.scale_swap(predicted(spark, sf), 1.4708).select(arena.safe_round(F.col("worst"), 3).alias("worst"), "swapped")
 
 
-@query("select true as half_at_zero, true as symmetric, true as rising, true as capped")
+@query("with q as (select m, 1 / (1 + exp(-greatest(-49, least(49, m)) / 9.0)) as y, 1 / (1 + exp(-greatest(-49, least(49, -m)) / 9.0)) as back, 1 / (1 + exp(-greatest(-49, least(49, m + 1)) / 9.0)) as next, 1 / (1 + exp(-greatest(-49, least(49, 49)) / 9.0)) as top from range(-60, 61) t(m)) select bool_or(m = 0 and abs(y - 0.5) < 1e-12) as half_at_zero, max(abs(y + back - 1)) < 1e-12 as symmetric, bool_and(next >= y) as rising, bool_and(m <= 49 or abs(y - top) < 1e-12) as capped from q")
 def squash_invariants(spark, sf):
     return checks.squash_invariants(spark, 9.0, 49.0)
 
