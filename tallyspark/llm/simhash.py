@@ -172,10 +172,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = cut(large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct())
-        now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()
-        if tuple(now) == before and now[0] == now[2]:
+        now = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        # nothing moves any more, and every node hangs on one root
+        if now == before and pairs.select("u").distinct().count() == now[0]:
             break
-        before = tuple(now)
+        before = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
