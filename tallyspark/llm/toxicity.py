@@ -20,7 +20,7 @@ from .common import batched, held_out, written
 
 BITS = 20
 #: The bound of the fitting sample: about SAMPLE labelled rows, and FEATURES features (four bytes each) in all of them. Passes over them.
-SAMPLE, FEATURES, EPOCHS = 10_000, 12_000_000, 3
+SAMPLE, FEATURES, EPOCHS = 10_000, 8_000_000, 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.1
 THRESHOLD = 0.3
 #: A longer word also counts as its first bytes, so that its endings share what they teach.
@@ -108,7 +108,10 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
         drawn_rows = drawn_rows.filter(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(1_000_000)) < FEATURES / held * 1_000_000)
     found = drawn_rows.orderBy("id", "f").toArrow()
     rows = [np.frombuffer(f.as_buffer(), np.int32) for f in found["f"]]
-    return ftrl(rows, [int(y > 0) for y in found["y"].to_pylist()])
+    model = ftrl(rows, [int(y > 0) for y in found["y"].to_pylist()])
+    del rows, found
+    pa.default_memory_pool().release_unused()  # the driver has other work to do
+    return model
 
 
 def scorer(model: Weights, spark):
