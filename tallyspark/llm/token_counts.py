@@ -10,6 +10,7 @@ kept.
 
 from __future__ import annotations
 
+import json
 import os
 from collections import Counter
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import batched, slices, written
 
 #: Distinct pre-tokens that are broadcast at most (a bound, whatever the corpus), and those a task holds before it passes them on.
 HEAD, HELD = 150_000, 50_000
@@ -32,6 +33,17 @@ RARE = regex.compile(r"[^\x00-\u024F\u0370-\u0377\u0391-\u03CE\u0400-\u04FF\u201
 LONG = 200
 
 
+def checked(path: str) -> None:
+    """Raise where the vocabulary file is of another kind than PATTERN stands for: what it says of normalising and splitting is read from the file itself."""
+    from tokenizers import Tokenizer
+
+    said = json.loads(Tokenizer.from_file(path).to_str())
+    split = said.get("pre_tokenizer") or {}
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    if said.get("normalizer") or not plain or said["model"]["type"] != "BPE" or any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in said["added_tokens"]):
+        raise ValueError(f"{path} is not a byte-level BPE vocabulary without normaliser, split by its own pattern")
+
+
 def added_tokens(path: str) -> list[str]:
     """The added tokens of a vocabulary file, longest first."""
     from tokenizers import Tokenizer
@@ -134,9 +146,11 @@ def count_tokens(documents: DataFrame, path: str, *, id_col: str = "doc_id", tex
     """(id, n_bytes, n_tokens): one row for each document, counts as the library at ``path`` gives them.
 
     Null and empty texts have no bytes and no tokens.  Repeated rows and
-    repeated ids stay as rows of their own; other columns are not read.
+    repeated ids stay as rows of their own; other columns are not read.  A
+    vocabulary of another kind is refused.
     """
-    spark = documents.sparkSession
+    checked(path)
+    spark = batched(documents).sparkSession
     table = written(counted(pre_token_counts(documents, path, text_col), path))
     top = most_frequent(table, head).select("token", "pieces").toArrow()
     sent = spark.sparkContext.broadcast((top["token"].combine_chunks(), top["pieces"].combine_chunks(), added_tokens(path)))

@@ -28,3 +28,8 @@ def test_splits_as_the_library():
 
 def test_empty(empty):
     assert tc.count_tokens(empty, PATH).count() == 0
+
+
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError):
+        tc.checked(public_tokenizers.path("word_bpe_49k.json"))
