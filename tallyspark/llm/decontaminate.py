@@ -7,8 +7,8 @@ Each document is read once: its windows are hashed inside the row, and only
 positions whose bits are set leave the row, with their words.  These are then
 joined with the windows on the words themselves, so no collision counts.
 
-The table has 64 bits a window and 2**24 at most, so its size is bounded
-whatever the benchmark; with more windows than that calls for, more positions
+The long table has 64 bits a window and 2**24 at most, the short one 2**20
+flags, so their size is bounded whatever the benchmark; with more windows than that calls for, more positions
 leave their rows, and the result stays the same.
 """
 
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import lower_ascii, written
 
 WINDOW = 10
-#: Bits of the table for each window, its least and largest size as powers of two, and windows up to which the confirming join broadcasts them.
-BITS_EACH, LEAST_BITS, MOST_BITS, BROADCAST_WINDOWS = 64, 12, 24, 50_000
+#: Bits of the long table for each window, its least and largest size and the largest of the short one as powers of two, and windows up to which the confirming join broadcasts them.
+BITS_EACH, LEAST_BITS, MOST_BITS, MOST_FLAGS, BROADCAST_WINDOWS = 64, 12, 24, 20, 50_000
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -39,40 +39,41 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     return items.select("item", n.alias("n"), F.explode(F.transform(starts, lambda i: F.array_join(F.slice(F.col("words"), i, n), " "))).alias("gram")).distinct()
 
 
-def bit_table(grams: DataFrame, n_windows: int) -> tuple[Column, int]:
-    """The table as a constant array of longs, and its size as a power of two. Words are or-ed by Spark; at most 2**18 come to the driver."""
+def tables(grams: DataFrame, n_windows: int) -> tuple[Column, Column, int]:
+    """Flags as a constant array of booleans, bits as one of longs, and the power of two that is the number of bits.
+
+    Both are or-ed by Spark, so at most 2**18 words and 2**20 flags come to the driver.
+    """
     power = min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * n_windows - 1).bit_length()))
-    h = F.xxhash64(F.split("gram", " "))
-    at = F.explode(F.array(*places(h, power)))
-    rows = grams.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit_of(F.col("at"))).alias("bits")).collect()
-    words = np.zeros(1 << (power - 6), np.int64)
-    words[[r["word"] for r in rows]] = [r["bits"] for r in rows]
-    return F.split(F.lit(",".join(map(str, words.tolist()))), ",").cast("array<bigint>"), power
+    flags, words = np.zeros(1 << min(power, MOST_FLAGS), bool), np.zeros(1 << (power - 6), np.int64)
+    placed = grams.select(*places(F.xxhash64(F.split("gram", " ")), power))
+    flags[[r["flag"] for r in placed.select("flag").distinct().collect()]] = True
+    bits = placed.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(bit_of(F.col("bit"))).alias("bits")).collect()
+    words[[r["word"] for r in bits]] = [r["bits"] for r in bits]
+    constant = lambda x, kind: F.split(F.lit(",".join(map(str, x.tolist()))), ",").cast(f"array<{kind}>")
+    return constant(flags.astype(int), "boolean"), constant(words, "bigint"), power
 
 
 def bit_of(at: Column) -> Column:
-    """The word's bit that stands for a place of the table."""
+    """The word's bit that stands for a place of the long table."""
     return F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63))
 
 
 def places(h: Column, power: int) -> tuple[Column, Column]:
-    """The two bits of a hash, as ints."""
-    mask = (1 << power) - 1
-    return h.bitwiseAND(mask).cast("int"), F.shiftrightunsigned(h, 32).bitwiseAND(mask).cast("int")
+    """The flag and the bit of a hash, from its lower and its upper half."""
+    flag = h.bitwiseAND((1 << min(power, MOST_FLAGS)) - 1)
+    return flag.cast("int").alias("flag"), F.shiftrightunsigned(h, 32).bitwiseAND((1 << power) - 1).cast("int").alias("bit")
 
 
-def scan(rows: DataFrame, sizes: list[int], table: Column, power: int) -> DataFrame:
-    """row, kept, n_words and hits: (start, gram) of the windows whose bits are set."""
-
+def scan(rows: DataFrame, sizes: list[int], flags: Column, words: Column, power: int) -> DataFrame:
+    """row, kept, n_words and hits: (start, n, gram) of the windows whose flag and bit are set."""
     none = F.array().cast("array<struct<start:int,n:int,gram:string>>")
 
-    def is_set(at: Column) -> Column:
-        return F.get(table, F.shiftright(at, 6)).bitwiseAND(bit_of(at)) != 0
-
     def way(n: int) -> Column:
         def known(i: Column) -> Column:
-            first, second = places(F.xxhash64(F.slice("words", i, F.lit(n))), power)
-            return is_set(first) & is_set(second)
+            flag, bit = places(F.xxhash64(F.slice("words", i, F.lit(n))), power)
+            # the bit is asked for only where the flag is set
+            return F.get(flags, flag) & (F.get(words, F.shiftright(bit, 6)).bitwiseAND(bit_of(bit)) != 0)
 
         def spoken(i: Column) -> Column:
             return F.struct(i.alias("start"), F.lit(n).alias("n"), F.array_join(F.slice("words", i, F.lit(n)), " ").alias("gram"))
@@ -101,7 +102,7 @@ def judged(documents: DataFrame, benchmark: DataFrame, keep: Column, text_col: s
     n_windows = sum(sizes.values())
     # the row number is written with the rows, so it stays as it is whoever reads them again
     rows = documents.select(F.monotonically_increasing_id().alias("row"), keep.alias("kept"), words_of(F.col(text_col)).alias("words"))
-    seen = written(scan(rows, sorted(sizes), *bit_table(grams, n_windows)))
+    seen = written(scan(rows, sorted(sizes), *tables(grams, n_windows)))
     lookup = grams.select("item", "gram")
     if n_windows <= BROADCAST_WINDOWS:
         lookup = F.broadcast(lookup)
