@@ -6,11 +6,11 @@ from itertools import product
 
 from pyspark.sql import functions as F
 
-from ..operators import history, tuning
+from ..operators import history, ratings, tuning
 from ..operators.lineage import cut
 from . import arena
 from .queries_forecast import predicted
-from .queries_ratings import CURVE, FIT, fit_sql
+from .queries_ratings import CURVE
 from .registry import registry
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -216,11 +216,18 @@ def append_if_new(spark, sf):
     return history.append_if_new(spark.createDataFrame([("a", 2000, 1, 10), ("a", 2000, 2, 20)], kind), spark.createDataFrame([("a", 2000, 2, 99), ("b", 2000, 1, 40)], kind), ["source", "season", "wk"])
 
 
-@query(f"with {arena.ARENA_SQL}, pts as (select distinct wk, unnest([home, away]) as team from played where wk <= 3) select team, string_agg(cast(wk as varchar), ',' order by wk) as weeks, count(*) as points from pts where team % 2 = 0 group by team having count(*) >= 2")
+WEEKLY = f"""tf as (select f.fold, played.* from played join (values {', '.join(f'({h})' for h in HOLDOUTS)}) f(fold) on wk < fold), tq as (select fold as g, home, away, neutral, 1 / (1 + exp(-greatest(-49, least(49, hs - aw)) / 9.0)) as y from tf),
+ts as (select distinct g, team, cast(0.0 as double) as th, cast(0.125 as double) as pen, cast(0.0 as double) as cen from (select g, unnest([home, away]) as team from tq) union all select distinct g, -1, 0.0, 0.0, 0.0 from tq),
+{newton_sql('tt', 'tq', 'ts', 120)}, pts as (select g - 1 as through, team, {R('th * 9.0', 1)} as rating from tt where k = 120 and team <> -1)"""
+
+
+@query(f"{WITH}, {WEEKLY} select team, string_agg(cast(through as varchar), ',' order by through) as weeks, string_agg(cast(rating as varchar), ',' order by through) as ratings, count(*) as points from pts join roster using (team) group by team having count(*) >= 2")
 def trends(spark, sf):
-    games = arena.played(arena.dense_games(spark, sf)).filter("wk <= 3")
-    log = games.select(F.col("wk").alias("through"), F.explode(F.array("home", "away")).alias("team")).distinct().groupBy("through").agg(F.collect_list(F.struct("team", F.lit(0.0).alias("rating"))).alias("teams"))
-    return history.trends(log, arena.dense_roster(spark, sf).filter("team % 2 = 0"))
+    """Each team's rating after each of a few weeks of the season, fitted on what was played until then."""
+    games = tuning.folds_of(arena.played(arena.dense_games(spark, sf)), HOLDOUTS)
+    fitted = ratings.fit(games, ["fold"]).filter(F.col("team") != ratings.HFA).select((F.col("fold") - 1).alias("through"), "team", arena.safe_round(F.col("rating"), 1).alias("rating"))
+    log = fitted.groupBy("through").agg(F.collect_list(F.struct("team", "rating")).alias("teams"))
+    return history.trends(log, arena.dense_roster(spark, sf))
 
 
 @query(f"{WITH}, {ALL} select config, season, {R('sqrt(greatest(0.0, (sum(loss * loss) - sum(loss) * sum(loss) / count(*)) / (count(*) - 1)) / count(*))', 4)} as se from ws group by config, season")
