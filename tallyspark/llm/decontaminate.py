@@ -7,7 +7,7 @@ Each document is read once: its windows are hashed inside the row, and only
 positions whose bits are set leave the row, with their words.  These are then
 joined with the windows on the words themselves, so no collision counts.
 
-The long table has 64 bits a window and 2**24 at most, the short one 2**20
+The long table has 64 bits a window and 2**24 at most, the short one 2**17
 flags, so their size is bounded whatever the benchmark; with more windows than that calls for, more positions
 leave their rows, and the result stays the same.
 """
@@ -22,7 +22,7 @@ from .common import lower_ascii, written
 
 WINDOW = 10
 #: Bits of the long table for each window, its least and largest size and the largest of the short one as powers of two, and windows up to which the confirming join broadcasts them.
-BITS_EACH, LEAST_BITS, MOST_BITS, MOST_FLAGS, BROADCAST_WINDOWS = 64, 12, 24, 20, 50_000
+BITS_EACH, LEAST_BITS, MOST_BITS, MOST_FLAGS, BROADCAST_WINDOWS = 64, 12, 24, 17, 50_000
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -42,7 +42,7 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
 def tables(grams: DataFrame, n_windows: int) -> tuple[Column, Column, int]:
     """Flags as a constant array of booleans, bits as one of longs, and the power of two that is the number of bits.
 
-    Both are or-ed by Spark, so at most 2**18 words and 2**20 flags come to the driver.
+    Both are or-ed by Spark, so at most 2**18 words and 2**17 flags come to the driver.
     """
     power = min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * n_windows - 1).bit_length()))
     flags, words = np.zeros(1 << min(power, MOST_FLAGS), bool), np.zeros(1 << (power - 6), np.int64)
