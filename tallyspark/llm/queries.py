@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, language_id, license_scan, media_container, sentencepiece_codec, simhash, token_counts, toxicity, url_filter
+from . import conversation_repair, decontaminate, html_extract, language_id, license_scan, media_container, sentencepiece_codec, simhash, token_counts, toxicity, url_filter
 from .common import table
 
 #: Tokens above which a document is over the limit.
@@ -113,13 +113,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_sentencepiece, op4_simhash, op5_html_text, op6_toxicity, op7_media, op8_licenses, op9_token_counts, op10_decontamination, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_sentencepiece, op4_simhash, op5_html_text, op6_toxicity, op7_media, op8_licenses, op9_token_counts, op10_decontamination, op13_conversation_repair, pipeline)}
 
 ORACLE_SQL = {
     "op1_url_filter": r"""
