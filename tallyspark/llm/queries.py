@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_repair, decontaminate, html_extract, language_id, license_scan, media_container, sentencepiece_codec, simhash, token_counts, toxicity, url_filter
+from . import conversation_repair, decontaminate, hard_negatives, html_extract, language_id, license_scan, media_container, sentencepiece_codec, simhash, token_counts, toxicity, url_filter
 from .common import table
 
 #: Tokens above which a document is over the limit.
@@ -113,6 +113,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.integer_vectors(table(spark, sf_dir, "embeddings"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
 
@@ -123,7 +129,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_sentencepiece, op4_simhash, op5_html_text, op6_toxicity, op7_media, op8_licenses, op9_token_counts, op10_decontamination, op13_conversation_repair, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_sentencepiece, op4_simhash, op5_html_text, op6_toxicity, op7_media, op8_licenses, op9_token_counts, op10_decontamination, op11_hard_negatives, op13_conversation_repair, pipeline)}
 
 ORACLE_SQL = {
     "op1_url_filter": r"""
@@ -147,5 +153,14 @@ with w as (select row_number() over () as rn, doc_id, list_filter(regexp_split_t
 select w.doc_id, cast(len(w.ws) as bigint) as n_words, cast(coalesce(c.n_hit, 0) as bigint) as n_hit, cast(coalesce(t.n_items, 0) as bigint) as n_items,
        sha256(coalesce(t.items, '')) as items_sha256, coalesce(c.n_hit, 0) > 0 as contaminated
 from w left join c using (rn) left join t using (rn)
+""",
+    "op11_hard_negatives": r"""
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+           from embeddings where label is not null and embedding is not null and list_count(embedding) = len(embedding) and len(list_filter(embedding, lambda x: not isfinite(x))) = 0),
+     s as (select a.vec_id as a, b.vec_id as b, a.label = b.label as same, cast(list_inner_product(a.v, b.v) as bigint) as score from e a join e b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+     p as (select a, b, score from s where same qualify row_number() over (partition by a order by score desc, b) <= 5),
+     n as (select p.a, p.b, p.score as ps, s.b as n, s.score as ns, row_number() over (partition by p.a, p.b order by s.score desc, s.b) as k
+           from p join s on s.a = p.a and not s.same and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score)
+select a as anchor_id, b as positive_id, cast(k as integer) as rank, n as negative_id, ps as positive_score, ns as negative_score from n where k <= 3
 """,
 }
