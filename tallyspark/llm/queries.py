@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_repair, decontaminate, hard_negatives, html_extract, language_id, license_scan, media_container, sentencepiece_codec, simhash, token_counts, toxicity, url_filter
+from . import conversation_repair, decontaminate, hard_negatives, html_extract, language_id, license_scan, lm_score, media_container, sentencepiece_codec, simhash, token_counts, toxicity, url_filter
 from .common import table
 
 #: Tokens above which a document is over the limit.
@@ -119,6 +119,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
 
 
+def op12_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
 
@@ -129,7 +133,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_sentencepiece, op4_simhash, op5_html_text, op6_toxicity, op7_media, op8_licenses, op9_token_counts, op10_decontamination, op11_hard_negatives, op13_conversation_repair, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_sentencepiece, op4_simhash, op5_html_text, op6_toxicity, op7_media, op8_licenses, op9_token_counts, op10_decontamination, op11_hard_negatives, op12_lm_score, op13_conversation_repair, pipeline)}
 
 ORACLE_SQL = {
     "op1_url_filter": r"""
