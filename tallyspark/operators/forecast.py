@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scales import CONFIG, Config, win_probability
 from ..plans.arena import safe_round
+from .lineage import Rounds
 from .records import appearances
 
 #: Scores that a team hardly ever ends on, and the order in which totals near the expected one are tried (fixed values).
@@ -135,22 +136,27 @@ def compact(predicted: DataFrame, index: DataFrame) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, root): the smallest node that each node of (a, b) reaches.
 
-    Each round every node takes the smallest label near it and then its
-    label's label, so paths halve; labels are cut to the checkpoint folder.
+    Each round every node takes the smallest label near it, every label the
+    smallest that any of its nodes saw, and then each node its label's label, so
+    paths halve and whole groups move at once.  Edges are written once, labels
+    in each round; both sides of a join on labels are written tables, so Spark can split the rows of
+    a label that most nodes share.
     """
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).filter("u <> v").distinct().persist()
-    labels = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")).checkpoint()
+    tables = Rounds(edges.sparkSession)
+    both = tables.write("both", edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).filter("u <> v").distinct())
+    labels = tables.write("labels", edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")))
     for _ in range(rounds):
         near = both.join(labels.select(F.col("node").alias("v"), "root"), "v").groupBy("u").agg(F.min("root").alias("near"))
-        stepped = labels.join(near, labels["node"] == near["u"], "left").select("node", F.least("root", F.coalesce("near", "root")).alias("root"), F.col("root").alias("was"))
-        jumped = stepped.join(stepped.select(F.col("node").alias("root"), F.col("root").alias("far")), "root", "left").select("node", F.least("root", F.coalesce("far", "root")).alias("root"), "was").checkpoint()
-        labels = jumped.select("node", "root")
-        if jumped.filter("root <> was").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"labels did not settle in {rounds} rounds")
-    both.unpersist()
-    return labels
+        seen = tables.write("seen", labels.join(near, labels["node"] == near["u"], "left").select("node", "root", F.least("root", F.coalesce("near", "root")).alias("near")))
+        # what one node of a group saw holds for the whole group; the label's own row takes it too
+        moved = tables.write("moved", seen.groupBy("root").agg(F.min("near").alias("best")))
+        stepped = tables.write("stepped", seen.join(moved, "root").select("node", F.col("best").alias("root"), F.col("root").alias("was")))
+        far = stepped.filter("node <> root").select(F.col("node").alias("root"), F.col("root").alias("far"))
+        labels = tables.write("labels", stepped.join(far, "root", "left").select("node", F.coalesce("far", "root").alias("root"), "was"))
+        if labels.filter("root <> was").isEmpty():
+            return labels.select("node", "root")
+        labels = labels.select("node", "root")
+    raise RuntimeError(f"labels did not settle in {rounds} rounds")
 
 
 def connectivity(labels: DataFrame, games: DataFrame) -> DataFrame:

@@ -4,25 +4,27 @@ Many fits at once (seasons, folds, configurations) are one grouped job: each
 fit's games, first summed by pair and target, go to one task that solves its
 sparse Newton system by conjugate gradients, so memory grows with the pairs
 and not with the square of the teams.  A fit of more pairs than a task should
-hold is solved by rounds of shuffles: gradient and curvature are sums over
-games, and one damped diagonal step is made a round until nothing moves.  Both
-ways reach the same optimum.
+hold is solved by rounds of shuffles, the same Newton steps and the same
+conjugate gradients with a row a team and a row a pair.  Both ways reach the
+same optimum.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scales import CONFIG, squash
-from .lineage import cut
+from .lineage import Rounds, cut
 
 #: Summed pairs that one task may hold (some 60 bytes each); larger fits are solved by rounds.
 PAIRS = 2_000_000
 #: Rounds settle when no rating moves by more than this, in the fit's own units.
 SETTLED = 1e-5
+#: Newton steps are solved until this share of the squared residual is left, least squares until EXACT of it; no step moves a rating further than FURTHEST.
+LEFT, EXACT, FURTHEST = 1e-6, 1e-20, 2.0
 HFA = -1
 
 
@@ -161,40 +163,83 @@ def fit(games: DataFrame, keys: list[str], *, kind: str = "margin", scale: float
     return small.unionByName(by_rounds(pairs.join(F.broadcast(large), keys, "left_semi"), keys, kind))
 
 
-def by_rounds(pairs: DataFrame, keys: list[str], kind: str = "margin", *, step: float = 0.6, momentum: float = 0.5, most: int = 2000) -> DataFrame:
-    """(keys, team, rating) of the summed pairs of fit(), by damped, recentred diagonal Newton steps with momentum, each a few joins and sums.
+def by_rounds(pairs: DataFrame, keys: list[str], kind: str = "margin", *, most: int = 1000) -> DataFrame:
+    """(keys, team, rating) of the summed pairs of fit(), by Newton steps that conjugate gradients solve, each round a few joins and sums.
 
-    For graphs of any size: nothing but the team table is kept between rounds,
-    and it is written to the checkpoint folder in each.  Rounds end when no
-    team moves by more than SETTLED; if that takes more than ``most``, it raises.
+    For graphs of any size: a round keeps a row a team (place, step, residual,
+    direction, and the system's product with the direction) and a row a pair
+    (its curvature), both written as tables.  The products that give a round's
+    two lengths are one sum over teams, a row for each fit; there are fewer
+    such rows than there are millions of pairs, so they and the home
+    advantages are broadcast.  A step is at most FURTHEST logits; the fit ends when none moves
+    by more than SETTLED, and raises if that takes more than ``most`` rounds.
     """
+    tables, points = Rounds(pairs.sparkSession), kind == "points"
     met, centres = pairs.filter("away is not null"), pairs.filter("away is null")
-    unit = F.lit(1.0) if kind == "points" else F.col("scale")
+    unit = F.lit(1.0) if points else F.col("scale")
     teams = met.select(*keys, "scale", "prior_games", F.explode(F.array("home", "away")).alias("team")).union(centres.select(*keys, "scale", "prior_games", "home")).distinct()
     aims = teams.join(centres.select(*keys, F.col("home").alias("team"), (F.col("y") / unit).alias("aim")), [*keys, "team"], "left").withColumn("aim", F.coalesce("aim", F.lit(0.0)))
-    aims = aims.join(aims.groupBy(*keys).agg(F.avg("aim").alias("mid")), keys).withColumn("aim", F.col("aim") - F.col("mid")).drop("mid")
-    pen = F.greatest(F.col("prior_games") * (1.0 if kind == "points" else 0.25), F.lit(1e-9))
-    rows = aims.select(*keys, "team", "scale", pen.alias("pen"), "aim", F.col("aim").alias("th"), F.col("aim").alias("last"))
-    advantage = rows.select(*keys, "scale").distinct().select(*keys, F.lit(HFA).cast("bigint").alias("team"), "scale", F.lit(1e-12).alias("pen"), F.lit(0.0).alias("aim"), F.lit(0.0).alias("th"), F.lit(0.0).alias("last"))
-    theta = cut(rows.unionByName(advantage))
-    for _ in range(most):
-        at = lambda c, r: theta.filter(F.col("team") != HFA).select(*keys, F.col("team").alias(c), F.col("th").alias(r))
-        sides = met.join(at("home", "a"), [*keys, "home"]).join(at("away", "b"), [*keys, "away"]).join(theta.filter(F.col("team") == HFA).select(*keys, F.col("th").alias("f")), keys)
-        z = F.col("a") - F.col("b") + F.when(F.col("neutral"), 0.0).otherwise(F.col("f"))
-        p = z if kind == "points" else 1 / (1 + F.exp(-z))
-        curve = F.lit(1.0) if kind == "points" else p * (1 - p)
-        scored = sides.select(*keys, "home", "away", "neutral", (F.col("weight") * (p - F.col("y"))).alias("r"), (F.col("weight") * curve).alias("c"))
-        term = lambda t, s: F.struct(t.cast("long").alias("team"), (F.lit(s) * F.col("r")).alias("r"), F.col("c").alias("c"))
-        sums = scored.select(*keys, F.explode(F.array(term(F.col("home"), 1), term(F.col("away"), -1), term(F.when(F.col("neutral"), -2).otherwise(HFA), 1))).alias("e")).select(*keys, "e.*").groupBy(*keys, "team").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
-        change = step * (F.coalesce("r", F.lit(0.0)) + F.col("pen") * (F.col("th") - F.col("aim"))) / (F.coalesce("c", F.lit(0.0)) + F.col("pen"))
-        moved = theta.join(sums, [*keys, "team"], "left").select(*keys, "team", "scale", "pen", "aim", "last", (F.col("th") - change).alias("to"))
-        mean = moved.filter(F.col("team") != HFA).groupBy(*keys).agg(F.avg("to").alias("mean"))
-        now = F.col("to") - F.when(F.col("team") == HFA, 0.0).otherwise(F.col("mean"))
-        after = cut(moved.join(mean, keys).select(*keys, "team", "scale", "pen", "aim", (now + momentum * (now - F.col("last"))).alias("th"), now.alias("last"), F.abs(now - F.col("last")).alias("step")))
-        theta = after.drop("step")
-        if after.agg(F.max("step")).first()[0] <= SETTLED:
-            return theta.select(*keys, "team", (F.col("last") * (F.lit(1.0) if kind == "points" else F.col("scale"))).alias("rating"))
-    raise RuntimeError(f"ratings did not settle in {most} rounds")
+    aims = aims.join(F.broadcast(aims.groupBy(*keys).agg(F.avg("aim").alias("mid"))), keys).withColumn("aim", F.col("aim") - F.col("mid")).drop("mid")
+    pen = F.greatest(F.col("prior_games") * (1.0 if points else 0.25), F.lit(1e-9))
+    rows = aims.select(*keys, "team", "scale", pen.alias("pen"), "aim")
+    advantage = aims.select(*keys, "scale").distinct().select(*keys, F.lit(HFA).cast("bigint").alias("team"), "scale", F.lit(1e-12).alias("pen"), F.lit(0.0).alias("aim"))
+    theta = tables.write("theta", rows.unionByName(advantage).withColumn("th", F.col("aim")))
+    met = tables.write("met", met.select(*keys, "home", "away", "neutral", "y", "weight"))
+
+    def across(pairs: DataFrame, state: DataFrame, value: str) -> DataFrame:
+        """pairs with t: the difference of the sides' values, plus the advantage's unless neutral."""
+        at = lambda c, r: state.filter(F.col("team") != HFA).select(*keys, F.col("team").alias(c), F.col(value).alias(r))
+        sides = pairs.join(at("home", "a"), [*keys, "home"]).join(at("away", "b"), [*keys, "away"])
+        sides = sides.join(F.broadcast(state.filter(F.col("team") == HFA).select(*keys, F.col(value).alias("f"))), keys)
+        return sides.withColumn("t", F.col("a") - F.col("b") + F.when(F.col("neutral"), 0.0).otherwise(F.col("f"))).drop("a", "b", "f")
+
+    def by_team(pairs: DataFrame, **sums: Column) -> DataFrame:
+        """Sums over the pairs of every team; those named signed_ count the away side negative."""
+        term = lambda t, s: F.struct(t.cast("long").alias("team"), *[(F.lit(s) * c if n.startswith("signed_") else c).alias(n.removeprefix("signed_")) for n, c in sums.items()])
+        cells = F.array(term(F.col("home"), 1), term(F.col("away"), -1), term(F.when(F.col("neutral"), -2).otherwise(HFA), 1))
+        names = [n.removeprefix("signed_") for n in sums]
+        return pairs.select(*keys, F.explode(cells).alias("e")).select(*keys, "e.*").groupBy(*keys, "team").agg(*[F.sum(n).alias(n) for n in names])
+
+    def product(name: str, state: DataFrame, curved: DataFrame) -> DataFrame:
+        """state with q, the system's product with the direction d."""
+        q = by_team(across(curved, state, "d"), signed_q=F.col("c") * F.col("t"))
+        return tables.write(name, state.join(q, [*keys, "team"], "left").withColumn("q", F.coalesce("q", F.lit(0.0)) + F.col("pen") * F.col("d")))
+
+    rounds = 0
+    while True:
+        z = across(met, theta, "th")
+        p = F.col("t") if points else 1 / (1 + F.exp(-F.col("t")))
+        curved = tables.write("curved", z.select(*keys, "home", "away", "neutral", (F.col("weight") * (p - F.col("y"))).alias("g"), (F.col("weight") * (F.lit(1.0) if points else p * (1 - p))).alias("c")))
+        sums = by_team(curved, signed_g=F.col("g"), diagonal=F.col("c"))
+        r = -(F.coalesce("g", F.lit(0.0)) + F.col("pen") * (F.col("th") - F.col("aim")))
+        m = F.greatest(F.coalesce("diagonal", F.lit(0.0)) + F.col("pen"), F.lit(1e-12))
+        state = theta.join(sums, [*keys, "team"], "left").select(*keys, "team", "pen", m.alias("m"), F.lit(0.0).alias("x"), r.alias("r"), (r / m).alias("d"))
+        first = None
+        while True:
+            state = product("state", state, curved)
+            rounds += 1
+            if rounds > most:
+                raise RuntimeError(f"ratings did not settle in {most} rounds")
+            rz, dq, qz, qq = (F.sum(F.col(a) * F.col(b) / c) for a, b, c in (("r", "r", F.col("m")), ("d", "q", F.lit(1.0)), ("q", "r", F.col("m")), ("q", "q", F.col("m"))))
+            dots = tables.write("dots", state.groupBy(*keys).agg(rz.alias("rz"), dq.alias("dq"), qz.alias("qz"), qq.alias("qq")))
+            first = tables.write("first", dots.select(*keys, F.col("rz").alias("rz0"))) if first is None else first
+            length = F.when(F.col("dq") > 1e-300, F.col("rz") / F.col("dq")).otherwise(0.0)
+            after = F.greatest(F.col("rz") - 2 * F.col("length") * F.col("qz") + F.col("length") * F.col("length") * F.col("qq"), F.lit(0.0))
+            ways = dots.withColumn("length", length).withColumn("after", after).withColumn("turn", F.when(F.col("rz") > 1e-300, F.col("after") / F.col("rz")).otherwise(0.0))
+            left = ways.join(F.broadcast(first), keys).agg(F.max(F.when(F.col("rz0") > 1e-300, F.col("after") / F.col("rz0")).otherwise(0.0))).first()[0]
+            now = state.join(F.broadcast(ways.select(*keys, "length", "turn")), keys)
+            residual = F.col("r") - F.col("length") * F.col("q")
+            state = now.select(*keys, "team", "pen", "m", (F.col("x") + F.col("length") * F.col("d")).alias("x"), residual.alias("r"), (residual / F.col("m") + F.col("turn") * F.col("d")).alias("d"))
+            if left <= (EXACT if points else LEFT):
+                break
+        step = tables.write("step", state.select(*keys, "team", "x"))
+        size = step.groupBy(*keys).agg(F.max(F.abs("x")).alias("size"))
+        share = F.lit(1.0) if points else F.least(F.lit(1.0), FURTHEST / F.greatest(F.col("size"), F.lit(1e-300)))
+        theta = tables.write("theta", theta.join(step, [*keys, "team"]).join(F.broadcast(size), keys).withColumn("th", F.col("th") + F.col("x") * share).drop("x", "size"))
+        if points or size.agg(F.max("size")).first()[0] <= SETTLED:
+            middle = theta.filter(F.col("team") != HFA).groupBy(*keys).agg(F.avg("th").alias("mid"))
+            centred = F.col("th") - F.when(F.col("team") == HFA, 0.0).otherwise(F.col("mid"))
+            return theta.join(F.broadcast(middle), keys).select(*keys, "team", (centred * unit).alias("rating"))
 
 
 def fit_by_rounds(games: DataFrame, *, scale: float = CONFIG.scale, prior_games: float = CONFIG.prior_games) -> DataFrame:
