@@ -104,6 +104,21 @@ def bigrams(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.r_[0, after[:-1]].astype(np.int64) if len(after) else after, after, length
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    """Numbers as bytes, first all lowest bytes, then the next, compressed: high bytes are few values."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return pa.compress(planes, "zstd", asbytes=True) if planes else b""
+
+
+def loosened(data: bytes, n: int, kind: str) -> np.ndarray:
+    """n numbers back from squeezed()."""
+    size = np.dtype(kind).itemsize
+    if not n:
+        return np.empty(0, kind)
+    planes = np.frombuffer(pa.decompress(data, n * size, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
+
+
 def told(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
@@ -143,13 +158,13 @@ def sorted_words(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray,
     return rank, keys[order], shard[order]
 
 
-#: What travels: the bigrams of a chunk for a shard, the answer to them, or a chunk's own words (to nobody: it passes through).
-PARCEL = "place bigint, chunk bigint, shard int, contexts binary, degrees binary, words binary, counts binary, doc_ids array<{kind}>, held_out array<boolean>, lengths array<bigint>"
+#: What travels, squeezed, with how many contexts and bigrams there are: the bigrams of a chunk for a shard, the answer to them, or a chunk's own words (to nobody: it passes through).
+PARCEL = "place bigint, chunk bigint, shard int, n_contexts int, n_words int, contexts binary, degrees binary, words binary, counts binary, doc_ids array<{kind}>, held_out array<boolean>, lengths array<bigint>"
 
 
 def parcels(shards: int, kind: pa.DataType):
     """For mapInArrow: parcels of every chunk to its shards, and the chunk to itself."""
-    schema = pa.schema([("place", pa.int64()), ("chunk", pa.int64()), ("shard", pa.int32()), *[(c, pa.binary()) for c in ("contexts", "degrees", "words", "counts")], ("doc_ids", pa.list_(kind)), ("held_out", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64()))])
+    schema = pa.schema([("place", pa.int64()), ("chunk", pa.int64()), ("shard", pa.int32()), ("n_contexts", pa.int32()), ("n_words", pa.int32()), *[(c, pa.binary()) for c in ("contexts", "degrees", "words", "counts")], ("doc_ids", pa.list_(kind)), ("held_out", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -170,11 +185,12 @@ def parcels(shards: int, kind: pa.DataType):
                 if at[s] < at[s + 1]:
                     w, b = slice(at[s], at[s + 1]), slice(ends[s], ends[s + 1])
                     # one at a time: a batch of all would hold the chunk twice
-                    yield told([(s, name, s, keys[w].astype("<i8").tobytes(), degree[w].astype("<u4").tobytes(), low[word[b]].tobytes(), count[b].astype("<u4").tobytes(), None, None, None)], schema)
-            run_ = np.concatenate([rank[r] for r in chunk.runs]).astype("<u4")
+                    sent = (keys[w].astype("<i8"), degree[w].astype("<u4"), low[word[b]], count[b].astype("<u4"))
+                    yield told([(s, name, s, len(sent[0]), len(sent[2]), *map(squeezed, sent), None, None, None)], schema)
+            # numbered as they came, so frequent words are small numbers; rank says where each stands among the sorted
+            flow = np.concatenate(chunk.runs).astype("<u4")
             ids, out = zip(*chunk.docs)
-            # low and high halves apart: the high ones are few numbers and shrink on the way
-            yield told([(-1 - name, name, None, keys.astype("<i8").tobytes(), rank[:1].astype("<u4").tobytes(), (run_ & 0xFFFF).astype("<u2").tobytes(), (run_ >> 16).astype("<u2").tobytes(), list(ids), list(out), (length - 1).tolist())], schema)
+            yield told([(-1 - name, name, None, len(rank), len(flow), squeezed(rank.astype("<u4")), None, squeezed(flow), None, list(ids), list(out), (length - 1).tolist())], schema)
 
     return run
 
@@ -183,8 +199,9 @@ def answers(place: tuple, rows: pa.Table) -> pa.Table:
     """The parcels of a shard with codes for words and (count, successors) for contexts in the place of what was asked; a chunk's own parcel as it is."""
     if place[0].as_py() < 0:
         return rows
-    load = lambda c, t: [np.frombuffer(b.as_py(), t) for b in rows[c]]
-    contexts, degrees, words, counts = load("contexts", "<i8"), load("degrees", "<u4"), load("words", "<u4"), load("counts", "<u4")
+    load = lambda c, n, t: [loosened(b.as_py(), k.as_py(), t) for b, k in zip(rows[c], rows[n])]
+    contexts, degrees = load("contexts", "n_contexts", "<i8"), load("degrees", "n_contexts", "<u4")
+    words, counts = load("words", "n_words", "<u4"), load("counts", "n_words", "<u4")
     keys, rank = np.unique(np.concatenate(contexts), return_inverse=True)
     full = np.repeat(rank, np.concatenate(degrees)) << 32 | np.concatenate(words).astype(np.int64)
     grams, at = np.unique(full, return_inverse=True)
@@ -196,7 +213,7 @@ def answers(place: tuple, rows: pa.Table) -> pa.Table:
     code = trie.code(where[grams >> 32], word)[at]
     ends = np.cumsum([0, *map(len, words)])
     tops = np.cumsum([0, *map(len, contexts)])
-    cut = lambda x, e, t: pa.array([x[a:b].astype(t).tobytes() for a, b in zip(e, e[1:])], pa.binary())
+    cut = lambda x, e, t: pa.array([squeezed(x[a:b].astype(t)) for a, b in zip(e, e[1:])], pa.binary())
     out = {"contexts": cut(total[rank], tops, "<i8"), "degrees": cut(kinds[rank], tops, "<u4"), "words": cut(code, ends, "<u2"), "counts": pa.nulls(len(rows), pa.binary())}
     for name, column in out.items():
         rows = rows.set_column(rows.schema.get_field_index(name), rows.schema.field(name), column)
@@ -212,10 +229,10 @@ def scored(n: int, v: int):
         if own["doc_ids"] is None or own["shard"] is not None:
             raise RuntimeError("a chunk came back without its texts")
         rest = rows.slice(0, len(rows) - 1)
-        load = lambda c, t: np.concatenate([np.frombuffer(b.as_py(), t) for b in rest[c]])
-        count, kinds, code = load("contexts", "<i8"), load("degrees", "<u4"), load("words", "<u2")
-        m, edge = len(own["contexts"]) // 8, int(np.frombuffer(own["degrees"], "<u4")[0])
-        flow = np.frombuffer(own["words"], "<u2").astype(np.int64) | np.frombuffer(own["counts"], "<u2").astype(np.int64) << 16
+        load = lambda c, n, t: np.concatenate([loosened(b.as_py(), k.as_py(), t) for b, k in zip(rest[c], rest[n])])
+        count, kinds, code = load("contexts", "n_contexts", "<i8"), load("degrees", "n_contexts", "<u4"), load("words", "n_words", "<u2")
+        rank = loosened(own["contexts"], own["n_contexts"], "<u4").astype(np.int64)
+        m, edge, flow = len(rank), int(rank[0]), rank[loosened(own["words"], own["n_words"], "<u4")]
         length = np.array(own["lengths"], np.int64)
         end = np.cumsum(length + 1)
         after = np.full(int(end[-1]), edge, np.int64)
