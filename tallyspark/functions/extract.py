@@ -79,7 +79,7 @@ def shape(c: Column) -> Column:
     """A record's format: dates, times, numbers and words each made one sign."""
     c = F.regexp_replace(F.regexp_replace(c, DATE, "\u0001"), TIME, "\u0002")
     c = F.regexp_replace(F.regexp_replace(c, r"\d+", "#"), "[A-Za-z]+", "w")
-    c = F.trim(F.regexp_replace(F.regexp_replace(c, "(?:w ?)+", "w "), r"\s+", " "))
+    c = F.trim(F.regexp_replace(F.regexp_replace(c, "(?:w ?)++", "w "), r"\s+", " "))
     return F.replace(F.replace(c, F.lit("\u0001"), F.lit("<DATE>")), F.lit("\u0002"), F.lit("<TIME>"))
 
 

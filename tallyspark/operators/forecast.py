@@ -160,9 +160,14 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
 
 def connectivity(labels: DataFrame, games: DataFrame) -> DataFrame:
-    """One row: teams, components, the largest, mean games a team, and how far ratings can be compared."""
+    """One row: teams, components, the largest, mean games a team, and how far ratings can be compared.
+
+    None under two games a team or where the largest component has under a
+    quarter of the teams; low under 60 percent of them, medium under 90
+    percent or four games a team, else high.
+    """
     sizes = labels.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     row = sizes.agg(F.sum("n").alias("teams"), F.count(F.lit(1)).alias("components"), F.max("n").alias("largest")).join(F.broadcast(games.agg(F.count(F.lit(1)).alias("games"))))
     share, mean = F.col("largest") / F.col("teams"), 2 * F.col("games") / F.col("teams")
-    label = F.when(share < 0.5, "none").when(mean < 3, "low").when(mean < 6, "medium").otherwise("high")
+    label = F.when((mean < 2) | (share < 0.25), "none").when(share < 0.6, "low").when((share < 0.9) | (mean < 4), "medium").otherwise("high")
     return row.select("teams", "components", "largest", safe_round(mean, 2).alias("mean_games"), label.alias("label"))

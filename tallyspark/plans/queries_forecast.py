@@ -102,7 +102,7 @@ def components(spark, sf):
     return forecast.components(early(spark, sf).select(F.col("home").alias("a"), F.col("away").alias("b")))
 
 
-@query(f"with recursive {SPARSE_SQL}, {EARLY}, {REACH}, s as (select root, count(*) as n from comp group by root), t as (select cast(sum(n) as bigint) as teams, count(*) as components, max(n) as largest, (select count(*) from early) as games from s) select teams, components, largest, {R('2.0 * games / teams', 2)} as mean_games, case when largest / teams < 0.5 then 'none' when 2.0 * games / teams < 3 then 'low' when 2.0 * games / teams < 6 then 'medium' else 'high' end as label from t")
+@query(f"with recursive {SPARSE_SQL}, {EARLY}, {REACH}, s as (select root, count(*) as n from comp group by root), t as (select cast(sum(n) as bigint) as teams, count(*) as components, max(n) as largest, (select count(*) from early) as games from s) select teams, components, largest, {R('2.0 * games / teams', 2)} as mean_games, case when 2.0 * games / teams < 2 or largest / teams < 0.25 then 'none' when largest / teams < 0.6 then 'low' when largest / teams < 0.9 or 2.0 * games / teams < 4 then 'medium' else 'high' end as label from t")
 def connectivity(spark, sf):
     ensure_cut(spark)
     games = early(spark, sf)

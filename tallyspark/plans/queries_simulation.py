@@ -39,62 +39,63 @@ def open_games(spark, sf):
     return predicted(spark, sf).filter(F.col("wk") <= arena.LAST_REGULAR_WEEK).select("game_id", "home", "away", "p")
 
 
-def seeded(spark, sf):
-    # forecasts, draws and seeds are written once: the sample is read many times
-    drawn = cut(simulate.draws(open_games(spark, sf), SIMS))
-    return cut(simulate.seeds(simulate.simulate(arena.dense_roster(spark, sf), played(spark, sf), drawn, SIMS))), drawn
+def drawn(spark, sf):
+    # forecasts and draws are written once: the sample is read many times
+    return cut(simulate.draws(open_games(spark, sf), SIMS))
+
+
+def simulated(spark, sf):
+    games = drawn(spark, sf)
+    return cut(simulate.simulate(arena.dense_roster(spark, sf), played(spark, sf), games, SIMS)), games
 
 
-def drawn_games(drawn):
-    return drawn.filter("sim = 0").select("game_id", "home", "away")
+def seeded(spark, sf):
+    runs, games = simulated(spark, sf)
+    return cut(simulate.seeds(runs, SIMS)), games
 
 
 @query(f"{WITH}, {DRAWS} select game_id, count_if(home_won) as home_wins from draws group by game_id")
 def mc_draws(spark, sf):
-    return simulate.draws(open_games(spark, sf), SIMS).groupBy("game_id").agg(F.count_if("home_won").alias("home_wins"))
+    return simulate.draws(open_games(spark, sf), SIMS).select("game_id", simulate.ones(F.col("won")).alias("home_wins"))
 
 
 @query(f"{WITH}, {SIM} select team, {R('avg(points)', 3)} as points, {R('min(points)', 3)} as low, {R('max(points)', 3)} as high, cast(sum(wins) as bigint) as wins from simulated group by team")
 def mc_points(spark, sf):
-    s, _ = seeded(spark, sf)
+    runs, _ = simulated(spark, sf)
     r = lambda c: arena.safe_round(c, 3)
-    return s.groupBy("team").agg(r(F.avg("points")).alias("points"), r(F.min("points")).alias("low"), r(F.max("points")).alias("high"), F.sum("wins").cast("long").alias("wins"))
+    total = lambda c, kind: F.aggregate(c, F.lit(0).cast(kind), lambda n, x: n + x)
+    return runs.select("team", r(total("points", "double") / SIMS).alias("points"), r(F.array_min("points")).alias("low"), r(F.array_max("points")).alias("high"), total("wins", "bigint").alias("wins"))
 
 
 @query(f"{WITH}, {SIM} select sim, region, team, seed from seeded where seed <= 3")
 def mc_seeds(spark, sf):
-    return seeded(spark, sf)[0].filter("seed <= 3").select("sim", "region", "team", "seed")
+    return simulate.by_run(seeded(spark, sf)[0]).filter("seed <= 3").select("sim", "region", "team", "seed")
 
 
 @query(f"{WITH}, {SIM} select team, {R('avg(cast(seed <= 12 as double))', 3)} as playoff, {R('avg(cast(seed <= 4 as double))', 3)} as bye, {R('avg(cast(seed = 1 as double))', 3)} as top, {R('avg(seed)', 2)} as mean_seed, cast(floor(median(seed)) as bigint) as median_seed, {R('avg(points)', 3)} as mean_points, {R('avg(wins)', 2)} as mean_wins from seeded group by team")
 def mc_summary(spark, sf):
-    return simulate.summary(seeded(spark, sf)[0])
+    return simulate.summary(simulate.by_run(seeded(spark, sf)[0]))
 
 
 @query(f"{WITH}, {SIM}, c as (select team, wins, count(*) / {SIMS}.0::double as share from seeded group by team, wins), e as (select *, min(case when share > 0.0005 then wins end) over (partition by team) as lo, max(case when share > 0.0005 then wins end) over (partition by team) as hi from c) select team, wins, {R('share', 3)} as share from e where wins between lo and hi")
 def win_dist(spark, sf):
-    return simulate.win_distribution(seeded(spark, sf)[0], SIMS)
-
-
-def conditional(spark, sf):
-    s, drawn = seeded(spark, sf)
-    return simulate.conditionals(s, drawn, least=LEAST), drawn_games(drawn)
+    return simulate.win_distribution(simulate.by_run(seeded(spark, sf)[0]), SIMS)
 
 
 @query(f"{WITH}, {COND}, own as (select team, game_id, case when team = home then p_home else p_away end as w, case when team = home then p_away else p_home end as l from cond where team = home or team = away) select team, game_id, {R('w', 3)} as if_win, {R('l', 3)} as if_lose, {R('w - l', 3)} as swing from own")
 def own_swings(spark, sf):
-    return simulate.own_swings(*conditional(spark, sf))
+    return simulate.own_swings(*seeded(spark, sf), SIMS)
 
 
 @query(f"{WITH}, {COND}, o as (select *, round(p_home - p_away, 9) as s from cond where team <> home and team <> away), k as (select *, row_number() over (partition by team order by abs(s) desc, game_id) as rank from o where abs(s) >= 0.005) select team, rank, game_id, case when s > 0 then 'home' else 'away' end as rooting, {R('abs(s)', 3)} as swing from k where rank <= 3")
 def scoreboard_watch(spark, sf):
-    return simulate.scoreboard_watch(*conditional(spark, sf))
+    return simulate.scoreboard_watch(*seeded(spark, sf), SIMS)
 
 
 @query(f"{WITH}, {SIM}, r as (select sim, region, count(*) as n, count_if(seed <= 12) as places, count_if(seed <= 4) as byes, count_if(seed = 1) as tops from seeded group by sim, region) select region, {R('avg(places)', 2)} as places, {R('avg(byes)', 2)} as byes, {R('avg(tops)', 2)} as tops, min(least(12, n)) as owed from r group by region")
 def conservation(spark, sf):
     """Each region's odds add up to its places."""
-    per = seeded(spark, sf)[0].groupBy("sim", "region").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("seed") <= 12).alias("places"), F.count_if(F.col("seed") <= 4).alias("byes"), F.count_if(F.col("seed") == 1).alias("tops"))
+    per = simulate.by_run(seeded(spark, sf)[0]).groupBy("sim", "region").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("seed") <= 12).alias("places"), F.count_if(F.col("seed") <= 4).alias("byes"), F.count_if(F.col("seed") == 1).alias("tops"))
     r = lambda c: arena.safe_round(F.avg(c), 2)
     return per.groupBy("region").agg(r("places").alias("places"), r("byes").alias("byes"), r("tops").alias("tops"), F.min(F.least(F.lit(12), F.col("n"))).alias("owed"))
 
@@ -102,11 +103,7 @@ def conservation(spark, sf):
 @query(f"{WITH}, {COND}, q2 as (select team, avg(cast(seed <= 12 as double)) as overall from seeded group by team) select count(*) as pairs, count_if(abs(p_home * n_home / {SIMS} + p_away * (1 - n_home / {SIMS}) - overall) > 0.02) as broken, count_if(overall < least(p_home, p_away) - 0.02 or overall > greatest(p_home, p_away) + 0.02) as outside from cond join q2 using (team)")
 def total_probability(spark, sf):
     """Odds lie between, and average to, the odds given either result."""
-    s, drawn = seeded(spark, sf)
-    overall = s.groupBy("team").agg(F.avg((F.col("seed") <= 12).cast("double")).alias("overall"))
-    share = F.col("n_home") / F.lit(float(SIMS))
-    back = F.col("p_home") * share + F.col("p_away") * (1 - share)
-    return simulate.conditionals(s, drawn, least=LEAST).join(overall, "team").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.abs(back - F.col("overall")) > 0.02).alias("broken"), F.count_if((F.col("overall") < F.least("p_home", "p_away") - 0.02) | (F.col("overall") > F.greatest("p_home", "p_away") + 0.02)).alias("outside"))
+    return simulate.total_probability(*seeded(spark, sf), SIMS)
 
 
 @query(f"{WITH} select case when count(*) = 0 then 'nothing to simulate' else 'simulated' end as marker, count(*) as open_games from fixtures where wk <= {arena.LAST_REGULAR_WEEK}")
@@ -120,5 +117,5 @@ def sim_skip(spark, sf):
 def what_if(spark, sf):
     """Each team's own open games that are worth telling, by week."""
     weeks = arena.fixtures(arena.dense_games(spark, sf)).select("game_id", "wk")
-    rows = simulate.own_swings(*conditional(spark, sf)).join(weeks, "game_id")
+    rows = simulate.own_swings(*seeded(spark, sf), SIMS).join(weeks, "game_id")
     return rows.groupBy("team").agg(F.count(F.lit(1)).alias("games"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("wk", "game_id"))), lambda g: g["game_id"].cast("string")), ",").alias("by_week"))

@@ -134,26 +134,59 @@ def toy(spark, n):
     pairs = [p for ts in ((1, 2, 3, 4), (5, 6, 7, 8)) for p in itertools.combinations(ts, 2)]
     open_games = spark.createDataFrame([(k, h, a, 0.5) for k, (h, a) in enumerate(pairs)], "game_id bigint, home bigint, away bigint, p double")
     drawn = simulate.draws(open_games, n).checkpoint()
-    return teams, open_games, drawn, simulate.seeds(simulate.simulate(teams, games(spark, []), drawn, n)).checkpoint()
+    return open_games, drawn, simulate.seeds(simulate.simulate(teams, games(spark, []), drawn, n), n).checkpoint()
 
 
 def test_odds_add_up_and_even_teams_are_even(spark):
     n = 1500
-    teams, open_games, drawn, seeded = toy(spark, n)
-    odds = simulate.summary(seeded, per_region=2).collect()
+    open_games, drawn, seeded = toy(spark, n)
+    odds = simulate.summary(simulate.by_run(seeded), per_region=2).collect()
     assert sum(r["playoff"] for r in odds) == pytest.approx(4, abs=0.01)
     assert all(abs(r["playoff"] - 0.5) < 0.07 for r in odds)
-    cond = simulate.conditionals(seeded, drawn, per_region=2)
-    own = {(r["team"], r["game_id"]): r for r in simulate.own_swings(cond, open_games).collect()}
+    own = {(r["team"], r["game_id"]): r for r in simulate.own_swings(seeded, drawn, n, per_region=2).collect()}
     assert len(own) == 24 and all(r["swing"] > 0 for r in own.values())
-    watch = simulate.scoreboard_watch(cond, open_games).join(open_games, "game_id")
-    assert watch.filter("team = home or team = away").count() == 0
-    assert simulate.conditionals(seeded, drawn, per_region=2, least=n).count() == 0
+    assert simulate.own_swings(seeded, drawn, n, per_region=2, least=n).count() == 0
+
+
+def by_hand(spark, drawn, seeded, n, per_region):
+    """{(team, game_id): (odds given a home win, given an away win)} over the regions that a game touches, from single runs."""
+    won = {r.game_id: (r.home, r.away, [r.won[s // 64] >> (s % 64) & 1 for s in range(n)]) for r in drawn.collect()}
+    runs = {}
+    for r in simulate.by_run(seeded).collect():
+        runs.setdefault((r.team, r.region), {})[r.sim] = r.seed <= per_region
+    region = {t: g for t, g in runs}
+    out = {}
+    for (team, place), q in runs.items():
+        for game, (home, away, w) in won.items():
+            if place in (region.get(home), region.get(away)):
+                mean = lambda x: sum(x) / len(x)
+                out[team, game] = tuple(mean([q[s] for s in range(n) if w[s] == side]) for side in (1, 0))
+    return out, won
+
+
+def test_tiles_keep_what_a_whole_table_would(spark, monkeypatch):
+    n = 1000
+    _, drawn, seeded = toy(spark, n)
+    odds, won = by_hand(spark, drawn, seeded, n, simulate.PER_REGION)
+    assert len(odds) == 8 * 6
+    monkeypatch.setattr(simulate, "TEAMS", 3)
+    monkeypatch.setattr(simulate, "GAMES", 2)
+    monkeypatch.setattr(simulate, "PER_REGION", 2)
+    monkeypatch.setattr(simulate.tiles, "__defaults__", (2, 300))
+    odds, _ = by_hand(spark, drawn, seeded, n, 2)
+    want = []
+    for team in range(1, 9):
+        others = sorted((-abs(round(h - a, 9)), g) for (t, g), (h, a) in odds.items() if t == team and team not in won[g][:2] and abs(round(h - a, 9)) >= 0.005)
+        want += [(team, k + 1, g) for k, (_, g) in enumerate(others[:3])]
+    got = sorted((r.team, r["rank"], r.game_id) for r in simulate.scoreboard_watch(seeded, drawn, n).collect())
+    assert got == sorted(want)
+    (r,) = simulate.total_probability(seeded, drawn, n).collect()
+    assert (r.pairs, r.broken) == (48, 0)
 
 
 def test_draws_do_not_depend_on_partitions(spark):
     g = spark.createDataFrame([(k, 1, 2, 0.3) for k in range(40)], "game_id bigint, home bigint, away bigint, p double")
-    key = lambda df: sorted(map(tuple, simulate.draws(df, 20).collect()))
+    key = lambda df: sorted(map(tuple, simulate.draws(df, 90).collect()))
     assert key(g.repartition(1)) == key(g.repartition(7))
 
 
@@ -234,3 +267,16 @@ def test_guard(tmp_path, spark):
     with pytest.raises(ValueError):
         files.write_guarded(df, str(tmp_path / "x"), before=100)
     assert files.retry_delays() == [1.5, 3.0]
+
+
+@pytest.mark.parametrize("largest,teams,n_games,label", [(10, 10, 9, "none"), (10, 10, 10, "medium"), (10, 10, 19, "medium"), (10, 10, 20, "high"), (9, 10, 20, "high"), (89, 100, 700, "medium"), (60, 100, 700, "medium"), (59, 100, 700, "low"), (55, 100, 350, "low"), (25, 100, 700, "low"), (24, 100, 700, "none")])
+def test_connectivity_labels_at_their_borders(spark, largest, teams, n_games, label):
+    # what is not in the largest component is in pairs and single teams
+    labels = [(k, 0) for k in range(largest)] + [(k, k - (k - largest) % 2) for k in range(largest, teams)]
+    got = forecast.connectivity(spark.createDataFrame(labels, "node bigint, root bigint"), spark.range(n_games)).first()
+    assert (got.teams, got.largest, got.label) == (teams, largest, label)
+
+
+def test_shapes_of_very_long_records(spark):
+    rows = spark.createDataFrame([("word " * 500_000 + "7",), ("2024-09-01 7pm A b 12",)], "t string")
+    assert [r.s for r in rows.select(extract.shape(F.col("t")).alias("s")).collect()] == ["w #", "<DATE> <TIME> w #"]
