@@ -2,19 +2,18 @@
 
 Texts are lower-cased (A-Z) and cut into words; ten consecutive words of an
 item are a window, and an item of fewer words is one window.  The hashes of
-all windows set two bits each of one bit table, which travels with the scan.
+all windows set a flag and a bit of two tables, which travel with the scan.
 Each document is read once: its windows are hashed inside the row, and only
 positions whose bits are set leave the row, with their words.  These are then
 joined with the windows on the words themselves, so no collision counts.
 
-The long table has 64 bits a window and 2**24 at most, the short one 2**17
-flags, so their size is bounded whatever the benchmark; with more windows than that calls for, more positions
-leave their rows, and the result stays the same.
+The long table has 64 bits a window and 2**27 (16 MB) at most, the short one
+2**17 flags, so their size is bounded whatever the benchmark; beyond two million
+windows more positions leave their rows, and the result stays the same.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +21,7 @@ from .common import lower_ascii, written
 
 WINDOW = 10
 #: Bits of the long table for each window, its least and largest size and the largest of the short one as powers of two, and windows up to which the confirming join broadcasts them.
-BITS_EACH, LEAST_BITS, MOST_BITS, MOST_FLAGS, BROADCAST_WINDOWS = 64, 12, 24, 17, 50_000
+BITS_EACH, LEAST_BITS, MOST_BITS, MOST_FLAGS, BROADCAST_WINDOWS = 64, 12, 27, 17, 50_000
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -39,19 +38,24 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     return items.select("item", n.alias("n"), F.explode(F.transform(starts, lambda i: F.array_join(F.slice(F.col("words"), i, n), " "))).alias("gram")).distinct()
 
 
-def tables(grams: DataFrame, n_windows: int) -> tuple[Column, Column, int]:
-    """Flags as a constant array of booleans, bits as one of longs, and the power of two that is the number of bits.
+def tables(grams: DataFrame, n_windows: int) -> tuple[DataFrame, int]:
+    """One row (flags, bits): an array of booleans and one of longs; and the power of two that is the number of bits.
 
-    Both are or-ed by Spark, so at most 2**18 words and 2**17 flags come to the driver.
+    Both are put together in one task, at most 2**(MOST_BITS - 6) longs and
+    2**MOST_FLAGS booleans, and sent to the scan as values of scalar subqueries, so
+    the planner never sees them.
     """
     power = min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * n_windows - 1).bit_length()))
-    flags, words = np.zeros(1 << min(power, MOST_FLAGS), bool), np.zeros(1 << (power - 6), np.int64)
-    placed = grams.select(*places(F.xxhash64(F.split("gram", " ")), power))
-    flags[[r["flag"] for r in placed.select("flag").distinct().collect()]] = True
-    bits = placed.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(bit_of(F.col("bit"))).alias("bits")).collect()
-    words[[r["word"] for r in bits]] = [r["bits"] for r in bits]
-    constant = lambda x, kind: F.split(F.lit(",".join(map(str, x.tolist()))), ",").cast(f"array<{kind}>")
-    return constant(flags.astype(int), "boolean"), constant(words, "bigint"), power
+    placed = written(grams.select(*places(F.xxhash64(F.split("gram", " ")), power)))
+
+    def whole(found: DataFrame, size: int, name: str, none: Column) -> DataFrame:
+        every = found.sparkSession.range(size).join(found, "id", "left").select(F.struct("id", F.coalesce("value", none).alias("value")).alias("s"))
+        return every.agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["value"]).alias(name))
+
+    flags = whole(placed.select(F.col("flag").cast("long").alias("id")).distinct().withColumn("value", F.lit(True)), 1 << min(power, MOST_FLAGS), "flags", F.lit(False))
+    bits = whole(placed.groupBy(F.shiftright("bit", 6).cast("long").alias("id")).agg(F.bit_or(bit_of(F.col("bit"))).alias("value")), 1 << (power - 6), "bits", F.lit(0).cast("long"))
+    # one row each
+    return written(flags.join(F.broadcast(bits))), power
 
 
 def bit_of(at: Column) -> Column:
@@ -65,15 +69,16 @@ def places(h: Column, power: int) -> tuple[Column, Column]:
     return flag.cast("int").alias("flag"), F.shiftrightunsigned(h, 32).bitwiseAND((1 << power) - 1).cast("int").alias("bit")
 
 
-def scan(rows: DataFrame, sizes: list[int], flags: Column, words: Column, power: int) -> DataFrame:
+def scan(rows: DataFrame, sizes: list[int], known_tables: DataFrame, power: int) -> DataFrame:
     """row, kept, n_words and hits: (start, n, gram) of the windows whose flag and bit are set."""
+    rows = rows.withColumns({"flags": known_tables.select("flags").scalar(), "bits": known_tables.select("bits").scalar()})
     none = F.array().cast("array<struct<start:int,n:int,gram:string>>")
 
     def way(n: int) -> Column:
         def known(i: Column) -> Column:
             flag, bit = places(F.xxhash64(F.slice("words", i, F.lit(n))), power)
             # the bit is asked for only where the flag is set
-            return F.get(flags, flag) & (F.get(words, F.shiftright(bit, 6)).bitwiseAND(bit_of(bit)) != 0)
+            return F.get("flags", flag) & (F.get("bits", F.shiftright(bit, 6)).bitwiseAND(bit_of(bit)) != 0)
 
         def spoken(i: Column) -> Column:
             return F.struct(i.alias("start"), F.lit(n).alias("n"), F.array_join(F.slice("words", i, F.lit(n)), " ").alias("gram"))
