@@ -118,10 +118,55 @@ def week_fixtures(parsed: DataFrame, page: list[str]) -> DataFrame:
     return first_of_each(parsed.filter(good), page)
 
 
-def probe(parsed: DataFrame) -> DataFrame:
-    """(shape, n, samples): the formats of what no pattern claimed, two samples each."""
+def placeholders(parsed: DataFrame, page: list[str]) -> DataFrame:
+    """(page, residual, called_off, placeholders): records that no pattern claimed, called-off games, and records with a side that is nobody."""
+    nobody = placeholder(F.col("away")) | placeholder(F.col("home"))
+    return parsed.groupBy(*page).agg(F.count_if(F.col("kind") == "unrecognised").alias("residual"), F.count_if(F.col("kind") == "called off").alias("called_off"), F.count_if(nobody & F.col("kind").isin("game", "fixture")).alias("placeholders"))
+
+
+def probe(parsed: DataFrame, order: list[str]) -> DataFrame:
+    """(shape, n, samples): the formats of what no pattern claimed, with the first two records of each by ``order``."""
     rest = parsed.filter("kind = 'unrecognised'").withColumn("shape", shape(F.col("record")))
-    return rest.groupBy("shape").agg(F.count(F.lit(1)).alias("n"), F.min("record").alias("first"), F.max("record").alias("last"))
+    w = Window.partitionBy("shape").orderBy(*order)
+    two = rest.withColumn("__k", F.row_number().over(w)).filter("__k <= 2").groupBy("shape").agg(F.transform(F.array_sort(F.collect_list(F.struct("__k", "record"))), lambda r: F.trim(r["record"])).alias("samples"))
+    return rest.groupBy("shape").agg(F.count(F.lit(1)).alias("n")).join(two, "shape")
+
+
+def weeks_read(found: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, wk, stop) of (keys, wk, found): weeks in order up to the first whose page has neither games nor fixtures, which stops the reading."""
+    end = found.filter("found = 0").groupBy(*keys).agg(F.min("wk").alias("end"))
+    return found.join(end, keys, "left").filter("end is null or wk <= end").select(*keys, "wk", F.coalesce(F.col("wk") == F.col("end"), F.lit(False)).alias("stop"))
+
+
+def unplayed(fixtures: DataFrame, games: DataFrame) -> DataFrame:
+    """Fixtures (wk, away, home, ...) without those that stand among the games, by week and names, case ignored."""
+    key = lambda df: df.select(F.col("wk").alias("__w"), F.lower("away").alias("__a"), F.lower("home").alias("__h")).distinct()
+    played = key(games)
+    return fixtures.join(played, (F.col("wk") == F.col("__w")) & (F.lower("away") == F.col("__a")) & (F.lower("home") == F.col("__h")), "left_anti")
+
+
+def known_pairs(names: DataFrame, col: str = "name") -> DataFrame:
+    """(school, city): the distinct pairs in names of the form ``School (City)``."""
+    form = r"^(.*?)\s*\(([^)]*)\)$"
+    return names.filter(F.col(col).rlike(form)).select(F.regexp_extract(col, form, 1).alias("school"), F.regexp_extract(col, form, 2).alias("city")).filter("school <> '' and city <> ''").distinct()
+
+
+def team_key(school: Column, city: Column) -> Column:
+    """The name as scoreboards write it: ``School (City)``, or the school alone."""
+    s, c = clean_name(school), clean_name(city)
+    return F.when(c != "", F.concat(s, F.lit(" ("), c, F.lit(")"))).otherwise(s)
+
+
+def region_roster(rows: DataFrame, regions: list[int], divisions: tuple[str, ...], each: int = 4) -> DataFrame:
+    """rows (region, school, city, ...) with name and division, each name once a region (the first by school_id); a region without a row stops the query."""
+    found = rows.select("region").distinct()
+    missing = found.sparkSession.createDataFrame([(r,) for r in regions], "region int").join(found, "region", "left_anti").agg(F.array_join(F.array_sort(F.collect_list("region")), ",").alias("missing"))
+    named = rows.withColumns({"name": team_key(F.col("school"), F.col("city")), "division": F.get(F.array(*map(F.lit, divisions)), F.floor((F.col("region") - 1) / each).cast("int"))})
+    w = Window.partitionBy("region", "name").orderBy("school_id")
+    first = named.withColumn("__k", F.row_number().over(w)).filter("__k = 1").drop("__k")
+    # one row
+    checked = first.join(F.broadcast(missing)).filter(F.when(F.col("missing") == "", True).otherwise(F.raise_error(F.concat(F.lit("regions without a team: "), "missing")).cast("boolean")))
+    return checked.drop("missing")
 
 
 def ranking_rows(pages: DataFrame, flat_col: str = "flat") -> DataFrame:
@@ -231,10 +276,25 @@ def table_rows(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return out.filter("average is not null and w <= 16 and l <= 16")
 
 
+#: The text tier: one ranking row a line, averages of three or four decimals.
+RANKING_LINE = r"^\s*(\d{1,3}t?)\s+(\d{1,2})-(\d{1,2})(?:-(\d{1,2}))?\s+(\d{1,6})\s+(.+?)\s+(\d+\.\d{3,4})(?!\d)"
+
+
+def line_rows(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """pages with (rank, w, l, t, school_id, middle, average) of each line that is a ranking row."""
+    keep = [c for c in pages.columns if c != html_col]
+    rows = pages.select(*keep, F.explode(page_lines(F.col(html_col))).alias("line")).filter(F.col("line").rlike(RANKING_LINE))
+    g = lambda i: F.regexp_extract("line", RANKING_LINE, i)
+    return rows.select(*keep, g(1).alias("rank"), g(2).cast("int").alias("w"), g(3).cast("int").alias("l"), F.coalesce(g(4).try_cast("int"), F.lit(0)).alias("t"), g(5).alias("school_id"), clean_name(g(6)).alias("middle"), g(7).cast("double").alias("average"))
+
+
 def ranking(pages: DataFrame, pairs: DataFrame, html_col: str = "html") -> DataFrame:
-    """pages with (tier, school, city, w, l, t, average): from the table where the page has one, else from its flat text."""
+    """pages with (tier, school, city, school_id, w, l, t, average): from the table where the page has one, else from its flat text, else from its lines."""
     keep = [c for c in pages.columns if c != html_col]
     columns = [*keep, "tier", "school", "city", "school_id", "w", "l", "t", "average"]
-    by_table = table_rows(pages, html_col).withColumn("tier", F.lit("table"))
-    flat = ranking_rows(pages.join(by_table.select(*keep).distinct(), keep, "left_anti").select(*keep, flat_text(F.col(html_col)).alias("flat")))
-    return by_table.select(*columns).unionByName(split_city_school(flat, pairs).withColumn("tier", F.lit("flat")).select(*columns))
+    without = lambda found: pages.join(found.select(*keep).distinct(), keep, "left_anti")
+    split = lambda rows, tier: split_city_school(rows, pairs).withColumn("tier", F.lit(tier)).filter(plausible(F.col("school"))).select(*columns)
+    by_table = table_rows(pages, html_col).withColumn("tier", F.lit("table")).select(*columns)
+    by_flat = split(ranking_rows(without(by_table).select(*keep, flat_text(F.col(html_col)).alias("flat"))), "flat")
+    by_line = split(line_rows(without(by_table.select(*keep).union(by_flat.select(*keep))), html_col), "text")
+    return by_table.unionByName(by_flat).unionByName(by_line)

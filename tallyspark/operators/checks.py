@@ -90,11 +90,11 @@ def scale_swap(predicted: DataFrame, margin_scale: float) -> DataFrame:
     return predicted.agg(F.max(F.abs(p - F.col("p"))).alias("worst"), F.count_if(F.abs(p - F.col("p")) > 0.01).alias("swapped"))
 
 
-def squash_invariants(spark, scale: float, cap: float) -> DataFrame:
-    """One row: half at 0, symmetric, rising, flat beyond the cap, over margins -60 to 60."""
+def squash_invariants(margins: DataFrame, scale: float, cap: float) -> DataFrame:
+    """One row: half at 0, symmetric, rising, flat beyond the cap, over the margins (m)."""
     from ..functions.scales import squash
 
-    rows = spark.range(-60, 61).select(F.col("id").alias("m"), squash(F.col("id").cast("double"), scale, cap).alias("y"), squash(-F.col("id").cast("double"), scale, cap).alias("back"), squash(F.col("id").cast("double") + 1, scale, cap).alias("next"))
+    rows = margins.select("m", squash(F.col("m").cast("double"), scale, cap).alias("y"), squash(-F.col("m").cast("double"), scale, cap).alias("back"), squash(F.col("m").cast("double") + 1, scale, cap).alias("next"))
     return rows.agg(F.max(F.when(F.col("m") == 0, F.abs(F.col("y") - 0.5) < 1e-12)).alias("half_at_zero"), (F.max(F.abs(F.col("y") + F.col("back") - 1)) < 1e-12).alias("symmetric"), F.min(F.col("next") >= F.col("y")).alias("rising"), F.max(F.when(F.col("m") > cap, F.abs(F.col("y") - squash(F.lit(cap), scale, cap)) < 1e-12)).alias("capped"))
 
 

@@ -56,18 +56,26 @@ def paired_gap(spark, sf):
     return compare.paired_gap(shared(spark, sf)).select("n", "b", "c", r("gap"), r("gap_se"), r("loss_gap"), r("loss_se"))
 
 
-@query(f"""select b, c, case when b + c = 0 then 1.0 else {R('least(1.0, 2 * s)', 6)} end as p from (
-select b, c, (select sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2.0))) from range(0, 101) r(i) where i between greatest(b, c) and b + c) as s from range(0, 51) x(b), range(0, 51) y(c))""")
+CLOSE = f"{WITH}, close as (select season, wk, cast(count_if(hs - aw = 1) as bigint) as b, cast(count_if(aw - hs = 1) as bigint) as c from games group by all), exact as (select *, case when b + c = 0 then 1.0 else least(1.0, 2 * list_sum(list_transform(range(greatest(b, c), b + c + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2.0))))) end as p from close)"
+
+
+def close_games(spark, sf):
+    """(season, wk, b, c): games that home and away sides won by one point."""
+    m = F.col("hs") - F.col("aw")
+    return arena.dense_games(spark, sf).groupBy("season", "wk").agg(F.count_if(m == 1).alias("b"), F.count_if(m == -1).alias("c"))
+
+
+@query(f"{CLOSE} select season, wk, b, c, {R('p', 6)} as p from exact")
 def mcnemar(spark, sf):
-    """The exact test for every pair of up to 50 discordant games."""
-    pairs = spark.range(0, 51).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(50).cast("bigint"))).alias("c"))
-    return pairs.select("b", "c", arena.safe_round(compare.binomial_p(F.col("b"), F.col("c")), 6).alias("p"))
+    """The exact test of every week's narrow home wins against its narrow away wins."""
+    return close_games(spark, sf).select("season", "wk", "b", "c", arena.safe_round(compare.binomial_p(F.col("b"), F.col("c")), 6).alias("p"))
 
 
-@query("select p, case when p > 0.10 then 'indistinguishable' when p > 0.01 then 'leaning' else 'clear' end as by_p, case when n < 30 or z < 1.64 then 'indistinguishable' when z < 2.58 then 'leaning' else 'clear' end as by_z, n, z from (select i / 200.0::double as p, i / 50.0::double as z, cast(10 + i as int) as n from range(0, 201) r(i))")
+@query(f"{CLOSE} select season, wk, case when round(p, 9) > 0.10 then 'indistinguishable' when round(p, 9) > 0.01 then 'leaning' else 'clear' end as by_p, case when b + c < 30 or abs(b - c) / sqrt(b + c) < 1.64 then 'indistinguishable' when abs(b - c) / sqrt(b + c) < 2.58 then 'leaning' else 'clear' end as by_z from exact")
 def verdict(spark, sf):
-    rows = spark.range(0, 201).select((F.col("id") / 200.0).alias("p"), (F.col("id") / 50.0).alias("z"), (F.col("id") + 10).cast("int").alias("n"))
-    return rows.select("p", compare.verdict_p(F.col("p")).alias("by_p"), compare.verdict_z(F.col("z"), F.lit(1.0), F.col("n")).alias("by_z"), "n", "z")
+    rows = close_games(spark, sf)
+    p = F.round(compare.binomial_p(F.col("b"), F.col("c")), 9)
+    return rows.select("season", "wk", compare.verdict_p(p).alias("by_p"), compare.verdict_z(F.col("b") - F.col("c"), F.sqrt(F.col("b") + F.col("c")), F.col("b") + F.col("c")).alias("by_z"))
 
 
 # --- checks ------------------------------------------------------------------------------------------------------
@@ -147,9 +155,14 @@ def scale_swap(spark, sf):
     return checks.scale_swap(predicted(spark, sf), 1.4708).select(arena.safe_round(F.col("worst"), 3).alias("worst"), "swapped")
 
 
-@query("with q as (select m, 1 / (1 + exp(-greatest(-49, least(49, m)) / 9.0)) as y, 1 / (1 + exp(-greatest(-49, least(49, -m)) / 9.0)) as back, 1 / (1 + exp(-greatest(-49, least(49, m + 1)) / 9.0)) as next, 1 / (1 + exp(-greatest(-49, least(49, 49)) / 9.0)) as top from range(-60, 61) t(m)) select bool_or(m = 0 and abs(y - 0.5) < 1e-12) as half_at_zero, max(abs(y + back - 1)) < 1e-12 as symmetric, bool_and(next >= y) as rising, bool_and(m <= 49 or abs(y - top) < 1e-12) as capped from q")
+SQUASH = lambda m: f"1 / (1 + exp(-greatest(-49, least(49, {m})) / 9.0))"
+
+
+@query(f"{WITH}, q as (select m, {SQUASH('m')} as y, {SQUASH('-m')} as back, {SQUASH('m + 1')} as next, {SQUASH('49')} as top from (select distinct 2 * (hs - aw) as m from games union select 0)) select bool_or(m = 0 and abs(y - 0.5) < 1e-12) as half_at_zero, max(abs(y + back - 1)) < 1e-12 as symmetric, bool_and(next >= y) as rising, bool_and(m <= 49 or abs(y - top) < 1e-12) as capped from q")
 def squash_invariants(spark, sf):
-    return checks.squash_invariants(spark, 9.0, 49.0)
+    """Over twice every margin that was played, and 0."""
+    margins = arena.dense_games(spark, sf).select((2 * (F.col("hs") - F.col("aw"))).alias("m")).union(spark.range(1).select(F.lit(0))).distinct()
+    return checks.squash_invariants(margins, 9.0, 49.0)
 
 
 @query(f"with {ARENA_SQL} select count(distinct team) as teams, (select count(*) from played) as games, count(distinct team) > 600 as enough_teams, (select count(*) from played) > 200 as enough_games from (select unnest([home, away]) as team from played)")

@@ -1,82 +1,87 @@
-"""Queries on text extraction: literal pages in the formats that are read, and the pages and documents tables."""
+"""Queries on text extraction: the arena's tables rendered as pages and read back, and the pages and documents tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import extract as x
-from . import arena
+from ..operators.lineage import cut
+from . import arena, rendered
+from .arena import ARENA_SQL
+from .rendered import BOARD, CITY, CLEAN, CUT_CITY, CUT_SCHOOL, FULL, PAGE_TEAMS, PICKED, RANKED, SCHOOL, SHORT, STATE
 from .registry import registry
 
 QUERIES, ORACLE_SQL, query = registry()
+PAGE = ["season", "wk", "part"]
 
-#: Invented pages and schools in the formats that are read: a called-off record before a game, tags, brackets in names, a record twice, a team against itself, a score too high, and no record at all.
-PAGES = [
-    (1, "Results 2031-10-03 8pm Vellmar (Ostrand) at Quillby (Tarn) postponed 2031-10-03 7:15pm North-Hask (Lower Dene) 31 at Marl Fenwick (Corrow) 27 2031-10-04 Osk (Bramley) 0 vs Thornway (Elling) 3"),
-    (2, "2031-10-10 6:45pm Lark Hill (Penwick) *** at Dunmere (Penwick) *** 2031-10-11 noon St Orin (Kessel) (Kessel) [ky] *** vs Pell (Penwick) *** 2031-10-11 7pm Graymoor () [WV] *** at Halden Ridge (Halden) [WV] ***"),
-    (3, "2031-10-17 7pm Wexcombe (Ardle) 13 at Rook Lane (annex) (Penwick) 12 2031-10-17 7pm Wexcombe (Ardle) 13 at Rook Lane (annex) (Penwick) 12 2031-10-17 Ivo (Ivo) 3 at Ivo (Ivo) 10 2031-10-18 7pm Sable (Norrin) 155 at Tamsin (Tamsin) 6 2031-10-18 idle week for all"),
-]
-GAMES = [(1, "North-Hask (Lower Dene)", "", 31, "Marl Fenwick (Corrow)", "", 27, False), (1, "Osk (Bramley)", "", 0, "Thornway (Elling)", "", 3, True), (3, "Wexcombe (Ardle)", "", 13, "Rook Lane (annex) (Penwick)", "", 12, False)]
-FIXTURES = [("Lark Hill (Penwick)", "", "Dunmere (Penwick)", "", "6:45pm", False), ("Graymoor", "WV", "Halden Ridge (Halden)", "WV", "7pm", False), ("St Orin (Kessel)", "KY", "Pell (Penwick)", "", "noon", True)]
 
+def parsed(spark, sf):
+    # pages are parsed once, by long patterns, and read by several filters
+    return cut(x.parse_records(x.page_records(rendered.scoreboards(spark, sf)).drop("flat")))
 
-def values(rows: list[tuple], names: str) -> str:
-    def cell(v) -> str:
-        if v is None:
-            return "null"
-        if isinstance(v, bool):
-            return str(v).lower()
-        if isinstance(v, float):
-            return f"{v!r}::double"
-        return str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
 
-    return f"select * from (values {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) t({names})"
-
-
-def parsed(spark):
-    return x.parse_records(x.page_records(spark.createDataFrame(PAGES, "page int, flat string")).drop("flat"))
-
-
-@query(values(GAMES, "page, away, away_state, ascore, home, home_state, hscore, neutral"))
+@query(f"with {BOARD} select season, wk, day as date, clock as time, {CLEAN('away')} as away, {STATE('away')} as away_state, aw as ascore, {CLEAN('home')} as home, {STATE('home')} as home_state, hs as hscore, neutral from good")
 def scrape_week(spark, sf):
-    return x.week_games(parsed(spark), ["page"]).select("page", "away", "away_state", "ascore", "home", "home_state", "hscore", "neutral")
+    """The results of every week's pages: repeats, self-games, scores out of reach and called-off games left out."""
+    return x.week_games(parsed(spark, sf), PAGE).select("season", "wk", "date", "time", "away", "away_state", "ascore", "home", "home_state", "hscore", "neutral")
 
 
-@query(values(FIXTURES, "away, away_state, home, home_state, time, neutral"))
+@query(f"with {BOARD} select season, wk, {CLEAN('away')} as away, {STATE('away')} as away_state, {CLEAN('home')} as home, {STATE('home')} as home_state, clock as time, neutral from coming")
 def scrape_schedule(spark, sf):
-    return x.week_fixtures(parsed(spark), ["page"]).select("away", "away_state", "home", "home_state", "time", "neutral")
+    return x.week_fixtures(parsed(spark, sf), PAGE).select("season", "wk", "away", "away_state", "home", "home_state", "time", "neutral")
 
 
-@query(values([(1, "called off", 1), (1, "game", 2), (2, "fixture", 3), (3, "game", 4), (3, "unrecognised", 1)], "page, kind, n"))
+@query(f"with {BOARD} select season, wk, case kind when 0 then 'called off' when 1 then 'fixture' when 6 then 'fixture' when 5 then 'unrecognised' else 'game' end as kind, cast(sum(case when kind = 2 then 2 else 1 end) as bigint) as n from board group by all")
 def parse_records(spark, sf):
-    return parsed(spark).groupBy("page", "kind").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return parsed(spark, sf).groupBy("season", "wk", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {BOARD} select season, wk, {CLEAN('away')} as away, {CLEAN('home')} as home, count(*) as n from board where kind = 0 group by all")
+def parse_called_off(spark, sf):
+    return parsed(spark, sf).filter("kind = 'called off'").groupBy("season", "wk", "away", "home").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(values([("<DATE> w", 1)], "shape, n"))
+@query(f"with {BOARD}, n as (select *, row_number() over (partition by game_id % 2 order by season, wk, part, game_id) as k, day || case when game_id % 2 = 0 then ' idle week for all' else ' no report of 12' end as record from board where kind = 5) select case when game_id % 2 = 0 then '<DATE> w' else '<DATE> w #' end as shape, count(*) as n, string_agg(case when k <= 2 then record end, '|' order by k) as samples from n group by 1")
 def probe_shapes(spark, sf):
-    return x.probe(parsed(spark)).select("shape", F.col("n").cast("int").alias("n"))
+    found = x.probe(parsed(spark, sf), [*PAGE, "pos"])
+    return found.select("shape", "n", F.array_join("samples", "|").alias("samples"))
 
 
-@query(values([(1, 1), (3, 0), (2, 0)], "page, called_off"))
+@query(f"with {BOARD} select season, wk, part, count_if(kind = 5) as residual, count_if(kind = 0) as called_off, count_if(kind = 6) as placeholders from board group by all")
 def residual_count(spark, sf):
-    return parsed(spark).groupBy("page").agg(F.count_if(F.col("kind") == "called off").cast("int").alias("called_off"))
+    """What no pattern claimed, games called off and places held by nobody, by page."""
+    return x.placeholders(parsed(spark, sf), PAGE)
 
 
-NAMES = [("St Orin (Kessel) (Kessel) [ky]", "St Orin (Kessel)", "KY"), ("Graymoor () [WV]", "Graymoor", "WV"), ("  Elm   Bank (Sorrel) [PA] ", "Elm Bank (Sorrel)", "PA"), ("Bare -", "Bare", "")]
+@query(f"with {BOARD}, one as (select season, wk, count_if(kind = 1 or kind = 2 or kind > 6) as found from board where home % 20 = 7 group by all), every as (select season, wk, coalesce(found, 0) as found from (select season, unnest(range(1, last + 1)) as wk from (select season, max(wk) as last from one group by season)) left join one using (season, wk)), e as (select *, min(case when found = 0 then wk end) over (partition by season) as last from every) select season, cast(wk as int) as wk, coalesce(wk = last, false) as stop from e where last is null or wk <= last")
+def week_stop(spark, sf):
+    """A few clubs' pages week by week: reading ends at the first week of a season with neither games nor fixtures."""
+    games = arena.dense_games(spark, sf).filter("home % 20 = 7").select("game_id")
+    rows = parsed(spark, sf).filter("kind in ('game', 'fixture')").filter(x.plausible(F.col("home")) & (F.lower("home") != F.lower("away")) & ~x.placeholder(F.col("away")) & (F.coalesce("ascore", F.lit(0)) <= 120))
+    mine = arena.dense_roster(spark, sf).filter("team % 20 = 7").select(F.when(F.col("team") % 11 == 0, rendered.school(F.col("team"))).otherwise(rendered.full_name(F.col("team"))).alias("home"))
+    found = rows.join(mine, "home", "left_semi").groupBy("season", "wk").agg(F.count(F.lit(1)).alias("found"))
+    every = arena.dense_games(spark, sf).join(games, "game_id", "left_semi").groupBy("season").agg(F.max("wk").alias("last")).select("season", F.explode(F.sequence(F.lit(1), F.col("last"))).alias("wk"))
+    return x.weeks_read(every.join(found, ["season", "wk"], "left").withColumn("found", F.coalesce("found", F.lit(0).cast("bigint"))), ["season"])
 
 
-@query(values(NAMES, "raw, name, state"))
+@query(f"with {ARENA_SQL} select team, {CLEAN('team')} as name, {STATE('team')} as state from roster")
 def team_name_norm(spark, sf):
     name, state = x.team_name(F.col("raw"))
-    return spark.createDataFrame([(n[0],) for n in NAMES], "raw string").select("raw", name.alias("name"), state.alias("state"))
+    rows = arena.dense_roster(spark, sf).select("team", rendered.raw_name(F.col("team")).alias("raw"))
+    return rows.select("team", name.alias("name"), state.alias("state"))
 
 
-PLAUSIBLE = [("Q", False), ("Ivo (Ivo)", True), ("99 12", False), ("Search here", False), ("one two three four five six seven eight nine ten eleven twelve thirteen", False), ("TBA", True)]
+NAMES_SQL = "select p_name as name from part union all select c_mktsegment from customer union all select text from documents union all select case when p_partkey % 2 = 0 then 'TBA' else 'Week ' || p_partkey end from part"
+JUNKY = " or ".join(f"contains(lower(name), '{w}')" for w in x.JUNK)
 
 
-@query(values([(n, p, n == "TBA") for n, p in PLAUSIBLE], "name, plausible, placeholder"))
+@query(f"with n as ({NAMES_SQL}), p as (select coalesce(length(name) between 2 and 80 and regexp_matches(name, '[A-Za-z]') and len(string_split_regex(trim(name), '\\s+')) <= 12 and not ({JUNKY}), false) as plausible, coalesce(regexp_full_match(trim(name), '(?i)TBA|TBD|OPEN|BYE|Non[- ]varsity(\\s+opponent)?'), false) as placeholder from n) select plausible, placeholder, count(*) as n from p group by all")
 def plausible_team(spark, sf):
-    return spark.createDataFrame([(n,) for n, _ in PLAUSIBLE], "name string").select("name", x.plausible(F.col("name")).alias("plausible"), x.placeholder(F.col("name")).alias("placeholder"))
+    """What might be a team's name among part names, market segments, whole documents and headings."""
+    part = arena.read(spark, sf, "part")
+    names = part.select(F.col("p_name").alias("name")).union(arena.read(spark, sf, "customer").select("c_mktsegment")).union(arena.read(spark, sf, "documents").select("text")).union(part.select(F.when(F.col("p_partkey") % 2 == 0, "TBA").otherwise(F.concat(F.lit("Week "), F.col("p_partkey").cast("string")))))
+    return names.select(x.plausible(F.col("name")).alias("plausible"), F.coalesce(x.placeholder(F.col("name")), F.lit(False)).alias("placeholder")).groupBy("plausible", "placeholder").agg(F.count(F.lit(1)).alias("n"))
 
 
 STRIP = r"trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<head\b[^>]*>.*?</head\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g'))".replace('\\"', '"')
@@ -100,11 +105,10 @@ def page_lines(spark, sf):
     return arena.read(spark, sf, "pages").select("page_id", F.posexplode(x.page_lines(F.col("html"))).alias("pos", "line"))
 
 
-@query(values([("<table><tr><th>Rank</th><th>School</th></tr><tr><td>1</td><td>A &amp; B</td></tr></table>", "Rank,School;1,A & B")], "html, cells"))
+@query(f"with {RANKED}, c as (select region, part, team, rank || ',' || w || '-' || l || case when t > 0 then '-' || t else '' end || ',' || team || ',' || {CITY('team')} || ',' || {SCHOOL('team')} || ' &,' || printf('%.4f', average) as cells from ranked where form = 0) select region, part, 'Standing;Current Rank,Rated W-L,ID #,Mailing City,School:,Current Average;' || string_agg(cells, ';' order by team) as cells from c group by all")
 def page_rows(spark, sf):
-    html = "<table><tr><th>Rank</th><th>School</th></tr><tr><td>1</td><td>A &amp; B</td></tr></table>"
     rows = x.page_rows(F.col("html"))
-    return spark.createDataFrame([(html,)], "html string").select("html", F.array_join(F.transform(rows, lambda r: F.array_join(r, ",")), ";").alias("cells"))
+    return rendered.rankings(spark, sf).select("region", "part", F.array_join(F.transform(rows, lambda r: F.array_join(r, ",")), ";").alias("cells")).filter("cells <> ''")
 
 
 SHAPE = r"replace(replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\d{4}-\d{2}-\d{2}', chr(1), 'g'), '(?:\d{1,2}(?::\d{2})?\s*[apAP]\.?[mM]\.?|\d{1,2}:\d{2}|[Nn]oon|TBA|TBD)', chr(2), 'g'), '\d+', '#', 'g'), '[A-Za-z]+', 'w', 'g'), '(?:w ?)+', 'w ', 'g'), '\s+', ' ', 'g')), chr(1), '<DATE>'), chr(2), '<TIME>')"
@@ -116,76 +120,78 @@ def record_shape(spark, sf):
     return arena.read(spark, sf, "documents").select(x.shape(F.col("text")).alias("s")).groupBy(F.md5("s").alias("shape")).agg(F.count(F.lit(1)).alias("n"))
 
 
-RANKS = "Rank 3t 4-1 1507 Tamsin Tamsin 12.2500 5 2-2-1 88 Norrin Sable 9.1000 41 0-5 612 Upper Corrow Corrow Lake Friends School 1.0625"
-PAIRS = [("Sable", "Norrin"), ("Corrow Lake Friends School", "Upper Corrow")]
-
-
-@query(values([("3t", 4, 1, 0, "1507", "Tamsin", "Tamsin", 12.25), ("5", 2, 2, 1, "88", "Sable", "Norrin", 9.1), ("41", 0, 5, 0, "612", "Corrow Lake Friends School", "Upper Corrow", 1.0625)], "rank, w, l, t, school_id, school, city, average"))
-def roster_flat(spark, sf):
-    rows = x.ranking_rows(spark.createDataFrame([(RANKS,)], "flat string"))
-    return x.split_city_school(rows, spark.createDataFrame(PAIRS, "school string, city string")).select("rank", "w", "l", "t", "school_id", "school", "city", "average")
+@query(f"with {BOARD} select distinct {SCHOOL('t')} as school, {CITY('t')} as city from (select unnest([home, away]) as t from good) where t % 11 <> 0")
+def known_pairs(spark, sf):
+    """Schools with their cities, as the scoreboards name them."""
+    return pairs(spark, sf)
 
 
-PICKS = "Picks for week #7 Updated Tue Friday Lark Hill (3-2) by 10 (71%) at Dunmere (2-3) Osk (5-0) by 31 (96%) at Elling Thornway (1-4) #3 Sable (4-1) by 5 (60%) at Tamsin (4-1) Saturday Fenwick Science Acad. (2-3) by 14 (80%) vs Rook Lane (0-5)"
-NEXT = [("Dunmere (Penwick)", "Lark Hill (Penwick)"), ("Thornway (Elling)", "Osk (Bramley)"), ("Tamsin (Tamsin)", "Sable (Norrin)"), ("Fenwick Science Academy (Corrow)", "Rook Lane (Penwick)")]
-
-
-@query(values([(7, "Lark Hill", "Dunmere", False, 10, 0.71), (7, "Osk", "Elling Thornway", False, 31, 0.96), (7, "Sable", "Tamsin", False, 5, 0.6), (7, "Fenwick Science Acad", "Rook Lane", True, 14, 0.8)], "wk, fav, dog, fav_home, margin, fav_p"))
-def parse_picks(spark, sf):
-    return x.parse_picks(spark.createDataFrame([(PICKS,)], "flat string")).drop("pick")
+def pairs(spark, sf):
+    games = x.week_games(parsed(spark, sf), PAGE)
+    return x.known_pairs(games.select(F.explode(F.array("home", "away")).alias("name")))
 
 
-@query(values([("Dunmere (Penwick)", "Lark Hill (Penwick)", -10, 0.29), ("Thornway (Elling)", "Osk (Bramley)", -31, 0.04), ("Tamsin (Tamsin)", "Sable (Norrin)", -5, 0.4), ("Fenwick Science Academy (Corrow)", "Rook Lane (Penwick)", 14, 0.8)], "home, away, home_margin, home_p"))
-def match_picks(spark, sf):
-    picks = x.parse_picks(spark.createDataFrame([(PICKS,)], "flat string"))
-    return x.match_picks(picks, spark.createDataFrame([(7, h, a) for h, a in NEXT], "wk int, home string, away string")).select("home", "away", "home_margin", "home_p")
+@query(f"with {RANKED} select region, part, rank, w, l, t, cast(team as varchar) as school_id, {CUT_SCHOOL} as school, {CUT_CITY} as city, average from ranked where form = 1")
+def roster_flat(spark, sf):
+    """Ranking rows of one line of text; where the city ends is learned from the scoreboards."""
+    rows = x.ranking_rows(rendered.rankings(spark, sf).select("region", "part", x.flat_text(F.col("html")).alias("flat")).filter("flat not like '%Current Rank%'"))
+    return x.split_city_school(rows, pairs(spark, sf)).select("region", "part", "rank", "w", "l", "t", "school_id", "school", "city", "average")
 
 
-AGREE = [("Corrow Lk. Friends", "Corrow Lake Friends School", False), ("Corrow La. Friends", "Corrow Lake Friends School", True), ("Holy Spring-Sac. Grove", "Holy Spring-Sacred Grove", True), ("Ivory", "Ivo", False), ("", "Ivo", False), ("Pell North", "Pell", False)]
+@query(f"with {RANKED} select region, part, {SCHOOL('team')} || ' &' as school, {CITY('team')} as city, cast(team as varchar) as school_id, w, l, t, average from ranked where form = 0")
+def roster_table(spark, sf):
+    return x.table_rows(rendered.rankings(spark, sf))
 
 
-@query(values(AGREE, "a, b, agree"))
-def tokens_agree(spark, sf):
-    return spark.createDataFrame([r[:2] for r in AGREE], "a string, b string").select("a", "b", x.tokens_agree(F.col("a"), F.col("b")).alias("agree"))
+@query(f"with {RANKED} select region, part, case form when 0 then 'table' when 1 then 'flat' else 'text' end as tier, case when form = 0 then {SCHOOL('team')} || ' &' else {CUT_SCHOOL} end as school, case when form = 0 then {CITY('team')} else {CUT_CITY} end as city, cast(team as varchar) as school_id, w, l, t, average from ranked")
+def roster_text(spark, sf):
+    """Every ranking page by the first of three tiers that gives a row."""
+    return x.ranking(rendered.rankings(spark, sf), pairs(spark, sf))
 
 
-@query("select * from (values (1, false), (2, false), (3, true)) t(wk, stop)")
-def week_stop(spark, sf):
-    """Reading ends at the first week whose page has neither games nor fixtures."""
-    seen = spark.createDataFrame([(1, 4), (2, 2), (3, 0), (4, 5)], "wk int, found int")
-    end = seen.filter("found = 0").agg(F.min("wk").alias("end"))
-    return seen.join(F.broadcast(end)).filter("wk <= coalesce(end, wk)").select("wk", (F.col("wk") == F.col("end")).alias("stop"))
+@query(f"with {RANKED} select region, case when region <= 4 then 'I' else 'II' end as division, case when form = 0 then {SCHOOL('team')} || ' & (' || {CITY('team')} || ')' else {CUT_SCHOOL} || ' (' || {CUT_CITY} || ')' end as name, cast(team as varchar) as school_id from ranked")
+def region_division(spark, sf):
+    """The roster of all ranking pages: names as scoreboards write them, once a region, with the division that four regions make."""
+    rows = x.ranking(rendered.rankings(spark, sf), pairs(spark, sf))
+    regions = sorted(r[0] for r in arena.dense_roster(spark, sf).filter("in_league").select("region").distinct().collect())
+    return x.region_roster(rows, regions, arena.DIVISIONS).select("region", "division", "name", "school_id")
 
 
-LINES = [("Osk 20 at Pell 17", "Osk", 20, "Pell", 17, False), ("2031-10-04 7pm Osk (Bramley) 20 vs Pell (Penwick) 17", "Osk (Bramley)", 20, "Pell (Penwick)", 17, True), ("Osk at Pell 20 17", "Osk", 20, "Pell", 17, False), ("Osk 20 Pell 17", "Osk", 20, "Pell", 17, False), ("Sat Osk 20 at Pell 17", "Osk", 20, "Pell", 17, False), ("Twin 9 at twin 6", "Twin", 9, "at twin", 6, False), ("nothing was played", None, None, None, None, None)]
+@query(f"with {PICKED} select wk, case when fav_home then {SHORT('home')} else {SHORT('away')} end as fav, case when fav_home then {SHORT('away')} else {SHORT('home')} end as dog, fav_home, margin, fav_p from picked")
+def parse_picks(spark, sf):
+    return x.parse_picks(rendered.picks(spark, sf)).drop("pick")
 
 
-@query(values(LINES, "line, away, ascore, home, hscore, neutral"))
-def match_line(spark, sf):
-    return spark.createDataFrame([(r[0],) for r in LINES], "line string").select("line", x.match_line(F.col("line")).alias("m")).select("line", "m.*")
+MATCHED = f"{PICKED}, uniq as (select distinct wk, home, away from fixtures), fit as (select p.*, case when fav_home then margin else -margin end as home_margin, round(case when fav_home then fav_p else 1 - fav_p end, 3) as home_p from picked p)"
 
 
-TABLE = "<table><tr><td>Week 7</td></tr><tr><th>Current Rank</th><th>Rated W-L</th><th>ID #</th><th>Mailing City</th><th>School:</th><th>Current Average</th></tr><tr><td>3t</td><td>4-1</td><td>1507</td><td>Tamsin</td><td>Tamsin</td><td>12.2500</td></tr><tr><td>5</td><td>2-2-2</td><td>88</td><td>Norrin</td><td>Sable</td><td>9.1</td></tr><tr><td>6</td><td>18-0</td><td>2</td><td>Y</td><td>Played Too Often</td><td>4.5</td></tr><tr><td>7</td><td>none</td></tr></table>"
-RANKED = [(1, "table", "Tamsin", "Tamsin", "1507", 4, 1, 0, 12.25), (1, "table", "Sable", "Norrin", "88", 2, 2, 2, 9.1), (2, "flat", "Tamsin", "Tamsin", "1507", 4, 1, 0, 12.25), (2, "flat", "Sable", "Norrin", "88", 2, 2, 1, 9.1), (2, "flat", "Corrow Lake Friends School", "Upper Corrow", "612", 0, 5, 0, 1.0625)]
+@query(f"with {MATCHED} select wk, {FULL('home')} as home, {FULL('away')} as away, home_margin, home_p from fit")
+def match_picks(spark, sf):
+    """Every pick finds the one fixture of its week that its short names can mean, and is restated from the home side."""
+    picks = x.parse_picks(rendered.picks(spark, sf))
+    # picks of several pages of a week are told apart by their names
+    w = Window.partitionBy("wk").orderBy("fav", "dog", "margin", "fav_p", "pick")
+    picks = picks.withColumn("pick", F.row_number().over(w))
+    fixtures = arena.fixtures(arena.dense_games(spark, sf)).select("wk", rendered.full_name(F.col("home")).alias("home"), rendered.full_name(F.col("away")).alias("away"))
+    return x.match_picks(picks, fixtures).filter("n = 1").select("wk", "home", "away", "home_margin", "home_p")
 
 
-@query(values([r[:1] + r[2:] for r in RANKED if r[1] == "table"], "page, school, city, school_id, w, l, t, average"))
-def roster_table(spark, sf):
-    return x.table_rows(spark.createDataFrame([(1, TABLE)], "page int, html string"))
+WORDS = "string_split(lower({0}), ' ')"
 
 
-@query(values(RANKED, "page, tier, school, city, school_id, w, l, t, average"))
-def roster_text(spark, sf):
-    """A page with a table, and one whose ranking is text only."""
-    return x.ranking(spark.createDataFrame([(1, TABLE), (2, f"<p>{RANKS}</p>")], "page int, html string"), spark.createDataFrame(PAIRS, "school string, city string"))
+@query("with p as (select p_partkey, p_name, p_type, array_to_string(list_transform(string_split(p_name, ' '), lambda w: w[1:3]), '. ') || '.' as short from part), w as (select p_partkey, string_split(trim(replace(lower(short), '.', '')), ' ') as a, string_split(lower(p_name), ' ') as b, string_split(lower(p_type), ' ') as c from p) select p_partkey, len(a) <= len(b) and len(list_filter(range(1, len(a) + 1), lambda i: not starts_with(b[i], a[i]))) = 0 as own, len(a) <= len(c) and len(list_filter(range(1, len(a) + 1), lambda i: not starts_with(coalesce(c[i], ''), a[i]))) = 0 as other from w")
+def tokens_agree(spark, sf):
+    """Part names cut to three letters a word against whole names, and against types."""
+    short = F.concat(F.array_join(F.transform(F.split("p_name", " "), lambda w: F.substring(w, 1, 3)), ". "), F.lit("."))
+    return arena.read(spark, sf, "part").select("p_partkey", x.tokens_agree(short, F.col("p_name")).alias("own"), x.tokens_agree(short, F.col("p_type")).alias("other"))
 
 
-@query(values([("Quillby (Tarn)", "Vellmar (Ostrand)")], "home, away"))
-def parse_called_off(spark, sf):
-    return parsed(spark).filter("kind = 'called off'").select("home", "away")
+@query(f"with {ARENA_SQL}, m as (select *, game_id % 7 as form from games) select game_id, case when form = 4 then null when form = 0 then {FULL('away')} else {SCHOOL('away')} end as away, case when form <> 4 then aw end as ascore, case when form = 4 then null when form = 0 then {FULL('home')} else {SCHOOL('home')} end as home, case when form <> 4 then hs end as hscore, case when form <> 4 then form = 0 end as neutral from m")
+def match_line(spark, sf):
+    return rendered.lines(spark, sf).select("game_id", x.match_line(F.col("line")).alias("m")).select("game_id", "m.*")
 
 
-@query("select page_id, count(*) as rows_found from pages where false group by page_id")
+@query("select page_id, cast((length(html) - length(replace(lower(html), '<tr', ''))) // 3 as bigint) as table_rows from pages")
 def page_tables(spark, sf):
-    """Ranking tables on the pages of the corpus: there are none."""
-    return x.table_rows(arena.read(spark, sf, "pages").select("page_id", "html")).groupBy("page_id").agg(F.count(F.lit(1)).alias("rows_found"))
+    """Table rows on the pages of the corpus."""
+    return arena.read(spark, sf, "pages").select("page_id", F.size(x.page_rows(F.col("html"))).cast("bigint").alias("table_rows"))

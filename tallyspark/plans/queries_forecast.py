@@ -19,11 +19,10 @@ R = lambda x, n: f"round({x} + 1e-9, {n}) + 0.0"
 SIDES = "psides as (select home as team, away as opp, hs as pf, aw as pa from played union all select away, home, aw, hs from played)"
 PROFILE = f"{SIDES}, ppg as (select avg(pf) as league_ppg from psides), profile as (select team, count(*) as played, count(*) / (count(*) + 4.0) * (avg(pf) - any_value(league_ppg)) as offense, count(*) / (count(*) + 4.0) * (avg(pa) - any_value(league_ppg)) as defense, any_value(league_ppg) as league_ppg from psides, ppg group by team)"
 #: A table (id, margin, total) named sc is split into scores named scored (id, h, a).
-SCORE = """tries as (select id, margin, greatest(total, abs(margin)) as base, d, o from sc, (values (0,0),(1,1),(-1,2),(2,3),(-2,4),(3,5),(-3,6),(4,7),(-4,8),(5,9),(-5,10),(6,11),(-6,12)) t(d, o)),
-halves as (select *, cast(round_even(greatest(0.0, (base + d + margin) / 2), 0) as int) as h, cast(round_even(greatest(0.0, (base + d - margin) / 2), 0) as int) as a from tries),
-fits as (select *, round(abs((h - a) - margin), 6) as drift from halves where h not in (1,2,4,5,11) and a not in (1,2,4,5,11) and abs((h - a) - margin) <= 1.1 and (abs(margin) < 0.5 or (margin > 0 and h > a) or (margin < 0 and h < a))),
-ranked as (select *, row_number() over (partition by id order by drift, abs(d), o) as k from fits),
-scored as (select p.id, coalesce(r.h, p.h) as h, coalesce(r.a, p.a) as a from halves p left join ranked r on r.id = p.id and r.k = 1 where p.o = 0)"""
+SCORE = """halves as (select id, margin, d, o, cast(round_even(greatest(0.0, (base + d + margin) / 2), 0) as int) as h, cast(round_even(greatest(0.0, (base + d - margin) / 2), 0) as int) as a
+ from (select id, margin, greatest(total, abs(margin)) as base, unnest([0, 1, -1, 2, -2, 3, -3, 4, -4, 5, -5, 6, -6]) as d, unnest(range(13)) as o from sc)),
+judged as (select *, h not in (1,2,4,5,11) and a not in (1,2,4,5,11) and abs((h - a) - margin) <= 1.1 and (abs(margin) < 0.5 or (margin > 0 and h > a) or (margin < 0 and h < a)) as fits, cast(round(abs((h - a) - margin) * 1e6) as bigint) * 10000 + abs(d) * 100 + o as place from halves),
+scored as (select id, coalesce(arg_min(h, place) filter (where fits), max(h) filter (where o = 0)) as h, coalesce(arg_min(a, place) filter (where fits), max(a) filter (where o = 0)) as a from judged group by id)"""
 PREDICTED = f"""{FIT}, {PROFILE}, spare as (select {R('median(rating)', 2)} as spare from fit join roster using (team) where in_league), raw as (select x.season, x.wk, x.game_id, x.home, x.away, x.neutral, a.rating is null or b.rating is null as stood, coalesce(a.rating, spare) - coalesce(b.rating, spare) + case when x.neutral then 0 else f.rating end as margin, least(coalesce(ph.played, 0), coalesce(pa.played, 0)) as behind,
   greatest(10.0, least(100.0, 2 * league_ppg.league_ppg + coalesce(ph.offense, 0) + coalesce(pa.offense, 0) + coalesce(ph.defense, 0) + coalesce(pa.defense, 0))) as total
   from fixtures x left join fit a on a.team = x.home left join fit b on b.team = x.away join fit f on f.team = -1 cross join spare cross join ppg league_ppg left join profile ph on ph.team = x.home left join profile pa on pa.team = x.away),
@@ -47,11 +46,12 @@ def scoring_profile(spark, sf):
     return p.select("team", "played", *[safe_round(F.col(c), 3).alias(c) for c in ("offense", "defense", "league_ppg")])
 
 
-@query(f"with sc as (select m * 1000 + t as id, m / 2.0::double as margin, t::double as total from range(-140, 141) a(m), range(10, 101, 5) b(t)), {SCORE} select id, h, a from scored")
+@query(f"{WITH}, sc as (select distinct (hs - aw) * 1000 + hs + aw as id, cast(hs - aw as double) / 2 as margin, cast(hs + aw as double) as total from games), {SCORE} select id, h, a from scored")
 def projected_score(spark, sf):
-    """Every margin from -70 to 70 by halves, at totals from 10 to 100."""
-    grid = spark.range(-140, 141).select(F.col("id").alias("m"), F.explode(F.sequence(F.lit(10), F.lit(100), F.lit(5))).alias("t"))
-    return grid.select((F.col("m") * 1000 + F.col("t")).alias("id"), forecast.projected_score(F.col("m") / 2.0, F.col("t").cast("double")).alias("s")).select("id", "s.h", "s.a")
+    """Scores for the halved margin and the total of every game that was played, each once."""
+    m, t = F.col("hs") - F.col("aw"), F.col("hs") + F.col("aw")
+    grid = arena.dense_games(spark, sf).select((m * 1000 + t).cast("bigint").alias("id"), (m / 2).alias("m"), t.cast("double").alias("t")).distinct()
+    return grid.select("id", forecast.projected_score(F.col("m"), F.col("t")).alias("s")).select("id", "s.h", "s.a")
 
 
 @query(f"{WITH}, {PREDICTED} select game_id, {R('margin', 2)} as margin, behind, shown, p, {R('total', 2)} as total, status from shown")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import identity as ident
 from . import arena
 from .arena import SPARSE_SQL
-from .queries_extract import values
+from . import rendered
+from .arena import ARENA_SQL
 from .registry import registry
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -37,9 +38,12 @@ def tables(spark, sf):
     return games, roster, apps, ident.classes(apps, roster)
 
 
-@query(values([("  X (Y)  ", " nj ", "X (Y) [NJ]"), ("Ada", "", "Ada"), ("Ada", None, "Ada")], "name, state, identity"))
+@query(f"with {ARENA_SQL} select team, {rendered.SCHOOL('team')} || case when team % 3 = 0 then ' [NJ]' else '' end as identity from roster")
 def team_identity(spark, sf):
-    return spark.createDataFrame([("  X (Y)  ", " nj "), ("Ada", ""), ("Ada", None)], "name string, state string").select("name", "state", ident.team_identity(F.col("name"), F.col("state")).alias("identity"))
+    """Names and states as they are typed: with spaces, without a state, and without anything."""
+    t = F.col("team")
+    state = F.when(t % 3 == 0, " nj ").when(t % 3 == 1, "")
+    return arena.dense_roster(spark, sf).select("team", ident.team_identity(F.concat(F.lit("  "), rendered.school(t), F.lit("  ")), state).alias("identity"))
 
 
 @query(f"with {NAMED} select name, slots, most, greatest(most, slots, 1) as n, class, case class when 'outside' then 'OOS::' || name when 'one' then name || '|' || coalesce(division, 'None') || '-' || region when 'ambiguous' then name || '|?' end as id from cl")

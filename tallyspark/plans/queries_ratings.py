@@ -124,13 +124,12 @@ def predict_margin(spark, sf):
 CURVE = lambda g, standin="false": f"case when {standin} then 20.0 when {g} < 1 then 9.0 else greatest(3.0, least(20.0, sqrt(19.6807 + 82.7213 / greatest({g}, 1)))) end"
 
 
-@query(f"select cast(g as int) as g, s as stand_in, round({CURVE('g', 's')} + 1e-9, 4) + 0.0 as scale from range(0, 41) t(g), (values (true), (false)) u(s)")
+@query(f"{WITH} select game_id, round({CURVE('(wk % 41)', 'neutral')} + 1e-9, 4) + 0.0 as scale from games")
 def prob_scale(spark, sf):
-    games = spark.range(0, 41).select(F.col("id").cast("int").alias("g"), F.explode(F.array(F.lit(True), F.lit(False))).alias("stand_in"))
-    return games.select("g", "stand_in", safe_round(scales.prob_scale(F.col("g").cast("double"), F.col("stand_in")), 4).alias("scale"))
+    """The published curve for every game, its week standing for the games behind it and neutral ground for a stand-in."""
+    return arena.dense_games(spark, sf).select("game_id", safe_round(scales.prob_scale((F.col("wk") % 41).cast("double"), F.col("neutral")), 4).alias("scale"))
 
 
-@query(f"select cast(m as int) as margin, cast(g as int) as g, {R3(f'1 / (1 + exp(-m / ({CURVE("g")})))')} as p from range(-60, 61) t(m), range(0, 17) u(g)")
+@query(f"{WITH} select game_id, {R3(f'1 / (1 + exp(-(hs - aw) / ({CURVE("(wk % 17)")})))')} as p from games")
 def win_probability(spark, sf):
-    grid = spark.range(-60, 61).select(F.col("id").cast("int").alias("margin"), F.explode(F.sequence(F.lit(0), F.lit(16))).alias("g"))
-    return grid.select("margin", "g", safe_round(scales.win_probability(F.col("margin").cast("double"), F.col("g").cast("double"), F.lit(False)), 3).alias("p"))
+    return arena.dense_games(spark, sf).select("game_id", safe_round(scales.win_probability((F.col("hs") - F.col("aw")).cast("double"), (F.col("wk") % 17).cast("double"), F.lit(False)), 3).alias("p"))

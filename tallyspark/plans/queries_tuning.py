@@ -198,22 +198,37 @@ def snapshot(spark, sf):
     return snap.select("season", "through", "kind", F.size("pred").cast("long").alias("n"), F.array_min(wk).alias("first_wk"), F.array_max(wk).alias("last_wk"))
 
 
-@query("select * from (values (2000, 1, 'live', 'kept', 2), (2000, 2, 'live', 'replaced', 1), (2000, 3, 'backtest', 'appended', 1), (2000, 4, 'live', 'kept', 1), (2000, 5, 'live', 'untouched', 1)) t(season, through, kind, action, n)")
+#: Weeks of a season: which the log holds, which are written again, of which kind; games are played up to week 20.
+LOGGED = f"""{WITH}, g as (select *, wk - 1 as through from games where season = 2000), old as (select through, case when through % 2 = 1 then 'live' else 'backtest' end as kind, count(*) as n, bool_or(wk <= 20) as frozen from g where through % 3 <> 0 group by through),
+new as (select through, case when through % 5 <> 0 then 'live' else 'backtest' end as kind, count(*) as n from g where through % 4 <> 1 and game_id // 100 % 2 = 0 group by through)"""
+
+
+@query(f"{LOGGED} select 2000 as season, through, case when a.n is null or (b.kind = 'live' and not frozen) then b.kind else a.kind end as kind, case when a.n is null then 'appended' when b.n is null then 'untouched' when b.kind = 'live' and not frozen then 'replaced' else 'kept' end as action, cast(case when a.n is null or (b.kind = 'live' and not frozen) then b.n else a.n end as int) as n from old a full join new b using (through)")
 def history_record(spark, sf):
-    """A small log: a snapshot with a played game stays, an unplayed one is revised by a live one but not by a replay."""
-    kind = "season int, through int, kind string, pred array<struct<wk:int,home:bigint,away:bigint,margin:double,p:double>>"
-    log = spark.createDataFrame([(2000, 1, "live", [(2, 1, 2, 3.0, 0.6), (2, 3, 4, 1.0, 0.5)]), (2000, 2, "live", [(3, 1, 3, 3.0, 0.6), (3, 2, 4, 2.0, 0.6)]), (2000, 4, "live", [(5, 1, 4, 0.0, 0.5)]), (2000, 5, "live", [(6, 1, 4, 0.0, 0.5)])], kind)
-    new = spark.createDataFrame([(2000, 1, "live", [(2, 1, 2, 9.0, 0.9)]), (2000, 2, "live", [(3, 1, 3, 7.0, 0.8)]), (2000, 3, "backtest", [(4, 1, 2, 1.0, 0.5)]), (2000, 4, "backtest", [(5, 1, 4, 8.0, 0.9)])], kind)
-    played = spark.createDataFrame([(2000, 2, 1, 2)], "season int, wk int, home bigint, away bigint")
-    return history.record(log, new, played).select("season", "through", "kind", "action", F.size("pred").alias("n"))
+    """A season's log written again: new weeks are appended, live ones revised until a game they speak of is played, all else is kept."""
+    games = arena.dense_games(spark, sf).filter("season = 2000").withColumn("through", F.col("wk") - 1)
+    pred = F.collect_list(F.struct("wk", "home", "away", (F.col("hs") - F.col("aw")).cast("double").alias("margin"), F.lit(0.5).alias("p")))
+    shot = lambda rows, kind: rows.groupBy("season", "through").agg(pred.alias("pred")).withColumn("kind", kind)
+    t = F.col("through")
+    log = shot(games.filter(t % 3 != 0), F.when(t % 2 == 1, "live").otherwise("backtest"))
+    new = shot(games.filter((t % 4 != 1) & (F.floor(F.col("game_id") / 100) % 2 == 0)), F.when(t % 5 != 0, "live").otherwise("backtest"))
+    return history.record(log, new, games.filter("wk <= 20")).select("season", "through", "kind", "action", F.size("pred").alias("n"))
+
+
+FIRST = f"{WITH}, c as (select case when game_id % 3 = 0 then 'a' else 'b' end as source, season, wk, count(*) as picks from games group by all)"
+
+
+def logs(spark, sf):
+    """A log of the even weeks, and what comes in: all weeks, with other numbers."""
+    rows = arena.dense_games(spark, sf).groupBy(F.when(F.col("game_id") % 3 == 0, "a").otherwise("b").alias("source"), "season", "wk").agg(F.count(F.lit(1)).alias("picks"))
+    return rows.filter("wk % 2 = 0"), rows.withColumn("picks", F.col("picks") + 1000)
 
 
-@query("select * from (values ('a', 2000, 1, 10), ('a', 2000, 2, 20), ('b', 2000, 1, 40)) t(source, season, wk, picks)", name="rival_append")
-@query("select * from (values ('a', 2000, 1, 10), ('a', 2000, 2, 20), ('b', 2000, 1, 40)) t(source, season, wk, picks)")
+@query(f"{FIRST} select source, season, wk, case when wk % 2 = 0 then picks else picks + 1000 end as picks from c", name="rival_append")
+@query(f"{FIRST} select source, season, wk, case when wk % 2 = 0 then picks else picks + 1000 end as picks from c")
 def append_if_new(spark, sf):
     """The first writer of a (source, season, week) wins."""
-    kind = "source string, season int, wk int, picks int"
-    return history.append_if_new(spark.createDataFrame([("a", 2000, 1, 10), ("a", 2000, 2, 20)], kind), spark.createDataFrame([("a", 2000, 2, 99), ("b", 2000, 1, 40)], kind), ["source", "season", "wk"])
+    return history.append_if_new(*logs(spark, sf), ["source", "season", "wk"])
 
 
 WEEKLY = f"""tf as (select f.fold, played.* from played join (values {', '.join(f'({h})' for h in HOLDOUTS)}) f(fold) on wk < fold), tq as (select fold as g, home, away, neutral, 1 / (1 + exp(-greatest(-49, least(49, hs - aw)) / 9.0)) as y from tf),
@@ -235,12 +250,12 @@ def marginal_se(spark, sf):
     return tuning.evaluate(scored(spark, sf), ["config", "season"]).select("config", "season", "se")
 
 
-@query("select cast(i as int) as i, w as won, round(-ln(case when w then greatest(1e-6, least(1 - 1e-6, i / 50.0)) else 1 - greatest(1e-6, least(1 - 1e-6, i / 50.0)) end) + 1e-9, 5) + 0.0 as loss from range(0, 51) t(i), (values (true), (false)) u(w)")
+@query(f"{WITH}, q as (select game_id, hs > aw as won, greatest(1e-6, least(1 - 1e-6, (game_id % 101) / 100.0::double)) as p from games) select game_id, {R('-ln(case when won then p else 1 - p end)', 5)} as loss from q")
 def logloss(spark, sf):
+    """The loss of a call from 0 to 1 on every game."""
     from ..functions.scales import log_loss
 
-    rows = spark.range(0, 51).select(F.col("id").cast("int").alias("i"), F.explode(F.array(F.lit(True), F.lit(False))).alias("won"))
-    return rows.select("i", "won", arena.safe_round(log_loss(F.col("i") / 50.0, F.col("won")), 5).alias("loss"))
+    return arena.dense_games(spark, sf).select("game_id", arena.safe_round(log_loss(F.col("game_id") % 101 / 100.0, F.col("hs") > F.col("aw")), 5).alias("loss"))
 
 
 @query(f"{WITH}, {GRADED}, k as (select kind, count(*) as games, avg(rt) as acc, count_if(p < 0 or p > 1) as bad from gs group by kind) select kind, games, bad, acc >= 0.4 as floor_held from k")

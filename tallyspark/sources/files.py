@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from uuid import uuid4
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -90,8 +92,9 @@ PRIOR = "meta struct<season:int,carry:double>, divisionEffects map<string,double
 
 
 def prior_table(document: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(division, effect) and (school_id, dev) of a prior document."""
-    return document.select(F.explode("divisionEffects").alias("division", "effect")), document.select(F.explode("prior").alias("school_id", "dev"))
+    """(season, division, effect) and (season, school_id, dev) of prior documents."""
+    season = F.col("meta.season").alias("season")
+    return document.select(season, F.explode("divisionEffects").alias("division", "effect")), document.select(season, F.explode("prior").alias("school_id", "dev"))
 
 
 def stale(seasons: DataFrame, stamps: DataFrame, version: int) -> DataFrame:
@@ -105,37 +108,90 @@ def forecasts(log: DataFrame) -> DataFrame:
     return rows.select("season", "through", "kind", F.col("f")[0].alias("home"), F.col("f")[1].alias("away"), F.col("f")[2].try_cast("int").alias("wk"), F.col("f")[3].try_cast("double").alias("margin"), F.col("f")[4].try_cast("double").alias("p"))
 
 
-def write_guarded(new: DataFrame, path: str, before: int, kind: str = "games") -> int:
-    """Write new unless it holds suspiciously little beside what was there: raises, and leaves the old table, where it does."""
-    n = new.count()
-    verdict = guard(n, before, kind)
-    if verdict:
-        raise ValueError(verdict)
-    new.write.mode("overwrite").parquet(path)
+def verdict(n: Column, before: Column, kind: str) -> Column:
+    """Why so few rows beside what was there must not be written; null where they may."""
+    if kind == "games":
+        return F.when(n == 0, "no games").when((before > 50) & (n < 0.8 * before), "far fewer games than before")
+    return F.when((before > 50) & (n == 0), "all fixtures gone")
+
+
+def manifest(spark: SparkSession, path: str):
+    """The Hadoop path of the file that names the version readers see, and its file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The folder of the version that was committed last; None where none was."""
+    at, fs = manifest(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return f"{path}/{spark._jvm.org.apache.commons.io.IOUtils.toString(stream, 'UTF-8').strip()}"
+    finally:
+        stream.close()
+
+
+def stage(rows: DataFrame, path: str, form: str = "parquet") -> str:
+    """Write rows as a version that no reader sees yet; its name."""
+    name = f"v-{uuid4().hex}"
+    rows.write.format(form).save(f"{path}/{name}")
+    return name
+
+
+def commit(spark: SparkSession, path: str, name: str) -> None:
+    """Make a staged version the one that readers see: the manifest is replaced by one rename, so they see the old or the new.
+
+    A writer that dies before this leaves the old version current.
+    """
+    at, fs = manifest(spark, path)
+    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_draft-{name}")
+    out = fs.create(draft, True)
+    out.write(name.encode())
+    out.close()
+    options = spark._jvm.org.apache.hadoop.fs.Options
+    how = spark.sparkContext._gateway.new_array(getattr(options, "Rename"), 1)
+    how[0] = getattr(options, "Rename").OVERWRITE
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(draft, at, how)
+
+
+def read_current(spark: SparkSession, path: str, schema: str, form: str = "parquet") -> DataFrame:
+    """The committed version; an empty table where there is none."""
+    folder = current(spark, path)
+    return spark.read.schema(schema).format(form).load(folder) if folder else spark.createDataFrame([], schema)
+
+
+def write_guarded(new: DataFrame, path: str, kind: str = "games") -> int:
+    """Commit new unless it holds suspiciously little beside what is there: raises, and leaves the old version, where it does.
+
+    Rows are computed once, as the staged version; both counts are read from what is written.
+    """
+    spark, old = new.sparkSession, current(new.sparkSession, path)
+    name = stage(new, path)
+    n, before = spark.read.parquet(f"{path}/{name}").count(), spark.read.parquet(old).count() if old else 0
+    refused = spark.range(1).select(verdict(F.lit(n), F.lit(before), kind)).first()[0]
+    if refused:
+        raise ValueError(refused)
+    commit(spark, path, name)
     return n
 
 
-def guard(n: int, before: int, kind: str) -> str | None:
-    if kind == "games":
-        if n == 0:
-            return "no games"
-        if before > 50 and n < 0.8 * before:
-            return "far fewer games than before"
-    elif before > 50 and n == 0:
-        return "all fixtures gone"
-    return None
+def write_csv(rows: DataFrame, path: str) -> None:
+    """A table as CSV with a header in every file, as the readers expect it."""
+    rows.write.mode("overwrite").option("header", True).csv(path)
 
 
 def season_of(path):
-    """The season in a file's name: its first four digits in a row."""
-    return F.regexp_extract(path, r"(\d{4})", 1).try_cast("int")
+    """The season in a file's name (what stands after the last slash): its first four digits in a row."""
+    return F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"(\d{4})", 1).try_cast("int")
 
 
-def retry_delays(attempts: int = 3, base: float = 1.5) -> list[float]:
-    """Seconds to wait after each failed attempt but the last."""
-    return [base * 2**k for k in range(attempts - 1)]
+def retries(status: Column) -> Column:
+    """Server errors and dropped connections (null) are tried again; a client's error is not."""
+    return status.isNull() | (status >= 500)
 
 
-def retries(status: int | None) -> bool:
-    """Server errors and dropped connections (None) are tried again; a client's error is not."""
-    return status is None or status >= 500
+def waits(status: Column, attempts: int = 3, base: float = 1.5) -> Column:
+    """Seconds to wait after each failed attempt but the last; none where it is not tried again."""
+    return F.when(retries(status), F.transform(F.sequence(F.lit(0), F.lit(attempts - 2)), lambda k: base * F.pow(F.lit(2.0), k))).otherwise(F.array().cast("array<double>"))

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import extract, scales
 from tallyspark.operators import compare, forecast, history, identity, lineage, qualifier, ratings, records, simulate
-from tallyspark.sources import files
 
 GAMES = "season int, wk int, game_id bigint, home bigint, away bigint, hs int, aw int, neutral boolean"
 ROSTER = "team bigint, name string, school_id string, division string, region int, in_league boolean"
@@ -220,10 +219,10 @@ def test_exact_p(spark):
     assert p(1, 0) == 1.0 and p(0, 0) == 1.0 and p(50, 0) < 1e-10 and p(8, 2) == pytest.approx(0.109375) and p(1500, 1400) == pytest.approx(0.0662, abs=0.002)
 
 
-def test_a_name_never_spans_two_records(spark):
-    flat = "2023-10-06 7pm Solon (Solon) at Euclid (Euclid) cancel 2023-10-06 7pm Southeast (Ravenna) 6 at Mogadore (Mogadore) 47"
+def test_no_record_reaches_into_the_next(spark):
+    flat = "2031-09-12 7pm Quillby (Tarn) at Vellmar (Ostrand) cancel 2031-09-12 8pm Marl Fenwick (Corrow) 6 at Thornway (Elling) 41"
     rows = extract.parse_records(extract.page_records(spark.createDataFrame([(1, flat)], "page int, flat string"))).collect()
-    assert [(r["kind"], r["away"], r["home"]) for r in rows] == [("called off", "Solon (Solon)", "Euclid (Euclid)"), ("game", "Southeast (Ravenna)", "Mogadore (Mogadore)")]
+    assert [(r["kind"], r["away"], r["home"]) for r in rows] == [("called off", "Quillby (Tarn)", "Vellmar (Ostrand)"), ("game", "Marl Fenwick (Corrow)", "Thornway (Elling)")]
 
 
 def test_a_page_that_cannot_be_parsed_is_fast(spark):
@@ -262,13 +261,6 @@ def test_ranks_follow_ratings(spark):
     assert got == [x["team"] for x in r.orderBy(F.desc("rating"), "team").collect()]
 
 
-def test_guard(tmp_path, spark):
-    df = spark.range(10)
-    with pytest.raises(ValueError):
-        files.write_guarded(df, str(tmp_path / "x"), before=100)
-    assert files.retry_delays() == [1.5, 3.0]
-
-
 @pytest.mark.parametrize("largest,teams,n_games,label", [(10, 10, 9, "none"), (10, 10, 10, "medium"), (10, 10, 19, "medium"), (10, 10, 20, "high"), (9, 10, 20, "high"), (89, 100, 700, "medium"), (60, 100, 700, "medium"), (59, 100, 700, "low"), (55, 100, 350, "low"), (25, 100, 700, "low"), (24, 100, 700, "none")])
 def test_connectivity_labels_at_their_borders(spark, largest, teams, n_games, label):
     # what is not in the largest component is in pairs and single teams
