@@ -101,3 +101,13 @@ def squash_invariants(margins: DataFrame, scale: float, cap: float) -> DataFrame
 def report(rows: list[tuple[str, str, DataFrame]]) -> DataFrame:
     """(severity, rule, n): how many rows each rule's table of offenders has."""
     return reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), "n") for severity, rule, df in rows])
+
+
+def calibration_nested(document: Column) -> Column:
+    """Whether a calibration document is nested by kind: the values of its values are the bins themselves.
+
+    A flat one, of bins alone, has numbers there; a document that is none fails too.
+    """
+    values = lambda c: F.map_values(F.from_json(c, "map<string,string>"))
+    table = lambda c: F.coalesce(c.startswith("{"), F.lit(False))
+    return F.coalesce(F.forall(values(document), lambda kind: table(kind) & F.forall(values(kind), table)), F.lit(False))

@@ -131,7 +131,7 @@ def assign(apps: DataFrame, settled: DataFrame, roster: DataFrame, log_p: DataFr
     A group is one name's games in one week; its best order is a linear
     assignment, exact for any number of entities.
     """
-    slots = roster.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("school_id", "region"))), lambda s: s["region"]).alias("slot_regions"))
+    slots = roster.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("school_id", "region", "division"))), lambda s: s["region"]).alias("slot_regions"))
     regions = settled_regions(settled, roster).select(F.col("name").alias("opp"), F.col("region").alias("opp_region"))
     rows = apps.join(settled.filter("class = 'deferred'").select("name", "n"), "name").join(regions, "opp", "left").join(slots, "name")
     cells = rows.select("name", "season", "wk", "place", "n", "opp_region", F.posexplode("slot_regions").alias("slot", "region")).join(log_p.select(F.col("ra").alias("region"), F.col("rb").alias("opp_region"), "log_p"), ["region", "opp_region"], "left")
@@ -150,10 +150,58 @@ def assign(apps: DataFrame, settled: DataFrame, roster: DataFrame, log_p: DataFr
     return grouped.select("name", "season", "wk", best("n", "cells").alias("b")).select("name", "season", "wk", "b.order", "b.gap")
 
 
-def resolve_games(games: DataFrame, apps: DataFrame, settled: DataFrame, assigned: DataFrame) -> DataFrame:
+def entities(settled: DataFrame, roster: DataFrame) -> DataFrame:
+    """(name, k, id, school_id, division, region): every entity of a deferred name.
+
+    The first are the roster's entries, in the order of their school ids:
+    ``name|division-region``, with #2, #3 and so on where that is taken; those
+    beyond them are schools outside the league, ``OOS::name#k``.
+    """
+    deferred = settled.filter("class = 'deferred'").select("name", "n", "slots")
+    base = F.concat("name", F.lit("|"), F.coalesce("division", F.lit("None")), F.lit("-"), F.coalesce(F.col("region").cast("string"), F.lit("None")))
+    slots = roster.join(deferred.select("name"), "name", "left_semi").select("name", "school_id", "division", "region", base.alias("base"))
+    slots = slots.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("school_id", "region", "division")) - 1)
+    bump = F.row_number().over(Window.partitionBy("name", "base").orderBy("k"))
+    own = slots.select("name", "k", F.when(bump > 1, F.concat("base", F.lit("#"), bump.cast("string"))).otherwise(F.col("base")).alias("id"), "school_id", "division", "region")
+    none = lambda c: F.lit(None).cast(dict(roster.dtypes)[c]).alias(c)
+    beyond = deferred.filter("n > slots").select("name", F.explode(F.sequence(F.col("slots").cast("int"), (F.col("n") - 1).cast("int"))).alias("k"))
+    outside = beyond.select("name", "k", F.concat(F.lit("OOS::"), "name", F.lit("#"), (F.col("k") + 1).cast("string")).alias("id"), none("school_id"), none("division"), none("region"))
+    return own.unionByName(outside)
+
+
+def confidence(assigned: DataFrame) -> DataFrame:
+    """(name, weeks, mean_gap, confident): how far, in log units, the best order of a week lies before the next, on the mean of a name's weeks that leave a choice; sure from CONFIDENT on."""
+    mean = F.coalesce(F.avg("gap"), F.lit(0.0))
+    return assigned.groupBy("name").agg(F.count("gap").alias("weeks"), mean.alias("mean_gap")).withColumn("confident", F.round("mean_gap", 9) >= CONFIDENT)
+
+
+def conflicts(settled: DataFrame, sure: DataFrame) -> DataFrame:
+    """(name, kind, n): names that are several schools outside the league, or one school that cannot be told, or that were split on thin evidence."""
+    known = settled.filter("class in ('outside, several', 'ambiguous')").select("name", F.when(F.col("class") == "ambiguous", "ambiguous").otherwise("oos-duplicate").alias("kind"), F.col("n").cast("bigint").alias("n"))
+    thin = settled.filter("class = 'deferred'").join(sure.filter("confident"), "name", "left_anti").select("name", F.lit("low-confidence").alias("kind"), F.col("n").cast("bigint").alias("n"))
+    return known.unionByName(thin)
+
+
+def teams(settled: DataFrame, roster: DataFrame, sure: DataFrame) -> DataFrame:
+    """(id, name, division, region, in_league, ambiguous): every entity that the names come to; ambiguous where who it is was guessed."""
+    r = roster.groupBy("name").agg(F.min("division").alias("division"), F.min("region").alias("region"), F.count_distinct("division").alias("divisions"), F.count_distinct("region").alias("regions"))
+    single = settled.filter("id is not null").join(r, "name", "left")
+    only = lambda c, n: F.when((F.col("class") == "one") | (F.col(n) == 1), F.col(c)).alias(c)
+    one = single.select("id", "name", only("division", "divisions"), only("region", "regions"), (F.col("class") != "outside").alias("in_league"), (F.col("class") == "ambiguous").alias("ambiguous"))
+    several = settled.filter("class = 'outside, several'").select("name", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k"))
+    none = lambda c: F.lit(None).cast(dict(roster.dtypes)[c]).alias(c)
+    outside = several.select(F.concat(F.lit("OOS::"), "name", F.lit("#"), F.col("k").cast("string")).alias("id"), "name", none("division"), none("region"), F.lit(False).alias("in_league"), F.lit(True).alias("ambiguous"))
+    split = entities(settled, roster).join(sure.select("name", "confident"), "name", "left")
+    league = ~F.col("id").startswith("OOS::")
+    many = split.select("id", "name", "division", "region", league.alias("in_league"), (~league | ~F.coalesce("confident", F.lit(False))).alias("ambiguous"))
+    return one.unionByName(outside).unionByName(many)
+
+
+def resolve_games(games: DataFrame, apps: DataFrame, settled: DataFrame, assigned: DataFrame, roster: DataFrame) -> DataFrame:
     """(season, wk, game_id, home, away): names replaced by entity ids, each appearance by its own."""
     rows = apps.join(settled.select("name", "n", "class", "id"), "name").join(assigned.select("name", "season", "wk", "order"), ["name", "season", "wk"], "left")
-    at = F.coalesce(F.try_element_at("order", F.col("place") + 1), spread(F.col("place"), F.col("n")))
-    ident = F.when(F.col("id").isNotNull(), F.col("id")).when(F.col("class") == "outside, several", F.concat(F.lit("OOS::"), "name", F.lit("#"), (spread(F.col("place"), F.col("n")) + 1).cast("string"))).otherwise(F.concat("name", F.lit("#"), (at + 1).cast("string")))
+    at = F.coalesce(F.try_element_at("order", F.col("place") + 1), spread(F.col("place"), F.col("n")).cast("int"))
+    rows = rows.withColumn("k", at).join(entities(settled, roster).select("name", "k", F.col("id").alias("entity")), ["name", "k"], "left")
+    ident = F.when(F.col("id").isNotNull(), F.col("id")).when(F.col("class") == "outside, several", F.concat(F.lit("OOS::"), "name", F.lit("#"), (spread(F.col("place"), F.col("n")) + 1).cast("string"))).otherwise(F.col("entity"))
     ids = rows.select("season", "wk", "game_id", "seq", ident.alias("id"))
     return ids.groupBy("season", "wk", "game_id").agg(F.max(F.when(F.col("seq") == 0, F.col("id"))).alias("home"), F.max(F.when(F.col("seq") == 1, F.col("id"))).alias("away"))

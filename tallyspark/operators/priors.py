@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.arena import safe_round
+from .records import appearances
 
 CLIP, CARRY, DIVISION_WEIGHT, LEAST_TEAMS = 14.0, 0.6, 1.0, 10
+#: Games without which a season says nothing of a team.
+LEAST_GAMES = 4
+
+
+def stable_key(school_id: Column, name: Column) -> Column:
+    """What names a school in every season: its id, or its name where it has none."""
+    return F.coalesce(F.nullif(F.trim(school_id), F.lit("")), name)
+
+
+def full_season(rated: DataFrame, games: DataFrame, roster: DataFrame, least: int = LEAST_GAMES) -> DataFrame:
+    """(team, rating) of a season's fit for what may be said of the next: league teams of at least ``least`` games; the advantage is no team."""
+    often = appearances(games).groupBy("team").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("team")
+    return rated.join(often, "team", "left_semi").join(roster.filter("in_league").select("team"), "team", "left_semi").select("team", "rating")
 
 
 def division_effects(ratings: DataFrame, roster: DataFrame, least: int = LEAST_TEAMS) -> DataFrame:
@@ -41,13 +55,22 @@ def stand_in(ratings: DataFrame, roster: DataFrame) -> DataFrame:
     return ratings.join(roster.filter("in_league").select("team"), "team").agg(safe_round(F.median("rating"), 2).alias("rating"), F.count(F.lit(1)).alias("teams"))
 
 
-def starting_points(ratings: DataFrame, roster: DataFrame, carry: float = CARRY, weight: float = DIVISION_WEIGHT, clip: float = CLIP) -> DataFrame:
-    """(team, prior) of league teams, centred: this season's division effect, and last season's distance above it, carried and clipped."""
-    effects = division_effects(ratings, roster)
-    league = roster.filter("in_league").select("team", "division").join(effects, "division", "left").join(ratings.select("team", "rating"), "team", "left")
-    mean = ratings.join(roster.filter("in_league").select("team"), "team").agg(F.avg("rating").alias("mean"))
+def starting_points(ratings: DataFrame, before: DataFrame, roster: DataFrame, carry: float = CARRY, weight: float = DIVISION_WEIGHT, clip: float = CLIP) -> DataFrame:
+    """(team, prior) of the roster's league teams, centred: this season's division effect, and last season's distance above the effect of last season's division, carried and clipped.
+
+    ratings are full_season()'s, by the teams of ``before``, last season's
+    roster.  A school is found again by its stable key, so it keeps what it
+    earned though its team number, its name or its division is another; of two
+    schools with one key neither is followed.
+    """
+    effects = division_effects(ratings, before)
+    keyed = lambda df: df.filter("in_league").withColumn("key", stable_key(F.col("school_id"), F.col("name")))
+    once = lambda df: df.join(df.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).filter("__n = 1").select("key"), "key", "left_semi")
     base = F.coalesce("effect", F.lit(0.0))
-    dev = F.coalesce(F.greatest(F.lit(-clip), F.least(F.lit(clip), (F.col("rating") - F.col("mean") - base) * carry)), F.lit(0.0))
-    # greatest and least skip nulls, so an unrated team is asked for first
-    rows = league.join(F.broadcast(mean)).select("team", (base * weight + F.when(F.col("rating").isNotNull(), dev).otherwise(0.0)).alias("prior"))
+    mean = ratings.agg(F.avg("rating").alias("mean"))
+    earned = once(keyed(before).join(ratings, "team")).join(effects, "division", "left").join(F.broadcast(mean))
+    dev = earned.select("key", F.greatest(F.lit(-clip), F.least(F.lit(clip), (F.col("rating") - F.col("mean") - base) * carry)).alias("dev"))
+    now = keyed(roster)
+    followed = once(now).join(dev, "key").select("team", "dev")
+    rows = now.join(effects, "division", "left").join(followed, "team", "left").select("team", (base * weight + F.coalesce("dev", F.lit(0.0))).alias("prior"))
     return rows.join(F.broadcast(rows.agg(F.avg("prior").alias("centre")))).select("team", (F.col("prior") - F.col("centre")).alias("prior"))

@@ -100,6 +100,55 @@ def solved(home: np.ndarray, away: np.ndarray, at_home: np.ndarray, c: np.ndarra
     return x
 
 
+def newton_many(home: np.ndarray, away: np.ndarray, neutral: np.ndarray, y: np.ndarray, weight: np.ndarray, n: int, penalty: float, centres: np.ndarray, start: np.ndarray | None = None, rounds: int = 40) -> np.ndarray:
+    """As newton() for every column of centres (teams by fits) at once, from ``start``: logits of the teams and, in the last row, the advantages; not recentred.
+
+    All columns share the games, so each pass over them serves every fit.
+    """
+    k = centres.shape[1]
+    aim = np.vstack([centres - centres.mean(0), np.zeros(k)])
+    theta = (aim if start is None else start).copy()
+    at_home, w = (~neutral).astype(float)[:, None], weight[:, None]
+    pen = np.append(np.full(n, max(penalty, 1e-9)), 1e-12)[:, None]
+    cells = np.arange(k)
+    hi, ai = (home[:, None] * k + cells).ravel(), (away[:, None] * k + cells).ravel()
+
+    def across(x: np.ndarray) -> np.ndarray:
+        return x[home] - x[away] + at_home * x[n]
+
+    def down(t: np.ndarray, sign: float) -> np.ndarray:
+        flat, size = t.ravel(), (n + 1) * k
+        out = (np.bincount(hi, flat, size) + sign * np.bincount(ai, flat, size)).reshape(n + 1, k)
+        out[n] += (t * at_home).sum(0)
+        return out
+
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-across(theta)))
+        c = w * p * (1 - p)
+        r = pen * (theta - aim) + down(w * (p - y[:, None]), -1)
+        if not at_home.any():
+            r[n] = 0
+        scale = np.maximum(pen + down(c, 1), 1e-12)
+        step, z = np.zeros_like(r), r / scale
+        d, now = z.copy(), (r * z).sum(0)
+        least = np.maximum(now * 1e-16, 1e-300)
+        for _ in range(20 * (n + 1)):
+            if (now <= least).all():
+                break
+            q = pen * d + down(c * across(d), -1)
+            dq = (d * q).sum(0)
+            a = np.where(dq > 0, now / np.where(dq > 0, dq, 1), 0)
+            step, r = step + a * d, r - a * q
+            z = r / scale
+            before, now = now, (r * z).sum(0)
+            d = z + np.where(before > 0, now / np.where(before > 0, before, 1), 0) * d
+        size = np.abs(step).max(0)
+        theta = theta - step * np.minimum(1, FURTHEST / np.maximum(size, 1e-300))
+        if size.max() < 1e-9:
+            break
+    return theta
+
+
 def ridge(home: np.ndarray, away: np.ndarray, neutral: np.ndarray, y: np.ndarray, weight: np.ndarray, n: int, penalty: float) -> tuple[np.ndarray, float]:
     """Least squares on margins with the penalty on every team; the advantage is 0 without a game on home ground."""
     at_home = (~neutral).astype(float)

@@ -9,6 +9,8 @@ one grouped fit.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,11 +18,13 @@ from ..functions.scales import CONFIG, Config, log_loss, logistic, win_probabili
 from ..plans.arena import safe_round
 from .lineage import cut
 from .priors import CARRY, CLIP, DIVISION_WEIGHT, LEAST_TEAMS
-from .ratings import HFA, fit
+from .ratings import HFA, fit, newton_many
 from .records import appearances
 
 #: Training games under which the prior itself is the forecast, the home advantage where no season came before, and games that make a team's last season count.
 LEAST_TRAIN, FIRST_ADVANTAGE, LEAST_LAST = 50, 1.5, 4
+#: Numbers that a block of fits solved side by side may have, pairs times fits.
+COLUMNS = 4_000_000
 KNOBS = ("scale", "prior_games", "carry", "division_weight")
 
 
@@ -29,6 +33,21 @@ def folds_of(games: DataFrame, holdouts: list[int]) -> DataFrame:
     return games.withColumn("fold", F.explode(F.filter(F.array(*map(F.lit, holdouts)), lambda f: f > F.col("wk"))))
 
 
+def starts(rated: DataFrame, before: DataFrame, roster: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, season, team, in_league, effect, dev): what fits (keys, season, team, rating) of the season before say of every team of the roster.
+
+    effect is the division's, 0 where it has too few teams; dev is a league
+    team's distance from the mean and from that, null under LEAST_LAST games.
+    """
+    often = appearances(before).join(before.select("game_id", F.col("season")).distinct(), ["game_id", "season"]).groupBy("season", "team").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_LAST).select("season", "team")
+    league = rated.join(roster.filter("in_league").select("team", "division"), "team").join(often, ["season", "team"])
+    means = league.groupBy(*keys, "season").agg(F.avg("rating").alias("mean"))
+    steps = league.filter("division is not null").groupBy(*keys, "season", "division").agg(F.avg("rating").alias("level"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_TEAMS)
+    effects = steps.join(steps.groupBy(*keys, "season").agg(F.avg("level").alias("mid")), [*keys, "season"]).select(*keys, "season", "division", (F.col("level") - F.col("mid")).alias("effect"))
+    base = means.join(roster.select("team", "division", "in_league")).join(effects, [*keys, "season", "division"], "left").join(league.select(*keys, "season", "team", "rating"), [*keys, "season", "team"], "left").withColumn("effect", F.coalesce("effect", F.lit(0.0)))
+    return base.select(*keys, "season", "team", "in_league", "effect", (F.col("rating") - F.col("mean") - F.col("effect")).alias("dev"))
+
+
 def last_seasons(games: DataFrame, roster: DataFrame, configs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Starting points (config, season, team, prior) and advantages (config, season, hfa) that the season before each season of ``games`` gives.
 
@@ -41,19 +60,129 @@ def last_seasons(games: DataFrame, roster: DataFrame, configs: DataFrame) -> tup
     before = games.withColumn("season", F.col("season") + 1)
     rated = fit(before.join(F.broadcast(fits.withColumn("fit", F.xxhash64("scale", "prior_games")))), ["fit", "season"])
     known = configs.withColumn("fit", F.xxhash64("scale", "prior_games"))
-    often = appearances(before).join(before.select("game_id", F.col("season")).distinct(), ["game_id", "season"]).groupBy("season", "team").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_LAST).select("season", "team")
-    league = rated.join(roster.filter("in_league").select("team", "division"), "team").join(often, ["season", "team"])
-    means = league.groupBy("fit", "season").agg(F.avg("rating").alias("mean"))
-    steps = league.filter("division is not null").groupBy("fit", "season", "division").agg(F.avg("rating").alias("level"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_TEAMS)
-    effects = steps.join(steps.groupBy("fit", "season").agg(F.avg("level").alias("mid")), ["fit", "season"]).select("fit", "season", "division", (F.col("level") - F.col("mid")).alias("effect"))
-    base = means.join(roster.select("team", "division", "in_league")).join(effects, ["fit", "season", "division"], "left").join(league.select("fit", "season", "team", "rating"), ["fit", "season", "team"], "left").withColumn("effect", F.coalesce("effect", F.lit(0.0)))
-    own = F.when(F.col("rating").isNotNull(), F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), (F.col("rating") - F.col("mean") - F.col("effect")) * F.col("carry")))).otherwise(0.0)
-    raw = base.join(F.broadcast(known), "fit").select("config", "season", "team", F.when(F.col("in_league"), F.col("effect") * F.col("division_weight") + own).otherwise(0.0).alias("raw"))
+    own = F.coalesce(F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), F.col("dev") * F.col("carry"))), F.lit(0.0))
+    raw = starts(rated, before, roster, ["fit"]).join(F.broadcast(known), "fit").select("config", "season", "team", F.when(F.col("in_league"), F.col("effect") * F.col("division_weight") + F.when(F.col("dev").isNotNull(), own).otherwise(0.0)).otherwise(0.0).alias("raw"))
     middle = raw.groupBy("config", "season").agg(F.avg("raw").alias("mid"))
     priors = raw.join(F.broadcast(middle), ["config", "season"]).select("config", "season", "team", (F.col("raw") - F.col("mid")).alias("prior"))
     return priors, rated.filter(F.col("team") == HFA).join(F.broadcast(known), "fit").select("config", "season", F.col("rating").alias("hfa"))
 
 
+def met_sums(games: DataFrame, keys: list[str], cfg: Config = CONFIG) -> DataFrame:
+    """(keys, home, away, neutral, m, n): how often each pair met with each capped margin; what any scale's targets are made of."""
+    m = F.greatest(F.lit(-cfg.cap), F.least(F.lit(cfg.cap), (F.col("hs") - F.col("aw")).cast("double")))
+    return games.groupBy(*keys, F.col("home").cast("long").alias("home"), F.col("away").cast("long").alias("away"), "neutral", m.alias("m")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+
+
+class Meetings:
+    """Summed games of one fit as arrays, whatever the scale."""
+
+    def __init__(self, home: np.ndarray, away: np.ndarray, neutral: np.ndarray, m: np.ndarray, n: np.ndarray, ids: np.ndarray) -> None:
+        pair = np.stack([np.searchsorted(ids, home), np.searchsorted(ids, away), neutral.astype(np.int64)])
+        pairs, self.at = np.unique(pair, axis=1, return_inverse=True)
+        self.at = self.at.ravel()
+        self.home, self.away, self.neutral = pairs[0], pairs[1], pairs[2].astype(bool)
+        self.m, self.n, self.weight, self.teams = m, n, np.bincount(self.at, n, pairs.shape[1]), len(ids)
+
+    def solve(self, scale: float, prior_games: float, centres: np.ndarray, start: np.ndarray | None) -> np.ndarray:
+        y = np.bincount(self.at, self.n / (1 + np.exp(-self.m / scale)), len(self.weight)) / self.weight
+        wide = max(1, COLUMNS // max(len(self.weight), 1))
+        parts = [newton_many(self.home, self.away, self.neutral, y, self.weight, self.teams, 0.25 * prior_games, centres[:, k : k + wide], None if start is None else start[:, k : k + wide]) for k in range(0, centres.shape[1], wide)]
+        return np.hstack(parts)
+
+
+def grid_losses(games: DataFrame, holdouts: list[int], roster: DataFrame, configs: list[tuple], seasons: tuple[int, ...]) -> DataFrame:
+    """(config, season, fold, n, loss, loss2, called, right, error): sums over the held-out games of each fold, for every configuration.
+
+    configs: (config, scale, prior_games, carry, division_weight).  Games are
+    summed once by pair, ground and capped margin, before any configuration
+    comes in; a fold's sums meet each scale in one task, which solves all
+    configurations of a scale side by side, each prior weight from the
+    solution of the one before.  The same forecasts as walk_forward(), so a
+    season whose summed pairs do not fit a task is searched with that.
+    """
+    games = cut(games)
+    scales = sorted({c[1] for c in configs})
+    weights = {s: sorted({c[2] for c in configs if c[1] == s}) for s in scales}
+    chosen = {(s, w): [(c[0], c[3], c[4]) for c in configs if c[1] == s and c[2] == w] for s in scales for w in weights[s]}
+    every_scale = F.explode(F.array(*[F.lit(float(s)) for s in scales])).alias("scale")
+    before = games.withColumn("season", F.col("season") + 1).filter(F.col("season").isin(*seasons))
+
+    def last(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        ids, scale = np.unique(np.concatenate([rows.home, rows.away])), float(key[1])
+        met, theta, out = Meetings(rows.home.to_numpy(), rows.away.to_numpy(), rows.neutral.to_numpy(bool), rows.m.to_numpy(), rows.n.to_numpy(), ids), None, []
+        for w in weights[scale]:
+            theta = met.solve(scale, w, np.zeros((len(ids), 1)), theta)
+            x = theta[:, 0] * scale
+            x[:-1] -= x[:-1].mean()
+            out.append(pd.DataFrame({"season": key[0], "scale": scale, "prior_games": w, "team": np.append(ids, HFA), "rating": x}))
+        return pd.concat(out)
+
+    rated = cut(met_sums(before, ["season"]).select("*", every_scale).groupBy("season", "scale").applyInPandas(last, "season int, scale double, prior_games double, team bigint, rating double"))
+    said = starts(rated, before, roster, ["scale", "prior_games"])
+    pool = games.filter(F.col("season").isin(*seasons))
+    # a game is summed with the first fold that may learn from it, then handed to the later ones
+    sums = cut(met_sums(pool.withColumn("first", F.array_min(F.filter(F.array(*map(F.lit, holdouts)), lambda f: f > F.col("wk")))).filter("first is not null"), ["season", "first"]))
+    folds = F.array(*map(F.lit, holdouts))
+    none = lambda kind: F.lit(None).cast(kind)
+    # one table of four kinds of row: learning games, held-out games, what is said of teams, last season's advantage
+    learn = sums.select("season", F.explode(F.filter(folds, lambda f: f >= F.col("first"))).alias("fold"), every_scale, "home", "away", "neutral", "m", "n").select("season", "fold", "scale", F.lit(0).alias("kind"), none("double").alias("weight"), "home", "away", F.col("neutral").alias("flag"), F.col("m").alias("x"), F.col("n").alias("y"))
+    test = pool.filter(F.col("wk").isin(*holdouts)).select("season", F.col("wk").alias("fold"), every_scale, "home", "away", "neutral", "hs", "aw").select("season", "fold", "scale", F.lit(1).alias("kind"), none("double").alias("weight"), F.col("home").cast("bigint").alias("home"), F.col("away").cast("bigint").alias("away"), F.col("neutral").alias("flag"), (F.col("hs") - F.col("aw")).cast("double").alias("x"), none("double").alias("y"))
+    each_fold = F.explode(folds).alias("fold")
+    teams = said.select("season", each_fold, "scale", F.lit(2).alias("kind"), F.col("prior_games").alias("weight"), F.col("team").cast("bigint").alias("home"), none("bigint").alias("away"), F.col("in_league").alias("flag"), F.col("effect").alias("x"), F.col("dev").alias("y"))
+    ground = rated.filter(F.col("team") == HFA).select("season", each_fold, "scale", F.lit(3).alias("kind"), F.col("prior_games").alias("weight"), none("bigint").alias("home"), none("bigint").alias("away"), none("boolean").alias("flag"), F.col("rating").alias("x"), none("double").alias("y"))
+    # teams that no season before spoke of are there too, with nothing said
+    unsaid = roster.select(F.explode(F.array(*[F.lit(int(s)).cast("int") for s in seasons])).alias("season"), F.col("team").cast("bigint").alias("home")).select("season", each_fold, every_scale, "home").select("season", "fold", "scale", F.lit(4).alias("kind"), none("double").alias("weight"), "home", none("bigint").alias("away"), none("boolean").alias("flag"), none("double").alias("x"), none("double").alias("y"))
+    names = ["config", "season", "fold", "n", "loss", "loss2", "called", "right", "error"]
+
+    def search(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        season, fold, scale = int(key[0]), int(key[1]), float(key[2])
+        of = {k: rows[rows.kind == k] for k in range(5)}
+        if of[1].empty:
+            return pd.DataFrame({n: [] for n in names})
+        ids = np.unique(np.concatenate([of[4].home, of[0].home, of[0].away]).astype(np.int64))
+        place = lambda c: np.searchsorted(ids, c.to_numpy(np.int64))
+        enough = of[0].y.sum() >= LEAST_TRAIN
+        if enough:
+            g = of[0].sort_values(["home", "away", "flag", "x"])
+            met = Meetings(g.home.to_numpy(np.int64), g.away.to_numpy(np.int64), g.flag.to_numpy(bool), g.x.to_numpy(), g.y.to_numpy(), ids)
+        h, a, away_ground, actual = place(of[1].home), place(of[1].away), ~of[1].flag.to_numpy(bool), of[1].x.to_numpy()
+        won, tie = actual > 0, actual == 0
+        theta, out = None, []
+        for w in weights[scale]:
+            ours = of[2][of[2].weight == w]
+            at, league, effect, dev = place(ours.home), ours.flag.to_numpy(bool), ours.x.to_numpy(), ours.y.to_numpy(float)
+            raw = np.zeros((len(ids), len(chosen[scale, w])))
+            for k, (_, carry, share) in enumerate(chosen[scale, w]):
+                raw[at, k] = np.where(league, effect * share + np.nan_to_num(np.clip(dev * carry, -CLIP, CLIP)), 0.0)
+            prior = np.zeros_like(raw)
+            # the mean is that of the teams that were spoken of; the others start at 0
+            if len(at):
+                prior[at] = raw[at] - raw[at].mean(0)
+            if enough:
+                theta = met.solve(scale, w, prior / scale, theta if theta is not None and theta.shape[1] == raw.shape[1] else None)
+                x = theta[:-1] * scale
+                x, ground_ = x - x.mean(0), theta[-1] * scale
+            else:
+                first = of[3].x[of[3].weight == w]
+                x, ground_ = prior, np.full(raw.shape[1], float(first.iloc[0]) if len(first) else FIRST_ADVANTAGE)
+            margin = x[h] - x[a] + away_ground[:, None] * ground_
+            q = np.clip(1 / (1 + np.exp(-margin / scale)), 1e-6, 1 - 1e-6)
+            loss = np.where(tie[:, None], -(np.log(q) + np.log(1 - q)) / 2, -np.log(np.where(won[:, None], q, 1 - q)))
+            right = ((margin > 0) == won[:, None]) & ~tie[:, None]
+            out.append(pd.DataFrame({"config": [c[0] for c in chosen[scale, w]], "season": season, "fold": fold, "n": len(actual), "loss": loss.sum(0), "loss2": (loss * loss).sum(0), "called": int((~tie).sum()), "right": right.sum(0), "error": np.abs(margin - actual[:, None]).sum(0)}))
+        return pd.concat(out)
+
+    table = learn.unionByName(test).unionByName(teams).unionByName(ground).unionByName(unsaid)
+    return table.groupBy("season", "fold", "scale").applyInPandas(search, "config int, season int, fold int, n bigint, loss double, loss2 double, called bigint, right bigint, error double")
+
+
+def evaluate_sums(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """As evaluate(), from the sums of grid_losses()."""
+    n, s, ss = F.sum("n"), F.sum("loss"), F.sum("loss2")
+    var = F.greatest(F.lit(0.0), (ss - s * s / n) / F.greatest(n - 1, F.lit(1)))
+    return sums.groupBy(*keys).agg(n.alias("games"), safe_round(s / n, 4).alias("logloss"), safe_round(F.sqrt(var / n), 4).alias("se"), safe_round(F.sum("right") / F.sum("called"), 4).alias("accuracy"), safe_round(F.sum("error") / n, 2).alias("mae"))
+
+
 def walk_forward(games: DataFrame, holdouts: list[int], roster: DataFrame, configs: DataFrame | None = None, seasons: tuple[int, ...] | None = None, cfg: Config = CONFIG) -> DataFrame:
     """(config, season, wk, game_id, home, away, behind, margin, p, shown_p, actual): forecasts of every held-out game by every configuration.
 

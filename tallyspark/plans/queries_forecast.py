@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import forecast, priors, ratings, records as rec
 from ..operators.lineage import cut
-from . import arena
+from . import arena, rendered
 from .arena import ARENA_SQL, SPARSE_SQL, safe_round
 from .queries_ratings import CURVE, FIT, MARGIN, ensure_cut, fit_sql, season_fit
 from .registry import registry
@@ -118,13 +118,14 @@ def side_status(spark, sf):
 # --- priors: the season before, and what it says about this one -----------------------------------------------------
 LAST = "last as (select * from games where season = 1999)"
 LAST_FIT = fit_sql("last", MARGIN, "lf")
-EFFECTS = "lg as (select lf.team, rating, division, school_id, name from lf join roster using (team) where in_league), dm as (select division, avg(rating) as mean from lg group by division having count(*) >= 10), eff as (select division, mean - avg(mean) over () as effect from dm)"
+EFFECTS = "lg as (select lf.team, rating, division, school_id, name from lf join roster using (team) where in_league and team in (select team from (select unnest([home, away]) as team from last) group by team having count(*) >= 4)), dm as (select division, avg(rating) as mean from lg group by division having count(*) >= 10), eff as (select division, mean - avg(mean) over () as effect from dm)"
 DEVS = f"dev as (select school_id, {R('greatest(-14.0, least(14.0, (rating - m.mean - coalesce(effect, 0.0)) * 0.6))', 3)} as dev from lg cross join (select avg(rating) as mean from lg) m left join eff using (division))"
 COMPOSED = f"raw_prior as (select team, coalesce(effect, 0.0) + coalesce(dev, 0.0) as prior from roster left join eff using (division) left join dev using (school_id) where in_league), prior as (select team, {R('prior - avg(prior) over ()', 3)} as prior from raw_prior)"
 
 
 def last_fit(spark, sf):
-    return ratings.fit(arena.dense_games(spark, sf).filter("season = 1999"), ["season"]).drop("season")
+    games = arena.dense_games(spark, sf).filter("season = 1999")
+    return priors.full_season(ratings.fit(games, ["season"]), games, arena.dense_roster(spark, sf))
 
 
 @query(f"{WITH}, {LAST}, {LAST_FIT}, {EFFECTS} select division, {R('effect', 2)} as effect from eff")
@@ -169,11 +170,21 @@ def standin_rating(spark, sf):
     return priors.stand_in(season_fit(spark, sf), arena.dense_roster(spark, sf))
 
 
-@query(f"{WITH}, {LAST}, {LAST_FIT}, {EFFECTS}, m as (select avg(rating) as mean from lg), raw as (select r.team, coalesce(e.effect, 0.0) + coalesce(greatest(-14.0, least(14.0, (lf.rating - m.mean - coalesce(e.effect, 0.0)) * 0.6)), 0.0) as prior from roster r cross join m left join eff e on e.division = r.division left join lf on lf.team = r.team where r.in_league) select team, {R('prior - avg(prior) over ()', 2)} as prior from raw")
+#: Last season's roster: some schools had another division, some another name; one in four has no id, so that only its name follows it.
+MOVED = f"""sid as (select *, {rendered.FULL('team')} as now_name, case when team % 4 = 0 then ' ' else school_id end as now_id, case when team % 5 = 0 and division is not null then (['I','II','III','IV','V','VI','VII'])[team % 7 + 1] else division end as old_division, case when team % 3 = 1 then 'Old ' else '' end || {rendered.FULL('team')} as old_name from roster where in_league),
+olg as (select sid.team, rating, old_division as division, case when trim(now_id) <> '' then now_id else old_name end as key from lf join sid using (team) where team in (select team from (select unnest([home, away]) as team from last) group by team having count(*) >= 4)),
+odm as (select division, avg(rating) as mean from olg group by division having count(*) >= 10), oeff as (select division, mean - avg(mean) over () as effect from odm),
+odev as (select key, greatest(-14.0, least(14.0, (rating - (select avg(rating) from olg) - coalesce(effect, 0.0)) * 0.6)) as dev from olg left join oeff using (division)),
+nraw as (select team, coalesce(effect, 0.0) + coalesce(dev, 0.0) as prior from sid left join oeff using (division) left join odev on odev.key = case when trim(now_id) <> '' then now_id else now_name end)"""
+
+
+@query(f"{WITH}, {LAST}, {LAST_FIT}, {MOVED} select team, {R('prior - avg(prior) over ()', 2)} as prior from nraw")
 def prior_for(spark, sf):
-    """Each team's starting point from last season: its division's effect and what it earned above that."""
-    roster, fitted = arena.dense_roster(spark, sf), last_fit(spark, sf)
-    return priors.starting_points(fitted, roster).select("team", safe_round(F.col("prior"), 2).alias("prior"))
+    """Each team's starting point from last season, across new names and divisions: its division's effect and what it earned above that of its old one."""
+    roster, fitted, t = arena.dense_roster(spark, sf), last_fit(spark, sf), F.col("team")
+    now = roster.withColumns({"name": rendered.full_name(t), "school_id": F.when(t % 4 == 0, " ").otherwise(F.col("school_id"))})
+    old = now.withColumns({"name": F.concat(F.when(t % 3 == 1, "Old ").otherwise(""), "name"), "division": F.when((t % 5 == 0) & F.col("division").isNotNull(), arena.division_of(t)).otherwise(F.col("division"))})
+    return priors.starting_points(fitted, old, now).select("team", safe_round(F.col("prior"), 2).alias("prior"))
 
 
 @query(f"{WITH}, {FIT} select count_if(team = -1 and rating between -6 and 6) as advantage_in_band, count_if(team <> -1) as teams, (select bool_and(b <= a) from (select {CURVE('g')} as a, {CURVE('(g + 1)')} as b from range(1, 16) t(g))) as curve_steepens from fit")

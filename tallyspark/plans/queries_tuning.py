@@ -6,7 +6,8 @@ from itertools import product
 
 from pyspark.sql import functions as F
 
-from ..operators import history, ratings, tuning
+from ..operators import calibrate as cal
+from ..operators import checks, history, ratings, tuning
 from ..operators.lineage import cut
 from . import arena
 from .queries_forecast import predicted
@@ -113,7 +114,17 @@ def evaluate(spark, sf):
 
 @query(f"{WITH}, {ALL} select config, {EVAL} from ws group by config")
 def grid_search(spark, sf):
-    return tuning.evaluate(scored(spark, sf), ["config"])
+    return tuning.evaluate_sums(searched(spark, sf, GRID), ["config"])
+
+
+def searched(spark, sf, configs):
+    return tuning.grid_losses(arena.dense_games(spark, sf), HOLDOUTS, arena.dense_roster(spark, sf), configs, SEASONS)
+
+
+@query()
+def grid_full(spark, sf):
+    """All 1,296 configurations of the four knobs."""
+    return tuning.evaluate_sums(searched(spark, sf, FULL), ["config"])
 
 
 @query(f"{WITH}, {ALL}, e as (select config, round(avg(loss), 9) as m from ws group by config) select config, {R('m', 4)} as logloss from e order by m, config limit 10")
@@ -171,6 +182,35 @@ def crossval(spark, sf):
     return best.select("season", "a", "b", "games", arena.safe_round(F.col("loss"), 4).alias("loss"))
 
 
+PUBLISHED = (19.6807, 82.7213)
+BANDS = [(1, 15), (15, 53)]
+
+
+@query(f"{WITH}, {ONE}, c as (select wk, avg(case when actual > 0 then -ln(greatest(1e-6, least(1 - 1e-6, f))) else -ln(1 - greatest(1e-6, least(1 - 1e-6, f))) end) as flat, avg(case when actual > 0 then -ln(greatest(1e-6, least(1 - 1e-6, shown_p))) else -ln(1 - greatest(1e-6, least(1 - 1e-6, shown_p))) end) as fitted, count(*) as n from (select *, 1 / (1 + exp(-margin / 9.0)) as f from wf where actual <> 0) z group by wk having count(*) >= 30) select wk, n, {R('flat', 4)} as flat, {R('fitted', 4)} as fitted from c")
+def curve_report(spark, sf):
+    """Week by week, what the published curve is worth beside the flat scale."""
+    return cal.curve_report(forecasts(spark, sf), spark.createDataFrame([PUBLISHED], "a double, b double"), [])
+
+
+@query(f"{WITH}, {ONE} select case when wk < 15 then '1-14' else '15-52' end as band, count(*) as n, {R('sum(margin * actual) / sum(margin * margin)', 3)} as slope from wf where actual <> 0 group by 1 having count(*) >= 200")
+def margin_bands(spark, sf):
+    return cal.margin_bands(forecasts(spark, sf), BANDS)
+
+
+@query()
+def fit_curve(spark, sf):
+    """The curve's two numbers to 0.002, over all seasons and each season's without it; no row under 500 forecasts."""
+    rows = cut(forecasts(spark, sf))
+    alone = cal.fit_curve(cal.binned(rows, []), []).select(F.lit("all").alias("fit"), "a", "b", "games", "loss")
+    return alone.unionByName(cal.cross_validated(rows).select(F.concat(F.lit("without "), F.col("season").cast("string")).alias("fit"), "a", "b", F.col("n").alias("games"), F.col("fitted").alias("loss")))
+
+
+@query()
+def calibrate(spark, sf):
+    """The whole block: curve, losses in and out of the sample, and the constant for margins."""
+    return cal.calibrate(cut(forecasts(spark, sf)))
+
+
 # --- the history log ---------------------------------------------------------------------------------------------
 def logged(spark, sf):
     return forecasts(spark, sf).select(F.when(F.col("wk") <= 14, "backtest").otherwise("live").alias("kind"), "season", "wk", "game_id", "home", "away", arena.safe_round(F.col("margin"), 1).alias("margin"), arena.safe_round(F.col("shown_p"), 3).alias("p"))
@@ -198,6 +238,19 @@ def snapshot(spark, sf):
     return snap.select("season", "through", "kind", F.size("pred").cast("long").alias("n"), F.array_min(wk).alias("first_wk"), F.array_max(wk).alias("last_wk"))
 
 
+GRADED_TABLE = f"{GRADED}, tb as (select distinct season, kind, round(p, 1) as bin from gs)"
+
+
+@query(f"{WITH}, {GRADED_TABLE} select season, count(*) > 0 and bool_and(kind is not null) as nested, count(*) = 0 as flat from tb group by season")
+def calibration_shape(spark, sf):
+    """Each season's calibration table as a document, nested by kind and flat as it once was: only the first passes."""
+    rows = history.graded(logged(spark, sf), pool(spark, sf)).withColumn("bin", F.round("p", 1).cast("string"))
+    bins = rows.groupBy("season", "kind", "bin").agg(F.struct(F.avg("p").alias("predicted"), F.avg(F.col("won").cast("int")).alias("actual")).alias("cell"))
+    kinds = bins.groupBy("season", "kind").agg(F.map_from_entries(F.collect_list(F.struct("bin", "cell"))).alias("bins"))
+    docs = kinds.groupBy("season").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("kind", "bins")))).alias("nested"), F.to_json(F.first("bins")).alias("flat"))
+    return docs.select("season", checks.calibration_nested(F.col("nested")).alias("nested"), checks.calibration_nested(F.col("flat")).alias("flat"))
+
+
 #: Weeks of a season: which the log holds, which are written again, of which kind; games are played up to week 20.
 LOGGED = f"""{WITH}, g as (select *, wk - 1 as through from games where season = 2000), old as (select through, case when through % 2 = 1 then 'live' else 'backtest' end as kind, count(*) as n, bool_or(wk <= 20) as frozen from g where through % 3 <> 0 group by through),
 new as (select through, case when through % 5 <> 0 then 'live' else 'backtest' end as kind, count(*) as n from g where through % 4 <> 1 and game_id // 100 % 2 = 0 group by through)"""

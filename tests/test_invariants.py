@@ -244,7 +244,7 @@ def test_identity_splits_same_week_games_and_loses_none(spark):
     assert kinds == {"Perry": "deferred", "A": "one", "B": "one", "Out": "outside"}
     log_p = identity.region_log_p(identity.region_counts(g, identity.settled_regions(settled, slots)))
     assigned = identity.assign(apps, settled, slots, log_p)
-    out = {r["game_id"]: r for r in identity.resolve_games(g, apps, settled, assigned).collect()}
+    out = {r["game_id"]: r for r in identity.resolve_games(g, apps, settled, assigned, slots).collect()}
     assert len(out) == 4 and out[1]["home"] != out[2]["home"] and out[4]["home"] == "OOS::Out"
 
 
