@@ -136,6 +136,9 @@ def probe_track(data: bytes, start: int, end: int) -> dict | None:
         if size and n * size > len(data):
             return None
         sizes = np.full(n, size, np.int64) if size else numbers(data, ">u4", n, a + 12, b)
+        # chunks may overlap, but together samples hold no more bytes than the file
+        if sizes.sum() > len(data):
+            return None
         a, b = at["co64" if wide else "stco"]
         chunks = numbers(data, ">u8" if wide else ">u4", struct.unpack_from(">I", data, a + 4)[0], a + 8, b)
         a, b = at["stsc"]
@@ -177,7 +180,10 @@ def probe(data: bytes | None) -> dict:
 
 
 def store_media(rows: DataFrame, payload_col: str = "payload", out: str = "media") -> DataFrame:
-    """``rows`` with a column ``out`` (replaced if it is there): the file for each payload, padded to whole samples; null is stored like no bytes."""
+    """``rows`` with a column ``out`` (replaced if it is there): the file for each payload, padded to whole samples.
+
+    Null is stored like no bytes, equal payloads as equal files, repeated rows each; an empty table stays empty.
+    """
 
     @F.arrow_udf("binary")
     def muxed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

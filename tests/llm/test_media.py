@@ -79,6 +79,21 @@ def test_claims_beyond_the_file_are_refused():
     assert mc.probe(many)["payload"] in (mc.pad(b"x" * 300), None)
 
 
+def test_samples_that_overlap_are_bounded_by_the_file():
+    """A size table may claim the same bytes many times: 2,000 samples of 20 kB each in a file of 30 kB."""
+    data = bytearray(mc.mux(mc.pad(b"x" * 64 * 2000)))
+    a = boxes(bytes(data))["/moov/trak/mdia/minf/stbl/stsz"][0]
+    n = int.from_bytes(data[a + 8 : a + 12], "big")
+    table = (20_000).to_bytes(4, "big") * n
+    whole = bytes(data[: a + 4]) + b"\0\0\0\0" + bytes(data[a + 8 : a + 12]) + table + bytes(data[a + 12 :])
+    stsz = bytearray(whole)
+    # every box around the table grows by it
+    for path in ("/moov", "/moov/trak", "/moov/trak/mdia", "/moov/trak/mdia/minf", "/moov/trak/mdia/minf/stbl", "/moov/trak/mdia/minf/stbl/stsz"):
+        at = boxes(bytes(data))[path][0] - 8
+        stsz[at : at + 4] = (int.from_bytes(stsz[at : at + 4], "big") + len(table)).to_bytes(4, "big")
+    assert mc.probe(bytes(stsz)) == mc.EMPTY
+
+
 def test_query_columns(spark, edges, tmp_path):
     edges.write.parquet(str(tmp_path / "documents.parquet"))
     rows = op7_media(spark, str(tmp_path)).collect()
