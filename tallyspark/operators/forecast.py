@@ -115,6 +115,26 @@ def predict(fixtures: DataFrame, ratings: DataFrame, played: DataFrame, profile:
     return rows.withColumn("score", score).select(*fixtures.columns, "margin", "behind", "shown", "p", "total", "score.h", "score.a", "status")
 
 
+def predict_named(fixtures: DataFrame, roster: DataFrame, ratings: DataFrame, played: DataFrame, profile: DataFrame, cfg: Config = CONFIG, stand_in: DataFrame | None = None) -> DataFrame:
+    """As predict(), for fixtures that name their sides (home_name, away_name): home and away are the teams the names mean.
+
+    A name means a rated team of the roster by the rule of side_status().  A
+    side that several schools may be leaves the fixture without a forecast, its
+    status ``ambiguous``; a name that no rated team has stands for the stand-in, or is
+    ``unknown`` without one; a side that was assumed is said to be.
+    """
+    rated = roster.join(ratings.select("team"), "team", "left_semi")
+    names = fixtures.select(F.explode(F.array("home_name", "away_name")).alias("name"))
+    means = side_status(names, rated)
+    at = lambda c: means.select(F.col("name").alias(f"{c}_name"), F.col("team").alias(c), F.col("status").alias(f"{c}_status"))
+    sided = fixtures.join(at("home"), "home_name").join(at("away"), "away_name")
+    rows = predict(sided, ratings, played, profile, cfg, stand_in)
+    either = lambda s: (F.col("home_status") == s) | (F.col("away_status") == s)
+    status = F.when(either("ambiguous"), "ambiguous").when(either("stand-in"), F.when(F.col("margin").isNull(), "unknown").otherwise("stand-in")).when(either("assumed"), "assumed").otherwise("rated")
+    known = ~either("ambiguous")
+    return rows.withColumns({**{c: F.when(known, F.col(c)) for c in ("margin", "shown", "p", "total", "h", "a")}, "status": status}).drop("home_status", "away_status")
+
+
 def project_records(record: DataFrame, predicted: DataFrame) -> DataFrame:
     """(team, wins, losses): won so far plus the probabilities to come; losses are the rest of all games."""
     side = lambda t, p: F.struct(F.col(t).alias("team"), p.alias("p"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import checks, compare, records as rec, tuning
+from ..operators import audit, checks, compare, forecast, records as rec, tuning
+from ..operators.lineage import cut
 from . import arena
 from .arena import ARENA_SQL
 from .queries_forecast import PREDICTED, played, predicted
@@ -12,6 +13,7 @@ from .queries_ratings import FIT, season_fit
 from .queries_records import SIDES
 from .queries_tuning import LOG, HOLDOUTS, forecasts, logged, pool
 from .registry import registry
+from .reporting import with_counts
 
 QUERIES, ORACLE_SQL, query = registry()
 WITH = f"with recursive {ARENA_SQL}"
@@ -139,7 +141,7 @@ def rating_sanity(spark, sf):
     return checks.rating_sanity(season_fit(spark, sf))
 
 
-@query(f"{WITH}, {FIT} select count(*) as n, count(*) as last, count(*) as ranks, cast(0 as bigint) as out_of_order from fit join roster using (team) where in_league")
+@query(f"{WITH}, {FIT} select count(*) as n, max(k) as last, count(distinct k) as ranks, count_if(rating > above) as out_of_order from (select rating, k, lag(rating) over (order by k) as above from (select rating, row_number() over (order by round(rating, 9) desc, team) as k from fit join roster using (team) where in_league) x) y")
 def rank_check(spark, sf):
     games = played(spark, sf)
     return checks.rank_gaps(rec.ranks(season_fit(spark, sf), arena.dense_roster(spark, sf), rec.records(games)))
@@ -172,7 +174,32 @@ def coverage(spark, sf):
     return rows.select("teams", "games", (F.col("teams") > 600).alias("enough_teams"), (F.col("games") > 200).alias("enough_games"))
 
 
-@query(f"with {ARENA_SQL}, {SIDES}, db as (select season, wk, unnest([home, away]) as team from played) select 'FAIL' as severity, 'double-booked' as rule, count(*) as n from (select team from db group by season, wk, team having count(*) > 1) union all select 'WARN', 'no games', count(*) from roster where in_league and team not in (select unnest([home, away]) from played) union all select 'FAIL', 'record', cast(0 as bigint)")
+RATING_COUNTS = ["(select count_if(isnan(rating) or rating is null) from fit)", "(select count_if(team <> -1 and abs(rating) > 80) from fit)", "(select abs(avg(rating)) >= 0.5 from fit where team <> -1)", "(select count(*) <> 1 from fit where team = -1)", "(select count(*) from fit where team = -1 and rating not between -1 and 6)", "(select count(*) <= 600 from fit where team <> -1)"]
+S = lambda cond: f"(select count(*) from shown join scored on id = game_id where {cond})"
+FORECAST_COUNTS = [S("p <= 0 or p >= 1"), S("(p > 0.5 and shown < 0) or (p < 0.5 and shown > 0)"), S("h is null or a is null"), S("h < 0 or a < 0"), S("abs((h - a) - shown) > 1.1"), S("h in (1, 2, 4, 5, 11) or a in (1, 2, 4, 5, 11)"), S("abs(shown) >= 0.5 and not case when shown > 0 then h > a else h < a end"), S("p is null and status in ('rated', 'stand-in')"), S("p is null and h is not null"), S("home not in (select team from roster) or away not in (select team from roster)"), S("home = away"), S("exists (select 1 from played q where q.wk = shown.wk and q.home = shown.home and q.away = shown.away)"), "(select count(p) < 0.75 * count(*) from shown)"]
+TEAM_SQL = f"""tg as (select team, count(*) as games, count_if(pf > pa) as w, count_if(pf < pa) as l, count_if(pf = pa) as t from psides group by team),
+tf as (select team, sum(p) as more, count(*) as left_ from (select home as team, p from shown union all select away, 1 - p from shown) group by team),
+rk as (select team, row_number() over (order by round(rating, 9) desc, team) as overall from fit join roster using (team) join tg using (team) where in_league and games > 0),
+tt as (select r.team, r.in_league, coalesce(tg.games, 0) as games, coalesce(w, 0) as w, coalesce(l, 0) as l, coalesce(t, 0) as t, overall, coalesce(left_, 0) as left_, {R('coalesce(w, 0) + coalesce(more, 0)', 1)} as wins from roster r left join tg using (team) left join tf using (team) left join rk using (team)),
+tl as (select *, {R('games - t + left_ - wins', 1)} as losses from tt)"""
+T = lambda cond: f"(select count(*) from tl where {cond})"
+TEAM_COUNTS = [T("w + l + t <> games"), T("least(w, l, t, games) < 0"), T("games = 0 and overall is not null"), T("in_league and games > 0 and overall is null"), "(select max(overall) <> count(overall) from tl)", "(select count(distinct overall) <> count(overall) from tl)", T("games + left_ > 16"), T("in_league and games = 0"), T("abs(wins + losses + t - games - left_) > 0.051"), T("wins < w - 0.051")]
+
+
+@query(f"{WITH}, {PREDICTED}, {TEAM_SQL} " + with_counts(audit.rating_rules(), RATING_COUNTS) + " union all " + with_counts(audit.forecast_rules(), FORECAST_COUNTS) + " union all " + with_counts(audit.team_rules(), TEAM_COUNTS))
 def check_report(spark, sf):
-    games = played(spark, sf)
-    return checks.report([("FAIL", "double-booked", checks.double_booked(games)), ("WARN", "no games", checks.no_games(arena.dense_roster(spark, sf), games)), ("FAIL", "record", checks.record_sums(rec.records(games)))])
+    """Ratings, forecasts and records under all their rules, one pass over each table."""
+    games, rated, roster = played(spark, sf), cut(season_fit(spark, sf)), arena.dense_roster(spark, sf)
+    told = cut(predicted(spark, sf))
+    known = lambda c: roster.select(F.col("team").alias(c), F.lit(True).alias(f"{c}_known"))
+    results = games.select("wk", "home", "away", F.lit(True).alias("was_played")).distinct()
+    forecasts = told.join(known("home"), "home", "left").join(known("away"), "away", "left").join(results, ["wk", "home", "away"], "left")
+    forecasts = forecasts.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("home_known", "away_known", "was_played")})
+    record = rec.records(games)
+    ranks = rec.ranks(rated, roster, record)
+    left = told.select(F.explode(F.array("home", "away")).alias("team")).groupBy("team").agg(F.count(F.lit(1)).alias("left"))
+    projected = forecast.project_records(record, told)
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("w", "l", "t", "games", "left")}
+    # wins and losses of teams without a game or a fixture are none
+    teams = roster.select("team", "in_league").join(record.select("team", "w", "l", "t", "games"), "team", "left").join(ranks.select("team", "overall"), "team", "left").join(left, "team", "left").join(projected, "team", "left").withColumns({**zero, "wins": F.coalesce("wins", F.lit(0.0)), "losses": F.coalesce("losses", F.lit(0.0))})
+    return audit.audit(audit.rating_rules() + audit.forecast_rules() + audit.team_rules(), {"ratings": rated, "forecasts": forecasts, "teams": teams})

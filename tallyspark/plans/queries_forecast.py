@@ -59,6 +59,26 @@ def predict_schedule(spark, sf):
     return predicted(spark, sf).select("game_id", safe_round(F.col("margin"), 2).alias("margin"), F.col("behind").cast("long").alias("behind"), "shown", "p", safe_round(F.col("total"), 2).alias("total"), "status")
 
 
+#: The coming games by names; a name in seven is one that nobody has.
+NAMED_SQL = f"""{PREDICTED}, asked as (select game_id, wk, neutral, case when game_id // 100 % 7 = 0 then 'Nobody' else h.name end as home_name, a.name as away_name from fixtures x join roster h on h.team = x.home join roster a on a.team = x.away),
+cand as (select name, count(*) as n, count_if(in_league) as lg, min(team) as t, min(case when in_league then team end) as lt from roster where team in (select team from fit) group by name),
+means as (select name, case when n = 1 then t when lg = 1 then lt end as team, case when n = 1 then 'rated' when lg = 1 then 'assumed' else 'ambiguous' end as status from cand),
+nraw as (select q.*, h.team as home, a.team as away, coalesce(h.status, 'stand-in') as hs, coalesce(a.status, 'stand-in') as st, fh.rating is null or fa.rating is null as stood, coalesce(fh.rating, spare) - coalesce(fa.rating, spare) + case when q.neutral then 0 else f.rating end as margin, least(coalesce(ph.played, 0), coalesce(pa.played, 0)) as behind
+ from asked q left join means h on h.name = home_name left join means a on a.name = away_name left join fit fh on fh.team = h.team left join fit fa on fa.team = a.team join fit f on f.team = -1 cross join spare left join profile ph on ph.team = h.team left join profile pa on pa.team = a.team),
+named as (select *, case when hs = 'ambiguous' or st = 'ambiguous' then 'ambiguous' when hs = 'stand-in' or st = 'stand-in' then 'stand-in' when hs = 'assumed' or st = 'assumed' then 'assumed' else 'rated' end as status from nraw)"""
+
+
+@query(f"{WITH}, {NAMED_SQL} select game_id, home, away, status, case when status <> 'ambiguous' then {R('margin', 2)} end as margin, case when status <> 'ambiguous' then {R(f'1 / (1 + exp(-margin / ({CURVE("behind", "stood")})))', 3)} end as p from named")
+def predict_named(spark, sf):
+    """The coming games as a schedule names them: shared names are told by the league or left alone, unknown ones get the stand-in."""
+    games, rated, roster = played(spark, sf), cut(season_fit(spark, sf)), arena.dense_roster(spark, sf)
+    name = lambda c: roster.select(F.col("team").alias(c), F.col("name").alias(f"{c}_name"))
+    asked = arena.fixtures(arena.dense_games(spark, sf)).join(name("home"), "home").join(name("away"), "away")
+    asked = asked.select("wk", "game_id", "neutral", F.when(F.floor(F.col("game_id") / 100) % 7 == 0, "Nobody").otherwise(F.col("home_name")).alias("home_name"), "away_name")
+    found = forecast.predict_named(asked, roster, rated, rec.records(games), forecast.scoring_profile(games), stand_in=priors.stand_in(rated, roster))
+    return found.select("game_id", "home", "away", "status", safe_round(F.col("margin"), 2).alias("margin"), "p")
+
+
 @query(f"{WITH} select count(*) as kept, (select count(*) from fixtures) as all_fixtures from fixtures where home in (select team from roster where in_league) or away in (select team from roster where in_league)")
 def fixtures_in_league(spark, sf):
     fixtures = arena.fixtures(arena.dense_games(spark, sf))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import simulate
+from ..operators import audit, simulate
 from ..operators.lineage import cut
 from . import arena
 from .queries_forecast import PREDICTED, played, predicted
 from .queries_records import POINTS
 from .registry import registry
+from .reporting import with_counts
 
 QUERIES, ORACLE_SQL, query = registry()
 WITH = f"with recursive {arena.ARENA_SQL}"
@@ -119,3 +120,25 @@ def what_if(spark, sf):
     weeks = arena.fixtures(arena.dense_games(spark, sf)).select("game_id", "wk")
     rows = simulate.own_swings(*seeded(spark, sf), SIMS).join(weeks, "game_id")
     return rows.groupBy("team").agg(F.count(F.lit(1)).alias("games"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("wk", "game_id"))), lambda g: g["game_id"].cast("string")), ",").alias("by_week"))
+
+
+ODDS = f"""{COND}, od as (select team, any_value(region) as region, {R('avg(cast(seed <= 12 as double))', 3)} as playoff, {R('avg(cast(seed <= 4 as double))', 3)} as bye, {R('avg(cast(seed = 1 as double))', 3)} as top from seeded group by team),
+rs as (select region, count(*) as teams, sum(playoff) as playoff, sum(bye) as bye, sum(top) as top from od group by region), wd as (select team, sum(share) as total from (select team, wins, {R(f'count(*) / {SIMS}.0::double', 3)} as share, count(*) as n from seeded group by team, wins) x where n > 0.0005 * {SIMS} group by team),
+own as (select team, game_id, {R('case when team = home then p_home else p_away end', 3)} as w, {R('case when team = home then p_away else p_home end', 3)} as l from cond where team = home or team = away),
+wt as (select team, game_id, home, away, s from (select *, row_number() over (partition by team order by abs(s) desc, game_id) as k from (select *, round(p_home - p_away, 9) as s from cond where team <> home and team <> away) o where abs(s) >= 0.005) x where k <= 3)"""
+ODDS_COUNTS = ["(select count_if(greatest(playoff, bye, top) > 1 or least(playoff, bye, top) < 0) from od)", "(select count_if(bye > playoff + 1e-6) from od)", "(select count_if(top > bye + 1e-6) from od)"]
+ODDS_COUNTS += ["(select count_if(abs(playoff - least(12.0, teams)) >= 0.02) from rs)", "(select count_if(abs(bye - least(4.0, teams)) >= 0.02) from rs)", "(select count_if(abs(top - 1) >= 0.02) from rs)", "(select count_if(abs(total - 1) >= 0.02) from wd)"]
+ODDS_COUNTS += ["(select count_if(greatest(w, l) > 1 or least(w, l) < 0) from own)", "(select count_if(playoff < least(w, l) - 0.02 or playoff > greatest(w, l) + 0.02) from own join od using (team))", "(select count_if(team = home or team = away) from wt)", "(select count_if(s = 0) from wt)", "(select count_if(abs(s) > 1) from wt)"]
+
+
+@query(f"{WITH}, {ODDS} " + with_counts(audit.odds_rules(12, 4), ODDS_COUNTS))
+def check_odds(spark, sf):
+    """The simulation under its rules: places, byes and top seats add up, odds are nested, conditionals bracket them, nobody watches itself."""
+    seeds, games = seeded(spark, sf)
+    runs = simulate.by_run(seeds)
+    odds = cut(simulate.summary(runs).join(seeds.select("team", "region").distinct(), "team"))
+    regions = odds.groupBy("region").agg(F.count(F.lit(1)).alias("teams"), *[F.sum(c).alias(c) for c in ("playoff", "bye", "top")])
+    wins = simulate.win_distribution(runs, SIMS).groupBy("team").agg(F.sum("share").alias("total"))
+    swings = simulate.own_swings(seeds, games, SIMS).join(odds.select("team", "playoff"), "team")
+    watch = simulate.scoreboard_watch(seeds, games, SIMS).join(games.select("game_id", "home", "away"), "game_id")
+    return audit.audit(audit.odds_rules(12, 4), {"odds": odds, "regions": regions, "wins": wins, "swings": swings, "watch": watch})

@@ -7,12 +7,13 @@ from itertools import product
 from pyspark.sql import functions as F
 
 from ..operators import calibrate as cal
-from ..operators import checks, history, ratings, tuning
+from ..operators import audit, checks, history, ratings, tuning
 from ..operators.lineage import cut
 from . import arena
 from .queries_forecast import predicted
 from .queries_ratings import CURVE
 from .registry import registry
+from .reporting import with_counts
 
 QUERIES, ORACLE_SQL, query = registry()
 WITH = f"with recursive {arena.ARENA_SQL}"
@@ -316,3 +317,13 @@ def scorecard_check(spark, sf):
     """The scorecard's games and probabilities hold together, and accuracy is over a floor."""
     rows = history.graded(logged(spark, sf), pool(spark, sf))
     return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("games"), F.count_if((F.col("p") < 0) | (F.col("p") > 1)).alias("bad"), (F.avg("right") >= 0.4).alias("floor_held"))
+
+
+LOG_COUNTS = ["(select count_if(p < 0 or p > 1) from gs)", "(select count_if(actual = 0) from gs)", "(select count_if(rt <> cast((margin > 0) = (actual > 0) as int)) from gs)", "(select count_if(a < 0.4) from sk)", "(select count_if(least(ll, br, me) < 0) from sk)", "(select count_if(predicted not between 0 and 1 or actual not between 0 and 1) from cb)", "(select count_if(n < 20) from cb)", "(select count_if(n >= 100 and abs(predicted - actual) > 0.2) from cb)"]
+
+
+@query(f"{WITH}, {GRADED}, sk as (select kind, season, {R('avg(rt)', 4)} as a, avg(loss) as ll, avg(square) as br, avg(error) as me from gs group by kind, season), cb as (select kind, predicted, {R('avg(cast(fw as int))', 4)} as actual, count(*) as n from (select kind, least(1.0::double, {R('case when p >= 0.5 then p else 1 - p end', 1)}) as predicted, case when p >= 0.5 then actual > 0 else actual <= 0 end as fw from gs) c group by kind, predicted having count(*) >= 20) " + with_counts(audit.log_rules(), LOG_COUNTS))
+def check_log(spark, sf):
+    """The graded log, its score by season and its calibration under their rules."""
+    rows = cut(history.graded(logged(spark, sf), pool(spark, sf)).drop("game_id"))
+    return audit.audit(audit.log_rules(), {"grades": rows, "score": history.score(rows).filter("season is not null"), "bins": history.calibration(rows)})
