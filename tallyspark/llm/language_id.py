@@ -188,7 +188,12 @@ def identify_languages(documents: DataFrame, *, id_col: str = "doc_id", text_col
 
 
 def keep_known_languages(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows whose text is near a centroid, all columns."""
+    """The rows whose text is near a centroid, all columns.
+
+    Null texts and texts without a letter are near none and go; a tie between
+    languages stays; repeated rows are judged alike and all stay or go; without
+    a language to learn from, and on an empty table, there are no rows.
+    """
     model = fit(documents, id_col=id_col, text_col=text_col, lang_col=lang_col)
     row = F.struct(*documents.columns).alias("row")
     return batched(documents).select(row, predictor(model, documents.sparkSession)(F.col(text_col)).alias("p")).filter("p.near").select("row.*")

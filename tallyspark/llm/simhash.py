@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, written
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Fingerprints in a shard; above it, it is sharded by the next level's bands.
@@ -160,18 +160,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that each node of the edges (a, b) reaches.
 
     Large-star and small-star rounds until nothing changes; each round is
-    written to the checkpoint folder.  A node's smallest neighbour is found by
+    written as a table, so the next is planned by its size and not by what went before.  A node's smallest neighbour is found by
     an aggregate with partial sums, so a node with very many edges needs no
     single task.
     """
-    pairs = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    pairs = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     before = None
     for _ in range(rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        pairs = cut(large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct())
+        pairs = written(large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct())
         now = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         # nothing moves any more, and every node hangs on one root
         if now == before and pairs.select("u").distinct().count() == now[0]:

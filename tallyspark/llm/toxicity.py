@@ -143,7 +143,12 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, *, id_col: str = "do
 
 
 def keep_clean(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows that score under the threshold, all columns."""
+    """The rows that score under the threshold, all columns.
+
+    Null and empty texts have the score of the bias alone; a score equal to
+    the threshold goes; repeated rows are scored alike; without labels nothing
+    goes, and an empty table stays empty.
+    """
     model = fit(documents, labels, id_col=id_col, text_col=text_col, label_col=label_col)
     row = F.struct(*documents.columns).alias("row")
     return batched(documents).select(row, scorer(model, documents.sparkSession)(F.col(text_col)).alias("score")).filter(F.col("score") < threshold).select("row.*")
