@@ -149,16 +149,18 @@ def newton_many(home: np.ndarray, away: np.ndarray, neutral: np.ndarray, y: np.n
     return theta
 
 
-def ridge(home: np.ndarray, away: np.ndarray, neutral: np.ndarray, y: np.ndarray, weight: np.ndarray, n: int, penalty: float) -> tuple[np.ndarray, float]:
-    """Least squares on margins with the penalty on every team; the advantage is 0 without a game on home ground."""
+def ridge(home: np.ndarray, away: np.ndarray, neutral: np.ndarray, y: np.ndarray, weight: np.ndarray, n: int, penalty: float, centre: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Least squares on margins with the penalty on every team's distance from its centre; the advantage is 0 without a game on home ground."""
     at_home = (~neutral).astype(float)
     b = np.bincount(home, weight * y, n + 1) - np.bincount(away, weight * y, n + 1)
+    if centre is not None:
+        b[:n] += max(penalty, 1e-9) * (centre - centre.mean())
     b[n] = (weight * y * at_home).sum()
     x = solved(home, away, at_home, weight, np.append(np.full(n, max(penalty, 1e-9)), 0.0 if at_home.any() else 1.0), b)
     return x[:n] - x[:n].mean(), float(x[n])
 
 
-def fit(games: DataFrame, keys: list[str], *, kind: str = "margin", scale: float = CONFIG.scale, prior_games: float = CONFIG.prior_games, priors: DataFrame | None = None) -> DataFrame:
+def fit(games: DataFrame, keys: list[str], *, kind: str = "margin", scale: float = CONFIG.scale, prior_games: float = CONFIG.prior_games, priors: DataFrame | None = None, advantage: bool = True) -> DataFrame:
     """(keys, team, rating): one fit for each value of ``keys``, team -1 is the home advantage; ratings in points.
 
     games needs keys, home, away, neutral, hs, aw; columns ``scale`` and
@@ -167,7 +169,7 @@ def fit(games: DataFrame, keys: list[str], *, kind: str = "margin", scale: float
     games nor priors is in no fit.  Games are summed by pair, ground and
     target before the shuffle, so a fit's rows are bounded by its pairs, and
     the sums are written once: their count says which fits are solved in a
-    task and which by rounds.  ``weight`` of games, where there, counts a game
+    task and which by rounds.  Without ``advantage`` all ground is neutral.  ``weight`` of games, where there, counts a game
     that many times.
     """
     for name, value in (("scale", scale), ("prior_games", prior_games)):
@@ -176,7 +178,7 @@ def fit(games: DataFrame, keys: list[str], *, kind: str = "margin", scale: float
     m = F.col("hs") - F.col("aw")
     capped = F.greatest(F.lit(-CONFIG.cap), F.least(F.lit(CONFIG.cap), m))
     y = {"margin": 1.0 / (1.0 + F.exp(-capped / F.col("scale"))), "binary": F.when(m > 0, 1.0).when(m < 0, 0.0).otherwise(0.5), "points": capped.cast("double")}[kind]
-    pairs = games.select(*keys, "scale", "prior_games", F.col("home").cast("long").alias("home"), F.col("away").cast("long").alias("away"), "neutral", y.alias("y"), (F.col("weight").cast("double") if "weight" in games.columns else F.lit(1.0)).alias("w"))
+    pairs = games.select(*keys, "scale", "prior_games", F.col("home").cast("long").alias("home"), F.col("away").cast("long").alias("away"), (F.col("neutral") if advantage else F.lit(True)).alias("neutral"), y.alias("y"), (F.col("weight").cast("double") if "weight" in games.columns else F.lit(1.0)).alias("w"))
     pairs = pairs.groupBy(*keys, "scale", "prior_games", "home", "away", "neutral").agg((F.sum(F.col("y") * F.col("w")) / F.sum("w")).alias("y"), F.sum("w").alias("weight")).filter("weight > 0")
     if priors is not None:
         # a prior travels as a row of its own: home is the team, y its centre, weight 0
@@ -190,11 +192,11 @@ def fit(games: DataFrame, keys: list[str], *, kind: str = "margin", scale: float
         s, pg = float(rows.scale.iloc[0]), float(rows.prior_games.iloc[0])
         at = lambda c: np.searchsorted(ids, c.to_numpy(np.int64))
         home, away, neutral, target, weight = at(met.home), at(met.away), met.neutral.to_numpy(bool), met.y.to_numpy(float), met.weight.to_numpy(float)
+        centre = np.zeros(len(ids))
+        centre[at(prior.home)] = prior.y.to_numpy(float) / (1.0 if kind == "points" else s)
         if kind == "points":
-            x, hfa = ridge(home, away, neutral, target, weight, len(ids), pg)
+            x, hfa = ridge(home, away, neutral, target, weight, len(ids), pg, centre)
         else:
-            centre = np.zeros(len(ids))
-            centre[at(prior.home)] = prior.y.to_numpy(float) / s
             x, hfa = newton(home, away, neutral, target, weight, len(ids), 0.25 * pg, centre)
             x, hfa = x * s, hfa * s
         out = pd.DataFrame({"team": np.append(ids, HFA), "rating": np.append(x, hfa)})
@@ -212,6 +214,38 @@ def fit(games: DataFrame, keys: list[str], *, kind: str = "margin", scale: float
     return small.unionByName(by_rounds(pairs.join(F.broadcast(large), keys, "left_semi"), keys, kind))
 
 
+def rate(games: DataFrame, keys: list[str], *, scale: float = CONFIG.scale, prior_games: float = CONFIG.prior_games, priors: DataFrame | None = None) -> DataFrame:
+    """(keys, team, bt_margin, bt_binary, massey): the three fits of fit() at once, in points, all about the same priors.
+
+    Games are summed once by pair, ground and capped margin, which holds all
+    three targets, and a group of keys is one task; fits of more pairs than a
+    task should hold are made one by one with fit().
+    """
+    m = F.greatest(F.lit(-CONFIG.cap), F.least(F.lit(CONFIG.cap), (F.col("hs") - F.col("aw")).cast("double")))
+    met = games.groupBy(*keys, F.col("home").cast("long").alias("home"), F.col("away").cast("long").alias("away"), "neutral", m.alias("m")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    if priors is not None:
+        none = lambda kind: F.lit(None).cast(kind)
+        met = met.unionByName(priors.join(met.select(*keys).distinct(), keys, "left_semi").select(*keys, F.col("team").cast("long").alias("home"), none("bigint").alias("away"), F.lit(True).alias("neutral"), F.col("prior").cast("double").alias("m"), F.lit(0.0).alias("n")))
+
+    def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        prior, met = rows[rows.away.isna()], rows[rows.away.notna()].sort_values(["home", "away", "neutral", "m"])
+        ids = np.unique(np.concatenate([met.home.to_numpy(np.int64), met.away.to_numpy(np.int64), prior.home.to_numpy(np.int64)]))
+        at = lambda c: np.searchsorted(ids, c.to_numpy(np.int64))
+        home, away, neutral, m, n = at(met.home), at(met.away), met.neutral.to_numpy(bool), met.m.to_numpy(float), met.n.to_numpy(float)
+        centre = np.zeros(len(ids))
+        centre[at(prior.home)] = prior.m.to_numpy(float)
+        margin, hm = newton(home, away, neutral, 1 / (1 + np.exp(-m / scale)), n, len(ids), 0.25 * prior_games, centre / scale)
+        binary, hb = newton(home, away, neutral, (np.sign(m) + 1) / 2, n, len(ids), 0.25 * prior_games, centre / scale)
+        points, hp = ridge(home, away, neutral, m, n, len(ids), prior_games, centre)
+        out = pd.DataFrame({"team": np.append(ids, HFA), "bt_margin": np.append(margin, hm) * scale, "bt_binary": np.append(binary, hb) * scale, "massey": np.append(points, hp)})
+        for name, value in zip(keys, key):
+            out[name] = value
+        return out[[*keys, "team", "bt_margin", "bt_binary", "massey"]]
+
+    kinds = dict(games.dtypes)
+    return met.groupBy(*keys).applyInPandas(solve, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", team bigint, bt_margin double, bt_binary double, massey double")
+
+
 def by_rounds(pairs: DataFrame, keys: list[str], kind: str = "margin", *, most: int = 1000) -> DataFrame:
     """(keys, team, rating) of the summed pairs of fit(), by Newton steps that conjugate gradients solve, each round a few joins and sums.
 

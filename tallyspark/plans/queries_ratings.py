@@ -96,8 +96,14 @@ def bt_large_graph(spark, sf):
 @query(f"{WITH}, {FIT}, {fit_sql('played', RESULT, 'fitb')}, {RIDGE} select f.team, {R2('f.rating')} as bt_margin, {R2('b.rating')} as bt_binary, {R2('m.rating')} as massey from fit f join fitb b using (team) join massey_t m using (team)")
 def rate(spark, sf):
     games = arena.played(arena.dense_games(spark, sf))
-    three = [ratings.fit(games, ["season"], kind=k).select("team", safe_round(F.col("rating"), 2).alias(name)) for k, name in (("margin", "bt_margin"), ("binary", "bt_binary"), ("points", "massey"))]
-    return three[0].join(three[1], "team").join(three[2], "team")
+    return ratings.rate(games, ["season"]).select("team", *[safe_round(F.col(c), 2).alias(c) for c in ("bt_margin", "bt_binary", "massey")])
+
+
+@query(f"{WITH}, level as (select home, away, true as neutral, hs, aw from played), {fit_sql('level', MARGIN)} select team, {R2('rating')} as rating from fit")
+def fit_without_advantage(spark, sf):
+    """The season as if all ground were neutral."""
+    games = arena.played(arena.dense_games(spark, sf))
+    return rounded(ratings.fit(games, ["season"], advantage=False).drop("season"))
 
 
 @query(f"{WITH}, {FIT}, sides as (select home as team, away as opp from played union all select away, home from played) select s.team, {R2('coalesce(avg(rating), 0.0)')} as sos from sides s left join fit on fit.team = s.opp group by s.team")

@@ -38,6 +38,20 @@ def test_many_fits_at_once_are_single_fits():
         assert np.allclose(theta[:60, k] - theta[:60, k].mean(), x, atol=1e-7) and theta[60, k] == pytest.approx(hfa, abs=1e-7)
 
 
+def test_three_fits_at_once_are_three_fits(spark):
+    rng = np.random.default_rng(2)
+    rows = [(2000 + k % 2, 1, k, int(a), int(b), int(x), int(y), bool(k % 3 == 0)) for k, (a, b, x, y) in enumerate(zip(rng.integers(1, 7, 120), rng.integers(7, 12, 120), rng.integers(0, 90, 120), rng.integers(0, 40, 120)))]
+    games = spark.createDataFrame(rows, GAMES)
+    prior = spark.createDataFrame([(2000, 1, 8.0), (2000, 50, -4.0), (2001, 2, 3.0)], "season int, team bigint, prior double")
+    got = {(r.season, r.team): r for r in ratings.rate(games, ["season"], priors=prior).collect()}
+    for kind, column in (("margin", "bt_margin"), ("binary", "bt_binary"), ("points", "massey")):
+        one = {(r.season, r.team): r.rating for r in ratings.fit(games, ["season"], kind=kind, priors=prior).collect()}
+        assert set(one) == set(got) and (2000, 50) in got
+        assert {k: got[k][column] for k in got} == pytest.approx(one, abs=1e-6)
+    level = {r.team: r.rating for r in ratings.fit(games.filter("season = 2000"), ["season"], advantage=False).collect()}
+    assert level[-1] == 0.0
+
+
 def test_the_curve_is_the_minimum(spark):
     rng = np.random.default_rng(5)
     n = 6000
