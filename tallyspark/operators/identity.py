@@ -131,7 +131,7 @@ def assign(apps: DataFrame, settled: DataFrame, roster: DataFrame, log_p: DataFr
     A group is one name's games in one week; its best order is a linear
     assignment, exact for any number of entities.
     """
-    slots = roster.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("school_id", "region", "division"))), lambda s: s["region"]).alias("slot_regions"))
+    slots = roster.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct(*[c for c in ("school_id", "region", "division") if c in roster.columns]))), lambda s: s["region"]).alias("slot_regions"))
     regions = settled_regions(settled, roster).select(F.col("name").alias("opp"), F.col("region").alias("opp_region"))
     rows = apps.join(settled.filter("class = 'deferred'").select("name", "n"), "name").join(regions, "opp", "left").join(slots, "name")
     cells = rows.select("name", "season", "wk", "place", "n", "opp_region", F.posexplode("slot_regions").alias("slot", "region")).join(log_p.select(F.col("ra").alias("region"), F.col("rb").alias("opp_region"), "log_p"), ["region", "opp_region"], "left")

@@ -34,9 +34,13 @@ def test_like_sql(spark, sf, db, name):
     assert sorted([[plain(v) for v in r] for r in df.select(*cols).collect()], key=str) == want
 
 
+#: Fits that need more forecasts than the smallest tables have: no row is their answer there (tests/test_models.py has larger ones).
+FLOORED = {"fit_curve", "calibrate"}
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_runs(spark, sf, name):
-    assert catalog.QUERIES[name](spark, sf).count() > 0
+    assert (catalog.QUERIES[name](spark, sf).count() > 0) == (name not in FLOORED)
 
 
 def test_entry(spark):
