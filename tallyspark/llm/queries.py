@@ -114,7 +114,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = hard_negatives.integer_vectors(table(spark, sf_dir, "embeddings"))
+    rows = hard_negatives.integer_vectors(table(spark, sf_dir, "embeddings"), repeated=True)
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
 

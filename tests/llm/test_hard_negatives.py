@@ -1,9 +1,12 @@
 """Hard negatives against plain sorting of all scores, and intervals against exact products."""
 
+import math
+
 import numpy as np
 import pytest
 
 from tallyspark.llm import hard_negatives as hn
+from tallyspark.llm import queries
 
 
 def brute(rows, asks):
@@ -64,3 +67,52 @@ def test_which_rows_take_part(spark):
     assert hn.mine(hn.integer_vectors(df), hn.F.lit(True)).count() == 0
     with pytest.raises(Exception, match="a component"):
         hn.integer_vectors(spark.createDataFrame([(1, [1e9], 1)], "vec_id bigint, embedding array<double>, label int")).collect()
+
+
+def brute_query(rows):
+    """op11's contract over (vec_id, embedding, label), a row at a time in whole numbers."""
+    kept = [(i, (lab + 1) % 10 if i % 7 == 0 else lab, [math.floor(256 * x) for x in v]) for i, v, lab in rows]
+    out = []
+    for a in (r for r in kept if r[0] % 50 == 0):
+        scored = sorted(((-sum(x * y for x, y in zip(a[2], r[2])), r[0], r[1], r is a) for r in kept), key=lambda s: s[:2])
+        for p, i, *_ in [s for s in scored if s[2] == a[1] and not s[3]][:5]:
+            fits = [s for s in scored if s[2] != a[1] and 50 * -p <= 100 * -s[0] <= 95 * -p][:3]
+            out += [(a[0], i, k + 1, s[1], -p, -s[0]) for k, s in enumerate(fits)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("scale,again", [(1.0, 150), (6e5, 0), (6e5, 80)])
+def test_query_on_repeated_ids_and_large_numbers(spark, tmp_path, scale, again):
+    rng = np.random.default_rng(7)
+    made = lambda i: (i, [float(x) for x in np.float32(rng.normal(size=16) * scale)], int(rng.integers(3)))
+    rows = [made(i) for i in range(300)]
+    # ids again: another vector and label, and whole rows
+    rows += [made(i) for i in range(again)] + [(*r,) for r in rows[:again:2]]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert sorted(tuple(r) for r in queries.op11_hard_negatives(spark, str(tmp_path)).collect()) == brute_query(rows)
+
+
+def test_every_block_meets_every_other(spark, monkeypatch):
+    """Blocks that stay in many tasks, as those of a large table do."""
+    for name, value in (("ANCHORS", 7), ("ROWS", 16)):
+        monkeypatch.setattr(hn, name, value)
+    rng = np.random.default_rng(11)
+    rows = {k: (int(rng.integers(3)), rng.integers(-100, 101, 8)) for k in range(300)}
+    held = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        got = hn.mine(frame(spark, rows), hn.F.col("vec_id") % 10 == 0).collect()
+    finally:
+        for c, value in held.items():
+            spark.conf.set(c, value)
+    assert sorted(tuple(r) for r in got) == sorted(brute(rows, lambda k: k % 10 == 0))
+
+
+def test_halves_make_exact_scores():
+    rng = np.random.default_rng(9)
+    a, b = rng.integers(-(2**30) + 1, 2**30, (9, 300)), rng.integers(-(2**30) + 1, 2**30, (11, 300))
+    a[0], b[0], b[1] = 2**30 - 1, 2**30 - 1, -(2**30) + 1
+    want = a.astype(object) @ b.astype(object).T
+    assert (hn.products(a, b) == np.clip(want, -(2**63), 2**63 - 1).astype(np.int64)).all()
+    assert want.max() > 2**63 and (abs(want) < 2**63).sum() > 20
