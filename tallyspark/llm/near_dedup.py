@@ -14,8 +14,8 @@ are still apart after that grow trees, and only classes outside the shard's
 largest part search them.  A small shard gives its proposals as rows.  A larger
 one is cut into blocks that carry the shingle sets with them, so that proposals
 are confirmed where they are made and a class gives one row for each part it is
-tied to, however many classes are alike.  A very large shard is first sharded
-again by its classes' other bands.
+tied to, however many classes are alike.  The classes of very large shards are
+sharded again by their rarest shingles, which loses no pair at NEAR.
 """
 
 from __future__ import annotations
@@ -29,15 +29,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, cut, slices, written
+from .common import batched, slices, written
 from .simhash import BKTree, components, one_of_each
 
 SHINGLE, NEAR, SEED = 5, 0.8, 42
 BANDS, ROWS = 28, 5
 #: Bits in which fingerprints of a proposed pair may differ, and classes of a shard that gives its proposals as rows.
 RADIUS, SMALL = 24, 32
-#: Classes and shingles of a block at most, blocks from which a shard is sharded again, and how often that is done.
-SHARD, GRAMS, BLOCKS, AGAIN = 512, 2_000_000, 16, 2
+#: Classes and shingles of a block at most, and blocks above which a shard is sharded again.
+SHARD, GRAMS, BLOCKS = 512, 2_000_000, 16
 #: Shingles hashed at once; bounds the memory of a long text.
 CHUNK = 1 << 11
 _RANDOM = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
@@ -103,6 +103,17 @@ def gram_sets(text: Column) -> Column:
     return of(text)
 
 
+def listed(sets: Column) -> Column:
+    """The shingles of a set of gram_sets() as an array of signed longs."""
+
+    @F.arrow_udf("array<bigint>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in slices(batches):
+            yield pa.array([np.frombuffer(x.as_py(), np.int64) for x in batch], pa.list_(pa.int64()))
+
+    return of(sets)
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Jaccard similarity of two sets of gram_sets()."""
 
@@ -191,7 +202,7 @@ def confirmed_inside(rows: Column) -> Column:
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are at NEAR or above."""
     rows = pairs.join(sets.select(F.col("fp").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("grams").alias("y")), "b")
-    return cut(batched(rows).filter(similarity(F.col("x"), F.col("y")) >= NEAR).select("a", "b"))
+    return written(batched(rows).filter(similarity(F.col("x"), F.col("y")) >= NEAR).select("a", "b"))
 
 
 def fitting(n: str, other: str) -> Column:
@@ -205,7 +216,7 @@ def mixed(rows: DataFrame) -> DataFrame:
     apart = parts.groupBy("key").agg(F.sum("k").alias("size"), F.sum("n").alias("grams"), F.max(F.struct("k", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
     blocks = F.ceil(F.greatest(F.col("size") / SHARD, F.col("grams") / GRAMS)).cast("int")
     asking = F.ceil((F.col("size") - F.col("m.k")) * blocks / F.col("size")).cast("int")
-    return cut(rows.join(apart.select("key", "size", F.col("m.root").alias("main"), blocks.alias("blocks"), asking.alias("asking")), "key"))
+    return written(rows.join(apart.select("key", "size", F.col("m.root").alias("main"), blocks.alias("blocks"), asking.alias("asking")), "key"))
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
@@ -225,23 +236,33 @@ def in_blocks(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return batched(groups).select(F.explode(confirmed_inside(F.col("rows"))).alias("t")).select("t.a", "t.b")
 
 
+def by_rare_grams(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """The classes of rows of mixed() as rows (key, fp, sim, n, root) of other shards, of which two classes at NEAR share one at least.
+
+    All classes order their shingles alike, those in the fewest classes first.
+    Of n shingles a class at NEAR holds NEAR * n at least, so the first of those
+    that two such classes share is among the first n - NEAR * n + 1 of both.
+    Shingles of one class alone come before all others and make no shard.
+    """
+    pool = rows.select("fp", "sim", "n", "root").distinct()
+    every = batched(pool.select("fp").join(sets, "fp")).select("fp", F.explode(listed(F.col("grams"))).alias("gram"))
+    shared = every.join(every.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "gram")
+    ranked = shared.groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("k", "gram"))).alias("of")).join(pool, "fp")
+    first = F.floor(F.col("n") * (1 - NEAR) + 1e-6) + 1 - (F.col("n") - F.size("of"))
+    return ranked.select("fp", "sim", "n", "root", F.explode(F.slice("of", 1, F.greatest(first, F.lit(0)).cast("int"))).alias("g")).select(F.xxhash64("g.gram").alias("key"), "fp", "sim", "n", "root")
+
+
 def remaining(rows: DataFrame, classes: DataFrame, sets: DataFrame, known: DataFrame) -> DataFrame:
     """The confirmed ties (a, b) between the different roots of the shards of mixed(), without the pairs ``known``."""
+    again = (F.col("blocks") > BLOCKS) & (F.col("asking") > 1)
+    if not (large := rows.filter(again)).isEmpty():
+        rows = rows.filter(~again).unionByName(mixed(by_rare_grams(large, sets)))
     small = rows.filter(F.col("size") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("fp", "sim", "root")).alias("members"))
     pairs = batched(small).select(F.explode(proposals(F.col("members"))).alias("t")).select("t.a", "t.b").distinct()
     sizes = classes.select("fp", "n")
     pairs = pairs.join(sizes.withColumnsRenamed({"fp": "a", "n": "n_a"}), "a").join(sizes.withColumnsRenamed({"fp": "b", "n": "n_b"}), "b")
     found = confirmed(pairs.filter(fitting("n_a", "n_b")).select("a", "b").join(known, ["a", "b"], "left_anti"), sets)
-    rows = rows.filter(F.col("size") > SMALL)
-    for level in range(AGAIN + 1):
-        again = (F.col("blocks") > BLOCKS) & (F.col("asking") > 1) if level < AGAIN else F.lit(False)
-        found = found.unionByName(in_blocks(rows.filter(~again), sets))
-        large = rows.filter(again).select("key", "fp", "sim", "n", "root")
-        if level == AGAIN or large.isEmpty():
-            break
-        deeper = large.join(classes.select("fp", F.explode("bands").alias("band")), "fp").filter(F.col("band") != F.col("key"))
-        rows = mixed(deeper.select(F.xxhash64("key", "band").alias("key"), "fp", "sim", "n", "root"))
-    return cut(found)
+    return written(found.unionByName(in_blocks(rows.filter(F.col("size") > SMALL), sets)))
 
 
 def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,13 +277,13 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     keyed = classes.select("fp", "n", "sim", F.explode("bands").alias("key"))
     ends = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("fp", "n")).alias("lo"), F.max(F.struct("fp", "n")).alias("hi")).filter("k > 1").drop("k")
     rows = written(keyed.join(ends, "key"))
-    nodes = cut(rows.select("fp").distinct().join(classes.select("fp", "least"), "fp"))
+    nodes = written(rows.select("fp").distinct().join(classes.select("fp", "least"), "fp"))
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
     wanted = texts.join(nodes.select(F.col("least").alias("id")).distinct(), "id", "left_semi").unionByName(texts.filter("id is null"))
     sets = wanted.select(gram_sets(F.col("body")).alias("s")).select("s.fp", "s.grams").join(nodes.select("fp"), "fp", "left_semi")
     sets = written(sets.groupBy("fp").agg(F.first("grams").alias("grams")))
     star = rows.select("fp", "n", F.explode(F.array("lo", "hi")).alias("o")).select("fp", "n", F.col("o.fp").alias("other"), F.col("o.n").alias("other_n"))
-    first = cut(ordered(star).distinct())
+    first = written(ordered(star).distinct())
     tied = confirmed(first, sets)
 
     roots = components(tied)
@@ -274,7 +295,7 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
         parts = last.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
         joined = components(parts)
         moved = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-        roots = cut(moved.unionByName(joined.join(roots.select("node"), "node", "left_anti")))
+        roots = written(moved.unionByName(joined.join(roots.select("node"), "node", "left_anti")))
     rooted = classes.select("fp", "least").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return marked.select(id_col, "fp").join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp").select(id_col, "fp", "root", "component_id")

@@ -71,6 +71,28 @@ def test_blocks_and_trees_end_alike(spark, monkeypatch):
         assert [got[k] for k in range(len(texts))] == want
 
 
+def test_large_shards_lose_no_pair(spark, monkeypatch):
+    """A shard of many blocks whose classes share this one band and no other."""
+    for name, value in (("SMALL", 4), ("SHARD", 4), ("BLOCKS", 2)):
+        monkeypatch.setattr(near_dedup, name, value)
+    r = random.Random(8)
+    common, texts, want = [f"c{k}" for k in range(60)], [], set()
+    for k in range(40):
+        # half of the words are everybody's; pairs of texts differ in their last words only
+        own = common + [f"o{k}n{j}" for j in range(60)]
+        texts += [" ".join(own), " ".join(own[: -r.randrange(1, 9)] + [f"x{k}"])]
+    rows = [(*near_dedup.sketch(t)[:3], near_dedup.grams(t).tobytes()) for t in texts]
+    for k in range(0, 80, 2):
+        assert jaccard(texts[k], texts[k + 1]) >= 0.8 > jaccard(texts[k], texts[(k + 2) % 80])
+        want.add((min(rows[k][0], rows[k + 1][0]), max(rows[k][0], rows[k + 1][0])))
+    classes = spark.createDataFrame([(fp, k, n, sim, [1, 1000 + k]) for k, (fp, n, sim, _) in enumerate(rows)], "fp bigint, least bigint, n int, sim bigint, bands array<bigint>")
+    sets = spark.createDataFrame([(x[0], x[3]) for x in rows], "fp bigint, grams binary")
+    shard = near_dedup.mixed(classes.selectExpr("1L as key", "fp", "sim", "n", "fp as root"))
+    assert shard.first()["blocks"] > near_dedup.BLOCKS
+    known = spark.createDataFrame([], "a bigint, b bigint")
+    assert {tuple(r) for r in near_dedup.remaining(shard, classes, sets, known).collect()} == want
+
+
 def test_edges(spark, edges, empty):
     found = near_dedup.near_duplicates(edges).collect()
     assert len(found) == edges.count()
