@@ -169,7 +169,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = written(large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct())
         now = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -212,8 +212,8 @@ def keep_one_of_each(documents: DataFrame, *, id_col: str = "doc_id", text_col:
 def one_of_each(documents: DataFrame, found: DataFrame, print_of: Callable[[Column], Column], *, id_col: str, text_col: str) -> DataFrame:
     """The rows that keep_one_of_each() keeps, by found (id, fp, root, component_id) and the function that makes fp."""
     found = found.withColumnRenamed(id_col, "id")
-    picked = cut(found.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("id", "fp")).alias("p")).select("root", "p.id", "p.fp"))
-    repeated = cut(found.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or id is null").select(F.col("id").alias("again")))
+    picked = written(found.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("id", "fp")).alias("p")).select("root", "p.id", "p.fp"))
+    repeated = written(found.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or id is null").select(F.col("id").alias("again")))
     rows = documents.select(F.col(id_col).alias("id"), F.struct(*documents.columns).alias("row"))
     alone = rows.join(picked.join(repeated, F.col("id").eqNullSafe(F.col("again")), "left_anti").select("id"), "id", "left_semi").select("row")
     if repeated.isEmpty():

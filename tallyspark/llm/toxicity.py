@@ -7,6 +7,7 @@ leaves most weights at zero, so the model is a short table that is broadcast.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -85,6 +86,25 @@ def ftrl(rows: list[np.ndarray], labels: list[int], epochs: int = EPOCHS, bits:
     return Weights(weights(z, n).astype(np.float32), bias if labels else bias0)
 
 
+def in_order(drawn: DataFrame) -> tuple[list[np.ndarray], list[int]]:
+    """The features and labels of drawn (id, y, f), ordered by id, then f.
+
+    They come one part of the table at a time into one array, so neither the
+    JVM nor Python of the driver holds them twice; it has other work to do.
+    """
+    size = drawn.agg(F.coalesce(F.sum(F.length("f")), F.lit(0))).first()[0] // 4
+    every, ends, ids, marked = np.empty(size, np.int32), [0], [], []
+    for r in drawn.select("id", "y", "f").toLocalIterator():
+        ends.append(ends[-1] + len(r["f"]) // 4)
+        every[ends[-2] : ends[-1]] = np.frombuffer(r["f"], np.int32)
+        ids.append(r["id"])
+        marked.append(r["y"])
+    rows = [every[a:b] for a, b in zip(ends, ends[1:])]
+    again = {i for i, n in Counter(ids).items() if n > 1}
+    order = sorted(range(len(ids)), key=lambda k: (ids[k], rows[k].tobytes() if ids[k] in again else b""))
+    return [rows[k] for k in order], [marked[k] for k in order]
+
+
 def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Weights:
     """Learn from labelled rows outside the held-out fold, about ``sample`` of them and twice that at most, each a whole text.
 
@@ -106,12 +126,8 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     held = drawn_rows.agg(F.coalesce(F.sum(F.length("f") / 4), F.lit(0.0))).first()[0]
     if held > FEATURES:
         drawn_rows = drawn_rows.filter(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(1_000_000)) < FEATURES / held * 1_000_000)
-    found = drawn_rows.orderBy("id", "f").toArrow()
-    rows = [np.frombuffer(f.as_buffer(), np.int32) for f in found["f"]]
-    model = ftrl(rows, [int(y > 0) for y in found["y"].to_pylist()])
-    del rows, found
-    pa.default_memory_pool().release_unused()  # the driver has other work to do
-    return model
+    rows, marked = in_order(drawn_rows)
+    return ftrl(rows, [int(y > 0) for y in marked])
 
 
 def scorer(model: Weights, spark):

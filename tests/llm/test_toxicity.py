@@ -51,3 +51,13 @@ def test_model_is_sparse(spark):
     docs, labels = tables(spark)
     model = tx.fit(docs, labels)
     assert 0 < (model.table != 0).sum() < 2000
+
+
+def test_rows_come_in_order(spark):
+    """Ordered by id, then by the bytes of the features, whatever the parts of the table are."""
+    r = np.random.default_rng(2)
+    rows = [(int(i), int(i % 2), r.integers(0, 300, int(n)).astype(np.int32).tobytes()) for i, n in zip(r.integers(0, 40, 90), r.integers(0, 6, 90))]
+    got, marked = tx.in_order(spark.createDataFrame(rows, "id bigint, y int, f binary").repartition(5))
+    want = sorted(rows, key=lambda x: (x[0], x[2]))
+    assert [g.tobytes() for g in got] == [w[2] for w in want] and marked == [w[1] for w in want]
+    assert tx.in_order(spark.createDataFrame([], "id bigint, y int, f binary")) == ([], [])
