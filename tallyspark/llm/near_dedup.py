@@ -92,6 +92,7 @@ def sketches(text: Column) -> Column:
 
 
 def gram_sets(text: Column) -> Column:
+    """Digest and shingles of a text. Not called deterministic, or a join on the digest would make the sets of all texts twice, in two workers a task."""
     kind = pa.struct([("fp", pa.int64()), ("grams", pa.binary())])
 
     @F.arrow_udf("struct<fp:bigint,grams:binary>")
@@ -100,7 +101,7 @@ def gram_sets(text: Column) -> Column:
             found = (grams(t.as_py()) for t in batch)
             yield pa.array([{"fp": signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)) if len(h) else 0, "grams": h.tobytes()} for h in found], kind)
 
-    return of(text)
+    return of.asNondeterministic()(text)
 
 
 def listed(sets: Column) -> Column:
@@ -265,6 +266,13 @@ def remaining(rows: DataFrame, classes: DataFrame, sets: DataFrame, known: DataF
     return written(found.unionByName(in_blocks(rows.filter(F.col("size") > SMALL), sets)))
 
 
+def sets_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(fp, grams): the shingles of each class of nodes (fp, least), from the texts (id, body) whose ids are the classes' least."""
+    wanted = texts.join(nodes.select(F.col("least").alias("id")).distinct(), "id", "left_semi").unionByName(texts.filter("id is null"))
+    sets = batched(wanted).select(gram_sets(F.col("body")).alias("s")).select("s.fp", "s.grams").join(nodes.select("fp"), "fp", "left_semi")
+    return sets.groupBy("fp").agg(F.first("grams").alias("grams"))
+
+
 def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, root, component_id) as in simhash.near_duplicates; fp is the digest of the shingle set.
 
@@ -278,10 +286,7 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     ends = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("fp", "n")).alias("lo"), F.max(F.struct("fp", "n")).alias("hi")).filter("k > 1").drop("k")
     rows = written(keyed.join(ends, "key"))
     nodes = written(rows.select("fp").distinct().join(classes.select("fp", "least"), "fp"))
-    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
-    wanted = texts.join(nodes.select(F.col("least").alias("id")).distinct(), "id", "left_semi").unionByName(texts.filter("id is null"))
-    sets = wanted.select(gram_sets(F.col("body")).alias("s")).select("s.fp", "s.grams").join(nodes.select("fp"), "fp", "left_semi")
-    sets = written(sets.groupBy("fp").agg(F.first("grams").alias("grams")))
+    sets = written(sets_of(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")), nodes))
     star = rows.select("fp", "n", F.explode(F.array("lo", "hi")).alias("o")).select("fp", "n", F.col("o.fp").alias("other"), F.col("o.n").alias("other_n"))
     first = written(ordered(star).distinct())
     tied = confirmed(first, sets)

@@ -4,16 +4,17 @@ No piece of the model crosses from another character to a whitespace marker,
 so a text falls apart in front of each run of markers into chunks that are
 encoded on their own.  Each task keeps a table of the distinct chunks it has
 met: a chunk is segmented once, by the library, and its ids are put at every
-position where it stands.  The table is bounded; what no longer fits is
-segmented again, with the same result.  Models whose pieces do cross markers
-are encoded text by text.
+position where it stands.  The table is bounded and holds small objects: chunks
+with spaces for markers (a byte a character in most scripts) and the ids'
+bytes.  What no longer fits is segmented again, with the same result.  Models
+whose pieces do cross markers are encoded text by text.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +25,11 @@ from .common import batched, slices
 
 MARK = "▁"
 #: Chunks in a task's table, and characters from which a chunk is not kept.
-TABLE, LONG = 300_000, 64
-CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$")
+TABLE, LONG = 150_000, 64
+#: A chunk, with spaces for markers.
+CHUNK = re.compile(" *[^ ]+| +$")
 #: Texts that are cut into chunks together.
-TOGETHER = 400
+TOGETHER = 100
 
 
 class Codec:
@@ -43,21 +45,21 @@ class Codec:
         # Chunks are right where markers only start pieces, and where the library keeps white space and adds a marker in front.
         self.apart = not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces) and lists[0][0][0] == MARK and "".join(lists[1]) == f"{MARK}{MARK}a" and "".join(lists[2]) == f"{MARK * 3}a{MARK * 2}"
 
-    def segment(self, chunks: list[str]) -> list[list[int]]:
-        """Ids of each chunk. The library puts a marker in front, so the chunk's own first marker is left out; of a lone marker nothing would be left."""
-        found = self.model.encode([c[1:].replace(MARK, " ") for c in chunks], num_threads=1)
-        return [ids or [self.model.piece_to_id(MARK)] for ids in found]
+    def segment(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk, as the bytes of 32-bit numbers. The library puts a marker in front, so the chunk's own first space is left out; of a lone marker nothing would be left."""
+        found = self.model.encode([c[1:] for c in chunks], num_threads=1)
+        return [array("i", ids or [self.model.piece_to_id(MARK)]).tobytes() for ids in found]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.apart:
             return [np.array(ids, np.int32) for ids in self.model.encode(texts, num_threads=1)]
-        parts = [CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        parts = [CHUNK.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
         table = self.table
         if len(table) > self.size:
             table.clear()
         if new := list(set().union(*parts).difference(table)):
             table.update(zip(new, self.segment(new)))
-        out = [np.fromiter(chain.from_iterable(map(table.__getitem__, p)), np.int32) for p in parts]
+        out = [np.frombuffer(b"".join(map(table.__getitem__, p)), np.int32) for p in parts]
         for chunk in new:
             if len(chunk) >= LONG:
                 del table[chunk]

@@ -100,3 +100,13 @@ def test_edges(spark, edges, empty):
     assert kept.columns == edges.columns
     assert kept.count() == len({r["root"] for r in found})
     assert near_dedup.keep_one_of_each(empty).count() == 0
+
+
+def test_sets_are_made_once(spark):
+    """One worker a task makes the sets, of the wanted texts alone, and none of them twice."""
+    texts = spark.createDataFrame([(1, "a b c d e f"), (2, "g h"), (None, "i"), (3, "j k")], "id bigint, body string")
+    fps = {t: near_dedup.sketch(t)[0] for t in ("a b c d e f", "i", "j k")}
+    nodes = spark.createDataFrame([(fps["a b c d e f"], 1), (fps["i"], None), (fps["j k"], 3)], "fp bigint, least bigint")
+    found = near_dedup.sets_of(texts, nodes)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert {r["fp"]: bytes(r["grams"]) for r in found.collect()} == {fp: near_dedup.grams(t).tobytes() for t, fp in fps.items()}

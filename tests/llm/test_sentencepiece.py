@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import public_tokenizers
 import sentencepiece
@@ -31,3 +32,16 @@ def test_digests_and_empty(spark, empty):
     row = sentencepiece_digests(spark.createDataFrame([(1, None)], "doc_id bigint, text string")).first()
     nothing = hashlib.sha256(b"").hexdigest()
     assert tuple(row) == (1, 0, nothing, nothing)
+
+
+def test_table_is_small():
+    """Chunk, ids and place in the table take under 200 bytes together."""
+    one, r = codec.Codec(PATH), random.Random(6)
+    words = ["".join(r.choice("abcdefghij") for _ in range(8)) for _ in range(30_000)]
+    tracemalloc.start()
+    for a in range(0, len(words), 1000):
+        one.encode([" ".join(words[a : a + 1000])])
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(one.table) > 29_000 and held < 200 * len(one.table)
+    assert list(one.encode([words[0]])[0]) == one.model.encode(words[0])
