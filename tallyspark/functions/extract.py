@@ -197,32 +197,65 @@ def parse_picks(pages: DataFrame, flat_col: str = "flat") -> DataFrame:
     return out.filter("fav <> '' and dog <> '' and lower(fav) <> lower(dog)")
 
 
+def tokens(name: Column) -> Column:
+    """The words of a name as they are compared: lower case, without apostrophes, dots and hyphens as spaces."""
+    return F.split(F.trim(F.regexp_replace(F.replace(F.regexp_replace(F.lower(name), r"[.\-]", " "), F.lit("'"), F.lit("")), r"\s+", " ")), " ")
+
+
 def tokens_agree(short: Column, long: Column) -> Column:
     """Every word of the short name starts the word at its place in the long one."""
-    norm = lambda c: F.split(F.trim(F.regexp_replace(F.replace(F.regexp_replace(F.lower(c), r"[.\-]", " "), F.lit("'"), F.lit("")), r"\s+", " ")), " ")
-    a, b = norm(short), norm(long)
+    a, b = tokens(short), tokens(long)
     return (a[0] != "") & (F.size(a) <= F.size(b)) & F.forall(F.zip_with(a, F.slice(b, F.lit(1), F.size(a)), lambda x, y: F.coalesce(F.startswith(y, x), F.lit(False))), lambda x: x)
 
 
+def parts(full: Column) -> tuple[Column, Column]:
+    """School and city of ``School (City)``; the city is empty where there is none."""
+    return tuple(F.regexp_extract(full, r"^(.*?)(?: \(([^()]*)\))?$", k) for k in (1, 2))
+
+
+def own_parts(short: Column) -> tuple[Column, Column]:
+    """The same of a short name; both are empty where it has no city in brackets."""
+    return tuple(F.regexp_extract(F.trim(short), r"^(.*?)\s*\(([^)]+)\)$", k) for k in (1, 2))
+
+
 def compatible(short: Column, full: Column) -> Column:
     """Whether a bare name may mean ``School (City)``: by school, by city and school in either order, or by an abbreviated city."""
-    school, city = F.regexp_extract(full, r"^(.*?)(?: \(([^()]*)\))?$", 1), F.regexp_extract(full, r"^(.*?)(?: \(([^()]*)\))?$", 2)
-    own, own_city = F.regexp_extract(F.trim(short), r"^(.*?)\s*\(([^)]+)\)$", 1), F.regexp_extract(F.trim(short), r"^(.*?)\s*\(([^)]+)\)$", 2)
+    (school, city), (own, own_city) = parts(full), own_parts(short)
     with_city = (city != "") & (tokens_agree(short, F.concat_ws(" ", city, school)) | tokens_agree(short, F.concat_ws(" ", school, city)))
     abbreviated = (own != "") & (city != "") & tokens_agree(own, school) & tokens_agree(own_city, city)
     return tokens_agree(short, school) | with_city | abbreviated
 
 
+def meanings(shorts: DataFrame, fulls: DataFrame) -> DataFrame:
+    """(short, full): every full name that each short name may mean.
+
+    A word of the short name starts the word at its place in the full name, so
+    names meet on a place with the start of a word, each short name on the one
+    of its words that starts the fewest names; then the full rule is asked.
+    """
+    school, city = parts(F.col("full"))
+    forms = F.array(tokens(school), tokens(F.concat_ws(" ", city, school)), tokens(F.concat_ws(" ", school, city)))
+    starts = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda n: F.substring(w, 1, n))
+    words = fulls.select("full", F.explode(F.array_distinct(forms)).alias("words")).select("full", F.posexplode("words").alias("place", "word"))
+    keys = words.select("full", "place", F.explode(starts(F.col("word"))).alias("start")).distinct()
+    ways = shorts.select("short", F.explode(F.array_distinct(F.array(F.col("short"), F.when(own_parts(F.col("short"))[0] != "", own_parts(F.col("short"))[0]).otherwise(F.col("short"))))).alias("way"))
+    asked = ways.select("short", "way", F.posexplode(tokens(F.col("way"))).alias("place", "start")).join(keys.groupBy("place", "start").agg(F.count(F.lit(1)).alias("n")), ["place", "start"])
+    rarest = asked.groupBy("short", "way").agg(F.min(F.struct("n", "place", "start")).alias("k")).select("short", "k.place", "k.start")
+    return rarest.join(keys, ["place", "start"]).select("short", "full").distinct().filter(compatible(F.col("short"), F.col("full")))
+
+
 def match_picks(picks: DataFrame, fixtures: DataFrame) -> DataFrame:
     """picks with n, home, away, home_margin, home_p: a pick that fits one fixture of its week is restated from the home side; others keep nulls.
 
-    Pairs are made within a week and between names whose first letters fit, an
-    equi-join, before the full rule is asked.
+    What a short name may mean is found once for all weeks; a pick then meets
+    the fixtures of those names in its week, never all of its week.
     """
-    initial = lambda c: F.lower(F.substring(F.regexp_replace(c, "[^A-Za-z]", ""), 1, 1))
-    sides = picks.select("*", F.when(F.col("fav_home"), F.col("fav")).otherwise(F.col("dog")).alias("ph"), F.when(F.col("fav_home"), F.col("dog")).otherwise(F.col("fav")).alias("pa"))
-    fx = fixtures.select("wk", "home", "away", F.explode(F.array_distinct(F.array(initial(F.col("home")), initial(F.regexp_extract("home", r"\(([^()]*)\)$", 1))))).alias("k"))
-    pairs = sides.withColumn("k", initial(F.col("ph"))).join(fx, ["wk", "k"]).filter(compatible(F.col("ph"), F.col("home")) & compatible(F.col("pa"), F.col("away")))
+    sides = picks.select("wk", "pick", F.when(F.col("fav_home"), F.col("fav")).otherwise(F.col("dog")).alias("ph"), F.when(F.col("fav_home"), F.col("dog")).otherwise(F.col("fav")).alias("pa"))
+    fx = fixtures.select("wk", "home", "away").distinct()
+    either = lambda df, a, b, name: df.select(F.explode(F.array(a, b)).alias(name)).filter(F.col(name).isNotNull()).distinct()
+    mean = meanings(either(sides, "ph", "pa", "short"), either(fx, "home", "away", "full"))
+    side = lambda short, full: mean.select(F.col("short").alias(short), F.col("full").alias(full))
+    pairs = sides.join(side("ph", "home"), "ph").join(fx, ["wk", "home"]).join(side("pa", "away"), ["pa", "away"])
     found = pairs.groupBy("wk", "pick").agg(F.count_distinct("home", "away").alias("n"), F.min("home").alias("home"), F.min("away").alias("away"))
     rows = picks.join(found, ["wk", "pick"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     one = F.col("n") == 1
