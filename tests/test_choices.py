@@ -19,7 +19,7 @@ def test_losses_of_each_game_are_those_of_single_fits(spark, sf):
     assert all(got[k] == pytest.approx(want[k], rel=1e-6) for k in want)
 
 
-@pytest.mark.parametrize("name", ["tied_with_best", "select_config", "grid_edges", "leaderboard", "marginal_se"])
+@pytest.mark.parametrize("name", ["tied_with_best", "select_config", "grid_edges", "leaderboard", "marginal_se", "stability"])
 def test_no_choice_fits_configuration_by_configuration(spark, sf, monkeypatch, name):
     def fit(*_, **__):
         raise AssertionError("one fit for each configuration")
