@@ -97,31 +97,69 @@ def matched(cost: list[list[int]]) -> tuple[int, list[int], list[int], list[int]
 
 def best_order(score: dict[tuple[int, int], float], rows: int, n: int) -> tuple[list[int], float | None]:
     """The order of highest score, of level ones the first; and how far the next best lies behind, null if there is no other."""
-    cost = [[round(-score.get((p, s), 0.0) * UNIT) for s in range(n)] for p in range(rows)]
-    least, order, u, v = matched(cost)
-    spent = 0
-    for p in range(rows):
-        for s in range(order[p]):
-            if s in order[:p] or cost[p][s] - u[p] - v[s] > TIE:
-                continue
-            free = [c for c in range(n) if c != s and c not in order[:p]]
-            rest = matched([[cost[q][c] for c in free] for q in range(p + 1, rows)])
-            if spent + cost[p][s] + rest[0] <= least + TIE:
-                order[p:] = [s, *(free[c] for c in rest[1])]
+    alike: dict[tuple, list[int]] = {}
+    for s in range(n):
+        alike.setdefault(tuple(round(-score.get((p, s), 0.0) * UNIT) for p in range(rows)), []).append(s)
+    return order_of_kinds(list(alike), list(alike.values()), rows)
+
+
+def order_of_kinds(costs: list[tuple[int, ...]], members: list[list[int]], rows: int) -> tuple[list[int], float | None]:
+    """best_order() of entities that come in kinds: costs has a kind's cost at every place, members its entities in order.
+
+    Entities of a kind stand for each other, so work grows with kinds and
+    places, not with entities.  Where every place can have its cheapest kind,
+    that is the optimum; else the assignment is solved with as many columns
+    of a kind as there are places.
+    """
+    kinds = range(len(costs))
+    left = [len(m) for m in members]
+
+    def least_of(places: list[int], barred: tuple[int, int] | None = None) -> int | None:
+        """The least cost of the places with what is left of the kinds, place and kind of ``barred`` apart; null if there is none."""
+        total, used = 0, [0] * len(costs)
+        for p in places:
+            k = min((k for k in kinds if left[k] and (p, k) != barred), key=lambda k: costs[k][p], default=None)
+            if k is None:
+                return None
+            total, used[k] = total + costs[k][p], used[k] + 1
+        if all(used[k] <= left[k] for k in kinds):
+            return total
+        columns = [k for k in kinds for _ in range(min(left[k], len(places)))]
+        never = 1 + 2 * sum(max(abs(costs[k][p]) for k in kinds) for p in places)
+        total, order, *_ = matched([[never if (p, k) == barred else costs[k][p] for k in columns] for p in places])
+        return None if any((p, columns[j]) == barred for p, j in zip(places, order)) else total
+
+    places = list(range(rows))
+    # what every place and all after it cost at their cheapest, and how many of a kind these take
+    ahead = [(0, [0] * len(costs))]
+    for p in reversed(places):
+        k = min(kinds, key=lambda k: costs[k][p])
+        total, used = ahead[-1]
+        ahead.append((total + costs[k][p], [u + (j == k) for j, u in enumerate(used)]))
+
+    def least_from(p: int) -> int | None:
+        total, used = ahead[rows - p]
+        return total if all(u <= n for u, n in zip(used, left)) else least_of(places[p:])
+
+    least, spent, order, chosen = least_from(0), 0, [], []
+    for p in places:
+        for k in sorted((k for k in kinds if left[k]), key=lambda k: members[k][-left[k]]):
+            left[k] -= 1
+            rest = least_from(p + 1)
+            if rest is not None and spent + costs[k][p] + rest <= least + TIE:
+                order.append(members[k][-left[k] - 1])
+                chosen.append(k)
+                spent += costs[k][p]
                 break
-        spent += cost[p][order[p]]
-    if n < 2:
+            left[k] += 1
+    if sum(map(len, members)) < 2:
         return order, None
+    if any(len(members[k]) > 1 for k in chosen):
+        # an entity gives way to another of its kind
+        return order, (least - spent) / UNIT
     # another order leaves at least one chosen cell, so each is forbidden in turn
-    never = 1 + 2 * sum(max(map(abs, row)) for row in cost)
-    others = []
-    for p in range(rows):
-        kept = cost[p][order[p]]
-        cost[p][order[p]] = never
-        total, other, *_ = matched(cost)
-        if other[p] != order[p]:
-            others.append(total)
-        cost[p][order[p]] = kept
+    left = [len(m) for m in members]
+    others = [total for total in (least_of(places, (p, chosen[p])) for p in places) if total is not None]
     return order, (min(others) - spent) / UNIT
 
 
@@ -129,25 +167,36 @@ def assign(apps: DataFrame, settled: DataFrame, roster: DataFrame, log_p: DataFr
     """(name, season, wk, order, gap): for each week of a deferred name, which entity each appearance is, and how far the next best order lies behind.
 
     A group is one name's games in one week; its best order is a linear
-    assignment, exact for any number of entities.
+    assignment, exact for any number of entities.  A group has its places and
+    the regions of its name's entries, never a row for each of their pairs;
+    the table of regions is REGIONS squared at most and goes with the code.
     """
     slots = roster.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct(*[c for c in ("school_id", "region", "division") if c in roster.columns]))), lambda s: s["region"]).alias("slot_regions"))
     regions = settled_regions(settled, roster).select(F.col("name").alias("opp"), F.col("region").alias("opp_region"))
-    rows = apps.join(settled.filter("class = 'deferred'").select("name", "n"), "name").join(regions, "opp", "left").join(slots, "name")
-    cells = rows.select("name", "season", "wk", "place", "n", "opp_region", F.posexplode("slot_regions").alias("slot", "region")).join(log_p.select(F.col("ra").alias("region"), F.col("rb").alias("opp_region"), "log_p"), ["region", "opp_region"], "left")
-    grouped = cells.groupBy("name", "season", "wk", "n").agg(F.collect_list(F.struct("place", "slot", F.coalesce("log_p", F.lit(0.0)).alias("log_p"))).alias("cells"))
+    rows = apps.join(settled.filter("class = 'deferred'").select("name", "n"), "name").join(regions, "opp", "left")
+    grouped = rows.groupBy("name", "season", "wk", "n").agg(F.collect_list(F.struct("place", "opp_region")).alias("places")).join(slots, "name")
+    known = {(r["ra"], r["rb"]): round(-r["log_p"] * UNIT) for r in log_p.collect()}
 
     @F.arrow_udf("struct<order:array<int>,gap:double>")
-    def best(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for counts, tables in batches:
+    def best(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for counts, tables, entries in batches:
             out = []
-            for n, table in zip(counts.to_pylist(), tables.to_pylist()):
-                score = {(c["place"], c["slot"]): c["log_p"] for c in table}
-                order, gap = best_order(score, min(n, 1 + max(p for p, _ in score)), n)
+            for n, table, own in zip(counts.to_pylist(), tables.to_pylist(), entries.to_pylist()):
+                met = [c["opp_region"] for c in sorted(table, key=lambda c: c["place"])][:n]
+                of: dict[int | None, list[int]] = {}
+                for s in range(n):
+                    of.setdefault(own[s] if s < len(own) else None, []).append(s)
+                alike: dict[tuple, list[int]] = {}
+                for r, entities in of.items():
+                    alike.setdefault(tuple(known.get((r, o), 0) for o in met), []).extend(entities)
+                order, gap = order_of_kinds(list(alike), [sorted(e) for e in alike.values()], len(met))
                 out.append({"order": order, "gap": gap})
             yield pa.array(out, pa.struct([("order", pa.list_(pa.int32())), ("gap", pa.float64())]))
 
-    return grouped.select("name", "season", "wk", best("n", "cells").alias("b")).select("name", "season", "wk", "b.order", "b.gap")
+    # few bytes stand for much work here, so partitions are not to be merged by size
+    session = grouped.sparkSession
+    grouped = grouped.repartition(max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions"))), "name", "wk")
+    return grouped.select("name", "season", "wk", best("n", "places", "slot_regions").alias("b")).select("name", "season", "wk", "b.order", "b.gap")
 
 
 def entities(settled: DataFrame, roster: DataFrame) -> DataFrame:
