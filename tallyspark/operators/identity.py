@@ -61,38 +61,42 @@ def region_log_p(counts: DataFrame) -> DataFrame:
     return every.join(counts, ["ra", "rb"], "left").select("ra", "rb", F.ln((F.coalesce("n", F.lit(0)) + ALPHA) / (F.col("total") + ALPHA * REGIONS)).alias("log_p"))
 
 
-def matched(cost: list[list[int]]) -> tuple[int, list[int], list[int], list[int]]:
-    """(sum, column of each row, row prices, column prices): the cheapest distinct columns for the rows, of which there are no more than columns (Hungarian method)."""
-    m, n = len(cost), len(cost[0]) if cost else 0
-    u, v, owner = [0] * (m + 1), [0] * (n + 1), [0] * (n + 1)
-    for i in range(1, m + 1):
-        owner[0], at = i, 0
-        low, back, seen = [None] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        while owner[at]:
-            seen[at] = True
-            row, step, to = owner[at], None, 0
-            for j in range(1, n + 1):
-                if not seen[j]:
-                    left = cost[row - 1][j - 1] - u[row] - v[j]
-                    if low[j] is None or left < low[j]:
-                        low[j], back[j] = left, at
-                    if step is None or low[j] < step:
-                        step, to = low[j], j
-            for j in range(n + 1):
-                if seen[j]:
-                    u[owner[j]] += step
-                    v[j] -= step
-                elif low[j] is not None:
-                    low[j] -= step
-            at = to
-        while at:
-            owner[at] = owner[back[at]]
-            at = back[at]
-    order = [0] * m
-    for j in range(1, n + 1):
-        if owner[j]:
-            order[owner[j] - 1] = j - 1
-    return sum(cost[i][j] for i, j in enumerate(order)), order, u[1:], v[1:]
+def carried(supply: list[int], cost: list[list[int | None]], room: list[int]) -> int | None:
+    """The least cost of bringing all supply into kinds with room, cost being null where that is barred; null if it cannot be (cheapest paths, one after another)."""
+    supply, room, total = list(supply), list(room), 0
+    flow = [[0] * len(room) for _ in supply]
+    while any(supply):
+        near, far = [0 if n else None for n in supply], [None] * len(room)
+        back, by, moved = [None] * len(supply), [None] * len(room), True
+        while moved:
+            moved = False
+            for i, d in enumerate(near):
+                for k, c in enumerate(cost[i]):
+                    if d is not None and c is not None and (far[k] is None or d + c < far[k]):
+                        far[k], by[k], moved = d + c, i, True
+            for k, d in enumerate(far):
+                for i in range(len(supply)):
+                    if d is not None and flow[i][k] and (near[i] is None or d - cost[i][k] < near[i]):
+                        near[i], back[i], moved = d - cost[i][k], k, True
+        end = min((k for k in range(len(room)) if room[k] and far[k] is not None), key=lambda k: far[k], default=None)
+        if end is None:
+            return None
+        way, k = [], end
+        while True:
+            i = by[k]
+            way.append((i, k, back[i]))
+            if back[i] is None:
+                break
+            k = back[i]
+        most = min([room[end], supply[i], *(flow[i][b] for i, _, b in way if b is not None)])
+        for i, k, b in way:
+            flow[i][k] += most
+            if b is not None:
+                flow[i][b] -= most
+        supply[way[-1][0]] -= most
+        room[end] -= most
+        total += most * far[end]
+    return total
 
 
 def best_order(score: dict[tuple[int, int], float], rows: int, n: int) -> tuple[list[int], float | None]:
@@ -108,26 +112,19 @@ def order_of_kinds(costs: list[tuple[int, ...]], members: list[list[int]], rows:
 
     Entities of a kind stand for each other, so work grows with kinds and
     places, not with entities.  Where every place can have its cheapest kind,
-    that is the optimum; else the assignment is solved with as many columns
-    of a kind as there are places.
+    that is the optimum; else places that cost alike are carried to the kinds
+    together.
     """
     kinds = range(len(costs))
     left = [len(m) for m in members]
 
     def least_of(places: list[int], barred: tuple[int, int] | None = None) -> int | None:
         """The least cost of the places with what is left of the kinds, place and kind of ``barred`` apart; null if there is none."""
-        total, used = 0, [0] * len(costs)
+        alike: dict[tuple, int] = {}
         for p in places:
-            k = min((k for k in kinds if left[k] and (p, k) != barred), key=lambda k: costs[k][p], default=None)
-            if k is None:
-                return None
-            total, used[k] = total + costs[k][p], used[k] + 1
-        if all(used[k] <= left[k] for k in kinds):
-            return total
-        columns = [k for k in kinds for _ in range(min(left[k], len(places)))]
-        never = 1 + 2 * sum(max(abs(costs[k][p]) for k in kinds) for p in places)
-        total, order, *_ = matched([[never if (p, k) == barred else costs[k][p] for k in columns] for p in places])
-        return None if any((p, columns[j]) == barred for p, j in zip(places, order)) else total
+            row = tuple(None if (p, k) == barred else costs[k][p] for k in kinds)
+            alike[row] = alike.get(row, 0) + 1
+        return carried(list(alike.values()), [list(r) for r in alike], left)
 
     places = list(range(rows))
     # what every place and all after it cost at their cheapest, and how many of a kind these take

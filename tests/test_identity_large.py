@@ -30,3 +30,12 @@ def test_a_name_of_two_thousand_entities(spark):
     rows = identity.assign(apps, settled, roster, log_p).collect()
     assert time.time() - began < 60 and len(rows) == weeks
     assert all(r["gap"] == 0 and [s % 5 for s in r["order"]] == [p % 5 for p in range(games)] and r["order"] == list(range(games)) for r in rows)
+
+
+def test_places_that_compete_for_kinds():
+    r = random.Random(1)
+    costs = [[r.randrange(1, 10**12) for _ in range(5)] for _ in range(5)] + [[0] * 5] * 5
+    places = [r.choice(costs) for _ in range(300)]
+    began = time.time()
+    order, gap = identity.order_of_kinds([tuple(c) for c in zip(*places)], [list(range(k, 350, 5)) for k in range(5)], 300)
+    assert time.time() - began < 20 and len(set(order)) == 300 and abs(gap) < 1e-9
